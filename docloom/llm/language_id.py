@@ -154,6 +154,8 @@ class Model:
         """rows: (language, n-gram of N characters, count)."""
         self.langs = sorted({r[0] for r in rows})
         self.limit = np.full(len(self.langs), np.inf)
+        if not rows:
+            return
         chars = np.unique(np.array([ord(c) for _, g, _ in rows for c in g] + [0, 32]))
         if len(chars) >= 1 << 16:
             raise ValueError("over 65,535 distinct characters in the fitted rows")
