@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, runs, slices, table, text_bytes
+from .common import keep, member_hash, members, membership, runs, slices, table, text_bytes
 from .components import connected_components
 
 K, T = 48, 22
@@ -161,9 +161,22 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(same)) for c in (x.column("a"), x.column("b"))], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"))], pa.binary())], names=["rep", "set"])
+def _sets(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = members(bitmap.value, b.column("at").to_numpy(zero_copy_only=False))
+            for part in slices(iter([b.filter(pa.array(wanted))]), "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], names=["rep", "set"])
+
+    return run
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, set) of the documents in ids (rep), and of a few others: no text is shuffled, each is read once more."""
+    bitmap = membership(ids)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    known = docs.where("doc_id is not null").withColumn("at", member_hash("doc_id", bitmap))
+    return known.mapInArrow(_sets(held), "rep long, set binary")
 
 
 def _confirmed(num: int, den: int):
@@ -184,8 +197,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, de
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
     near = keep(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"), "minhash-candidates")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, set binary"), "minhash-sets")
+    sets = keep(_sets_of(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs), "minhash-sets")
     full = lambda s: sets.select(F.col("rep").alias(s), F.col("set").alias(f"set_{s}"))
     good = near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(num, den), "a long, b long")
     return keep(good, "minhash-links")
@@ -305,8 +317,7 @@ def _remaining_links(posts: DataFrame, info: DataFrame, docs: DataFrame, *how) -
     """Links between unlike labels, one for each pair of labels and block at least."""
     dealt = lambda df: df.repartition(*KEYS).sortWithinPartitions(*KEYS)
     found = keep(dealt(_open_members(posts, info)).mapInArrow(_promising(*how), MEMBER), "minhash-promising")
-    wanted = found.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, set binary")
+    sets = _sets_of(found.select("rep").distinct(), docs)
     full = keep(sets.join(info.select("rep", "sig"), "rep"), "minhash-open-sets")
     return keep(dealt(found.join(full, "rep")).mapInArrow(_linked(*how), "a long, b long").distinct(), "minhash-more")
 
