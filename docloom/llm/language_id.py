@@ -2,8 +2,8 @@
 
 A model of order N is fitted per language on labelled rows; the n-grams' log probabilities of all languages stand side by
 side in sorted arrays of 64-bit hashes, one array per order, with back-off weights in arrays of their own. A text gets the
-language of least cross-entropy per character. It is rejected when that is above the highest that the calibration rows
-of its language showed, by a margin.
+language of least cross-entropy per character. It is rejected when that is above the highest that calibration rows, well
+identified and not fitted on, have shown, by a margin.
 
 Text is lower-cased; letters count as themselves, runs of anything else as one space.
 """
@@ -23,7 +23,7 @@ N = 4
 #: Rows of each language that the models are fitted on, in expectation: a bounded sample, by hash of doc_id.
 FIT_ROWS = 3000
 #: Sharpness of the score; times the highest cross-entropy seen in calibration that is accepted; characters below which nothing is rejected.
-SHARPNESS, MARGIN, LEAST = 20.0, 1.15, 40
+SHARPNESS, MARGIN, LEAST = 20.0, 1.5, 40
 UNKNOWN = "und"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -266,8 +266,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     rows = grams.select("text", "lang").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n")).collect()
     model = Model([tuple(r) for r in rows])
     seen = identify(sample.where("half = 1"), model, ["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.max("cross_entropy")).collect()
-    for lang, highest in seen:
-        model.limit[model.langs.index(lang)] = highest * MARGIN
+    # one limit for all languages: few calibration rows of one must not cost its clean documents
+    if seen:
+        model.limit[:] = max(highest for _, highest in seen) * MARGIN
     return model
 
 
