@@ -22,11 +22,23 @@ from .token_counts import tokenizer_path
 CAPACITY, END = 4096, 1
 #: Cells in which the pieces of one length are ranked.
 CELLS = 64
-REMEMBERED, LONGEST = 250_000, 64
-_SEP, _SEP_ID = "<|startoftext|>", 49406
+#: Words that a worker remembers, and the longest one remembered.
+REMEMBERED, LONGEST = 500_000, 64
+#: Bytes of text tokenised together: each word is looked at once in them.
+SLICE = 6 << 20
 _tokenizers: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as itself, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _tokenizer(path: str) -> tuple:
     if path not in _tokenizers:
         import os
@@ -38,47 +50,45 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def _encode(tok, words: list[str]) -> list[bytes]:
-    """The ids of each word as little-endian 32-bit bytes; plain words go together, parted by a special token."""
-    plain = [w for w in words if "<|" not in w]
-    out = {}
-    for at in range(0, len(plain), 512):
-        some = plain[at : at + 512]
-        ids = np.array(tok.encode(_SEP.join(some), add_special_tokens=False).ids, np.uint32)
-        cut = np.flatnonzero(ids == _SEP_ID)
-        if len(cut) != len(some) - 1:
-            raise ValueError("the parting token was not kept apart")
-        ends = [*cut.tolist(), len(ids)]
-        start = 0
-        for w, e in zip(some, ends, strict=True):
-            out[w] = ids[start:e].astype("<u4").tobytes()
-            start = e + 1
-    for w in words:
-        if w not in out:
-            out[w] = np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-    return [out[w] for w in words]
+def _stem(word: str) -> str:
+    """A word of letters before one full stop or comma, which the tokenizer parts; letters below U+0250 in lower case, as it has them."""
+    tail = word[-1] in ".," and len(word) > 1
+    stem = word[:-1] if tail else word
+    if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+        return stem.lower()
+    return word
 
 
-def _stem(word: str) -> str:
-    """A word of letters before one full stop or comma: the tokenizer parts the two."""
-    return word[:-1] if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha() and word[-2].lower().isalpha() else word
+def _encode(tok, words: list[str]) -> Iterator[bytes]:
+    """The ids of each word as little-endian 32-bit bytes. A word of letters is one pre-token: its merges are run directly."""
+    import unicodedata
+
+    merge = tok.model.tokenize
+    for w in words:
+        if w.isalpha() and max(w) < "\u0250" and w == w.lower():
+            if not w.isascii():
+                w = unicodedata.normalize("NFC", w).encode().decode("latin-1").translate(_LETTERS)
+            ids = [t.id for t in merge(w)]
+        else:
+            ids = tok.encode(w, add_special_tokens=False).ids
+        yield np.array(ids, "<u4").tobytes()
 
 
 def _pieces(name: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known = _tokenizer(tokenizer_path(name))
         last = np.array([end], "<u4").tobytes()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             # the tokenizer drops white space and merges nothing across it
             docs = [(t or "").replace("\n", " ").split(" ") for t in b.column("text").to_pylist()]
             new = set().union(*docs) - known.keys()
             if new:
-                stems = {_stem(w) for w in new} | {".", ","}
-                stems = list(stems - known.keys())
-                known.update(zip(stems, _encode(tok, stems), strict=True))
-                for w in new - known.keys():
-                    known[w] = known[w[:-1]] + known[w[-1]]
-                new.update(stems)
+                stems = {w: s for w in new if (s := _stem(w)) != w}
+                todo = [*({".", ",", *stems.values()} - known.keys() - new), *(new - stems.keys())]
+                known.update(zip(todo, _encode(tok, todo), strict=True))
+                for w, s in stems.items():
+                    known[w] = known[s] if len(s) == len(w) else known[s] + known[w[-1]]
+                new.update(todo)
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, words in enumerate(docs):
                 data = b"".join(map(known.__getitem__, words)) + last
@@ -91,12 +101,11 @@ def _pieces(name: str, capacity: int, end: int, with_ids: bool):
                     crc.append(zlib.crc32(part))
                     if with_ids:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+            # the words of the first batches are the frequent ones: those stay, and later ones only while there is room
+            full = len(known) > REMEMBERED
             for w in new:
-                if len(w) > LONGEST:
+                if full or len(w) > LONGEST:
                     known.pop(w, None)
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
             columns = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
