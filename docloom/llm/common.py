@@ -50,7 +50,7 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that `column` (strings) holds about max_bytes in each; a longer single text stays whole."""
     for batch in batches:
         n = batch.num_rows

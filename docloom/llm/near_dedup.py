@@ -50,7 +50,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, 1 << 21), base, np.uint64)
+        p = np.full(max(n, 1 << 20), base, np.uint64)
         p[0] = 1
         _powers[base] = np.multiply.accumulate(p)
     return _powers[base][:n]

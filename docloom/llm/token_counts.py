@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row of docs (doc_id, text; others are ignored).
 
     Null and empty texts have no bytes and no tokens; a null doc_id is passed through; repeated rows are counted each.
-    Whole texts are read, 2 MB of them at a time, or one longer text.
+    Whole texts are read, 1 MB of them at a time, or one longer text.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(model, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
