@@ -101,9 +101,9 @@ def mixture_candidates(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "section").orderBy("pos")
     c0 = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
     x = rows.where("section = 3").withColumn("_head", T.is_mixture_header(c0))
-    alone = F.lag(F.col("_head") & ~c0.contains("\n")).over(w)
+    x = x.withColumn("_alone", F.coalesce(F.lag(F.col("_head") & ~c0.contains("\n")).over(w), F.lit(False)))
     lines = F.split(c0, "\n")
-    texts = F.when(F.col("_head"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).when(F.coalesce(alone, F.lit(False)), F.array(c0))
+    texts = F.when(F.col("_head"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).when(F.col("_alone"), F.array(c0))
     x = x.select("doc_id", "section", "pos", F.posexplode(texts).alias("k", "line")).withColumn("c", T.mixture_row(F.col("line"))).where("c is not null")
     return x.select("doc_id", "section", "pos", "k", "c.*")
 

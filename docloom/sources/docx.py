@@ -203,7 +203,7 @@ def require_any(status: DataFrame) -> DataFrame:
 def clean_paragraphs(p: DataFrame, levels: DataFrame) -> DataFrame:
     """paragraphs with their cleaned `text`: number in front, runs of spaces as one (not in hazard class rows), picture marks behind.
 
-    Symbols alone beside a picture go; paragraphs that are empty then go too. A paragraph is numbered once, however
+    Symbols alone beside a picture go; paragraphs that are empty then go too, but for those of cells, which hold their places. A paragraph is numbered once, however
     often a merged cell repeats it.
     """
     from pyspark.sql import Window
@@ -216,21 +216,18 @@ def clean_paragraphs(p: DataFrame, levels: DataFrame) -> DataFrame:
     raw = T.strip(F.concat_ws(" ", F.nullif("number", F.lit("")), t))
     body = F.when(T.class_row(raw)["name"].isNotNull(), raw).otherwise(F.regexp_replace(raw, " {2,}", " "))
     mark = F.when(F.col("n_img") > 1, F.concat(F.lit("[象形图×"), F.col("n_img").cast("string"), F.lit("]"))).when(F.col("n_img") == 1, X.PICTOGRAM_MARK)
-    return x.withColumn("text", F.concat_ws(" ", F.nullif(body, F.lit("")), mark)).where("text <> ''").drop("number", "seq")
+    return x.withColumn("text", F.concat_ws(" ", F.nullif(body, F.lit("")), mark)).where("text <> '' or ev = 'table'").drop("number", "seq")
 
 
 def cell_rows(p: DataFrame) -> DataFrame:
-    """doc_id, pos, cells, bold0, is_box, c0 of cleaned table and text-box paragraphs; rows that are blank go."""
+    """doc_id, pos, cells, bold0, is_box, c0 of cleaned table and text-box paragraphs; rows of blank cells only go."""
     from ..operators.rows import cells_to_rows, dedupe_cells
 
     t = p.where("ev = 'table'")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]), "\n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("para", "text")))), lambda s: s["text"]), "\n")
     cells = t.groupBy("doc_id", "pos", F.col("cell").alias("k"), "tc").agg(joined.alias("text"), F.max("bold").alias("bold"))
-    # a cell without text has no paragraph left, yet holds its place
-    width = cells.groupBy("doc_id", "pos").agg(F.min("k").alias("_first"))
-    first = cells.withColumnRenamed("bold", "_b").join(width, ["doc_id", "pos"]).where("k = _first").select("doc_id", "pos", (F.col("_b") & (F.col("k") == 0)).alias("bold0"), (F.col("_first") > 0).alias("_blank"))
-    rows = cells_to_rows(dedupe_cells(cells.drop("bold"))).join(first, ["doc_id", "pos"])
-    rows = rows.withColumn("cells", F.when(F.col("_blank"), F.concat(F.array(F.lit("")), F.col("cells"))).otherwise(F.col("cells")))
+    bold = cells.groupBy("doc_id", "pos").agg(F.min_by("bold", "k").alias("bold0"))
+    rows = cells_to_rows(dedupe_cells(cells.drop("bold"))).join(bold, ["doc_id", "pos"]).where(F.exists("cells", lambda c: c != ""))
     rows = rows.select("doc_id", "pos", "cells", "bold0", F.lit(False).alias("is_box"), F.get("cells", F.lit(0)).alias("c0"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("para", F.trim("text").alias("text")))), lambda s: s["text"])
     boxes = p.where("ev = 'textbox'").groupBy("doc_id", "pos").agg(lines.alias("cells"))

@@ -14,7 +14,7 @@ def ingest(spark: SparkSession, path: str, to: str, checkpoint: str) -> None:
 
     A batch that runs again overwrites its own folder, so records are never doubled.
     """
-    files = ship(spark).readStream.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    files = ship(spark).readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.docx").load(path)
     name = F.substring_index("path", "/", -1)
     files = files.select(F.col("path").alias("doc_id"), name.alias("file_name"), F.col("modificationTime").alias("at"), "content").where(~F.col("file_name").startswith("~$") & ~F.col("file_name").startswith("%7E$"))
 
