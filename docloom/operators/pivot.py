@@ -51,7 +51,7 @@ def pivot_cells(p: DataFrame) -> DataFrame:
 
 
 def pivot_grid(documents: DataFrame, columns: DataFrame, cells: DataFrame) -> DataFrame:
-    """A cell for each document and column: '' where there is none, 无数据 for a field of section 9.
+    """The long form, a cell for each document and column: '' where there is none, 无数据 for a field of section 9.
 
     The columns are a side of a few hundred labels, whatever the number of documents.
     """
@@ -62,18 +62,23 @@ def pivot_grid(documents: DataFrame, columns: DataFrame, cells: DataFrame) -> Da
     return grid.join(cells, ["doc_id", *keys], "left").withColumn("value", F.when(T.clean_cell(v) == "", empty).otherwise(T.clean_cell(v)))
 
 
-def pivot_wide(grid: DataFrame, columns: list[tuple]) -> DataFrame:
-    """One row per document; columns: (section, norm_label) in order, so that no extra job looks for them."""
+def pivot_wide(documents: DataFrame, cells: DataFrame, columns: list[tuple]) -> DataFrame:
+    """One row per document; columns: (section, kind, norm_label) in order, so that no extra job looks for them.
+
+    Only cells that exist are shuffled; what is missing is filled in the wide row: 无数据 for a field of section 9, else ''.
+    """
     name = F.concat_ws("_", F.col("section").cast("string"), "norm_label")
-    return grid.withColumn("col", name).groupBy("doc_id").pivot("col", [f"{s}_{n}" for s, n in columns]).agg(F.first("value"))
+    wide = cells.withColumn("col", name).groupBy("doc_id").pivot("col", [f"{s}_{n}" for s, _, n in columns]).agg(F.first(T.clean_cell(F.col("value"))))
+    filled = [F.coalesce(F.nullif(F.col(f"`{s}_{n}`"), F.lit("")), F.lit(X.NO_DATA if s == 9 and k == "field" else "")).alias(f"{s}_{n}") for s, k, n in columns]
+    return documents.select("doc_id").distinct().join(wide, "doc_id", "left").select("doc_id", *filled)
 
 
 def build_pivot(documents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(wide table, column table). The column list, one row per distinct label, is what the driver gets."""
     p = pivot_input(entries)
     columns = pivot_columns(p)
-    listed = [(r.section, r.norm_label) for r in columns.orderBy("section", "col_ord").collect()]
-    return pivot_wide(pivot_grid(documents, columns, pivot_cells(p)), listed), columns
+    listed = [(r.section, r.kind, r.norm_label) for r in columns.orderBy("section", "col_ord").collect()]
+    return pivot_wide(documents, pivot_cells(p), listed), columns
 
 
 def single_pivot(documents: DataFrame, entries: DataFrame, doc_id) -> tuple[DataFrame, DataFrame]:

@@ -420,8 +420,7 @@ WIDE = [(s, x) for s in (1, 9) for x in ("click", "view", "purchase")]
 def pivot_wide(spark, d):
     e = A.entries(spark, d)
     p = pivot.pivot_input(e)
-    columns = spark.createDataFrame([(s, "field", x) for s, x in WIDE], "section int, kind string, norm_label string")
-    return pivot.pivot_wide(pivot.pivot_grid(e, columns, pivot.pivot_cells(p)), WIDE)
+    return pivot.pivot_wide(e, pivot.pivot_cells(p), [(s, "field", x) for s, x in WIDE])
 
 
 @query("pivot_notes", "SELECT doc_id, section, coalesce(string_agg(value, chr(10) ORDER BY pos) FILTER (value <> ''), '') AS value FROM entries WHERE kind = 'note' GROUP BY ALL", "entries")
