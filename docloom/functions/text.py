@@ -47,7 +47,11 @@ def normalize_label(c: Column) -> Column:
 
 def section_title(c: Column) -> Column:
     """struct(n, title) of a section title, both null for other text."""
-    t = squeeze(c)
+    return section_title_of(squeeze(c))
+
+
+def section_title_of(t: Column) -> Column:
+    """section_title of squeezed text; a column of its own keeps the squeeze from being done for each test."""
     en = r"(?i)^SECTION\s*(\p{Nd}{1,2})\s*[:.\-]\s*(.+?)\s*$"
     cn = r"^(\p{Nd}{1,2})\s*[.、．]\s*(.+?)\s*$"
     body = F.when(t.rlike(r"^[a-zA-Z]"), strip(F.substring(t, 2, 200))).otherwise(t)

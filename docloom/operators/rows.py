@@ -36,48 +36,55 @@ def _numbered_parts(label):
     return F.filter(parts, lambda x: T.strip(x) != "")
 
 
-def _field_items(first, rest):
-    """The fields of one field row: by tab, by numbers, by stacked labels, a one-character rest, or plain."""
-    value = T.strip(F.array_join(rest, " / "))
+def _with_field_items(rows: DataFrame) -> DataFrame:
+    """rows (with _first and _rest) with _items, the fields of a field row: by tab, by numbers, by stacked labels, a one-character rest, or plain.
+
+    Each step is a column of its own: what several later steps read is worked out once.
+    """
+    first = F.col("_first")
     tail = F.when(F.instr(first, "\t") > 0, T.strip(F.substring(first, F.instr(first, "\t") + 1, F.length(first)))).otherwise("")
-    label = F.when(tail != "", F.substring_index(first, "\t", 1)).otherwise(first)
-    value = F.when(tail != "", F.btrim(F.concat(tail, F.lit(" / "), value), F.lit(" /"))).otherwise(value)
+    x = rows.withColumns({"_tail": tail, "_value": T.strip(F.array_join("_rest", " / "))})
+    tabbed = F.col("_tail") != ""
+    x = x.withColumns({"_label": F.when(tabbed, F.substring_index(first, "\t", 1)).otherwise(first), "_value": F.when(tabbed, F.btrim(F.concat("_tail", F.lit(" / "), "_value"), F.lit(" /"))).otherwise(F.col("_value"))})
+    x = x.withColumns({"_parts": _numbered_parts(F.col("_label")), "_values": F.split("_value", "\n"), "_name": T.normalize_label(F.col("_label"))})
+    x = with_stacked(x)
     struct = lambda k, a, b: F.struct(F.lit(k).alias("kind"), a.alias("label"), b.alias("value"))
-    parts, values = _numbered_parts(label), F.split(value, "\n")
-    numbered = (F.size(parts) > 1) & F.forall(parts, lambda x: x.rlike(r"^[\s\p{Z}]*\p{Nd}+\.\p{Nd}+[\s\p{Z}]*[^\s\p{Z}]"))
-    by_number = F.transform(parts, lambda x, i: struct("field", T.normalize_label(x), T.strip(F.coalesce(F.get(values, i), F.lit("")))))
-    stacked = stacked_fields(label, value)
-    name = T.normalize_label(label)
-    residue = (F.length(name) <= 1) & ~T.is_value_shape(name)
-    left = F.when(value != "", F.array(struct("append?", F.lit(""), value))).otherwise(F.array().cast(ITEM))
-    return (
-        F.when(numbered, by_number).when(stacked.isNotNull(), F.transform(stacked, lambda s: struct("field", T.normalize_label(s["label"]), s["value"])))
-        .when(residue, left).otherwise(F.array(struct("field", name, value)))
+    numbered = (F.size("_parts") > 1) & F.forall("_parts", lambda x: x.rlike(r"^[\s\p{Z}]*\p{Nd}+\.\p{Nd}+[\s\p{Z}]*[^\s\p{Z}]"))
+    by_number = F.transform("_parts", lambda x, i: struct("field", T.normalize_label(x), T.strip(F.coalesce(F.get("_values", i), F.lit("")))))
+    residue = (F.length("_name") <= 1) & ~T.is_value_shape(F.col("_name"))
+    left = F.when(F.col("_value") != "", F.array(struct("append?", F.lit(""), F.col("_value")))).otherwise(F.array().cast(ITEM))
+    items = (
+        F.when(numbered, by_number).when(F.col("_stacked").isNotNull(), F.transform("_stacked", lambda s: struct("field", T.normalize_label(s["label"]), s["value"])))
+        .when(residue, left).otherwise(F.array(struct("field", F.col("_name"), F.col("_value"))))
     )
+    return x.withColumn("_items", items)
 
 
-def stacked_fields(label, value):
-    """array<struct(label, value)> of a row of stacked labels and values, null for any other row.
+def with_stacked(rows: DataFrame) -> DataFrame:
+    """rows (with _label and _value) with _stacked, array<struct(label, value)> of a row of stacked labels and values, null for any other row.
 
     Three labels or more, two values or more, their numbers within one. Bullets without a number go to the value of the
     label before them; values that are left over go to the last label.
     """
-    lines = F.filter(F.transform(F.split(label, "\n"), T.strip), lambda x: x != "")
-    values = F.filter(F.transform(F.split(value, "\n"), T.strip), lambda x: x != "")
+    clean = lambda c: F.filter(F.transform(F.split(c, "\n"), T.strip), lambda x: x != "")
     bullet = lambda x: x.rlike(r"^[·•\-]") & ~x.rlike(r"^[·•\-][\s\p{Z}]*\p{Nd}+(?:\.\p{Nd}+)?[\s\p{Z}]*[^\s\p{Z}]")
     keep = lambda x: ~bullet(x) & (F.length(x) > 1)
-    tags = F.filter(lines, keep)
-    # fold the lines: a tag opens an entry, a bullet joins the entry that is open
-    empty = F.array().cast("array<struct<tag:string,extra:string>>")
-    last = lambda a: F.element_at(a, -1)
-    join = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["tag"].alias("tag"), F.concat_ws("\n", F.nullif(last(a)["extra"], F.lit("")), x).alias("extra"))))
-    step = lambda a, x: F.when(keep(x), F.concat(a, F.array(F.struct(x.alias("tag"), F.lit("").alias("extra"))))).when(bullet(x) & (F.size(a) > 0), join(a, x)).otherwise(a)
-    entries = F.aggregate(lines, empty, step)
-    n = F.size(tags)
-    over = F.array_join(F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0))), "\n")
-    text = lambda e, i: T.strip(F.concat_ws("\n", F.nullif(F.coalesce(F.get(values, i), F.lit("")), F.lit("")), F.nullif(e["extra"], F.lit("")), F.when(i == n - 1, F.nullif(over, F.lit("")))))
-    out = F.transform(entries, lambda e, i: F.struct(T.strip(F.regexp_replace(e["tag"], r"^[·•\-][\s\p{Z}]*", "")).alias("label"), text(e, i).alias("value")))
-    return F.when((F.size(lines) >= 3) & (F.size(values) >= 2) & (n >= 3) & (F.abs(n - F.size(values)) <= 1), out)
+    x = rows.withColumns({"_lines": clean("_label"), "_vals": clean("_value")})
+    # the place of each tag, and one past the last line: a tag's bullets lie before the next tag
+    at = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: keep(F.get("_lines", i)))
+    x = x.withColumn("_at", F.when((F.size("_lines") >= 3) & (F.size("_vals") >= 2), at))
+    n = F.size("_at")
+    over = F.array_join(F.slice("_vals", n + 1, F.greatest(F.size("_vals") - n, F.lit(0))), "\n")
+    x = x.withColumn("_over", F.when(F.col("_at").isNotNull(), over))
+
+    def entry(i, k):
+        end = F.coalesce(F.get("_at", k + 1), F.size("_lines"))
+        bullets = F.filter(F.slice("_lines", i + 2, end - i - 1), bullet)
+        text = F.concat_ws("\n", F.nullif(F.coalesce(F.get("_vals", k), F.lit("")), F.lit("")), bullets, F.when(k == F.size("_at") - 1, F.nullif("_over", F.lit(""))))
+        return F.struct(T.strip(F.regexp_replace(F.get("_lines", i), r"^[·•\-][\s\p{Z}]*", "")).alias("label"), T.strip(text).alias("value"))
+
+    fits = (n >= 3) & (F.abs(n - F.size("_vals")) <= 1)
+    return x.withColumn("_stacked", F.when(F.col("_at").isNotNull() & fits, F.transform("_at", entry)))
 
 
 def section_items(rows: DataFrame) -> DataFrame:
@@ -86,17 +93,18 @@ def section_items(rows: DataFrame) -> DataFrame:
     A blank first cell continues the latest field of the section, across lines; without one it is a field without label.
     A one-character label's value goes to the latest field, else it is a line.
     """
-    at = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     rest = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
+    first = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    x = _with_field_items(classify(rows).withColumns({"_first": first, "_rest": rest}))
     filled = lambda a: F.filter(a, lambda c: T.strip(c) != "")
     item = lambda k, a, b: F.array(F.struct(F.lit(k).alias("kind"), a.alias("label"), b.alias("value")))
     none = F.lit("")
     items = (
-        F.when(F.col("row_class") == "continuation", item("append", none, T.strip(F.array_join(F.transform(filled(rest), T.strip), " / "))))
-        .when(F.col("row_class").isin("line", "sub"), item("line", none, at(0))).when(F.col("row_class") == "field", _field_items(at(0), rest))
+        F.when(F.col("row_class") == "continuation", item("append", none, T.strip(F.array_join(F.transform(filled(F.col("_rest")), T.strip), " / "))))
+        .when(F.col("row_class").isin("line", "sub"), item("line", none, F.col("_first"))).when(F.col("row_class") == "field", F.col("_items"))
         .when(F.col("row_class") == "joined", item("line", none, F.array_join(filled(F.col("cells")), " / "))).otherwise(F.array().cast(ITEM))
     )
-    x = classify(rows).select("doc_id", "section", "pos", (F.coalesce("bold0", F.lit(False)) & (F.col("row_class") == "line")).alias("bold"), F.posexplode(items).alias("sub", "i")).select("doc_id", "section", "pos", "sub", "bold", "i.*")
+    x = x.select("doc_id", "section", "pos", (F.coalesce("bold0", F.lit(False)) & (F.col("row_class") == "line")).alias("bold"), F.posexplode(items).alias("sub", "i")).select("doc_id", "section", "pos", "sub", "bold", "i.*")
     by_section = Window.partitionBy("doc_id", "section").orderBy("pos", "sub")
     before = by_section.rowsBetween(Window.unboundedPreceding, -1)
     had = F.coalesce(F.max(F.col("kind").isin("field", "append")).over(before), F.lit(False))

@@ -19,8 +19,7 @@ def _up_to(last: int):
 
 def with_titles(rows: DataFrame) -> DataFrame:
     """title_n and title of section-title rows; hint_n of rows that open a section by a keyword, only while none is open."""
-    t = T.section_title(F.col("c0"))
-    rows = rows.withColumns({"_t": t, "_h": T.hint_section(F.col("c0"))}).withColumns({"title_n": F.col("_t.n"), "title": F.col("_t.title")})
+    rows = rows.withColumn("_q", T.squeeze(F.col("c0"))).withColumns({"_t": T.section_title_of(F.col("_q")), "_h": T.hint_section(F.col("c0"))}).drop("_q").withColumns({"title_n": F.col("_t.n"), "title": F.col("_t.title")})
     opened = F.max(F.coalesce("title_n", "_h").isNotNull()).over(_up_to(-1))
     return rows.withColumn("hint_n", F.when(F.col("title_n").isNull() & ~F.coalesce(opened, F.lit(False)), F.col("_h"))).drop("_t", "_h")
 
