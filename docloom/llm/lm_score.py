@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices, table, text_bytes
+from .common import keep, member_hash, members, membership, slices, table, text_bytes
+from .mixing import size_class
 from .near_dedup import word_hashes
 
 VOCABULARY, BUCKETS, BLOCK = 1 << 16, 1 << 20, 1 << 14
@@ -44,10 +45,24 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """The hashes of the size - 1 most frequent words of all docs, sorted; the driver gets no more than these."""
-    n = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = n.orderBy(F.col("n").desc(), "word").limit(size - 1).select("word").toPandas()["word"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
+    """The hashes of the most frequent words of all docs, size - 1 at most, sorted.
+
+    Frequencies fall into classes of a hundredth or so, which are counted; all words of the classes that fit are taken, and
+    of the next one those with the smallest hashes. So the driver gets the class sizes and the chosen words, and no task
+    or partition sends more.
+    """
+    words = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = keep(words.withColumn("class", size_class(F.col("n"))), "lm-words")
+    room, least, share = size - 1, 0, 0.0
+    for k, n in sorted((tuple(r) for r in words.groupBy("class").count().collect()), reverse=True):
+        if n > room:
+            # hashes are even, so a share of their range holds about that share of the words: four deviations below the room
+            least, share = k, max(0.0, room - 4 * room**0.5) / n
+            break
+        room -= n
+    draw = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = words.where((F.col("class") > least) | ((F.col("class") == least) & (draw < share)))
+    return np.sort(chosen.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))[: size - 1]
 
 
 def _ids(b: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,43 +78,57 @@ def _ids(b: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count(words, size: int):
-    """Counts of a partition: blocks of the array [words, contexts, bigram cells] for each model."""
+    """Counts of a partition's texts: blocks of the array [words, contexts, bigram cells]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * size + BUCKETS), np.int64)
+        total = np.zeros(2 * size + BUCKETS, np.int64)
         for b in slices(batches, "text"):
-            ids, before, cell, at = _ids(b, words.value)
-            good = np.repeat(b.column("good").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-            for m, of in ((0, slice(None)), (1, good)):
-                total[m, :size] += np.bincount(ids[of], minlength=size)
-                total[m, size : 2 * size] += np.bincount(before[of], minlength=size)
-                total[m, 2 * size :] += np.bincount(cell[of], minlength=BUCKETS)
-        for k in range(0, total.shape[1], BLOCK):
-            part = total[:, k : k + BLOCK]
+            ids, before, cell, _ = _ids(b, words.value)
+            total[:size] += np.bincount(ids, minlength=size)
+            total[size : 2 * size] += np.bincount(before, minlength=size)
+            total[2 * size :] += np.bincount(cell, minlength=BUCKETS)
+        for k in range(0, len(total), BLOCK):
+            part = total[k : k + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([part[0].tobytes()], pa.binary()), pa.array([part[1].tobytes()], pa.binary())], names=["block", "every", "good"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([part.astype(np.int32 if part.max() < 1 << 31 else np.int64).tobytes()], pa.binary())], names=["block", "counts"])
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def small() -> Iterator[pa.RecordBatch]:
+def _block(data: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * length else np.int64).astype(np.int64)
+
+
+def _add(length: int):
+    """The sum of each block's rows, which follow each other; one row is in memory at a time. length: of the whole array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+        key, total = None, None
         for b in batches:
-            for i in range(b.num_rows):
-                yield b.slice(i, 1)
-
-    key, sums = None, None
-    for b in small():
-        k, *parts = (c[0].as_py() for c in b.columns)
-        parts = [np.frombuffer(x, np.int64) for x in parts]
-        if k != key:
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["block", "every", "good"])
-            key, sums = k, [x.copy() for x in parts]
-        else:
-            sums = [x + y for x, y in zip(sums, parts, strict=True)]
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["block", "every", "good"])
+            for k, data in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
+                part = _block(data.as_py(), min(BLOCK, length - k * BLOCK))
+                if k == key:
+                    total = total + part
+                else:
+                    if key is not None:
+                        yield give()
+                    key, total = k, part
+        if key is not None:
+            yield give()
+
+    return run
+
+
+def _counts(texts: DataFrame, words, size: int) -> np.ndarray:
+    """The array of counts over all texts: a fixed number of blocks of a fixed size come to the driver."""
+    length = 2 * size + BUCKETS
+    parts = texts.select("text").mapInArrow(_count(words, size), "block int, counts binary")
+    sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_add(length), "block int, counts binary")
+    out = np.zeros(length, np.int64)
+    for k, data in keep(sums, "lm-counts").collect():
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(data, np.int64)
+    return out
 
 
 class Models:
@@ -143,15 +172,23 @@ def _scored(models):
 def fit(docs: DataFrame, good: DataFrame, size: int = VOCABULARY) -> Models:
     """Models over docs (doc_id, text); good (doc_id): the target's documents."""
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     words = vocabulary(docs, size)
     held = spark.sparkContext.broadcast(words)  # size - 1 hashes at most
-    flagged = docs.join(good.select("doc_id").distinct().withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    parts = flagged.mapInArrow(_count(held, size), "block int, every binary, good binary")
-    sums = keep(parts.repartition("block").sortWithinPartitions("block").mapInArrow(_add, "block int, every binary, good binary"), "lm-counts")
-    counts = np.zeros((2, 2 * size + BUCKETS), np.int64)
-    for k, every, target in sums.collect():  # a fixed number of blocks of a fixed size
-        counts[:, k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(every, np.int64), np.frombuffer(target, np.int64)
-    return Models(words, counts, size)
+    # a membership map leaves the good documents and a few others; only their texts are shuffled to be told apart
+    ids = good.select("doc_id").distinct()
+    bitmap = membership(ids)
+    near = docs.where("doc_id is not null").withColumn("at", member_hash("doc_id", bitmap)).mapInArrow(_maybe(spark.sparkContext.broadcast(bitmap)), "doc_id long, text string")
+    target = near.join(ids.hint("merge"), "doc_id", "left_semi")
+    return Models(words, np.stack([_counts(docs, held, size), _counts(target, held, size)]), size)
+
+
+def _maybe(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(members(bitmap.value, b.column("at").to_numpy(zero_copy_only=False)))).drop_columns(["at"])
+
+    return run
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
