@@ -50,6 +50,17 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Spark keeps its workers, and the next stage's need is another."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that `column` (strings) holds about max_bytes in each; a longer single text stays whole."""
     for batch in batches:
@@ -63,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -274,7 +274,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def _identified(model, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             lang, score, ce, reject = model.value.decide(b.column("text").to_pylist())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(reject, pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + new, names=[*carry, "lang_pred", "score", "cross_entropy", "rejected"])

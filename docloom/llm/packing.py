@@ -23,9 +23,9 @@ CAPACITY, END = 4096, 1
 #: Cells in which the pieces of one length are ranked.
 CELLS = 64
 #: Words that a worker remembers, and the longest one remembered.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text tokenised together: each word is looked at once in them.
-SLICE = 6 << 20
+SLICE = 3 << 20
 _tokenizers: dict[str, tuple] = {}
 
 
