@@ -1,12 +1,17 @@
 """Cross-entropy difference of a target and a background word model.
 
-Both models are interpolated bigrams over one vocabulary, the most frequent words of all documents, and have the same
-orders, weights and smoothing: they differ only in the documents they count. The background counts every document, the
-target those labelled good. Each token's losses under the two are subtracted; their mean scores the document (below 0:
-closer to the target).
-
-Words are runs of `[^\\x20\\x09-\\x0D]` with A-Z in lower case, known by 64-bit hashes. Word counts are exact; bigrams are
-counted in BUCKETS cells by hash, the same cells in both models, so that a model has a fixed size however large the corpus.
+Both models are interpolated bigrams over one vocabulary, all words of all documents, and have the same orders, weights
+and smoothing: they differ only in the documents they count. The background counts every document, the target those
+labelled good. Each token's losses under the two are subtracted; their mean scores the document (below 0: closer to the
+target).
+
+Words are runs of `[^\\x20\\x09-\\x0D]` with A-Z in lower case. Words, the start of a text and bigrams are keys of 64 bits,
+all counted exactly; a word is a context as often as it stands, less the texts that it ends. Documents are dealt into chunks and
+keys into ranges, about CHUNK bytes of text each, so that their numbers grow with the input and no task holds a whole model:
+
+1. each chunk sends its distinct keys, with their counts in all and in good documents, to the keys' ranges;
+2. each range adds them up and answers each chunk with the totals of the keys that it sent;
+3. each chunk meets its answers and scores its documents.
 """
 
 from __future__ import annotations
@@ -19,196 +24,174 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, member_hash, members, membership, slices, table, text_bytes
-from .mixing import size_class
+from .common import keep, runs, slices, table, text_bytes
 from .near_dedup import word_hashes
 
-VOCABULARY, BUCKETS, BLOCK = 1 << 16, 1 << 20, 1 << 14
+#: Bytes of text in a chunk of documents and behind a range of keys, about.
+CHUNK = 1 << 23
 #: Weight of the bigram; added count of each word.
 BIGRAM, ADDED = 0.6, 0.1
-#: Distinct words that a task gathers before it gives their counts on.
-HELD = 1 << 20
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    give = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
-    for b in slices(batches, "text"):
-        h, _ = word_hashes(*text_bytes(b.column("text")))
-        k, c = np.unique(h, return_counts=True)
-        keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
-        if len(keys) > HELD:
-            yield give()
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    yield give()
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """The hashes of the most frequent words of all docs, size - 1 at most, sorted.
-
-    Frequencies fall into classes of a hundredth or so, which are counted; all words of the classes that fit are taken, and
-    of the next one those with the smallest hashes. So the driver gets the class sizes and the chosen words, and no task
-    or partition sends more.
-    """
-    words = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = keep(words.withColumn("class", size_class(F.col("n"))), "lm-words")
-    room, least, share = size - 1, 0, 0.0
-    for k, n in sorted((tuple(r) for r in words.groupBy("class").count().collect()), reverse=True):
-        if n > room:
-            # hashes are even, so a share of their range holds about that share of the words: four deviations below the room
-            least, share = k, max(0.0, room - 4 * room**0.5) / n
-            break
-        room -= n
-    draw = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = words.where((F.col("class") > least) | ((F.col("class") == least) & (draw < share)))
-    return np.sort(chosen.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))[: size - 1]
-
-
-def _ids(b: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids (0: not in the vocabulary), those before (0 for a text's first word), bigram cells, word offsets of the texts."""
-    h, at = word_hashes(*text_bytes(b.column("text")))
-    place = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-    ids = np.where(words[place] == h, place + 1, 0) if len(words) else np.zeros(len(h), np.int64)
-    before = np.zeros_like(ids)
-    before[1:] = ids[:-1]
-    before[at[:-1][at[:-1] < len(ids)]] = 0
-    mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ids, before, (mixed >> np.uint64(44)).astype(np.int64) % BUCKETS, at
-
-
-def _count(words, size: int):
-    """Counts of a partition's texts: blocks of the array [words, contexts, bigram cells]."""
+#: Kinds of keys, in their last two bits.
+WORD, START, PAIR = (np.uint64(k) for k in (0, 1, 2))
+#: Counts of keys, in all and in good documents: how often they stand, and how many texts end with them.
+COUNTS = ("n", "good_n", "ends", "good_ends")
+#: What rows of a chunk are, in place of a range: ids of good documents, or documents.
+GOOD, DOCUMENT = -2, -1
+
+
+def _key(h: np.ndarray, kind: np.uint64) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) & ~np.uint64(3)) | kind
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, as many as the largest needs, compressed; before them their width and number."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(values).to_bytes(4, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.Codec("zstd").decompress(data[5:], width * n), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+class _Chunk:
+    """Documents with their tokens, and the chunk's distinct keys in order; word, context, pair: places of the tokens' keys."""
+
+    def __init__(self, docs: pa.Table):
+        hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for b in slices(iter(docs.to_batches()), "text"):
+            h, at = word_hashes(*text_bytes(b.column("text")))
+            hashes.append(h)
+            sizes.append(np.diff(at))
+        self.doc_id, self.size = docs.column("doc_id").combine_chunks(), np.concatenate(sizes)
+        h = np.concatenate(hashes)
+        words, word = np.unique(h, return_inverse=True)
+        begin = (np.cumsum(self.size) - self.size)[self.size > 0]
+        before, context = np.zeros_like(h), np.zeros_like(word)
+        before[1:], context[1:] = h[:-1], word[:-1]
+        before[begin], context[begin] = 0, len(words)
+        pairs, pair = np.unique(_key(before, START) * np.uint64(3) + h, return_inverse=True)
+        keys = np.concatenate([_key(words, WORD), _key(np.zeros(1, np.uint64), START), _key(pairs, PAIR)])
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys = keys[order] if len(h) else keys[:0]
+        self.start = place[len(words)]
+        self.word, self.context, self.pair = place[word], place[context], place[len(words) + 1 + pair]
+
+    def counts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key stands in the documents chosen, and how many of these it ends."""
+        tokens, docs = np.repeat(docs, self.size), docs & (self.size > 0)
+        n = np.bincount(self.word[tokens], minlength=len(self.keys)) + np.bincount(self.pair[tokens], minlength=len(self.keys))
+        n[self.start] = docs.sum()
+        return n, np.bincount(self.word[(np.cumsum(self.size) - 1)[docs]], minlength=len(self.keys))
+
+
+def _counted(bits: int):
+    """A row for each chunk and range with keys: the keys and their counts in all and in good documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * size + BUCKETS, np.int64)
-        for b in slices(batches, "text"):
-            ids, before, cell, _ = _ids(b, words.value)
-            total[:size] += np.bincount(ids, minlength=size)
-            total[size : 2 * size] += np.bincount(before, minlength=size)
-            total[2 * size :] += np.bincount(cell, minlength=BUCKETS)
-        for k in range(0, len(total), BLOCK):
-            part = total[k : k + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([part.astype(np.int32 if part.max() < 1 << 31 else np.int64).tobytes()], pa.binary())], names=["block", "counts"])
+        for rows in runs(batches, ["chunk"]):
+            kind = rows.column("range")
+            c = _Chunk(rows.filter(pc.equal(kind, DOCUMENT)))
+            if not len(c.keys):
+                continue
+            good = pc.fill_null(pc.is_in(c.doc_id, rows.filter(pc.equal(kind, GOOD)).column("doc_id").combine_chunks()), False).to_numpy(zero_copy_only=False)
+            (n, ends), (good_n, good_ends) = c.counts(np.ones(len(c.size), bool)), c.counts(good)
+            at = (c.keys >> np.uint64(64 - bits)).astype(np.int64)
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            out = []
+            for x, y in zip(first, [*first[1:], len(at)], strict=True):
+                steps = np.diff(c.keys[x:y], prepend=np.uint64(int(at[x]) << (64 - bits)))
+                out.append((rows.column("chunk")[0].as_py(), int(at[x]), _pack(steps), *(_pack(v[x:y]) for v in (n, good_n, ends, good_ends))))
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "range", "keys", *COUNTS])
 
     return run
 
 
-def _block(data: bytes, length: int) -> np.ndarray:
-    return np.frombuffer(data, np.int32 if len(data) == 4 * length else np.int64).astype(np.int64)
-
-
-def _add(length: int):
-    """The sum of each block's rows, which follow each other; one row is in memory at a time. length: of the whole array."""
+def _summed(bits: int):
+    """Each chunk's keys of a range with their total counts; in a range's first row, its words and their counts besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
-        key, total = None, None
-        for b in batches:
-            for k, data in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
-                part = _block(data.as_py(), min(BLOCK, length - k * BLOCK))
-                if k == key:
-                    total = total + part
-                else:
-                    if key is not None:
-                        yield give()
-                    key, total = k, part
-        if key is not None:
-            yield give()
+        for rows in runs(batches, ["range"]):
+            base = np.uint64(rows.column("range")[0].as_py() << (64 - bits))
+            keys = [base + np.cumsum(_unpack(v.as_py()), dtype=np.uint64) for v in rows.column("keys")]
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            known, place = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = [np.bincount(place, np.concatenate([_unpack(v.as_py()) for v in rows.column(c)])).astype(np.int64) for c in COUNTS]
+            word = (known & np.uint64(3)) == WORD
+            about = [int(word.sum()), *(int(t[word].sum()) for t in totals[:2])]
+            for k, (chunk, at) in enumerate(zip(rows.column("chunk").to_pylist(), np.split(place, ends), strict=True)):
+                row = [chunk, rows.column("range")[0].as_py(), *(_pack(t[at]) for t in totals), *(about if k == 0 else (0, 0, 0))]
+                kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["chunk", "range", *COUNTS, "words", "tokens", "good_tokens"])
 
     return run
 
 
-def _counts(texts: DataFrame, words, size: int) -> np.ndarray:
-    """The array of counts over all texts: a fixed number of blocks of a fixed size come to the driver."""
-    length = 2 * size + BUCKETS
-    parts = texts.select("text").mapInArrow(_count(words, size), "block int, counts binary")
-    sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_add(length), "block int, counts binary")
-    out = np.zeros(length, np.int64)
-    for k, data in keep(sums, "lm-counts").collect():
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(data, np.int64)
-    return out
-
-
-class Models:
-    """Counts of both models, background first."""
+def _scored(size: int, tokens: tuple[int, int]):
+    """Scores of each chunk's documents; tokens: of all and of good documents."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, size: int):
-        self.words, self.size = words, size
-        self.word, self.context, self.cell = counts[:, :size], counts[:, size : 2 * size], counts[:, 2 * size :]
-        total = self.word.sum(1, keepdims=True)
-        self.single = ((self.word + ADDED) / (total + ADDED * size)).astype(np.float64)
+    def loss(c: _Chunk, count: np.ndarray, ends: np.ndarray, total: int) -> np.ndarray:
+        seen = (count - ends)[c.context]
+        single = (count[c.word] + ADDED) / (total + ADDED * size)
+        return -np.log(np.where(seen > 0, BIGRAM * count[c.pair] / np.maximum(seen, 1) + (1 - BIGRAM) * single, single))
 
-    def losses(self, m: int, ids: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        seen = self.context[m][before]
-        pair = np.minimum(1.0, self.cell[m][cell] / np.maximum(seen, 1))
-        single = self.single[m][ids]
-        return -np.log(np.where(seen > 0, BIGRAM * pair + (1 - BIGRAM) * single, single))
-
-
-def _scored(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = models.value
-        for b in slices(batches, "text"):
-            ids, before, cell, at = _ids(b, m.words)
-            n = np.diff(at)
+        for rows in runs(batches, ["chunk"]):
+            docs = pc.equal(rows.column("range"), DOCUMENT)
+            c, answers = _Chunk(rows.filter(docs)), rows.filter(pc.invert(docs)).sort_by("range")
             sums = []
-            for k in (1, 0):
-                loss = m.losses(k, ids, before, cell)
-                s = np.zeros(len(n))
-                if len(loss):
-                    full = n > 0
-                    s[full] = np.add.reduceat(loss, at[:-1][full])
-                sums.append(s / np.maximum(n, 1))
-            none = pa.array(n == 0)
+            for names, total in ((("good_n", "good_ends"), tokens[1]), (("n", "ends"), tokens[0])):
+                count, ends = (np.concatenate([np.zeros(0, np.uint64), *(_unpack(v.as_py()) for v in answers.column(x))]).astype(np.int64) for x in names)
+                if len(count) != len(c.keys):
+                    raise ValueError(f"{len(count)} counts for {len(c.keys)} keys")
+                s, full = np.zeros(len(c.size)), c.size > 0
+                if full.any():
+                    s[full] = np.add.reduceat(loss(c, count, ends, total), (np.cumsum(c.size) - c.size)[full])
+                sums.append(s / np.maximum(c.size, 1))
+            none = pa.array(c.size == 0)
             target, background = (pc.if_else(none, None, pa.array(s)) for s in sums)
-            score = pc.subtract(target, background)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), target, background, score], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+            out = [c.doc_id, pa.array(c.size), target, background, pc.subtract(target, background)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, good: DataFrame, size: int = VOCABULARY) -> Models:
-    """Models over docs (doc_id, text); good (doc_id): the target's documents."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = vocabulary(docs, size)
-    held = spark.sparkContext.broadcast(words)  # size - 1 hashes at most
-    # a membership map leaves the good documents and a few others; only their texts are shuffled to be told apart
-    ids = good.select("doc_id").distinct()
-    bitmap = membership(ids)
-    near = docs.where("doc_id is not null").withColumn("at", member_hash("doc_id", bitmap)).mapInArrow(_maybe(spark.sparkContext.broadcast(bitmap)), "doc_id long, text string")
-    target = near.join(ids.hint("merge"), "doc_id", "left_semi")
-    return Models(words, np.stack([_counts(docs, held, size), _counts(target, held, size)]), size)
-
-
-def _maybe(bitmap):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(members(bitmap.value, b.column("at").to_numpy(zero_copy_only=False)))).drop_columns(["at"])
-
-    return run
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss and score: mean losses per word and their difference.
-
-    Null or wordless texts have 0 words and null losses; a null doc_id is passed through; repeated rows are scored each.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scored(held), schema)
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
     """Score docs (doc_id, text) by models of all docs and of those labelled quality 1 and not toxic.
 
-    labels (doc_id, quality, toxic) may repeat or miss ids, and may have nulls (not good). Without good documents the
-    target is uniform. An empty docs table gives no rows.
+    The result has doc_id, n_words, target_loss, background_loss and score: mean losses per word and their difference.
+    Null or wordless texts have 0 words and null losses; a null doc_id is passed through; repeated rows are scored each.
+    size is the number of words that share the added counts, by default the distinct words of docs. labels (doc_id,
+    quality, toxic) may repeat or miss ids, and may have nulls (not good). Without good documents the target is uniform.
+    An empty docs table gives no rows.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-    return score(docs, fit(docs, good, size))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chunks = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
+    bits = max(1, (chunks - 1).bit_length())
+    # rows of one doc_id come to one chunk, and its label with them; without an id, equal texts do
+    chunk_of = lambda c: F.pmod(F.xxhash64(c, F.lit(6)), F.lit(chunks)).alias("chunk")
+    dealt = lambda df, by: df.repartition(by).sortWithinPartitions(by)
+    texts = docs.select(chunk_of(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(DOCUMENT).alias("range"), "doc_id", "text")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    good = good.select(chunk_of(F.col("doc_id")), F.lit(GOOD).alias("range"), "doc_id", F.lit(None).cast("string").alias("text"))
+    kinds = ", ".join(f"{c} binary" for c in COUNTS)
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner lets go of shuffles that nothing reads any more
+    counts = dealt(texts.unionByName(good), "chunk").mapInArrow(_counted(bits), f"chunk long, range int, keys binary, {kinds}")
+    answers = dealt(counts, "range").mapInArrow(_summed(bits), f"chunk long, range int, {kinds}, words long, tokens long, good_tokens long")
+    answers = keep(answers, "lm-counts")
+    words, tokens, good_tokens = (int(x or 0) for x in answers.agg(F.sum("words"), F.sum("tokens"), F.sum("good_tokens")).first())
+    del counts
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    both = texts.unionByName(answers.select("chunk", "range", *COUNTS), allowMissingColumns=True)
+    return dealt(both, "chunk").mapInArrow(_scored(size or words, (tokens, good_tokens)), "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:

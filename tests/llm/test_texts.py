@@ -284,3 +284,28 @@ def test_lm_score_against_plain_counts(spark, odd):
     assert got[0].score < got[1].score
     assert lm_score.cross_entropy_difference(odd, labels).count() == odd.count()
     assert lm_score.cross_entropy_difference(odd.limit(0), labels).count() == 0
+
+
+def test_lm_score_keeps_every_word_and_bigram(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(90_000)]  # each word twice, so over 65,535 words and nearly as many bigrams as words
+    words = [vocabulary[i] for i in [*rng.permutation(90_000), *rng.permutation(90_000)]]
+    docs = [(i, " ".join(words[i * 300 : i * 300 + 300])) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 600, 3)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, labels, chunk_bytes=1 << 17).collect()}
+    n, total = [collections.Counter(), collections.Counter()], [180_000, 60_000]
+    for d, t in docs:
+        w = t.split()
+        for m in (0, 1) if d % 3 == 0 else (0,):
+            n[m].update(w)
+            n[m].update(zip([None, *w[:-1]], ["-"] * 300, strict=True))
+            n[m].update(zip([None, *w[:-1]], w, strict=True))
+    for d, t in docs:
+        w = t.split()
+        for m, loss in ((1, got[d].target_loss), (0, got[d].background_loss)):
+            s = 0
+            for a, b in zip([None, *w[:-1]], w, strict=True):
+                one = (n[m][b] + 0.1) / (total[m] + 0.1 * 90_000)
+                s -= np.log(0.6 * n[m][a, b] / n[m][a, "-"] + 0.4 * one if n[m][a, "-"] else one)
+            assert np.isclose(loss, s / len(w))
