@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten or more documents share go; a document that has nothing else goes too."""
-    left = dedup_lines(docs.select(*COLUMNS)).where("n_dropped = 0 or trim(text) <> ''")
-    return _documents(left)
+    """Lines that ten or more unlike texts share go; documents stay, so that copies are left to near_dedup."""
+    # equal texts count as one document: copies must not make each other's lines common
+    return _documents(dedup_lines(docs.select(*COLUMNS), by=F.xxhash64(F.coalesce("text", F.lit("")))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

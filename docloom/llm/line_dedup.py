@@ -75,26 +75,26 @@ class LineRuns:
             self.levels = [[self._settle(runs, len(self.levels))]]
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT, by: Column | None = None) -> DataFrame:
     """Every column of docs (doc_id, text and others), with `text` less its common lines, and n_lines and n_dropped.
 
     A line's key is `line_key`; keys of min_chars code points or more that stand in min_docs documents or more lose all
     their lines in all documents. A null or empty text is one empty line; its text becomes ''. Rows with one doc_id are
     one document when documents are counted, and each row keeps its own lines. A null doc_id counts for no document but
-    loses common lines as others do. An empty table gives no rows. Columns named like n_lines are replaced.
+    loses common lines as others do. With `by` (over doc_id and text), rows of one value of it are one document instead. An empty table gives no rows. Columns named like n_lines are replaced.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped", "_row")]
     rows = docs.select(*others, F.coalesce("text", F.lit("")).alias("text"))
     # repeated ids with different texts are told apart by the text itself
     rows = rows.withColumn("_row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("doc_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    lines = rows.select("doc_id", "_row", (F.col("doc_id") if by is None else by).alias("by"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     lines = lines.where(F.length("key") >= min_chars)
-    lines = lines.select("doc_id", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
-    lines = keep(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(batches))), "lines")
+    lines = lines.select("doc_id", "_row", "by", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
+    lines = keep(lines.withColumn("batch", F.pmod(F.xxhash64("by", F.lit(1)), F.lit(batches))), "lines")
     runs = LineRuns(spark, min_docs, fanout)
     for k in range(batches):
-        runs.add(lines.where((F.col("batch") == k) & F.col("doc_id").isNotNull()).select("doc_id", "h1", "h2"))
+        runs.add(lines.where((F.col("batch") == k) & F.col("by").isNotNull()).select(F.col("by").alias("doc_id"), "h1", "h2"))
     runs.compact()
     common = runs.common().select("h1", "h2").distinct()
     dropped = lines.join(common, ["h1", "h2"]).groupBy("doc_id", "_row").agg(F.collect_set("pos").alias("_drop"))

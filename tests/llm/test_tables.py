@@ -147,3 +147,18 @@ def test_pipeline_against_a_plain_version(spark, sf, texts):
     assert bins <= bound * 1.02 + 1
     assert p.run(spark, sf).count() >= four.count()
     assert re.fullmatch("[a-z_]+", p.STAGES[0][0]) and len(p.STAGES) == 5
+
+
+@pytest.mark.parametrize("copies", [12, 1000])
+def test_pipeline_keeps_one_of_many_copies(spark, copies):
+    import corpus_pipeline as p
+
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(8)) for i in range(5))
+    texts = [prose] * copies + [f"shared line\nown {i} a b c d e f" for i in range(10)] + ["shared line"]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    two = p.line_dedup(spark, df, "")
+    assert two.columns == list(p.COLUMNS)
+    got = {r.doc_id: r.text for r in two.collect()}
+    assert got == {i: prose if i < copies else "" if i == copies + 10 else texts[i].split("\n")[1] for i in range(len(texts))}
+    kept = {r.doc_id for r in p.near_dedup(spark, two, "").collect()}
+    assert kept & set(range(copies)) == {0} and kept >= set(range(copies, copies + 11))
