@@ -2,8 +2,8 @@
 
 A model of order N is fitted per language on labelled rows; the n-grams' log probabilities of all languages stand side by
 side in sorted arrays of 64-bit hashes, one array per order, with back-off weights in arrays of their own. A text gets the
-language of least cross-entropy per character. It is rejected when that is above the highest that calibration rows, well
-identified and not fitted on, have shown, by a margin.
+language of least cross-entropy per character. It is rejected when that is above a high quantile of what the language's
+calibration rows, well identified and not fitted on, have shown, by a margin.
 
 Text is lower-cased; letters count as themselves, runs of anything else as one space.
 """
@@ -22,8 +22,10 @@ from .common import keep, slices, table
 N = 4
 #: Rows of each language that the models are fitted on, in expectation: a bounded sample, by hash of doc_id.
 FIT_ROWS = 3000
-#: Sharpness of the score; times the highest cross-entropy seen in calibration that is accepted; characters below which nothing is rejected.
-SHARPNESS, MARGIN, LEAST = 20.0, 1.5, 40
+#: Sharpness of the score; times the calibration quantile that is accepted; characters below which nothing is rejected.
+SHARPNESS, MARGIN, LEAST = 20.0, 2.4, 40
+#: The quantile, and the calibration rows below which a language takes that of all of them.
+QUANTILE, ENOUGH = 0.98, 100
 UNKNOWN = "und"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -265,10 +267,17 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     grams = sample.where((F.col("half") == 0) | F.col("lang").isin(few))
     rows = grams.select("text", "lang").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n")).collect()
     model = Model([tuple(r) for r in rows])
-    seen = identify(sample.where("half = 1"), model, ["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.max("cross_entropy")).collect()
-    # one limit for all languages: few calibration rows of one must not cost its clean documents
-    if seen:
-        model.limit[:] = max(highest for _, highest in seen) * MARGIN
+    # rows that were not fitted on and are long enough to be rejected; the bounded sample's cross-entropies come to the driver
+    apart = sample.where((F.col("half") == 1) & (F.length("text") >= LEAST))
+    if len(few) < len(share):
+        apart = apart.where(~F.col("lang").isin(few))
+    seen = identify(apart, model, ["lang"]).where("lang = lang_pred").select("lang", "cross_entropy").toPandas()
+    # few calibration rows of one language must not cost its clean documents: the pooled quantile stands in
+    for k, lang in enumerate(model.langs):
+        own = seen["cross_entropy"][seen["lang"] == lang]
+        own = own if len(own) >= ENOUGH else seen["cross_entropy"]
+        if len(own):
+            model.limit[k] = np.quantile(own, QUANTILE) * MARGIN
     return model
 
 

@@ -309,3 +309,19 @@ def test_lm_score_keeps_every_word_and_bigram(spark):
                 one = (n[m][b] + 0.1) / (total[m] + 0.1 * 90_000)
                 s -= np.log(0.6 * n[m][a, b] / n[m][a, "-"] + 0.4 * one if n[m][a, "-"] else one)
             assert np.isclose(loss, s / len(w))
+
+
+def test_language_id_rejects_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    hexes = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(9))
+    rng = np.random.default_rng(0)
+    alien = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)),
+    ]
+    # an odd labelled row or two must not move the limits
+    odd = spark.createDataFrame([(10**6 + i, hexes, "de") for i in range(4)], docs.schema)
+    model = language_id.fit(docs.unionByName(odd))
+    assert model.decide(alien)[3] == [True] * 3
+    assert not any(model.decide([r.text for r in docs.collect()])[3])
