@@ -15,6 +15,10 @@ from docloom.llm.packing import pack_documents
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: A row's key, of all that it holds: rows without an id, or of one id with unlike texts, are told apart by it.
+KEY = F.xxhash64("doc_id", "text", "lang", "source")
+
+
 def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -31,15 +35,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id; of rows with one doc_id, one."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies stays, that of the smallest doc_id; rows without doc_id stand alone and stay."""
+    rows = docs.select(*COLUMNS, KEY.alias("_key"))
+    known = rows.where("doc_id is not null")
+    groups = near_duplicates(known.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    kept = known.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key"))
+    # rows of one key are equal in all columns
+    known = known.join(kept.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return known.select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target weights: a document stays as many times as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return docs.select(*COLUMNS).join(copies.drop("copy"), "doc_id").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, KEY.alias("_key"))
+    # rows of one key are equal in all columns: one of them stands for the copies of all
+    copies = mix(rows, carry=("_key",)).where("copies > 0").groupBy("_key").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = rows.join(copies, "_key").dropDuplicates(["_key"])
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

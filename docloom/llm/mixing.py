@@ -58,15 +58,15 @@ def size_class(size):
     return F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, carry: tuple = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source; others are ignored).
 
     size is the number of words `[^\\x20\\x09-\\x0D]+` (null text: 0); taken = size * copies. A null source is a source of
     its own. Sources without words have target 0 and give nothing. Repeated rows are documents each; a null doc_id is
-    placed as 0. An empty table gives no rows.
+    placed as 0. An empty table gives no rows. The columns `carry` are passed through and order rows of one id and size.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), *carry)
     sized = sized.withColumns({"key": F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("n")), "class": size_class(F.col("size")), "cell": F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(CELLS))})
     sized = keep(sized, "sized")
     cells = sized.groupBy("key", "source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -76,13 +76,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str =
     # a source has 64 cells for each class at most: a bounded window
     before = F.sum("n").over(Window.partitionBy("key").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("key", "class", "cell", F.coalesce(before, F.lit(0)).alias("before")).join(targets, "key")
-    nth = F.row_number().over(Window.partitionBy("key", "class", "cell").orderBy("size", "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("key", "class", "cell").orderBy("size", "doc_id", *carry))
     rows = sized.withColumn("nth", nth).join(cells, ["key", "class", "cell"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rows = rows.withColumns({"rate": rate, "offset": offset, "rank": F.col("before") + F.col("nth")})
     copies = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
-    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
+    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"), *carry)
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -162,3 +162,16 @@ def test_pipeline_keeps_one_of_many_copies(spark, copies):
     assert got == {i: prose if i < copies else "" if i == copies + 10 else texts[i].split("\n")[1] for i in range(len(texts))}
     kept = {r.doc_id for r in p.near_dedup(spark, two, "").collect()}
     assert kept & set(range(copies)) == {0} and kept >= set(range(copies, copies + 11))
+
+
+def test_pipeline_keeps_rows_without_id_and_unlike_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, one), (None, one)]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.near_dedup(spark, df, "")
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == {(1, one): 1, (1, two): 1, (None, three): 1, (None, one): 2}
+    # one source: each row is taken once
+    assert collections.Counter((r.doc_id, r.text) for r in p.source_mix(spark, kept, "").collect()) == got
