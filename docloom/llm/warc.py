@@ -138,16 +138,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore_payloads(records: DataFrame) -> DataFrame:
-    """Records read from archives with the html of revisits taken from their originals."""
-    originals = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("html").alias("original"))
-    return records.join(originals, "refers_to", "left").withColumn("html", F.coalesce("html", "original")).drop("original")
+    """Records read from archives with the html of revisits taken from a response of the same digest and length; null without one."""
+    payload = ["payload_digest", "payload_bytes"]
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type <> 'response'")
+    originals = responses.select(*payload, "html").dropDuplicates(payload)
+    return responses.unionByName(revisits.drop("html").join(originals, payload, "left").select(*records.columns))
 
 
 def merge_archives(spark: SparkSession, paths: list[str], to: str, **how) -> None:
-    """Read archives, resolve their revisits, and write them again as one deduplicated set with fresh headers."""
+    """Read archives, resolve their revisits, and write them again as one deduplicated set with fresh headers.
+
+    A revisit whose payload no input holds raises an error: it cannot be written with its length and digest.
+    """
     records = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths).select("content")
     records = records.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
-    write_archives(restore_payloads(keep(records, "warc-records")), to, **how)
+    pages = restore_payloads(keep(records, "warc-records"))
+    lost = F.raise_error(F.concat(F.lit("no input has the payload sha1:"), "payload_digest"))
+    write_archives(pages.withColumn("html", F.coalesce("html", F.when(F.col("record_type") == "revisit", lost))), to, **how)
 
 
 def op3_warc_revisits(spark, sf_dir: str) -> DataFrame:

@@ -175,3 +175,27 @@ def test_pipeline_keeps_rows_without_id_and_unlike_texts_of_one_id(spark):
     assert got == {(1, one): 1, (1, two): 1, (None, three): 1, (None, one): 2}
     # one source: each row is taken once
     assert collections.Counter((r.doc_id, r.text) for r in p.source_mix(spark, kept, "").collect()) == got
+
+
+def test_warc_merge_resolves_revisits_by_digest(spark):
+    paths = []
+    for pages in ([(5, "http://a/5", "left"), (7, "http://a/7", "left")], [(6, "http://b/6", "right!"), (7, "http://b/7", "right!")]):
+        paths.append(new_path(spark, "t"))
+        warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), paths[-1])
+    to = new_path(spark, "t")
+    warc.merge_archives(spark, paths, to)
+    got = collections.Counter((r.page_id, r.html) for r in warc.restore_payloads(warc.read_archives(spark, to)).collect())
+    assert got == {(5, "left"): 1, (7, "left"): 1, (6, "right!"): 1, (7, "right!"): 1}
+    alone = spark.createDataFrame([(1, "http://c", 4, "A" * 32, "revisit", 2, None)], warc.read_archives(spark, to).schema)
+    assert [tuple(r) for r in warc.restore_payloads(alone).select("page_id", "payload_digest", "html").collect()] == [(1, "A" * 32, None)]
+    # an archive of which the original is missing
+    import gzip
+    from pathlib import Path
+
+    lost = Path(new_path(spark, "t").removeprefix("file://"))
+    lost.mkdir(parents=True)
+    found = list(warc.parse_records(b"".join(gzip.decompress(f.read_bytes()) for f in sorted(Path(paths[0].removeprefix("file://")).glob("*.gz")))))
+    head, block = next(x for x in found if x[0]["WARC-Type"] == "revisit")
+    (lost / "a.gz").write_bytes(gzip.compress(("WARC/1.1\r\n" + "\r\n".join(f"{k}: {v}" for k, v in head.items())).encode() + warc.END + block + warc.END))
+    with pytest.raises(Exception, match="no input has the payload"):
+        warc.merge_archives(spark, [f"file://{lost}"], new_path(spark, "t"))
