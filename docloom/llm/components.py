@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -21,10 +21,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Minima are aggregates joined back, never windows, so that a hub's edges can be split over tasks.
     Each round is written to the shared folder; only a count and a checksum come to the driver.
     Self-loops and repeated edges are harmless, edges with a null end are dropped; no edges, no rows.
+    Components that have not settled in max_rounds raise an error.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = keep(e, "cc-edges")
-    before = _checksum(e)
+    before, last = _checksum(e), e
     for _ in range(max_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -34,8 +35,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = keep(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
         after = _checksum(e)
+        drop(last)
         if after == before:
             break
-        before = after
+        before, last = after, e
+    else:
+        if before[0]:
+            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
