@@ -7,24 +7,33 @@ the sketch of the whole. A fingerprint is the sketch as text: 16 hex digits for
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ascii_lower, table
+from .common import SPACES, ascii_lower, table
 
 K = 128
 SHINGLE = 5
-#: Rows of one bucket in which neighbours are found, on average.
-BUCKET = 2000
+#: Bytes of text in a bucket in which neighbours are found, about, and the most buckets: beyond, buckets grow with the input.
+BUCKET, BUCKETS = 8 << 20, 100_000
 
 
 def _pair(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
+def _words(text: Column) -> Column:
+    """The words of a text in order, with A-Z in lower case; split by one character, which needs no pattern search."""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(ascii_lower(text), " "), "")
+
+
 def shingle_hashes(text: Column) -> Column:
     """The hashes of a text's shingles in order, repeats included; an empty array without words."""
-    words = F.transform(F.regexp_extract_all(ascii_lower(text), F.lit(WORD_PATTERN), F.lit(0)), lambda w: F.xxhash64(w))
+    words = F.transform(_words(text), lambda w: F.xxhash64(w))
 
     def shingles(w: Column) -> Column:
         # pairs of pairs and one more word: three passes instead of a slice for each shingle
@@ -39,7 +48,7 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def sketch(text: Column, k: int = K) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(shingle_hashes(F.coalesce(text, F.lit(""))))), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.coalesce(text, F.lit(""))))), 1, k)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -76,26 +85,39 @@ def merge_sketches(df: DataFrame, key: str, column: str = "sketch", k: int = K)
     return ranked.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
-    """docs (doc_id, text, sketch) with the text and sketch of the next row by doc_id; the last row's next is the first.
+def _key() -> Column:
+    """A row's place in the order of rows: doc_id, nulls first, then its text."""
+    return F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+
+
+def _bucket(lows: Column, n: int, key: Column) -> Column:
+    """The last of n sorted `lows` that is not above key, by binary descent: log2(n) steps for a row."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(n - 1, 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < n) & (F.get(lows, at + step) <= key), at + step).otherwise(at))
+
+
+def with_next(docs: DataFrame, bucket_bytes: int = BUCKET) -> DataFrame:
+    """docs (doc_id, text) with sketch, next_text and next_sketch, of the next row by doc_id; the last row's next is the first.
 
-    Rows are dealt by ranges of doc_id, and each range also gets the first row of the next one: one shuffle of the
-    texts, neighbours found within a range. Only range bounds come to the driver, and one id per range is told to all.
+    Rows of one doc_id, or without one (these come first), are in order of a hash of their texts. Keys alone are dealt
+    into ranges, and the least key of each is told to all tasks: one for every bucket_bytes of text, BUCKETS at most.
+    Then the texts are shuffled once: each range also gets the first row of the next one, so that neighbours are found
+    within a range. Rows equal in id and text share a range.
     """
-    n = docs.agg(F.count("doc_id")).first()[0]
-    cuts = max(1, -(-n // bucket_rows))
-    bounds = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / cuts for i in range(1, cuts)], 0.2 / cuts)}) if cuts > 1 else []
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))), F.lit(0))
-    dealt = docs.withColumn("bucket", bucket)
-    firsts = [tuple(r) for r in dealt.groupBy("bucket").agg(F.min("doc_id")).collect()]
-    firsts.sort()
-    ghosts = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    ghosts = docs.sparkSession.createDataFrame(ghosts, "first long, for_bucket int")
-    copies = F.when(F.col("for_bucket").isNull(), F.array("bucket")).otherwise(F.array("bucket", "for_bucket"))
-    held = dealt.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("first")), "left").select("doc_id", "text", F.posexplode(copies).alias("ghost", "bucket"))
-    held = held.repartition(max(len(firsts), 1), "bucket").withColumn("sketch", sketch(F.col("text")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts = min(BUCKETS, max(1, -(-size // bucket_bytes)))
+    keys = docs.select(_key().alias("k")).repartitionByRange(cuts, "k")
+    rows = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).select("k.d", "k.h").collect()
+    found = sorted(((r.d, r.h) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])) or [(None, 0)]
+    n = len(found)
+    # text that the optimizer makes one constant array, not an expression for each bound
+    listed = json.dumps([{"d": d, "h": h} for d, h in found])
+    lows = F.from_json(F.lit(listed), "array<struct<d:bigint,h:bigint>>")
+    dealt = docs.select("doc_id", "text", _key().alias("key")).withColumn("bucket", _bucket(lows, n, F.col("key")))
+    first = F.get(lows, F.col("bucket")).eqNullSafe(F.col("key"))
+    copies = F.when(first, F.array("bucket", F.pmod(F.col("bucket") - 1, F.lit(n)))).otherwise(F.array("bucket"))
+    held = dealt.select("doc_id", "text", F.posexplode(copies).alias("ghost", "bucket"))
+    held = held.repartition(n, "bucket").withColumn("sketch", sketch(F.col("text")))
     after = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     held = held.withColumns({"next_text": F.lead("text").over(after), "next_sketch": F.lead("sketch").over(after)})
     return held.where("ghost = 0").drop("ghost", "bucket")

@@ -215,11 +215,23 @@ def test_fingerprints_odd_rows_and_merging(spark, odd):
     assert r.c == 0 and r.s == 1
 
 
-@pytest.mark.parametrize("rows", [2, 50])
-def test_next_across_buckets(spark, rows):
-    df = spark.createDataFrame([(i * 3, f"t{i}", [i]) for i in range(200)], "doc_id long, text string, sketch array<long>")
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, rows).collect()}
-    assert got == {i * 3: f"t{(i + 1) % 200}" for i in range(200)}
+@pytest.mark.parametrize("size", [20, 300, 1 << 20])
+def test_next_across_buckets(spark, size):
+    df = spark.createDataFrame([(i * 3, f"text {i} {'x' * (i % 7)}") for i in range(200)], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, size).collect()}
+    assert got == {i * 3: f"text {(i + 1) % 200} {'x' * ((i + 1) % 200 % 7)}" for i in range(200)}
+
+
+@pytest.mark.parametrize("size", [10, 1 << 20])
+def test_next_of_equal_and_null_ids(spark, size):
+    rows = [(None, f"n{i}") for i in range(40)] + [(7, f"t{i}") for i in range(40)] + [(7, "same")] * 5 + [(9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(df, size).collect())
+    from pyspark.sql import functions as F
+
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    assert got == collections.Counter((d, t, n[1]) for (d, t), n in zip(order, [*order[1:], order[0]], strict=True))
 
 
 def test_language_id_held_out_accuracy(spark):
