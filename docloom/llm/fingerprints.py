@@ -12,35 +12,26 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, table
+from .common import WORD_PATTERN, ascii_lower, table
 
 K = 128
 SHINGLE = 5
 #: Bytes of text in a bucket in which neighbours are found, about, and the most buckets: beyond, buckets grow with the input.
-BUCKET, BUCKETS = 8 << 20, 100_000
+BUCKET, BUCKETS = 4 << 20, 100_000
 
 
 def _pair(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
-def _words(text: Column) -> Column:
-    """The words of a text in order, with A-Z in lower case; split by one character, which needs no pattern search."""
-    for c in SPACES[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(ascii_lower(text), " "), "")
-
-
 def shingle_hashes(text: Column) -> Column:
     """The hashes of a text's shingles in order, repeats included; an empty array without words."""
-    words = F.transform(_words(text), lambda w: F.xxhash64(w))
+    words = F.transform(F.regexp_extract_all(ascii_lower(text), F.lit(WORD_PATTERN), F.lit(0)), lambda w: F.xxhash64(w))
 
     def shingles(w: Column) -> Column:
-        # pairs of pairs and one more word: three passes instead of a slice for each shingle
-        n = F.size(w)
-        two = F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), _pair)
-        four = F.zip_with(F.slice(two, 1, n - 3), F.slice(two, 3, n - 3), _pair)
-        return F.zip_with(F.slice(four, 1, n - 4), F.slice(w, SHINGLE, n - 4), _pair)
+        # one pass: a hash of each word with those after it; the last ones have too few
+        each = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
+        return F.slice(each, 1, F.size(w) - (SHINGLE - 1))
 
     whole = lambda w: F.array(F.aggregate(w, F.size(w).cast("long"), _pair))
     pick = lambda w: F.when(F.size(w) >= SHINGLE, shingles(w)).when(F.size(w) > 0, whole(w)).otherwise(F.array().cast("array<bigint>"))
