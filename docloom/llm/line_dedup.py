@@ -1,19 +1,27 @@
 """Lines that many documents share, by levelled sorted runs of line hashes; DataFrame operations only.
 
-The documents' line keys are hashed to 128 bits and dealt into batches. Each batch first drops, by a merge anti-join
-against the settled runs, the keys already known to be common; what is left it counts per document and adds as its own
-sorted run. When a level has FANOUT runs they are compacted into one of the next level, and keys that have reached
-`min_docs` there move to a settled run. A last compaction of all levels settles the rest.
+The documents' line keys are hashed to 128 bits and dealt into batches, more of them for more text. A batch is first
+counted, one row for each key and the documents that hold it, so that a line of a third of all documents meets no task as
+more than a few rows; by a merge anti-join against the settled runs it then drops the keys already known to be common,
+and adds the rest as a sorted run of its own. When a level has FANOUT runs they are compacted into one of the next level,
+and keys that have reached `min_docs` there move to a settled run. A last compaction of all levels settles the rest. Runs
+are bucketed and sorted by key, all alike: compactions and anti-joins shuffle no run again. Only settled runs can
+take keys from a batch, since the counts of all other keys must still grow.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, keep, new_path, table
+from .common import SPACES, ascii_lower, new_path, table
 
-BATCHES, FANOUT = 3, 2
+FANOUT = 2
+#: Bytes of text in a batch, about; fewest and most batches.
+BATCH, LEAST, MOST = 4 << 30, 4, 16
 
 
 def line_key(line: Column) -> Column:
@@ -26,34 +34,34 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.path = new_path(spark, "line-runs")
-        self.levels: list[list[str]] = []
-        self.settled: list[str] = []
+        self.path, self.name = new_path(spark, "line-runs"), f"line_runs_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[DataFrame]] = []
+        self.settled: list[DataFrame] = []
         self._made = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*paths)
-
-    def _write(self, df: DataFrame, kind: str) -> str:
-        path = f"{self.path}/{kind}-{self._made}"
+    def _write(self, df: DataFrame, kind: str) -> DataFrame:
         self._made += 1
-        df.select("h1", "h2", "n_docs").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
-
-    def _none(self) -> DataFrame:
-        return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
+        run = f"{self.name}_{self._made}"
+        held = df.select("h1", "h2", "n_docs").write.option("path", f"{self.path}/{kind}-{self._made}")
+        held.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(run)
+        kept = self.spark.table(run)
+        self.spark.sql(f"DROP TABLE {run}")  # the catalog lets go of it; the files stay with their reader
+        return kept
 
     def common(self) -> DataFrame:
         """Keys that are settled."""
-        return self._read(self.settled) if self.settled else self._none()
+        none = self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
+        return reduce(DataFrame.unionByName, self.settled) if self.settled else none
 
     def add(self, keys: DataFrame) -> None:
         """One batch of (doc_id, h1, h2), whole documents at a time."""
-        new = keys.join(self.common().hint("merge"), ["h1", "h2"], "left_anti") if self.settled else keys
-        counted = new.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+        counted = keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+        for run in self.settled:
+            counted = counted.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         self._push(0, self._write(counted, "run-0"))
 
-    def _push(self, level: int, run: str) -> None:
+    def _push(self, level: int, run: DataFrame) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -62,11 +70,12 @@ class LineRuns:
             self.levels[level] = []
             self._push(level + 1, merged)
 
-    def _settle(self, runs: list[str], level: int) -> str:
+    def _settle(self, runs: list[DataFrame], level: int) -> DataFrame:
         """Merge runs; a key that has its documents moves to the settled runs."""
-        merged = self._write(self._read(runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")), f"run-{level}")
-        self.settled.append(self._write(self._read([merged]).where(F.col("n_docs") >= self.min_docs), "settled"))
-        return merged
+        both = reduce(DataFrame.unionByName, runs)
+        merged = self._write(both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")), f"run-{level}")
+        self.settled.append(self._write(merged.where(F.col("n_docs") >= self.min_docs), "settled"))
+        return merged.where(F.col("n_docs") < self.min_docs)
 
     def compact(self) -> None:
         """Merge all levels into one run."""
@@ -75,37 +84,44 @@ class LineRuns:
             self.levels = [[self._settle(runs, len(self.levels))]]
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT, by: Column | None = None) -> DataFrame:
+def _dealt(lines: DataFrame, batches: int) -> DataFrame:
+    """lines with a batch for each document, written so that a batch is read alone."""
+    path = new_path(lines.sparkSession, "lines")
+    lines = lines.withColumn("batch", F.pmod(F.xxhash64("by", F.lit(1)), F.lit(batches)).cast("int"))
+    lines.write.partitionBy("batch").parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, fanout: int = FANOUT, by: Column | None = None) -> DataFrame:
     """Every column of docs (doc_id, text and others), with `text` less its common lines, and n_lines and n_dropped.
 
     A line's key is `line_key`; keys of min_chars code points or more that stand in min_docs documents or more lose all
     their lines in all documents. A null or empty text is one empty line; its text becomes ''. Rows with one doc_id are
     one document when documents are counted, and each row keeps its own lines. A null doc_id counts for no document but
-    loses common lines as others do. With `by` (over doc_id and text), rows of one value of it are one document instead. An empty table gives no rows. Columns named like n_lines are replaced.
+    loses common lines as others do. With `by` (over doc_id and text), rows of one value of it are one document instead.
+    `batches` is by default one for each BATCH bytes of text, from LEAST to MOST. An empty table gives no rows. Columns
+    named like n_lines and n_dropped are replaced; others may have any name.
     """
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped", "_row")]
-    rows = docs.select(*others, F.coalesce("text", F.lit("")).alias("text"))
-    # repeated ids with different texts are told apart by the text itself
-    rows = rows.withColumn("_row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("doc_id", "_row", (F.col("doc_id") if by is None else by).alias("by"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
+    # all other columns travel as one, so that no name can clash; unlike texts of one id are told apart by the text itself
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("other"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    if batches is None:
+        batches = min(MOST, max(LEAST, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BATCH)))
+    lines = rows.select("doc_id", "row", (F.col("doc_id") if by is None else by).alias("by"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     lines = lines.where(F.length("key") >= min_chars)
-    lines = lines.select("doc_id", "_row", "by", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
-    lines = keep(lines.withColumn("batch", F.pmod(F.xxhash64("by", F.lit(1)), F.lit(batches))), "lines")
+    lines = _dealt(lines.select("doc_id", "row", "by", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2")), batches)
     runs = LineRuns(spark, min_docs, fanout)
     for k in range(batches):
         runs.add(lines.where((F.col("batch") == k) & F.col("by").isNotNull()).select(F.col("by").alias("doc_id"), "h1", "h2"))
     runs.compact()
-    common = runs.common().select("h1", "h2").distinct()
-    dropped = lines.join(common, ["h1", "h2"]).groupBy("doc_id", "_row").agg(F.collect_set("pos").alias("_drop"))
-    dropped = dropped.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"), "_drop")
-    out = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_parts) - 1), _drop), i -> _parts[i]), '\\n')")
-    out = out.withColumn("_parts", parts).withColumn("n_lines", F.size("_parts").cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept))
-    return out.select(*[c for c in docs.columns if c in others or c == "text"], "n_lines", "n_dropped")
+    dropped = lines.join(runs.common().select("h1", "h2"), ["h1", "h2"]).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))
+    dropped = dropped.select(F.col("doc_id").alias("doc"), F.col("row").alias("of"), "drop")
+    out = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("of")), "left").withColumn("parts", F.split("text", "\n", -1))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(parts) - 1), drop), i -> parts[i]), '\\n')")
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text")
+    columns = [text if c.lower() == "text" else F.col(f"other.`{c}`") for c in docs.columns if c in others or c.lower() == "text"]
+    return out.select(*columns, F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -164,6 +164,9 @@ def test_line_dedup_odd_rows(spark, odd):
         got = got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
         assert sorted((tuple(r) for r in got), key=str) == plain_lines(rows, least)
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+    clash = odd.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_drop", "_doc", "parts", "drop", "row", "of", "h1", "batch", "N_LINES")])
+    got = line_dedup.dedup_lines(clash, min_docs=2)
+    assert got.columns == [*clash.columns[:-1], "n_lines", "n_dropped"] and got.where("parts = 1 and drop = 1").count() == len(rows)
 
 
 def test_line_runs_settle_over_batches(spark):
