@@ -90,14 +90,14 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-#: Fewest and most bits of a membership map: 16 for each id, so about 1 in 16 others passes, and more beyond 8 million ids.
+#: Fewest and most bits of a membership map: 16 for each id, so about 1 in 16 others passes; the most are for 8 million ids.
 MAP_BITS = 1 << 15, 1 << 27
 
 
-def membership(ids: DataFrame) -> np.ndarray:
-    """A bitmap over hashes of ids (one long column): what is told to every task instead of a join. 16 MB at most."""
+def membership(ids: DataFrame, n: int) -> np.ndarray:
+    """A bitmap over hashes of n ids (one long column): what is told to every task instead of a join. 16 MB at most."""
     low, high = MAP_BITS
-    bits = min(high, max(low, 1 << (16 * ids.count()).bit_length()))
+    bits = min(high, max(low, 1 << (16 * n).bit_length()))
     place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits)) + 1
     rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).collect()
     out = np.zeros(bits // 8, np.uint8)

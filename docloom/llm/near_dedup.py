@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, member_hash, members, membership, runs, slices, table, text_bytes
+from .common import MAP_BITS, drop, keep, member_hash, members, membership, runs, slices, table, text_bytes
 from .components import connected_components
 
 K, T = 48, 22
 SHINGLE = 5
-#: Shingles of a posting list's members that meet in one block; longer lists are cut into pairs of blocks.
-BLOCK = 400_000
+#: Shingles and rows of a posting list's members that meet in one block; longer lists are cut into pairs of blocks.
+BLOCK, ROWS = 400_000, 512
+#: Bytes of text whose words are hashed at once, about: a longer text is cut between words.
+PART = 1 << 20
 #: Most tokens that are told to every task as frequent.
 FREQUENT = 100_000
 
@@ -49,11 +51,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
+    if base in _powers and len(_powers[base]) >= n:
+        return _powers[base][:n]
+    p = np.full(max(n, PART + 1), base, np.uint64)
+    p[0] = 1
+    p = np.multiply.accumulate(p)
+    if n <= 2 * PART:  # those of a very long word are not kept
+        _powers[base] = p
+    return p[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,22 +69,41 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words on end, and the n + 1 word offsets of the texts."""
+def _hashed(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes, and where these begin; edge: the places where a text begins."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     space = _SPACE[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
     opens, closes = ~space, ~space
-    opens[1:] &= space[:-1] | edge[1:n]
-    closes[:-1] &= space[1:] | edge[1:n]
+    opens[1:] &= space[:-1]
+    closes[:-1] &= space[1:]
+    inner = edge[(edge > 0) & (edge < n)]
+    opens[inner] = ~space[inner]
+    closes[inner - 1] = ~space[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _power(_BASE, n), out=total[1:])
     h = (total[end] - total[start]) * _power(_BASE_INV, n)[start]
-    return _mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, offsets)
+    return _mix(h + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words on end, and the n + 1 word offsets of the texts.
+
+    Bytes are taken in parts that end at white space, or at the end of a word longer than a part: what is held beside the
+    hashes does not grow with the longest text.
+    """
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        to = at + part
+        while to < len(raw) and not len(gap := np.flatnonzero(_SPACE[raw[to : to + part]])):
+            to += part
+        to = min(len(raw), to + int(gap[0])) if to < len(raw) else len(raw)
+        here = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
+        h, start = _hashed(raw[at:to], here)
+        hashes.append(h)
+        starts.append(start + at)
+        at = to
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -164,19 +188,27 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = members(bitmap.value, b.column("at").to_numpy(zero_copy_only=False))
-            for part in slices(iter([b.filter(pa.array(wanted))]), "text"):
+            if bitmap is not None:
+                b = b.filter(pa.array(members(bitmap.value, b.column("at").to_numpy(zero_copy_only=False))))
+            for part in slices(iter([b]), "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], names=["rep", "set"])
 
     return run
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, set) of the documents in ids (rep), and of a few others: no text is shuffled, each is read once more."""
-    bitmap = membership(ids)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
-    known = docs.where("doc_id is not null").withColumn("at", member_hash("doc_id", bitmap))
-    return known.mapInArrow(_sets(held), "rep long, set binary")
+    """(rep, set) of the documents in ids (rep), and of a few others.
+
+    While ids fit a membership map, that is told to all tasks and no text is shuffled; more ids meet the texts in a semi-join.
+    """
+    known = docs.where("doc_id is not null")
+    n = ids.count()
+    if n <= MAP_BITS[1] // 16:
+        bitmap = membership(ids, n)
+        held = docs.sparkSession.sparkContext.broadcast(bitmap)
+        return known.withColumn("at", member_hash("doc_id", bitmap)).mapInArrow(_sets(held), "rep long, set binary")
+    wanted = known.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    return wanted.withColumn("at", F.lit(0).cast("long")).mapInArrow(_sets(None), "rep long, set binary")
 
 
 def _confirmed(num: int, den: int):
@@ -200,7 +232,9 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, de
     sets = keep(_sets_of(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs), "minhash-sets")
     full = lambda s: sets.select(F.col("rep").alias(s), F.col("set").alias(f"set_{s}"))
     good = near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(num, den), "a long, b long")
-    return keep(good, "minhash-links")
+    good = keep(good, "minhash-links")
+    drop(near, sets)
+    return good
 
 
 def _order(tok: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -300,12 +334,12 @@ def _open_members(posts: DataFrame, info: DataFrame) -> DataFrame:
     """Members of the lists that hold two labels or more, each sent to the pairs of blocks that it belongs to.
 
     Those with a list's least label (blocks -1, -2, ...) need no comparing among themselves: they go to the
-    blocks of the others (0, 1, ...) only, and these to all. Blocks hold BLOCK shingles on average.
+    blocks of the others (0, 1, ...) only, and these to all. Blocks hold BLOCK shingles or ROWS rows at most, on average.
     """
     labelled = posts.select("token", "rep").join(info.select("rep", "label", "n_shingles"), "rep")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("hi")
     labelled = keep(labelled.join(mixed, "token").withColumn("major", F.expr("label = lo")), "minhash-open")
-    weight = lambda c: F.ceil(F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / BLOCK)
+    weight = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / BLOCK), F.ceil(F.count_if(c) / ROWS))
     sizes = labelled.groupBy("token").agg(weight(F.col("major")).alias("majors"), weight(~F.col("major")).alias("minors"))
     m = labelled.join(sizes, "token").withColumn("block", F.expr("if(major, -1 - pmod(xxhash64(rep), majors), pmod(xxhash64(rep), minors))"))
     m = m.withColumn("other", F.expr("explode(sequence(if(major, 0L, -majors), minors - 1))"))
@@ -319,7 +353,9 @@ def _remaining_links(posts: DataFrame, info: DataFrame, docs: DataFrame, *how) -
     found = keep(dealt(_open_members(posts, info)).mapInArrow(_promising(*how), MEMBER), "minhash-promising")
     sets = _sets_of(found.select("rep").distinct(), docs)
     full = keep(sets.join(info.select("rep", "sig"), "rep"), "minhash-open-sets")
-    return keep(dealt(found.join(full, "rep")).mapInArrow(_linked(*how), "a long, b long").distinct(), "minhash-more")
+    more = keep(dealt(found.join(full, "rep")).mapInArrow(_linked(*how), "a long, b long").distinct(), "minhash-more")
+    drop(found, full)
+    return more
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
@@ -332,7 +368,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     """
     if 4 * num < 3 * den:
         raise ValueError("signatures are sized for a likeness of 0.75 or more")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     feats = keep(docs.mapInArrow(_features, "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "minhash")
     known = feats.where("doc_id is not null and n_shingles > 0")
     # equal sets: one class, led by its least doc_id; equal sets have equal signatures, so any will do
@@ -356,6 +392,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     more = _remaining_links(posts, keep(info, "minhash-labels"), docs, num, den, *often)
     if not more.isEmpty():
         label = connected_components(links.unionByName(more))
+    drop(lists, posts)
 
     ends = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     done = known.select("doc_id", "n_shingles", "d1", "d2").join(ends, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

@@ -62,6 +62,36 @@ def test_near_duplicates_chain_and_hot_group(spark):
     assert got == plain_groups(texts)
 
 
+def test_words_are_hashed_in_parts(texts):
+    import pyarrow as pa
+
+    some = ["", *list(texts.values())[:20], " \n", "x" * 300 + " y", None, "end"]
+    raw, offsets = near_dedup.text_bytes(pa.array(some, pa.string()))
+    h, at = near_dedup.word_hashes(raw, offsets)
+    assert list(np.diff(at)) == [len(WORD.findall(t or "")) for t in some]
+    words = [w.translate(LOWER) for t in some for w in WORD.findall(t or "")]
+    assert len({*zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    for part in (7, 64, 1000):
+        g, b = near_dedup.word_hashes(raw, offsets, part)
+        assert (g == h).all() and (b == at).all()
+
+
+def test_near_duplicates_in_small_blocks_and_by_semi_join(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROWS", 8)
+    monkeypatch.setattr(near_dedup, "MAP_BITS", (1 << 15, 16))
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 100)]
+    texts = {}
+    for d in range(120):  # every text differs from every other by about a fourth: lists of many labels, few links
+        w = list(base)
+        for p in rng.choice(100, rng.integers(1, 6), replace=False):
+            w[p] = f"n{d}-{p}"
+        texts[d] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == plain_groups(texts)
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()), key=str)
     by = collections.defaultdict(list)
