@@ -14,10 +14,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, new_path, slices, table
+from .common import drop, keep, new_path, slices, table
 
 END = b"\r\n\r\n"
 #: Bytes of pages in one archive, about.
@@ -34,8 +34,9 @@ def _uri(url: str | None, page_id) -> str:
     return _FORBIDDEN.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id, digest: str, nth: int = 1) -> str:
+    """The id of the nth record of a page and payload: no two records of a set of archives have one id."""
+    return f"<urn:page:{'-' if page_id is None else page_id}:{digest}{f':{nth}' if nth > 1 else ''}>"
 
 
 def payload_headers(pages: DataFrame) -> DataFrame:
@@ -56,32 +57,34 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out.select("page_id", "digest", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url"))
 
 
-def _record(page_id, url, html, refers_to, refers_url, date: str) -> str:
+def _record(page_id, url, html, nth, refers_to, refers_url, date: str) -> str:
     payload = (html or "").encode()
+    digest = _digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = http.encode() + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url, page_id)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, nth)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url, page_id)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Target-URI: {_uri(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += [f"WARC-Payload-Digest: sha1:{_digest(payload)}", f"WARC-Block-Digest: sha1:{_digest(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {_uri(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{_digest(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head) + "\r\n\r\n" + block.decode()
 
 
 def _records(date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url")]
+            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "nth", "refers_to", "refers_url")]
             yield pa.RecordBatch.from_arrays([pa.array([_record(*row, date) for row in zip(*columns, strict=True)], pa.string())], names=["value"])
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, date: str = DATE, archive_bytes: int = ARCHIVE, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = DATE, archive_bytes: int = ARCHIVE, least_bytes: int = 0, compression: str = "gzip") -> None:
     """Write pages (page_id, url, html) as WARC files under path, equal payloads once.
 
     Null html is an empty payload; a null url becomes urn:page:<id>; white space and control characters of a url are
-    percent-encoded, so no header can be forged. Rows that repeat a page_id get a record each, equal ones as responses.
-    A row without page_id gets a response record with the id "None", of no use as an original.
+    percent-encoded, so no header can be forged. Rows that repeat a page_id get a record each, equal ones as responses,
+    and each an id of its own. A row without page_id gets a response record, of no use as an original. Spark compresses
+    a file as one stream; compression "none" gives plain archives, in which a record can be read from its offset.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -89,8 +92,12 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE, archive_bytes:
     revisits = resolve_revisits(headers, least_bytes).dropDuplicates(["page_id", "digest"])
     files = max(1, -(-int(headers.agg(F.sum("payload_bytes")).first()[0] or 0) // archive_bytes))
     dealt = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")))).repartition(files, "page_id", "digest")
-    rows = dealt.join(revisits, ["page_id", "digest"], "left")
-    rows.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(_records(date), "value string").write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    # the rows of a page and payload are together already
+    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    rows = dealt.withColumn("nth", nth).join(revisits, ["page_id", "digest"], "left")
+    rows = rows.select("page_id", "url", "html", "nth", "refers_to", "refers_url").mapInArrow(_records(date), "value string")
+    rows.write.option("lineSep", END.decode()).option("compression", compression).text(path)
+    drop(headers)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -113,11 +120,11 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import gzip
 
-    number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
+    number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:page:(-?\d+):\w+(?::\d+)?>", x)) else None
     for b in batches:
         for data in b.column("content"):
-            out = []
-            for head, block in parse_records(gzip.decompress(data.as_py())):
+            data, out = data.as_py(), []
+            for head, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 http, _, payload = block.partition(END)
                 size = int(re.search(rb"(?im)^Content-Length: (\d+)\r?$", http)[1])
                 if head["WARC-Type"] == "response" and f"sha1:{_digest(payload)}" != head["WARC-Payload-Digest"]:
@@ -128,12 +135,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and html (null for revisits) of all records under path.
 
     A task holds one archive at a time. A record that is damaged or does not end where it says raises an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,txt,warc}").load(path)
     return files.select("content").mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
@@ -150,11 +157,11 @@ def merge_archives(spark: SparkSession, paths: list[str], to: str, **how) -> Non
 
     A revisit whose payload no input holds raises an error: it cannot be written with its length and digest.
     """
-    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths).select("content")
-    records = records.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
-    pages = restore_payloads(keep(records, "warc-records"))
+    records = keep(read_archives(spark, paths), "warc-records")
+    pages = restore_payloads(records)
     lost = F.raise_error(F.concat(F.lit("no input has the payload sha1:"), "payload_digest"))
     write_archives(pages.withColumn("html", F.coalesce("html", F.when(F.col("record_type") == "revisit", lost))), to, **how)
+    drop(records)
 
 
 def op3_warc_revisits(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,11 @@ def test_warc_round_trip(spark):
     again = new_path(spark, "t")
     warc.merge_archives(spark, [path], again)
     assert sorted((str(r.page_id), r.record_type) for r in warc.read_archives(spark, again).collect()) == sorted((str(k), r.record_type) for k, v in rows.items() for r in v)
+    plain = new_path(spark, "t")
+    warc.write_archives(df, plain, compression="none")
+    assert sorted(map(str, warc.read_archives(spark, plain).collect())) == sorted(map(str, got.collect()))
+    ids = [h["WARC-Record-ID"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(plain).collect() for h, _ in warc.parse_records(bytes(r.content))]
+    assert len(set(ids)) == len(ids) == len(pages)
     empty = new_path(spark, "t")
     warc.write_archives(df.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
