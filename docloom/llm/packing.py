@@ -8,6 +8,9 @@ allow. Pieces then find their place by their rank among those of equal length, w
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +23,8 @@ from .common import keep, slices, table
 from .token_counts import tokenizer_path
 
 CAPACITY, END = 4096, 1
-#: Cells in which the pieces of one length are ranked.
-CELLS = 64
+#: Pieces of one length that are ranked in one cell, about.
+CELL = 20_000
 #: Words that a worker remembers, and the longest one remembered.
 REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text tokenised together: each word is looked at once in them.
@@ -50,13 +53,17 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def _stem(word: str) -> str:
-    """A word of letters before one full stop or comma, which the tokenizer parts; letters below U+0250 in lower case, as it has them."""
-    tail = word[-1] in ".," and len(word) > 1
-    stem = word[:-1] if tail else word
-    if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
-        return stem.lower()
-    return word
+#: Letters and the ASCII marks behind them: the tokenizer parts them, unless the marks hold an apostrophe.
+_TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word's letters, those below U+0250 in lower case as the tokenizer has them, and the marks behind; (word, '') if it is of another kind."""
+    m = _TAILED.fullmatch(word)
+    stem, tail = m.groups() if m else (word, "")
+    if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+        return stem.lower(), tail
+    return word, ""
 
 
 def _encode(tok, words: list[str]) -> Iterator[bytes]:
@@ -65,13 +72,13 @@ def _encode(tok, words: list[str]) -> Iterator[bytes]:
 
     merge = tok.model.tokenize
     for w in words:
-        if w.isalpha() and max(w) < "\u0250" and w == w.lower():
+        if w.isalpha() and (w.isascii() or max(w) < "\u0250") and w == w.lower():
             if not w.isascii():
                 w = unicodedata.normalize("NFC", w).encode().decode("latin-1").translate(_LETTERS)
             ids = [t.id for t in merge(w)]
         else:
             ids = tok.encode(w, add_special_tokens=False).ids
-        yield np.array(ids, "<u4").tobytes()
+        yield struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _pieces(name: str, capacity: int, end: int, with_ids: bool):
@@ -83,11 +90,11 @@ def _pieces(name: str, capacity: int, end: int, with_ids: bool):
             docs = [(t or "").replace("\n", " ").split(" ") for t in b.column("text").to_pylist()]
             new = set().union(*docs) - known.keys()
             if new:
-                stems = {w: s for w in new if (s := _stem(w)) != w}
-                todo = [*({".", ",", *stems.values()} - known.keys() - new), *(new - stems.keys())]
+                parted = {w: p for w in new if (p := _parts(w))[0] != w}
+                todo = [*(set().union(*parted.values()) - known.keys() - new), *(new - parted.keys())]
                 known.update(zip(todo, _encode(tok, todo), strict=True))
-                for w, s in stems.items():
-                    known[w] = known[s] if len(s) == len(w) else known[s] + known[w[-1]]
+                for w, (stem, tail) in parted.items():
+                    known[w] = known[stem] + known[tail] if tail else known[stem]
                 new.update(todo)
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, words in enumerate(docs):
@@ -191,19 +198,25 @@ def _placed(plan: np.ndarray):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length up to capacity, other columns) with sequence_id and offset; no rows, no sequences.
 
-    Only the counts by length come to the driver: `capacity` rows at most.
+    Only the counts by length come to the driver: `capacity` rows at most. The pieces of one length are ranked in as many
+    cells as its count asks for, so no task sorts a share of the input. Columns named like the new ones are replaced.
     """
-    pieces = keep(pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS))), "pieces")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    # the pieces travel as one column, so that no name can clash
+    pieces = pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("length").cast("long").alias("length"))
+    pieces = keep(pieces, "pieces")
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    plan = packing_plan(histogram, capacity)
+    listed = json.dumps([-(-histogram.get(x, 1) // CELL) for x in range(capacity + 1)])
+    cells_of = F.get(F.from_json(F.lit(listed), "array<bigint>"), F.col("length").cast("int"))
+    pieces = pieces.withColumn("cell", F.pmod(F.xxhash64("row"), cells_of))
     cells = pieces.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = keep(cells.withColumn("before", F.coalesce(before, F.lit(0))), "piece-cells")
-    histogram = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("n")).collect()}
-    plan = packing_plan(histogram, capacity)
-    order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(cells.drop("n"), ["length", "cell"])
-    ranked = ranked.select(*[c for c in pieces.columns if c != "cell"], (F.col("before") + F.col("nth") - 1).alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(_placed(plan), f"{schema}, sequence_id long, offset long")
+    cells = keep(cells.select("length", "cell", F.coalesce(before, F.lit(0)).alias("before")), "piece-cells")
+    nth = F.row_number().over(Window.partitionBy("length", "cell").orderBy("row.doc_id", "row.piece"))
+    ranked = pieces.withColumn("nth", nth).join(cells, ["length", "cell"]).select("row", "length", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    placed = ranked.mapInArrow(_placed(plan), f"row {ranked.schema['row'].dataType.simpleString()}, length long, sequence_id long, offset long")
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:

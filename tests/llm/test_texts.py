@@ -112,7 +112,7 @@ def test_token_counts_match_the_library(spark, sf, texts):
     assert got == {d: (len(t.encode()), len(sp.encode(t)), len(sp.encode(t)) > 4096) for d, t in texts.items()}
 
 
-ODD_TEXTS = ["", " ", "  ", "a ", " a", "a  b", "   a   b   ", "▁a ▁▁ b▁", "<s> </s><unk>", "\n\n \t x", "\x00 y", "日本語 テキスト　です", "é ́x", "İstanbul. İ. ΑΣ ΑΣ.", "x<|endoftext|>y <|startoftext|> z,", "don't WON'T I'LL 12345 3,000.", "ab., c", "ß.", "\x1c\x1da b", "𝔘𝔫𝔦 👍🏽.", "a" * 5000]
+ODD_TEXTS = ["", " ", "  ", "a ", " a", "a  b", "   a   b   ", "▁a ▁▁ b▁", "<s> </s><unk>", "\n\n \t x", "\x00 y", "日本語 テキスト　です", "é ́x", "İstanbul. İ. ΑΣ ΑΣ.", "Word### ÉTÉ&&& x_y_ a'' b's, it's!! c,'d e% f… Ĳ; ǅ!! ſt.", "x<|endoftext|>y <|startoftext|> z,", "don't WON'T I'LL 12345 3,000.", "ab., c", "ß.", "\x1c\x1da b", "𝔘𝔫𝔦 👍🏽.", "a" * 5000]
 
 
 def test_token_counts_of_odd_texts(spark):
@@ -155,6 +155,26 @@ def test_packing_of_odd_texts(spark, odd):
     check_packing(list(enumerate([*ODD_TEXTS, None])), packing.pack_documents(df).collect())
     check_packing([(r.doc_id, r.text) for r in odd.collect()], packing.pack_documents(odd).collect())
     assert packing.pack_documents(odd.limit(0)).count() == 0
+    pieces = packing.token_pieces(odd).selectExpr("*", "1 as rank", "2 as cell", "3 as nth", "4 as before", "5 as row", "6 as n", "7 as offset")
+    got = packing.pack(pieces)
+    assert got.columns == [*pieces.columns[:-1], "sequence_id", "offset"] and got.where("nth = 3 and row = 5").count() == pieces.count()
+    check_packing([(r.doc_id, r.text) for r in odd.collect()], got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect())
+
+
+def test_packing_ranks_a_hot_length_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 50)
+    rows = [(i, 0, 4096 if i % 3 else i % 4095 + 1) for i in range(3000)] + [(None, 0, 7)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(df).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == len(rows)
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
 
 
 def test_packing_plan_is_tight():
