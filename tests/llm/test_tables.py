@@ -61,7 +61,8 @@ def test_warc_round_trip(spark):
 
 
 def brute(vectors, k, every):
-    ok = {i: np.array(v, float) for i, v in vectors if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    size = len(vectors[0][1])
+    ok = {i: np.array(v, float) for i, v in vectors if i is not None and v is not None and len(v) == size and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
     for q in ok:
         if q % every == 0:
@@ -73,10 +74,10 @@ def test_neighbours_exact_and_relaxed(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     want = brute([tuple(r) for r in rows.collect()], 20, 20)
     usable = ann.usable(rows)
-    index, top2 = ann.build_index(usable, shard_rows=150)
+    index = ann.build_index(usable, shard_rows=150)
     for factor, least in ((1.0, 1.0), (1.2, 0.9)):
         found = collections.defaultdict(dict)
-        for r in ann.search(index, top2, usable.where("vec_id % 20 = 0"), 20, factor, block=10).collect():
+        for r in ann.search(index, usable.where("vec_id % 20 = 0"), 20, factor, block=10).collect():
             found[r.query_id][r.rank] = r.vec_id
         recall = np.mean([len(set(found[q].values()) & set(want[q])) / len(want[q]) for q in want])
         assert recall >= least, recall
@@ -87,17 +88,35 @@ def test_neighbours_exact_and_relaxed(spark, sf):
 def test_neighbours_odd_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(40, 640)]
-    rows += [(1000, None), (1001, []), (1002, [0.0] * 4), (1003, [1.0, None, 0.0, 0.0]), (1004, [float("nan")] * 4), (1005, [float("inf")] * 4), (None, [1.0] * 4)]
+    rows += [(1005, [3.0, 4.0]), (1006, [9.0] * 5), (1000, None), (1001, []), (1002, [0.0] * 4), (1003, [1.0, None, 0.0, 0.0]), (1004, [float("nan")] * 4), (1007, [float("inf")] * 4), (None, [1.0] * 4)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<double>, score double")
     found = collections.defaultdict(dict)
     for r in ann.nearest(df).collect():
         found[r.query_id][r.rank] = r.vec_id
     assert {q: [v[i] for i in sorted(v)] for q, v in found.items()} == brute(rows, 20, 20)
     assert ann.nearest(df.limit(0)).count() == 0
+    double = ann.nearest(df.unionAll(df.where("vec_id = 0"))).groupBy("query_id").count().collect()
+    assert {r["count"] for r in double} == {20}
     few = ann.nearest(df.where("vec_id in (0, 1, 2)")).collect()
     assert len(few) == 2
 
 
+def test_neighbours_of_clusters_skip_shards(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 50
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    usable = ann.usable(df)
+    index = ann.build_index(usable, shard_rows=50)
+    q = usable.where("vec_id % 20 = 0").withColumns({"tau": F.lit(3.0), "block": F.lit(0)})
+    visits = q.mapInPandas(ann._visits(index, 1.0, False), "vec_id long, v array<double>, tau double, block int, shards array<int>").agg(F.avg(F.size("shards"))).first()[0]
+    assert visits < index.shards.sum() / 2
+    found = collections.defaultdict(dict)
+    for r in ann.search(index, usable.where("vec_id % 20 = 0")).collect():
+        found[r.query_id][r.rank] = r.vec_id
+    assert {k: [v[i] for i in sorted(v)] for k, v in found.items()} == brute(rows, 20, 20)
+
+
 def check_mix(rows, sources):
     by = collections.defaultdict(list)
     for r in rows:
