@@ -27,6 +27,9 @@ SHARPNESS, MARGIN, LEAST = 20.0, 2.4, 40
 #: The quantile, and the calibration rows below which a language takes that of all of them.
 QUANTILE, ENOUGH = 0.98, 100
 UNKNOWN = "und"
+#: Characters that the models tell apart, the most frequent ones of the fitted rows; rarer ones are like unseen ones.
+CHARACTERS = (1 << 16) - 2
+NEW = ("lang_pred", "score", "cross_entropy", "rejected")
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -152,16 +155,21 @@ class _KneserNey:
 class Model:
     """All languages' models side by side; limit: the highest cross-entropy accepted for each."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        """rows: (language, n-gram of N characters, count)."""
+    def __init__(self, rows: list[tuple[str, str, int]], characters: int = CHARACTERS - 2):
+        """rows: (language, n-gram of N characters, count); n-grams with a character beyond the most frequent ones are left out."""
         self.langs = sorted({r[0] for r in rows})
         self.limit = np.full(len(self.langs), np.inf)
         if not rows:
             return
-        chars = np.unique(np.array([ord(c) for _, g, _ in rows for c in g] + [0, 32]))
-        if len(chars) >= 1 << 16:
-            raise ValueError("over 65,535 distinct characters in the fitted rows")
         points = np.array([[ord(c) for c in g] for _, g, _ in rows], np.int64).reshape(-1, N)
+        chars, often = np.unique(points, return_counts=True)
+        if len(chars) > characters:
+            chars = np.sort(chars[np.lexsort((chars, -often))[:characters]])
+            known = np.isin(points, chars).all(1)
+            points, rows = points[known], [r for r, k in zip(rows, known, strict=True) if k]
+            self.langs = sorted({r[0] for r in rows})
+            self.limit = np.full(len(self.langs), np.inf)
+        chars = np.union1d(chars, [0, 32])
         ids = np.searchsorted(chars, points).astype(np.uint64)
         packed = np.zeros(len(rows), np.uint64)
         for j in range(N):
@@ -286,7 +294,7 @@ def _identified(model, carry: list[str]):
         for b in slices(batches, "text", 1 << 19):
             lang, score, ce, reject = model.value.decide(b.column("text").to_pylist())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(reject, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + new, names=[*carry, "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + new, names=[*carry, *NEW])
 
     return run
 
@@ -306,8 +314,9 @@ def identify_languages(docs: DataFrame, carry: list[str] | None = None, fit_rows
     """Fit on docs (doc_id, text, lang) and identify every row. Without labelled rows everything is `und` and rejected.
 
     A null doc_id is neither learned from nor held out; repeated rows are rows each; an empty table gives no rows.
+    `carry` is by default every column of docs that is not named like a new one: those are replaced.
     """
-    return identify(docs, fit(docs, fit_rows), carry or docs.columns)
+    return identify(docs, fit(docs, fit_rows), carry or [c for c in docs.columns if c.lower() not in NEW])
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

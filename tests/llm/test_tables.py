@@ -142,6 +142,7 @@ def test_mixing_odd_rows(spark, odd):
     assert len(got) == odd.count() and sum(r.source_size for r in {r.source_size: r for r in got}.values()) > 0
     assert all(r.taken <= 3 * r.size for r in got)
     assert mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mix(odd.selectExpr("*", "1 as size", "2 as taken", "3 as cell", "4 as rank", "5 as key")).count() == len(got)
     none = mixing.mix(odd.withColumn("text", F.lit(""))).collect()
     assert {(r.target, r.taken) for r in none} == {(0.0, 0)}
 
@@ -223,3 +224,16 @@ def test_warc_merge_resolves_revisits_by_digest(spark):
     (lost / "a.gz").write_bytes(gzip.compress(("WARC/1.1\r\n" + "\r\n".join(f"{k}: {v}" for k, v in head.items())).encode() + warc.END + block + warc.END))
     with pytest.raises(Exception, match="no input has the payload"):
         warc.merge_archives(spark, [f"file://{lost}"], new_path(spark, "t"))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, sf, odd):
+    import corpus_pipeline as p
+
+    docs = odd.unionByName(spark.read.parquet(f"{sf}/documents.parquet").withColumn("kept", F.lit("x")).select(*odd.columns))
+    at = new_path(spark, "t")
+    for name, df in (("odd", docs), ("empty", docs.limit(0))):
+        df.write.parquet(f"{at}/{name}/documents.parquet")
+        for _, stage in p.STAGES[:-1]:
+            df = stage(spark, df, "")
+            assert df.columns == list(p.COLUMNS)
+        assert p.run(spark, f"{at}/{name}").isEmpty() == (name == "empty")

@@ -124,6 +124,16 @@ def test_token_counts_of_odd_texts(spark):
     assert got == {i: (len(t.encode()), len(sp.encode(t))) for i, t in enumerate([*ODD_TEXTS, ""])}
 
 
+def test_token_counts_of_odd_rows(spark, odd):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = token_counts.count_tokens(odd.selectExpr("*", "1 as n_tokens", "2 as n_bytes")).collect()
+    want = [(r.doc_id, len((r.text or "").encode()), len(sp.encode(r.text or ""))) for r in odd.collect()]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
+    assert any(r.over_limit for r in got) and token_counts.count_tokens(odd.limit(0)).count() == 0
+
+
 def check_packing(texts, rows, capacity=4096):
     from tokenizers import Tokenizer
 
@@ -309,6 +319,54 @@ def test_language_model_sums_to_one():
         assert np.allclose(p, 1, atol=1e-5)
 
 
+def plain_kneser_ney(grams, vocabulary):
+    """The log probability of a character after a context, by the textbook: continuation counts below the highest order."""
+    order = len(next(iter(grams)))
+    counts = {order: dict(grams)}
+    for n in range(order - 1, 0, -1):  # how many distinct characters stand before
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = one / (one + 2 * two) if one and two else 0.5
+
+    def prob(context, char):
+        n = len(context) + 1
+        lower = prob(context[1:], char) if context else 1 / vocabulary
+        after = {g: v for g, v in counts[n].items() if g[:-1] == context}
+        total = sum(after.values())
+        if not total:
+            return lower
+        return max(after.get(context + char, 0) - discount[n], 0) / total + discount[n] * len(after) / total * lower
+
+    return prob
+
+
+def test_language_models_match_plain_kneser_ney():
+    texts = {"x": ["the cat sat on the mat", "a cat and a hat", "then that"], "y": ["le chat est la", "la la le chatte et"]}
+    rows, grams = [], {k: collections.Counter() for k in texts}
+    for lang, group in texts.items():
+        for t in group:
+            padded = "\0" * (language_id.N - 1) + t
+            grams[lang].update(padded[i : i + language_id.N] for i in range(len(t)))
+        rows += [(lang, g, n) for g, n in grams[lang].items()]
+    m = language_id.Model(rows)
+    chars = {c for g in grams.values() for x in g for c in x} | {"\0", " "}
+    plain = {k: plain_kneser_ney(g, len(chars) + 1) for k, g in grams.items()}
+    whole = ["the chat sat", "la cat zebra", "xyz", "hat", "et then a"]
+    ce, length, _ = m.cross_entropy(whole)
+    for t, row in zip(whole, ce, strict=True):
+        padded = "\0" * (language_id.N - 1) + t
+        want = [-np.mean([np.log(plain[k](padded[i : i + language_id.N - 1], padded[i + language_id.N - 1])) for i in range(len(t))]) for k in m.langs]
+        assert np.allclose(row, want, rtol=1e-5)
+
+
+def test_language_models_beyond_the_characters_told_apart():
+    rows = [("x", "abca", 3), ("x", "bcab", 2), ("x", "cabz", 1), ("y", "aabb", 2)]
+    m = language_id.Model(rows, characters=3)
+    assert m.langs == ["x", "y"] and np.isfinite(m.cross_entropy(["abcz", "zzzz"])[0]).all()
+
+
 def test_language_id_odd_rows(spark, odd):
     got = language_id.identify_languages(odd).collect()
     assert len(got) == odd.count()
@@ -317,6 +375,8 @@ def test_language_id_odd_rows(spark, odd):
         assert (by[d].lang_pred, by[d].score, by[d].rejected) == ("und", 0.0, True)
     assert by[3].lang_pred in ("en", "de", "es", "fr")
     assert language_id.identify_languages(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "7 as rejected", "8 as Score")
+    assert language_id.identify_languages(clash).columns == [*odd.columns, *language_id.NEW]
     assert {r.lang_pred for r in language_id.identify_languages(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
 
 
@@ -348,6 +408,7 @@ def test_lm_score_against_plain_counts(spark, odd):
         assert np.allclose([got[d].target_loss, got[d].background_loss, got[d].score], [*loss, loss[0] - loss[1]])
     assert got[0].score < got[1].score
     assert lm_score.cross_entropy_difference(odd, labels).count() == odd.count()
+    assert lm_score.cross_entropy_difference(odd.selectExpr("*", "1 as n_words", "2 as chunk", "3 as range", "4 as n", "5 as score"), labels).count() == odd.count()
     assert lm_score.cross_entropy_difference(odd.limit(0), labels).count() == 0
 
 
