@@ -22,6 +22,8 @@ from .common import SPACES, ascii_lower, new_path, table
 FANOUT = 2
 #: Bytes of text in a batch, about; fewest and most batches.
 BATCH, LEAST, MOST = 4 << 30, 4, 16
+#: Most keys that are told to every task, those of the largest share of lines.
+HOT = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -115,7 +117,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     for k in range(batches):
         runs.add(lines.where((F.col("batch") == k) & F.col("by").isNotNull()).select(F.col("by").alias("doc_id"), "h1", "h2"))
     runs.compact()
-    dropped = lines.join(runs.common().select("h1", "h2"), ["h1", "h2"]).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))
+    common = runs.common().groupBy("h1", "h2").agg(F.max("n_docs").alias("n_docs"))
+    # keys of so many documents are HOT at most: told to every task, they need no shuffle; no other key has a large share of lines
+    often = F.col("n_docs") >= -(-lines.count() // HOT)
+    hot = lines.join(F.broadcast(common.where(often).select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left")
+    rest = hot.where("hot is null").join(common.where(~often).select("h1", "h2"), ["h1", "h2"])
+    place = ["doc_id", "row", "pos"]
+    dropped = hot.where("hot").select(*place).unionByName(rest.select(*place)).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))
     dropped = dropped.select(F.col("doc_id").alias("doc"), F.col("row").alias("of"), "drop")
     out = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("of")), "left").withColumn("parts", F.split("text", "\n", -1))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(parts) - 1), drop), i -> parts[i]), '\\n')")
