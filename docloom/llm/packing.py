@@ -24,7 +24,7 @@ from .token_counts import tokenizer_path
 
 CAPACITY, END = 4096, 1
 #: Pieces of one length that are ranked in one cell, about.
-CELL = 20_000
+CELL = 1000
 #: Words that a worker remembers, and the longest one remembered.
 REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text tokenised together: each word is looked at once in them.
