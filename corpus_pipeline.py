@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import keep, table
@@ -15,8 +15,9 @@ from docloom.llm.packing import pack_documents
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: A row's key, of all that it holds: rows without an id, or of one id with unlike texts, are told apart by it.
-KEY = F.xxhash64("doc_id", "text", "lang", "source")
+def _key() -> Column:
+    """A row's key, of all that it holds: rows without an id, or of one id with unlike texts, are told apart by it."""
+    return F.xxhash64("doc_id", "text", "lang", "source")
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id; rows without doc_id stand alone and stay."""
-    rows = docs.select(*COLUMNS, KEY.alias("_key"))
+    rows = docs.select(*COLUMNS, _key().alias("_key"))
     known = rows.where("doc_id is not null")
     groups = near_duplicates(known.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
     kept = known.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key"))
@@ -47,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target weights: a document stays as many times as the mix takes it."""
-    rows = docs.select(*COLUMNS, KEY.alias("_key"))
+    rows = docs.select(*COLUMNS, _key().alias("_key"))
     # rows of one key are equal in all columns: one of them stands for the copies of all
     copies = mix(rows, carry=("_key",)).where("copies > 0").groupBy("_key").agg(F.sum("copies").cast("int").alias("copies"))
     taken = rows.join(copies, "_key").dropDuplicates(["_key"])

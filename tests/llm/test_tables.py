@@ -237,3 +237,13 @@ def test_pipeline_of_odd_and_empty_tables(spark, sf, odd):
             df = stage(spark, df, "")
             assert df.columns == list(p.COLUMNS)
         assert p.run(spark, f"{at}/{name}").isEmpty() == (name == "empty")
+
+
+def test_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries())[-1], len(e.oracle_sql()) > 40)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["value_shape", "True"], done.stderr
