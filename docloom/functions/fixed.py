@@ -39,7 +39,13 @@ PICTOGRAM_LABEL, PICTOGRAM_MARK = "GHS-象形图", "[象形图]"
 JOINED_P_LABEL = r"^(存储|处置|事故响应|废弃处置|补充信息)(.+)$"
 HAZARD_CODE = r"^\s*[HP]\s*\p{Nd}{3}(?:\s*[+＋]\s*\.?\s*[HP]\s*\p{Nd}{3})*"
 PAGE_FIXED_WORDS = ("版本", "Version", "修订", "页码", "公司", "电话", "传真", "地址", "物料", "安全技术说明书", "MSDS")
-NAME_COLUMN = r"(?i)chemical\s*name|ingredient|component|化学品名称|成分名称|组分|名称|物质"
+TITLE_EN = r"(?i)^SECTION\s*(\p{Nd}{1,2})\s*[:.\-]\s*(.+?)\s*$"
+TITLE_CN = r"^(\p{Nd}{1,2})\s*[.、．]\s*(.+?)\s*$"
+PAGE_NUMBER = r"^\p{Nd}+[\s\p{Z}]*/[\s\p{Z}]*\p{Nd}+$"
+PAGE_COMPOUND = r"^([^A-Za-z0-9][^A-Za-z0-9\s\p{Z}]*)[\s\p{Z}]+([A-Za-z][\w\-]*(?:-|_)[A-Za-z0-9][\w\-]*)$"
+PAGE_STRAY_LETTER = r"^[PFD][\p{L}&&[^\p{ASCII}]]"
+MIXTURE_TAIL = r"\s+(\p{Nd}+(?:[±＋\-]\p{Nd}+)?\s*(?:%\s*(?:（w/w）)?|（w/w）|w/w|wt%|W/W))\s*$"
+NAME_COLUMN =r"(?i)chemical\s*name|ingredient|component|化学品名称|成分名称|组分|名称|物质"
 CAS_COLUMN = r"(?i)cas\s*(?:编号|号|no\.?|number|#)?(?![a-z])"
 CONC_COLUMN = r"(?i)concentration|含量|浓度|percent|weight|\bw/w|%"
 CAS_PLACEHOLDER_IN_TEXT = r"(?i)(proprietary|trade\s*secrets?|商业机密|待确认|无单一|confidential)"

@@ -52,9 +52,8 @@ def section_title(c: Column) -> Column:
 
 def section_title_of(t: Column) -> Column:
     """section_title of squeezed text; a column of its own keeps the squeeze from being done for each test."""
-    en = r"(?i)^SECTION\s*(\p{Nd}{1,2})\s*[:.\-]\s*(.+?)\s*$"
-    cn = r"^(\p{Nd}{1,2})\s*[.、．]\s*(.+?)\s*$"
-    body = F.when(t.rlike(r"^[a-zA-Z]"), strip(F.substring(t, 2, 200))).otherwise(t)
+    en, cn = X.TITLE_EN, X.TITLE_CN
+    body = F.when(t.rlike(r"^[a-zA-Z]"), strip(F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
     # try_cast: text without a number gives null
     n_en, n_cn = (group(x, p).try_cast("int") for x, p in ((t, en), (body, cn)))
     is_en = t.rlike(en)
@@ -223,7 +222,7 @@ def mixture_row(c: Column) -> Column:
     v = strip(F.regexp_replace(F.regexp_replace(v, r"(?i)^Description\s*:\s*", ""), r"\s*/\s*$", ""))
     low = F.lower(v)
     none = (v == "") | (low == "void") | low.startswith("dangerous components") | low.contains("no hazardous components") | low.startswith("composition")
-    tail = r"\s+(\p{Nd}+(?:[±＋\-]\p{Nd}+)?\s*(?:%\s*(?:（w/w）)?|（w/w）|w/w|wt%|W/W))\s*$"
+    tail = X.MIXTURE_TAIL
     name = F.rtrim(F.regexp_replace(v, tail, ""), F.lit(X.WHITE))
     return F.when(~none, F.struct(F.when(v.rlike(tail), name).otherwise(v).alias("name"), F.regexp_extract(v, tail, 1).alias("conc")))
 
@@ -238,13 +237,13 @@ def page_fields(c: Column) -> Column:
 
 
 def _page_fields(t: Column) -> Column:
-    number = r"^\p{Nd}+[\s\p{Z}]*/[\s\p{Z}]*\p{Nd}+$"
+    number = X.PAGE_NUMBER
     pair = lambda sep: (strip(F.substring_index(t, sep, 1)), strip(F.substring(t, F.instr(t, sep) + 1, F.length(t))))
     (a1, b1), (a2, b2) = pair("："), pair(":")
     wide, narrow = t.contains("：") & (a1 != "") & (b1 != ""), t.contains(":") & (a2 != "") & (b2 != "")
-    compound = r"^([^A-Za-z0-9][^A-Za-z0-9\s\p{Z}]*)[\s\p{Z}]+([A-Za-z][\w\-]*(?:-|_)[A-Za-z0-9][\w\-]*)$"
+    compound = X.PAGE_COMPOUND
     label, value = F.when(wide, a1).when(narrow, a2).otherwise(t), F.when(wide, b1).when(narrow, b2).otherwise("")
-    label = F.when(label.rlike(r"^[PFD][\p{L}&&[^\p{ASCII}]]"), F.substring(label, 2, 10_000)).otherwise(label)
+    label = F.when(label.rlike(X.PAGE_STRAY_LETTER), F.substring(label, F.lit(2), F.length(label))).otherwise(label)
     field = lambda a, b, e: F.struct(a.alias("label"), b.alias("value"), e.alias("editable"))
     no = F.lit(False)
     one = F.array(field(label, value, ~(label.rlike(number) | any_word(label, X.PAGE_FIXED_WORDS))))

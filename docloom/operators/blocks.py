@@ -7,6 +7,8 @@ CP content of an open heading only, T the torn-off last character of a label.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,40 +21,47 @@ TAB = r"^(.+?)\t+[\s\p{Z}]*(.+)$"
 
 
 def classify_lines(lines: DataFrame, keys: list[str], section=None) -> DataFrame:
-    """lines with class, label and value; section: column of the section number (rules of section 2), null for none."""
+    """lines with class, label and value; section: column of the section number (rules of section 2), null for none.
+
+    What several rules read is a column of its own, and the number of the rule that holds is found once.
+    """
     two = F.coalesce((section if section is not None else F.lit(0)) == 2, F.lit(False))
     w = Window.partitionBy(*keys).orderBy("pos")
     x = lines.withColumn("t", T.strip(T.text(F.col("line")))).where("t <> ''").withColumn("bold", F.coalesce("bold", F.lit(False)))
-    x = x.withColumns({"_before": F.lag("t").over(w), "_next": F.lead("t").over(w)})
-    t = F.col("t")
-    cls, nxt = T.class_row(t), T.class_row(F.col("_next"))
-    left, right = T.strip(F.regexp_extract(t, INLINE, 1)), T.strip(F.regexp_extract(t, INLINE, 2))
-    tab_l, tab_r = T.strip(F.regexp_extract(t, TAB, 1)), T.strip(F.regexp_extract(t, TAB, 2))
-    tab = t.rlike(TAB) & ~F.regexp_extract(t, TAB, 1).rlike(r"\p{Nd}{2,}") & (F.length(tab_l) <= 20)
-    title_next = T.strip(T.group(F.col("_next"), ENDS))
+    t, nxt, no = F.col("t"), F.col("_next"), F.lit("")
+    x = x.withColumns({
+        "_ends": T.strip(T.group(t, ENDS)), "_left": T.strip(F.regexp_extract(t, INLINE, 1)), "_tab": F.regexp_extract(t, TAB, 1), "_head": T.is_heading(t, F.col("bold")),
+        "_class": F.when(two, T.class_row(t)),
+    })
+    x = x.withColumns({"_before": F.lag("_ends").over(w), "_next": F.lead("_ends").over(w), "_next_class": F.lead("_class.name").over(w)})
+    tab_l, plain = T.strip(F.col("_tab")), F.col("_head") & ~F.col("bold")
+    tab = (F.col("_tab") != "") & ~F.col("_tab").rlike(r"\p{Nd}{2,}") & (F.length(tab_l) <= 20)
     pict = t.startswith(X.PICTOGRAM_LABEL) & (F.length(t) > len(X.PICTOGRAM_LABEL) + 1)
-    heading = T.is_heading(t, F.col("bold"))
-    no = F.lit("")
+    joined = lambda n: F.regexp_extract(t, X.JOINED_P_LABEL, n)
+    tab_r = T.strip(F.regexp_extract(t, TAB, 2))
     rules = [
-        (two & cls["name"].isNotNull(), "F", cls["name"], cls["category"]),
+        (F.col("_class.name").isNotNull(), "F", F.col("_class.name"), F.col("_class.category")),
         (two & t.isin(*X.LABEL_ELEMENTS), "S", t, no),
-        (two & nxt["name"].isNotNull() & ~T.has_colon(t) & (F.length(t) <= 15), "S", t, no),
-        (two & t.rlike(X.JOINED_P_LABEL), "F", F.regexp_extract(t, X.JOINED_P_LABEL, 1), T.strip(F.regexp_extract(t, X.JOINED_P_LABEL, 2))),
+        (F.col("_next_class").isNotNull() & ~T.has_colon(t) & (F.length(t) <= 15), "S", t, no),
+        (two & t.rlike(X.JOINED_P_LABEL), "F", joined(1), T.strip(joined(2))),
         (t.rlike(X.HAZARD_CODE), "C", no, t),
         (t.rlike(r"^[一-鿿][：:]$"), "T", F.substring(t, 1, 1), no),
-        (t.rlike(ENDS), "P", T.strip(F.regexp_extract(t, ENDS, 1)), no),
-        (t.rlike(INLINE) & (left != "") & ~left.rlike(r"^\p{Nd}{2,}"), "F", left, right),
+        (F.col("_ends").isNotNull(), "P", F.col("_ends"), no),
+        ((F.col("_left") != "") & ~F.col("_left").rlike(r"^\p{Nd}{2,}"), "F", F.col("_left"), T.strip(F.regexp_extract(t, INLINE, 2))),
         (tab & tab_l.rlike(r"^\p{Nd}+(?:\.\p{Nd}+)*\.?$"), "S0", F.concat(tab_l, F.lit(" "), tab_r), no),
         (tab, "F", tab_l, tab_r),
-        (pict, "F", F.lit(X.PICTOGRAM_LABEL), T.strip(F.substring(t, len(X.PICTOGRAM_LABEL) + 1, 1_000_000))),
+        (pict, "F", F.lit(X.PICTOGRAM_LABEL), T.strip(F.substring(t, F.lit(len(X.PICTOGRAM_LABEL) + 1), F.length(t)))),
         (t.rlike(r"^\p{Nd}+\.\p{Nd}+[\s\p{Z}]*[^\s\p{Z}]+"), "S", t, no),
         (t.rlike(r"^\p{Nd}{2,}[\s\p{Z}]*[^\s\p{Z}]"), "C", no, t),
-        (heading & ~F.col("bold") & F.coalesce(F.col("_before").rlike(ENDS), F.lit(False)), "CP", no, t),
-        (heading & ~F.col("bold") & title_next.isNotNull() & ~title_next.contains(t), "CP", no, t),
-        (heading, "P", t, no),
+        (plain & F.col("_before").isNotNull(), "CP", no, t),
+        (plain & nxt.isNotNull() & ~nxt.contains(t), "CP", no, t),
+        (F.col("_head"), "P", t, no),
     ]
-    pick = lambda k, last: F.coalesce(*[F.when(r[0], r[k] if isinstance(r[k], str) is False else F.lit(r[k])) for r in rules], last)
-    return x.withColumns({"class": pick(1, F.lit("C")), "label": pick(2, no), "value": pick(3, t)}).drop("_before", "_next")
+    number = reduce(lambda a, r: a.when(r[1][0], r[0]), enumerate(rules[1:], 1), F.when(rules[0][0], 0))
+    x = x.withColumn("_rule", F.coalesce(number, F.lit(-1)))
+    chosen = lambda k, last: reduce(lambda a, r: a.when(F.col("_rule") == r[0], r[1][k] if k > 1 else F.lit(r[1][k])), enumerate(rules[1:], 1), F.when(F.col("_rule") == 0, rules[0][k] if k > 1 else F.lit(rules[0][k]))).otherwise(last)
+    x = x.withColumns({"class": chosen(1, F.lit("C")), "label": chosen(2, no), "value": chosen(3, t)})
+    return x.drop("_ends", "_left", "_tab", "_head", "_class", "_before", "_next", "_next_class", "_rule")
 
 
 def text_block_units(lines: DataFrame, keys: list[str], section=None) -> DataFrame:
@@ -92,18 +101,32 @@ def text_block_units(lines: DataFrame, keys: list[str], section=None) -> DataFra
     return out.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("_order")).cast("long")).drop("_order")
 
 
+def split_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, pos, kind, label, value: each line (doc_id, pos, line) as a block of its own, its first unit; an empty note without one."""
+    alone = lines.select("doc_id", F.col("pos").alias("at"), F.posexplode(F.split(T.text(F.col("line")), "\n")).alias("pos", "line"), F.lit(False).alias("bold"))
+    first = text_block_units(alone, ["doc_id", "at"]).where("ord = 1").select("doc_id", F.col("at").alias("pos"), "kind", "label", "value")
+    none = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return lines.select("doc_id", "pos").join(first, ["doc_id", "pos"], "left").select("doc_id", "pos", none("kind", "note"), none("label", ""), none("value", ""))
+
+
 def unified_rows(items: DataFrame) -> DataFrame:
     """Fields and units of line blocks in document order: doc_id, section, ord, kind, seq, label, value, editable, idx, span.
 
-    items: doc_id, section, pos, kind (field or line), label, value, bold. Lines that follow each other are one block.
-    idx: fields from 0, then the units of blocks.
+    items: doc_id, section, pos (and sub, the place in a row), kind (field or line), label, value, bold (of all lines of
+    the value, or an array with a flag for each). Lines that follow each other are one block. idx: fields from 0, then
+    the units of blocks.
     """
-    w = Window.partitionBy("doc_id", "section").orderBy("pos")
-    x = items.withColumn("block", F.count_if(F.col("kind") == "field").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = items if "sub" in items.columns else items.withColumn("sub", F.lit(0))
+    w = Window.partitionBy("doc_id", "section").orderBy("pos", "sub")
+    x = x.withColumn("block", F.count_if(F.col("kind") == "field").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fields = x.where("kind = 'field'").withColumn("_s", T.split_seq(F.col("label")))
     editable = F.col("editable") if "editable" in items.columns else F.lit(True)
     fields = fields.select("doc_id", "section", "block", F.lit(0).cast("long").alias("ord"), "kind", F.col("_s.seq").alias("seq"), F.col("_s.label").alias("label"), "value", editable.alias("editable"))
-    lines = x.where("kind = 'line'").select("doc_id", "section", "block", "bold", "pos", F.posexplode(F.split("value", "\n")).alias("k", "line")).withColumn("pos", F.col("pos") * 1000 + F.col("k"))
+    flag = F.get("bold", F.col("k")) if items.schema["bold"].dataType.typeName() == "array" else F.col("bold")
+    lines = x.where("kind = 'line'").select("doc_id", "section", "block", "bold", "pos", "sub", F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    # lines are numbered anew, however many a row or a cell has
+    in_block = Window.partitionBy("doc_id", "section", "block").orderBy("pos", "sub", "k")
+    lines = lines.select("doc_id", "section", "block", F.row_number().over(in_block).cast("long").alias("pos"), "line", flag.alias("bold"))
     units = text_block_units(lines, ["doc_id", "section", "block"], F.col("section")).withColumn("editable", F.col("kind") != "sub")
     both = fields.unionByName(units.select(*fields.columns)).withColumn("is_field", F.col("ord") == 0)
     order = Window.partitionBy("doc_id", "section").orderBy("block", "ord")

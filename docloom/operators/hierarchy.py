@@ -85,12 +85,26 @@ def search_all(entries: DataFrame, query: str, scope: str = "all") -> DataFrame:
     return entries.where(reduce(lambda a, b: a & b, [hay.contains(t) for t in terms_of(query)], F.lit(True)))
 
 
-def search_many(entries: DataFrame, queries: DataFrame, scope: str = "all") -> DataFrame:
+#: Most queries of one search_many call; more are searched in several calls.
+MOST_QUERIES = 10_000
+
+
+def search_many(entries: DataFrame, queries: DataFrame, scope: str = "all", most: int = MOST_QUERIES) -> DataFrame:
     """Hits of a table of queries (query_id, terms array<string>, normalised): one pass, each entry tested against all.
 
-    queries is a stated query set; Spark broadcasts it if it is small by its own limits.
+    Words are found anywhere in an entry, so no key can join them: queries is a stated set of `most` at most (an error
+    beyond), told to every task as one constant, and each entry is read once.
     """
-    return entries.withColumn("_hay", haystack(scope)).join(queries, F.forall("terms", lambda t: F.col("_hay").contains(t))).drop("_hay", "terms")
+    import json
+
+    rows = queries.select("query_id", "terms").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} queries: search them in parts")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    listed = F.from_json(F.lit(json.dumps([{"query_id": r.query_id, "terms": r.terms} for r in rows])), f"array<struct<query_id:{kind},terms:array<string>>>")
+    x = entries.withColumn("_hay", haystack(scope))
+    hit = F.filter(listed, lambda q: F.forall(q["terms"], lambda t: F.col("_hay").contains(t)))
+    return x.withColumn("query_id", F.explode(F.transform(hit, lambda q: q["query_id"]))).drop("_hay")
 
 
 def search_any(entries: DataFrame, query: str, scope: str = "all") -> DataFrame:

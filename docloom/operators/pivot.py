@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
 
+#: Most columns of a wide table or grid, a documented bound: labels are told to every task.
+MOST_COLUMNS = 20_000
+
 
 def pivot_input(entries: DataFrame) -> DataFrame:
     """doc_id, doc_ord, pos, section, kind (field, note, comp), norm_label, seq, value; sub rows and headers are no columns.
@@ -50,16 +55,27 @@ def pivot_cells(p: DataFrame) -> DataFrame:
     return p.groupBy("doc_id", "section", "kind", "norm_label").agg(F.when(F.col("kind") == "note", notes).otherwise(F.coalesce(first, F.lit(""))).alias("value"))
 
 
-def pivot_grid(documents: DataFrame, columns: DataFrame, cells: DataFrame) -> DataFrame:
+def listed_columns(columns: DataFrame, most: int = MOST_COLUMNS) -> list[tuple]:
+    """(section, kind, norm_label) of the columns in order: a row per distinct label, an error beyond `most` of them."""
+    rows = columns.select("section", "kind", "norm_label", "col_ord").orderBy("section", "col_ord").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} columns: use the cells in their long form")
+    return [(r.section, r.kind, r.norm_label) for r in rows]
+
+
+def pivot_grid(documents: DataFrame, columns: DataFrame, cells: DataFrame, most: int = MOST_COLUMNS) -> DataFrame:
     """The long form, a cell for each document and column: '' where there is none, 无数据 for a field of section 9.
 
-    The columns are a side of a few hundred labels, whatever the number of documents.
+    The columns are bounded by `most` and told to every task; a document's cells meet them in one row, so nothing is joined.
     """
-    keys = ["section", "kind", "norm_label"]
-    grid = documents.select("doc_id").distinct().join(columns.select(*keys))
-    v = F.coalesce("value", F.lit(""))
-    empty = F.when((F.col("section") == 9) & (F.col("kind") == "field"), X.NO_DATA).otherwise("")
-    return grid.join(cells, ["doc_id", *keys], "left").withColumn("value", F.when(T.clean_cell(v) == "", empty).otherwise(T.clean_cell(v)))
+    listed = [{"section": s, "kind": k, "norm_label": n} for s, k, n in listed_columns(columns, most)]
+    head = F.from_json(F.lit(json.dumps(listed)), "array<struct<section:int,kind:string,norm_label:string>>")
+    key = lambda c: F.struct(*[F.col(f"{c}{x}").cast(t).alias(x) for x, t in (("section", "int"), ("kind", "string"), ("norm_label", "string"))])
+    held = cells.select("doc_id", F.struct(key("").alias("key"), "value").alias("cell")).unionByName(documents.select("doc_id", F.lit(None).alias("cell")), allowMissingColumns=True)
+    held = held.groupBy("doc_id").agg(F.map_from_entries(F.collect_list("cell")).alias("cells"))
+    v = T.clean_cell(F.coalesce(F.try_element_at("cells", key("c.")), F.lit("")))
+    empty = F.when((F.col("c.section") == 9) & (F.col("c.kind") == "field"), X.NO_DATA).otherwise("")
+    return held.withColumn("c", F.explode(head)).select("doc_id", "c.*", F.when(v == "", empty).otherwise(v).alias("value"))
 
 
 def pivot_wide(documents: DataFrame, cells: DataFrame, columns: list[tuple]) -> DataFrame:
@@ -73,16 +89,41 @@ def pivot_wide(documents: DataFrame, cells: DataFrame, columns: list[tuple]) ->
     return documents.select("doc_id").distinct().join(wide, "doc_id", "left").select("doc_id", *filled)
 
 
-def build_pivot(documents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(wide table, column table). The column list, one row per distinct label, is what the driver gets."""
+def component_rows(tables: DataFrame, components: DataFrame) -> DataFrame:
+    """Ingredients of component tables as entries of kind comp: three for each, and in all sections with a table as many columns as the longest has.
+
+    tables: doc_id, section of component tables (and doc_ord, else doc_id orders documents); components: doc_id, section,
+    idx, name, cas, conc; those of other sections are no columns. They come after their section's other entries.
+    """
+    t = tables if "doc_ord" in tables.columns else tables.withColumn("doc_ord", F.col("doc_id"))
+    mine = components.join(t.select("doc_id", "section", "doc_ord"), ["doc_id", "section"])
+    most = mine.agg(F.max("idx")).first()[0]
+    # the first document with a table in the section shows all columns, empty where it has fewer ingredients
+    first = t.groupBy("section").agg(F.min(F.struct("doc_ord", "doc_id")).alias("f")).select("f.*", "section")
+    slots = first.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(-1 if most is None else most)) if most is not None else F.array().cast("array<int>")))
+    blank = slots.select("doc_id", "section", "doc_ord", F.col("idx").cast("int"), *[F.lit("").alias(c) for c in ("name", "cas", "conc")])
+    both = mine.select("doc_id", "section", "doc_ord", F.col("idx").cast("int"), "name", "cas", "conc").unionByName(blank)
+    n = (F.col("idx") + 1).cast("string")
+    parts = [F.struct((F.lit(1 << 41) + 3 * F.col("idx") + k).alias("pos"), F.concat(F.lit("成分"), n, F.lit(s)).alias("label"), F.col(c).alias("value")) for k, (s, c) in enumerate((("名称", "name"), ("CAS", "cas"), ("含量", "conc")))]
+    return both.select("doc_id", "section", "doc_ord", F.inline(F.array(*parts))).withColumns({"kind": F.lit("comp"), "seq": F.lit("")})
+
+
+def build_pivot(documents: DataFrame, entries: DataFrame, tables: DataFrame | None = None, components: DataFrame | None = None, most: int = MOST_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """(wide table, column table), with ingredient columns where component tables and components are given (see component_rows).
+
+    The column list, one row per distinct label, is what the driver gets; over `most` labels raise an error.
+    """
     p = pivot_input(entries)
+    if tables is not None and components is not None:
+        p = p.unionByName(pivot_input(component_rows(tables, components)))
     columns = pivot_columns(p)
-    listed = [(r.section, r.kind, r.norm_label) for r in columns.orderBy("section", "col_ord").collect()]
-    return pivot_wide(documents, pivot_cells(p), listed), columns
+    return pivot_wide(documents, pivot_cells(p), listed_columns(columns, most)), columns
 
 
-def single_pivot(documents: DataFrame, entries: DataFrame, doc_id) -> tuple[DataFrame, DataFrame]:
-    return build_pivot(documents.where(F.col("doc_id") == doc_id), entries.where(F.col("doc_id") == doc_id))
+def single_pivot(documents: DataFrame, entries: DataFrame, doc_id, tables: DataFrame | None = None, components: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pivot of one document."""
+    mine = lambda df: df.where(F.col("doc_id") == doc_id) if df is not None else None
+    return build_pivot(mine(documents), mine(entries), mine(tables), mine(components))
 
 
 def row_keys(documents: DataFrame, entries: DataFrame, section: int = 1, label: str = X.PRODUCT_NAME) -> DataFrame:

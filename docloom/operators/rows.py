@@ -87,11 +87,11 @@ def with_stacked(rows: DataFrame) -> DataFrame:
     return x.withColumn("_stacked", F.when(F.col("_at").isNotNull() & fits, F.transform("_at", entry)))
 
 
-def section_items(rows: DataFrame) -> DataFrame:
-    """doc_id, section, pos, kind (field or line), label, value, bold, in document order of pos = 1000 * row pos + place.
+def row_items(rows: DataFrame) -> DataFrame:
+    """Items of rows before they meet: doc_id, section, pos, sub (place in the row), kind (field, line, append, append?), label, value, bold.
 
-    A blank first cell continues the latest field of the section, across lines; without one it is a field without label.
-    A one-character label's value goes to the latest field, else it is a line.
+    bold has a flag for each line of the value of a single-cell row: from bold_lines (those of its first cell) where the
+    rows have it, else bold0 for all.
     """
     rest = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
     first = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
@@ -104,19 +104,37 @@ def section_items(rows: DataFrame) -> DataFrame:
         .when(F.col("row_class").isin("line", "sub"), item("line", none, F.col("_first"))).when(F.col("row_class") == "field", F.col("_items"))
         .when(F.col("row_class") == "joined", item("line", none, F.array_join(filled(F.col("cells")), " / "))).otherwise(F.array().cast(ITEM))
     )
-    x = x.select("doc_id", "section", "pos", (F.coalesce("bold0", F.lit(False)) & (F.col("row_class") == "line")).alias("bold"), F.posexplode(items).alias("sub", "i")).select("doc_id", "section", "pos", "sub", "bold", "i.*")
+    flags = F.array_repeat(F.coalesce("bold0", F.lit(False)), F.size(F.split("_first", "\n")))
+    flags = F.coalesce("bold_lines", flags) if "bold_lines" in rows.columns else flags
+    bold = F.when(F.col("row_class") == "line", flags).otherwise(F.array().cast("array<boolean>"))
+    return x.select("doc_id", "section", "pos", bold.alias("bold"), F.posexplode(items).alias("sub", "i")).select("doc_id", "section", "pos", "sub", "i.*", "bold")
+
+
+def attach_items(items: DataFrame) -> DataFrame:
+    """Items of a section from all sources, in order of pos and sub, with continuations in the latest field before them.
+
+    A continuation without a field before it is a field without label, or (append?) a line.
+    """
     by_section = Window.partitionBy("doc_id", "section").orderBy("pos", "sub")
     before = by_section.rowsBetween(Window.unboundedPreceding, -1)
     had = F.coalesce(F.max(F.col("kind").isin("field", "append")).over(before), F.lit(False))
-    x = x.withColumn("kind", F.when((F.col("kind") == "append") & ~had, "field").when((F.col("kind") == "append?") & ~had, "line").when(F.col("kind") == "append?", "append").otherwise(F.col("kind")))
-    place = F.col("pos") * 1000 + F.col("sub")
-    x = x.withColumn("place", place)
+    x = items.withColumn("kind", F.when((F.col("kind") == "append") & ~had, "field").when((F.col("kind") == "append?") & ~had, "line").when(F.col("kind") == "append?", "append").otherwise(F.col("kind")))
+    x = x.withColumn("place", F.struct("pos", "sub"))
     anchor = F.when(F.col("kind") == "append", F.last(F.when(F.col("kind") == "field", F.col("place")), ignorenulls=True).over(by_section.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.col("place"))
     parts = F.array_sort(F.collect_list(F.struct("place", "kind", "label", "value", "bold")))
     g = x.withColumn("anchor", anchor).groupBy("doc_id", "section", "anchor").agg(parts.alias("p"))
     value = F.array_join(F.filter(F.transform("p", lambda s: s["value"]), lambda v: v != ""), "\n")
     first = F.get("p", F.lit(0))
-    return g.select("doc_id", "section", F.col("anchor").alias("pos"), first["kind"].alias("kind"), first["label"].alias("label"), value.alias("value"), first["bold"].alias("bold"))
+    return g.select("doc_id", "section", "anchor.*", first["kind"].alias("kind"), first["label"].alias("label"), value.alias("value"), first["bold"].alias("bold"))
+
+
+def section_items(rows: DataFrame) -> DataFrame:
+    """doc_id, section, pos, sub, kind (field or line), label, value, bold, in document order of pos and sub.
+
+    A blank first cell continues the latest field of the section, across lines; without one it is a field without label.
+    A one-character label's value goes to the latest field, else it is a line.
+    """
+    return attach_items(row_items(rows))
 
 
 def component_latch(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import blocks, components, hierarchy, quality, rows, sections
@@ -33,10 +34,16 @@ def page_items(paragraphs: DataFrame) -> DataFrame:
     x = x.where(T.strip(F.col("text")) != "")
     product = F.array(F.struct(F.lit(X.PRODUCT_NAME).alias("label"), T.strip(F.col("text")).alias("value"), F.lit(True).alias("editable")))
     parts = F.when(F.col("cell") & (F.col("ev") == "header"), product).otherwise(T.page_fields(F.col("text")))
-    fields = x.select("doc_id", "side", (F.col("side") * 1_000_000 + F.col("pos") * 10).alias("pos"), F.posexplode(parts).alias("k", "f"))
-    fields = fields.select("doc_id", "side", (F.col("pos") + 1 + F.col("k")).alias("pos"), F.lit("field").alias("kind"), F.col("f.label").alias("label"), F.col("f.value").alias("value"), F.col("f.editable").alias("editable"))
-    heads = fields.select("doc_id", "side").distinct().select("doc_id", "side", (F.col("side") * 1_000_000).cast("long").alias("pos"), F.lit("line").alias("kind"), F.lit("").alias("label"), F.when(F.col("side") == 1, "0.1 页眉").otherwise("0.2 页脚").alias("value"), F.lit(False).alias("editable"))
-    return fields.unionByName(heads).select("doc_id", F.lit(0).alias("section"), "pos", "kind", "label", "value", F.lit(False).alias("bold"), "editable")
+    fields = x.select("doc_id", "side", "pos", F.posexplode(parts).alias("k", "f"))
+    fields = fields.select("doc_id", "side", "pos", "k", F.lit("field").alias("kind"), F.col("f.label").alias("label"), F.col("f.value").alias("value"), F.col("f.editable").alias("editable"))
+    heads = fields.select("doc_id", "side").distinct().select("doc_id", "side", F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("k"), F.lit("line").alias("kind"), F.lit("").alias("label"), F.when(F.col("side") == 1, "0.1 页眉").otherwise("0.2 页脚").alias("value"), F.lit(False).alias("editable"))
+    both = _numbered(fields.unionByName(heads), "side", "pos", "k")
+    return both.select("doc_id", F.lit(0).alias("section"), "pos", F.lit(0).alias("sub"), "kind", "label", "value", F.array().cast("array<boolean>").alias("bold"), "editable")
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with pos, their place in the document, however many paragraphs or lines a place of `order` has."""
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")).drop("pos").withColumnRenamed("_at", "pos")
 
 
 def _content_items(content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,22 +62,23 @@ def _content_items(content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     w = Window.partitionBy("doc_id", "section").orderBy("pos")
     head = (F.col("section") == 3) & T.is_mixture_header(c0)
     plain = plain.withColumn("_head", head).withColumn("_after", F.coalesce(F.lag(F.col("_head") & ~c0.contains("\n")).over(w), F.lit(False)) & (F.col("section") == 3))
-    items = rows.section_items(plain.where("not _head and not _after").select("doc_id", "section", "pos", "cells", "bold0"))
+    items = rows.row_items(plain.where("not _head and not _after").select("doc_id", "section", "pos", "cells", "bold0", "bold_lines"))
     title = T.strip(F.substring_index(c0, "\n", 1))
     named = plain.where("_head").select("doc_id", "section", "pos", title.alias("label")).groupBy("doc_id", "section", "label").agg(F.min("pos").alias("pos"))
-    col = lambda df, pos, kind, label, value: df.select("doc_id", "section", pos.alias("pos"), kind.alias("kind"), label.alias("label"), value.alias("value"), F.lit(False).alias("bold"))
+    col = lambda df, sub, kind, label, value: df.select("doc_id", "section", "pos", sub.alias("sub"), kind.alias("kind"), label.alias("label"), value.alias("value"), F.array().cast("array<boolean>").alias("bold"))
     parts = components.flat_parts(flat).join(place, ["doc_id", "pos"])
     comp_rows = components.components_of_rows(inside.select("doc_id", "section", "pos", "cells"))
-    items = items.unionByName(col(named, F.col("pos") * 1000, F.lit("field"), F.col("label"), F.lit("")))
-    items = items.unionByName(col(parts.where("kind <> 'component'"), F.col("pos") * 1000 + F.col("i"), F.col("kind"), F.col("label"), F.col("value")))
-    items = items.unionByName(col(comp_rows.where("kind <> 'component'"), F.col("pos") * 1000, F.col("kind"), F.col("label"), F.col("value")))
-    cells = parts.where("kind = 'component'").select("doc_id", "section", (F.col("pos") * 1000 + F.col("i")).alias("at"), "name", "cas", "conc").unionByName(
-        stacked.join(place, ["doc_id", "pos"]).select("doc_id", "section", (F.col("pos") * 1000 + F.col("i")).alias("at"), "name", "cas", "conc")
-    )
-    split = components.split_cells(cells.select("doc_id", "section", "at", F.col("name").alias("name_cell"), F.col("cas").alias("cas_cell"), F.col("conc").alias("conc_cell")), ("doc_id", "section", "at"))
-    direct = comp_rows.where("kind = 'component'").select("doc_id", "section", (F.col("pos") * 1000).alias("at"), "idx", "name", "cas", "conc", "raw_name", "raw_cas", "raw_conc")
+    items = items.unionByName(col(named, F.lit(0), F.lit("field"), F.col("label"), F.lit("")))
+    items = items.unionByName(col(parts.where("kind <> 'component'"), F.col("i"), F.col("kind"), F.col("label"), F.col("value")))
+    items = items.unionByName(col(comp_rows.where("kind <> 'component'"), F.lit(0), F.col("kind"), F.col("label"), F.col("value")))
+    # a continuation joins the latest field of its section, whichever source that is from
+    items = rows.attach_items(items)
+    place_of = ("doc_id", "section", "pos", "i")
+    cells = parts.where("kind = 'component'").select(*place_of, "name", "cas", "conc").unionByName(stacked.join(place, ["doc_id", "pos"]).select(*place_of, "name", "cas", "conc"))
+    split = components.split_cells(cells.select(*place_of, F.col("name").alias("name_cell"), F.col("cas").alias("cas_cell"), F.col("conc").alias("conc_cell")), place_of)
+    direct = comp_rows.where("kind = 'component'").select("doc_id", "section", "pos", F.lit(0).alias("i"), "idx", "name", "cas", "conc", "raw_name", "raw_cas", "raw_conc")
     found = split.unionByName(direct)
-    found = found.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("at", "idx")) - 1).cast("int")).drop("at")
+    found = found.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("pos", "i", "idx")) - 1).cast("int")).drop("pos", "i")
     tables = latched.where("in_components or is_header").groupBy("doc_id", "section").agg(F.max_by("component_header", "pos").alias("component_header"))
     flat_head = flat.where("part = 'header'").join(place, ["doc_id", "pos"]).select("doc_id", "section", F.array_join(rows.flat_columns(F.col("line")), " | ").alias("flat_header"))
     stack_head = stacked.select("doc_id", "pos").distinct().join(content.select("doc_id", "pos", "section", F.array_join(F.transform("cells", lambda c: F.substring_index(c, "\n", 1)), " | ").alias("flat_header")), ["doc_id", "pos"]).select("doc_id", "section", "flat_header")
@@ -79,10 +87,20 @@ def _content_items(content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return items, components.promote_if_empty(found, mix), tables
 
 
-def read_documents(spark: SparkSession, path: str, keep=lambda df, name: df) -> Corpus:
-    """All tables of the .docx files under path; keep(df, name) may write a table and read it back.
+def content_rows(routed: DataFrame) -> DataFrame:
+    """Table rows and the lines of text boxes (doc_id, section, pos, cells, bold0, bold_lines) in order; titles are no content."""
+    none = F.lit(None).cast("array<boolean>").alias("bold_lines")
+    box = routed.where("is_box").select("doc_id", "section", "pos", F.posexplode("cells").alias("k", "line"), "title_n").where("title_n is null or k > 0")
+    box = box.select("doc_id", "section", "pos", "k", F.array("line").alias("cells"), F.lit(False).alias("bold0"), none)
+    table = routed.where("not is_box and title_n is null").select("doc_id", "section", "pos", F.lit(0).alias("k"), "cells", "bold0", "bold_lines")
+    return _numbered(table.unionByName(box), "pos", "k").drop("k")
+
+
+def read_documents(spark: SparkSession, path: str, keep=store.keep) -> Corpus:
+    """All tables of the .docx files under path; keep(df, name) writes a table and reads it back, so that no file is decoded twice.
 
-    One exchange on doc_id serves the windows. A file that can't be read is in `documents` with its error.
+    One exchange on doc_id serves the windows. A file that can't be read is in `documents` with its error. The tables
+    stay in the shared folder while they are read; store.clear(spark) removes them.
     """
     files = docx.scan(spark, path)
     records = keep(docx.decode(files), "records")
@@ -96,9 +114,7 @@ def read_documents(spark: SparkSession, path: str, keep=lambda df, name: df) ->
 
     events = docx.cell_rows(clean)
     routed = keep(sections.route_textboxes(events), "routed")
-    box_lines = routed.where("is_box").select("doc_id", "section", "pos", F.posexplode("cells").alias("k", "line"), "title_n").where("title_n is null or k > 0").select("doc_id", "section", (F.col("pos") * 100 + F.col("k")).alias("pos"), F.array("line").alias("cells"), F.lit(False).alias("bold0"))
-    content = routed.where("not is_box and title_n is null").select("doc_id", "section", (F.col("pos") * 100).alias("pos"), "cells", "bold0").unionByName(box_lines)
-    items, comps, tables = _content_items(keep(content, "content"))
+    items, comps, tables = _content_items(keep(content_rows(routed), "content"))
     first = sections.section_table(events.select("doc_id", "pos", "c0"))
     opened = routed.groupBy("doc_id", "section").agg(F.min_by("c0", "pos").alias("opening"))
     s = opened.join(first, ["doc_id", "section"], "left").join(sections.textbox_titles(events).withColumnRenamed("title", "box_title"), ["doc_id", "section"], "left")

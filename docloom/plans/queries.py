@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import blocks, components, hierarchy, pivot, quality, rows, sections
@@ -213,7 +214,7 @@ def textbox_routing(spark, d):
 
 def _content(spark, d):
     x = sections.content_rows(A.rows(spark, d))
-    return x.withColumns({"cells": F.array("c0", "c1"), "bold0": F.lit(False)})
+    return x.select("doc_id", "section", "pos", F.array("c0", "c1").alias("cells"), F.lit(False).alias("bold0"))
 
 
 @query("row_class", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS} SELECT section, row_class, count(*) AS n, min(pos) AS first, max(pos) AS last FROM classed GROUP BY ALL", "rows")
@@ -221,7 +222,7 @@ def row_class(spark, d):
     return rows.classify(_content(spark, d)).groupBy("section", "row_class").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
-ITEMS = f"""items AS (SELECT doc_id, section, anchor * 1000 AS pos, arg_min(label, pos) AS label, coalesce(string_agg(c1, chr(10) ORDER BY pos) FILTER (c1 <> ''), '') AS value, arg_min(kind, pos) AS kind FROM (
+ITEMS = f"""items AS (SELECT doc_id, section, anchor AS pos, arg_min(label, pos) AS label, coalesce(string_agg(c1, chr(10) ORDER BY pos) FILTER (c1 <> ''), '') AS value, arg_min(kind, pos) AS kind FROM (
     SELECT *, CASE WHEN kind = 'append' THEN last_value(CASE WHEN kind = 'field' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) ELSE pos END AS anchor FROM (
     SELECT doc_id, section, pos, c1, CASE WHEN row_class = 'continuation' AND had = 1 THEN 'append' ELSE 'field' END AS kind, CASE WHEN row_class = 'continuation' THEN '' ELSE {LABEL('c0')} END AS label FROM (
     SELECT *, coalesce(max(CASE WHEN row_class IN ('field', 'continuation') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM classed WHERE row_class IN ('field', 'continuation')))) GROUP BY ALL)"""
@@ -244,7 +245,9 @@ S_SEQ, S_LABEL = SPLIT("label")
 
 @query("unified_rows", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS}, {ITEMS} SELECT doc_id, section, row_number() OVER w AS ord, (row_number() OVER w - 1)::INT AS idx, kind, {S_SEQ} AS seq, {S_LABEL} AS label, value, {S_LABEL} = '' AS span FROM items WINDOW w AS (PARTITION BY doc_id, section ORDER BY pos)", "rows")
 def unified_rows(spark, d):
-    return blocks.unified_rows(rows.section_items(_content(spark, d))).select("doc_id", "section", "ord", "idx", "kind", "seq", "label", "value", "span")
+    # written between the steps: what fields and lines both read is made once, and plans stay small
+    items = store.keep(rows.attach_items(store.keep(rows.row_items(store.keep(_content(spark, d), "content")), "row-items")), "items")
+    return blocks.unified_rows(items).select("doc_id", "section", "ord", "idx", "kind", "seq", "label", "value", "span")
 
 
 @query("split_seq", f"SELECT doc_id, pos, {SPLIT(LABEL('c0'))[0]} AS seq, {SPLIT(LABEL('c0'))[1]} AS label FROM rows_", "rows")

@@ -208,7 +208,8 @@ def clean_paragraphs(p: DataFrame, levels: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    flat = p.withColumn("seq", F.col("pos") * 1_000_000 + F.coalesce("cell", F.lit(0)) * 1000 + F.col("para"))
+    # a place of three numbers, in order: no cell has too many paragraphs for it
+    flat = p.withColumn("seq", F.struct("pos", F.coalesce("cell", F.lit(0)).alias("cell"), "para"))
     once = flat.where("num_id is not null and ev in ('table', 'textbox')").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("tc", F.concat(F.lit("p"), "pos")), "para").orderBy("seq"))).where("_r = 1")
     numbered = auto_numbers(once.select("doc_id", F.col("seq").alias("pos"), "num_id", "ilvl"), levels).select("doc_id", F.col("pos").alias("seq"), "number")
     x = flat.join(numbered, ["doc_id", "seq"], "left")
@@ -220,18 +221,23 @@ def clean_paragraphs(p: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def cell_rows(p: DataFrame) -> DataFrame:
-    """doc_id, pos, cells, bold0, is_box, c0 of cleaned table and text-box paragraphs; rows of blank cells only go."""
+    """doc_id, pos, cells, bold0, bold_lines, is_box, c0 of cleaned table and text-box paragraphs; rows of blank cells only go.
+
+    bold_lines flags the lines of the first cell that stand in a bold paragraph; bold0 says whether there is one.
+    """
     from ..operators.rows import cells_to_rows, dedupe_cells
 
     t = p.where("ev = 'table'")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("para", "text")))), lambda s: s["text"]), "\n")
-    cells = t.groupBy("doc_id", "pos", F.col("cell").alias("k"), "tc").agg(joined.alias("text"), F.max("bold").alias("bold"))
-    bold = cells.groupBy("doc_id", "pos").agg(F.min_by("bold", "k").alias("bold0"))
-    rows = cells_to_rows(dedupe_cells(cells.drop("bold"))).join(bold, ["doc_id", "pos"]).where(F.exists("cells", lambda c: c != ""))
-    rows = rows.select("doc_id", "pos", "cells", "bold0", F.lit(False).alias("is_box"), F.get("cells", F.lit(0)).alias("c0"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("para", "text", "bold"))))
+    cells = t.groupBy("doc_id", "pos", F.col("cell").alias("k"), "tc").agg(parts.alias("p"))
+    flags = F.flatten(F.transform("p", lambda s: F.array_repeat(F.coalesce(s["bold"], F.lit(False)), F.size(F.split(s["text"], "\n")))))
+    bold = cells.groupBy("doc_id", "pos").agg(F.min_by(flags, "k").alias("bold_lines"))
+    cells = cells.withColumn("text", F.array_join(F.transform("p", lambda s: s["text"]), "\n")).drop("p")
+    rows = cells_to_rows(dedupe_cells(cells)).join(bold, ["doc_id", "pos"]).where(F.exists("cells", lambda c: c != ""))
+    rows = rows.select("doc_id", "pos", "cells", F.exists("bold_lines", lambda b: b).alias("bold0"), "bold_lines", F.lit(False).alias("is_box"), F.get("cells", F.lit(0)).alias("c0"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("para", F.trim("text").alias("text")))), lambda s: s["text"])
     boxes = p.where("ev = 'textbox'").groupBy("doc_id", "pos").agg(lines.alias("cells"))
-    return rows.unionByName(boxes.select("doc_id", "pos", "cells", F.lit(False).alias("bold0"), F.lit(True).alias("is_box"), F.get("cells", F.lit(0)).alias("c0")))
+    return rows.unionByName(boxes.select("doc_id", "pos", "cells", F.lit(False).alias("bold0"), F.lit(None).cast("array<boolean>").alias("bold_lines"), F.lit(True).alias("is_box"), F.get("cells", F.lit(0)).alias("c0")))
 
 
 def image_sections(images: DataFrame, titles: DataFrame) -> DataFrame:

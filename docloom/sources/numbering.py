@@ -23,10 +23,11 @@ def auto_numbers(paragraphs: DataFrame, levels: DataFrame, word_exact: bool = Fa
     w = Window.partitionBy("doc_id", "num_id").orderBy("pos")
     starts = levels.groupBy("doc_id", "num_id").agg(*[F.max(F.when(F.col("ilvl") == k, F.col("start"))).alias(f"s{k}") for k in range(LEVELS)])
     known = known.join(starts, ["doc_id", "num_id"])
-    # resets of level k: paragraphs of a shallower level so far
-    known = known.withColumns({f"g{k}": F.count_if(F.col("ilvl") < k).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in range(1, LEVELS)} | {"g0": F.lit(0).cast("long")})
-    fired = lambda k: F.count_if(F.col("ilvl") == k).over(Window.partitionBy("doc_id", "num_id", f"g{k}").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    known = known.withColumns({f"c{k}": fired(k) for k in range(LEVELS)})
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # paragraphs of level k before, less those before the last shallower one: what a paragraph sees before it resets deeper levels
+    known = known.withColumns({f"n{k}": F.count_if(F.col("ilvl") == k).over(before) for k in range(LEVELS)})
+    since = lambda k: F.coalesce(F.last(F.when(F.col("ilvl") < k, F.col(f"n{k}")), ignorenulls=True).over(before), F.lit(0)) if k else F.lit(0)
+    known = known.withColumns({f"c{k}": F.col(f"n{k}") - since(k) for k in range(LEVELS)})
 
     def shown(k: int):
         start = F.col(f"s{k}")

@@ -47,17 +47,26 @@ def tree_json(entries: DataFrame) -> DataFrame:
     return t.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(node))).alias("json"))
 
 
-def document_json(documents: DataFrame, sections: DataFrame, rows: DataFrame, components: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """doc_id, json: header and footer, and per section its rows (with overrides), field map and ingredients."""
+def document_json(documents: DataFrame, sections: DataFrame, rows: DataFrame, components: DataFrame, items: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """doc_id, json: header and footer, and per section its rows, field map (label to the last value), lines and ingredients.
+
+    Fields and lines are those of the section's items (pos, sub), before lines are split into rows; overrides (section,
+    kind, idx) reach rows and, by kind component, ingredients, which are editable otherwise.
+    """
     from ..operators import quality
 
-    r = quality.apply_overrides(rows, overrides) if overrides is not None else rows
-    fields = r.where("kind = 'field'").groupBy("doc_id", "section", "label").agg(F.max_by("value", "ord").alias("value"))
+    r, c = rows, components.withColumns({"kind": F.lit("component"), "editable": F.lit(True)})
+    if overrides is not None:
+        r, c = quality.apply_overrides(r, overrides), quality.apply_overrides(c, overrides)
+    place = F.struct("pos", "sub")
+    fields = items.where("kind = 'field'").groupBy("doc_id", "section", "label").agg(F.max_by("value", place).alias("value"))
+    lines = items.where("kind = 'line'").select("doc_id", "section", place.alias("at"), "value")
     ordered = lambda c: F.array_sort(F.collect_list(c))
     per = sections.select("doc_id", "section", "title", "full_title")
-    for df, name, cols in ((r, "rows", ("ord", "kind", "seq", "label", "value", "editable")), (fields, "fields", ("label", "value")), (components, "components", ("idx", "name", "cas", "conc"))):
+    for df, name, cols in ((r, "rows", ("ord", "kind", "seq", "label", "value", "editable")), (fields, "fields", ("label", "value")), (lines, "lines", ("at", "value")), (c, "components", ("idx", "name", "cas", "conc", "editable"))):
         per = per.join(df.groupBy("doc_id", "section").agg(ordered(F.struct(*cols)).alias(name)), ["doc_id", "section"], "left")
-    node = F.struct("section", "title", "full_title", "rows", F.map_from_entries("fields").alias("fields"), "components")
+    texts = F.transform("lines", lambda s: s["value"]).alias("lines")
+    node = F.struct("section", "title", "full_title", "rows", F.map_from_entries("fields").alias("fields"), texts, "components")
     docs = per.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("section").alias("k"), F.to_json(node).alias("j")))).alias("s"))
     body = F.concat(F.lit('"sections":['), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]}"))
     head = F.to_json(F.struct("file_name", "sha256", F.coalesce("header", F.lit("")).alias("header"), F.coalesce("footer", F.lit("")).alias("footer")))
@@ -81,9 +90,20 @@ def image_files(images: DataFrame, documents: DataFrame, prefix: str = "") -> Da
 
 
 def export_images(images: DataFrame, documents: DataFrame, path: str, prefix: str = "") -> DataFrame:
-    """Write each image to the shared folder `path`, from the tasks; returns doc_id, name, path.
+    """Write the images under `path`, on any file system that Spark knows; returns doc_id, name and path, the place of each.
+
+    Spark writes no single binary files: pictures are rows (doc_id, section, name, content) of one Parquet table, which
+    its commit keeps whole when executors are lost. unpack_images makes files of them.
+    """
+    image_files(images, documents, prefix).select("doc_id", "section", "name", "content").write.parquet(path)
+    return images.sparkSession.read.parquet(path).select("doc_id", "name", F.concat(F.lit(path.rstrip("/") + "#"), "name").alias("path"))
+
+
+def unpack_images(table: DataFrame, path: str) -> DataFrame:
+    """Files of pictures (doc_id, name, content) in the folder `path`, which the driver and all executors must have mounted; returns doc_id, name, path.
 
-    A picture is written under another name and then renamed, so a task that runs again leaves whole files.
+    A picture is written under another name and then renamed, so a task that runs again leaves whole files. An executor
+    that lacks the folder raises an error.
     """
     import os
 
@@ -102,5 +122,5 @@ def export_images(images: DataFrame, documents: DataFrame, path: str, prefix: st
                 out.append(to)
             yield pdf[["doc_id", "name"]].assign(path=out)
 
-    named = image_files(images, documents, prefix).select("doc_id", "name", "content")
+    named = table.select("doc_id", "name", "content")
     return named.mapInPandas(write, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, name string, path string")

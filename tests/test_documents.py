@@ -3,7 +3,9 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from docloom.operators import pivot
 from docloom.plans.documents import read_documents
 from docloom.sources import docx, sinks
 from docloom.streaming.ingest import ingest, latest
@@ -105,16 +107,57 @@ def test_components(corpus):
 def test_images_and_sinks(spark, corpus, tmp_path):
     images = sorted((r.ord, r.section, r.width, bytes(r.content)) for _, r in by_name(corpus, corpus.images))
     assert images == [(0, 2, 100, b"PNG"), (1, 2, 100, b"PNG"), (2, 2, 100, b"PNG")]  # the one in a title row is of the section before
-    out = sinks.export_images(corpus.images, corpus.documents, str(tmp_path / "img"), "x_").collect()
+    at = sinks.export_images(corpus.images, corpus.documents, str(tmp_path / "img"), "x_").collect()
+    assert len(at) == 3 and all(r.path == f"{tmp_path}/img#{r.name}" and r.name.startswith("x_PU-1") and "_s2_" in r.name for r in at)
+    out = sinks.unpack_images(spark.read.parquet(str(tmp_path / "img")), str(tmp_path / "files")).collect()
     assert len(out) == 3 and all(open(r.path, "rb").read() == b"PNG" for r in out)
     sinks.write_tsv(corpus.entries, str(tmp_path / "tsv"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "tsv")).collect()]
     assert "节\t大标题\t小标题\t标签\t内容" in lines
-    j = sinks.document_json(corpus.documents.where("status = 'ok'"), corpus.sections, corpus.rows, corpus.components).collect()
+    over = corpus.components.where("name = '水'").select("doc_id", "section", F.lit("component").alias("kind"), "idx", F.lit(False).alias("editable"), F.lit(1).alias("at"))
+    j = sinks.document_json(corpus.documents.where("status = 'ok'"), corpus.sections, corpus.rows, corpus.components, corpus.items, over).collect()
     import json
 
     docs = [json.loads(r.json) for r in j]
     assert len(docs) == 4 and all(isinstance(d["sections"], list) for d in docs)
+    pu = {s["section"]: s for d in docs if d["file_name"].startswith("PU-1") for s in d["sections"]}
+    assert pu[9]["fields"] == {"9.1 外观": "液体", "9.2 气味": "", "9.4 闪点": "95"} and pu[4]["fields"] == {"吸入": "新鲜空气\n就医"}
+    assert [(c["name"], c["editable"]) for c in pu[3]["components"]] == [("水", False), ("乙醇", True)] and "merged" in pu[1]["lines"]
+    wide, columns = pivot.build_pivot(corpus.documents.where("status = 'ok'"), corpus.entries, corpus.sections.where("is_component_table").select("doc_id", "section"), corpus.components)
+    got = {r["3_成分1名称"]: r for r in wide.collect()}
+    assert got["水"]["3_成分2CAS"] == "64-17-5" and got["Water"]["3_成分2名称"] == "" and "" in got
+    assert columns.where("kind = 'comp'").count() == 6
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark, tmp_path_factory):
+    """Rows of packages with long cells and boxes, single bold paragraphs and a continuation after a table in one cell."""
+    d = tmp_path_factory.mktemp("odd")
+    save(d / "long.docx", tbl(["9.Title"], [cell(*MANY)], ["Density:", "1"], [cell(*(par(f"item {i} in a long cell", num=(1, 0)) for i in range(1200)))]), box("10.1 Reactivity", *BOXES))
+    save(d / "bold.docx", tbl(["13.Disposal"], [cell(par("Waste Disposal Method of all", bold=True), par(PROSE), par("Other heading, bold no"))]))
+    flat = "Type:\tmixture\nChemical Name\tCAS No.\t%\nWater\t7732-18-5\t60±1".split("\n")
+    save(d / "flat.docx", tbl(["3.Composition"], ["Use:", "paint"], [cell(*(par(x) for x in flat))]), tbl(["4.First aid"], ["Eyes:", "rinse"], ["", "more"]))
+    rows = read_documents(spark, str(d)).rows.orderBy("doc_id", "section", "ord").collect()
+    return {n: [r for r in rows if r.doc_id.endswith(f"{n}.docx")] for n in ("long", "bold", "flat")}
+
+
+MANY, BOXES = [f"line number {i} of these" for i in range(1500)], [f"box line {i} that stands alone" for i in range(150)]
+PROSE = "send it to a plant that is licensed for such waste of all kinds"
+
+
+def test_rows_of_many_lines_keep_them_all(odd_rows):
+    values = "\n".join(r.value for r in odd_rows["long"])
+    assert all(x in values for x in (*MANY, *BOXES))
+    assert {(r.seq, r.label) for r in odd_rows["long"]} >= {(f"9.{i + 1}", f"item {i} in a long cell") for i in range(1200)}
+
+
+def test_bold_of_single_paragraphs(odd_rows):
+    assert [(r.kind, r.label, r.value) for r in odd_rows["bold"]] == [("field", "Waste Disposal Method of all", f"{PROSE}\nOther heading, bold no")]
+
+
+def test_continuation_after_a_table_in_one_cell(odd_rows):
+    got = {(r.section, r.label): r.value for r in odd_rows["flat"]}
+    assert got[3, "Use"] == "paint" and got[3, "Type"] == "mixture" and got[4, "Eyes"] == "rinse\nmore"
 
 
 def test_anomalies(corpus):

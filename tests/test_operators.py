@@ -66,6 +66,22 @@ def test_unified_rows(spark):
     assert got == [(1, "sub", "8.1", "暴露控制", 2, False), (2, "field", "8.2", "手", 0, False), (3, "field", "", "标题", 3, False), (4, "field", "", "", 1, True)]
 
 
+def test_unified_rows_of_long_blocks_and_bold_lines(spark):
+    text = "\n".join(f"line number {i} of this block" for i in range(1500))
+    data = [("d", 8, 0, 0, "line", text, [False] * 1500), ("d", 8, 1, 0, "line", "after it all, a line of its own", [False]), ("d", 9, 0, 0, "line", "Waste Disposal Method of all\nplain text, which is long enough", [True, False])]
+    df = spark.createDataFrame(data, "doc_id string, section int, pos long, sub int, kind string, value string, bold array<boolean>").withColumn("label", F.lit(""))
+    got = blocks.unified_rows(df).orderBy("section", "ord").collect()
+    assert [r.value for r in got if r.section == 8] == [*text.split("\n"), "after it all, a line of its own"]
+    assert [(r.kind, r.label, r.value) for r in got if r.section == 9] == [("field", "Waste Disposal Method of all", "plain text, which is long enough")]
+
+
+def test_split_lines(spark):
+    texts = ["8.1 暴露控制", "氟化橡胶 –FKM:厚度≧0.4mm；穿透时间≧480min.", "· 该产品无可用的毒理学研究。", "", None]
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc_id string, pos long, line string")
+    got = [(r.kind, r.label, r.value) for r in blocks.split_lines(df).orderBy("pos").collect()]
+    assert got[0] == ("sub", "暴露控制", "") and got[1][:2] == ("field", "氟化橡胶 –FKM") and got[2:] == [("note", "", texts[2]), ("note", "", ""), ("note", "", "")]
+
+
 def test_component_cells(spark):
     df = spark.createDataFrame([(1, "封闭型脂肪族聚异氰酸酯\n二丙二醇二甲醚\n水\nN,N-二甲基乙醇胺", "商业机密\n872-50-4\n7732-18-5\n108-01-0", "45-55\n5-10\n35-45\n0.5-2"), (2, "\n", "x", "y"), (3, "a\n\nb", None, "1")], "doc_id int, name_cell string, cas_cell string, conc_cell string")
     got = [(r.doc_id, r.idx, r.name, r.cas, r.conc) for r in components.split_cells(df).orderBy("doc_id", "idx").collect()]
@@ -97,6 +113,9 @@ def test_auto_numbers(spark):
     p = spark.createDataFrame([("d", i, "1", lvl) for i, lvl in enumerate([0, 0, 1, 1, 0, 1])] + [("d", 9, "7", 0)], "doc_id string, pos long, num_id string, ilvl int")
     levels = spark.createDataFrame([("d", "1", 0, 1, "9.%1"), ("d", "1", 1, 1, "%1.%2")], "doc_id string, num_id string, ilvl int, start int, lvl_text string")
     assert [r.number for r in auto_numbers(p, levels).orderBy("pos").collect()] == ["9.1", "9.2", "3.1", "3.2", "9.3", "4.1", ""]
+    # a template of level 0 sees the deeper counter of the item before
+    levels = spark.createDataFrame([("d", "1", 0, 1, "%1-%2"), ("d", "1", 1, 1, "%1.%2")], "doc_id string, num_id string, ilvl int, start int, lvl_text string")
+    assert [r.number for r in auto_numbers(p, levels).orderBy("pos").collect()] == ["1-1", "2-1", "3.1", "3.2", "3-3", "4.1", ""]
 
 
 def test_merged_cells(spark):
