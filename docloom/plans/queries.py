@@ -217,9 +217,9 @@ def _content(spark, d):
     return x.select("doc_id", "section", "pos", F.array("c0", "c1").alias("cells"), F.lit(False).alias("bold0"))
 
 
-@query("row_class", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS} SELECT section, row_class, count(*) AS n, min(pos) AS first, max(pos) AS last FROM classed GROUP BY ALL", "rows")
+@query("row_class", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS} SELECT doc_id, section, pos, row_class FROM classed", "rows")
 def row_class(spark, d):
-    return rows.classify(_content(spark, d)).groupBy("section", "row_class").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return rows.classify(_content(spark, d)).select("doc_id", "section", "pos", "row_class")
 
 
 ITEMS = f"""items AS (SELECT doc_id, section, anchor AS pos, arg_min(label, pos) AS label, coalesce(string_agg(c1, chr(10) ORDER BY pos) FILTER (c1 <> ''), '') AS value, arg_min(kind, pos) AS kind FROM (
@@ -233,11 +233,11 @@ def continuation_merge(spark, d):
     return rows.section_items(_content(spark, d)).where("kind = 'field'").select("doc_id", "section", "pos", "kind", "label", "value")
 
 
-@query("component_latch", f"WITH {TITLED}, {CARRIED}, {CONTENT}, headed AS (SELECT *, pos % 97 = 0 AS is_header FROM content) SELECT doc_id, section, count(*) AS n, count(*) FILTER (latched) AS n_components, max(hdr) AS component_header FROM (SELECT *, coalesce(max(is_header::INT) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS latched, last_value(CASE WHEN is_header THEN 'Chemical Name | CAS No. | ' || pos || '%' END IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hdr FROM headed) GROUP BY ALL", "rows")
+@query("component_latch", f"WITH {TITLED}, {CARRIED}, {CONTENT}, headed AS (SELECT *, pos % 97 = 0 AS is_header FROM content) SELECT doc_id, section, pos, is_header, latched AS in_components, hdr AS component_header FROM (SELECT *, coalesce(max(is_header::INT) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS latched, last_value(CASE WHEN is_header THEN 'Chemical Name | CAS No. | ' || pos || '%' END IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hdr FROM headed)", "rows")
 def component_latch(spark, d):
     header = F.array(F.lit("Chemical Name "), F.lit("CAS No."), F.concat(F.col("pos").cast("string"), F.lit("%")))
     x = _content(spark, d).withColumn("cells", F.when(F.col("pos") % 97 == 0, header).otherwise(F.col("cells")))
-    return rows.component_latch(x).groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.count_if("in_components").alias("n_components"), F.max("component_header").alias("component_header"))
+    return rows.component_latch(x).select("doc_id", "section", "pos", "is_header", "in_components", "component_header")
 
 
 S_SEQ, S_LABEL = SPLIT("label")
@@ -319,9 +319,9 @@ def text_block_units(spark, d):
 CLASS_RE = r"^([^\s\p{Z}].*?)[\s\p{Z}]{2,}(未分类|类别[\s\p{Z}]*\p{Nd}+(?:[A-Z])?|\p{Nd}+(?:[A-Z]?B?类))[\s\p{Z}]*[。.]?[\s\p{Z}]*$"
 
 
-@query("class_rows", f"WITH x AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN left(trim(line, {WHITE}), 12) || '   ' || (pos % 5) || 'B类。' ELSE line END AS line FROM lines), s AS (SELECT doc_id, pos, trim(line, {WHITE}) AS t FROM x) SELECT doc_id, pos, trim(regexp_extract(t, '{CLASS_RE}', 1), {WHITE}) AS name, regexp_extract(t, '{CLASS_RE}', 2) AS category FROM s WHERE regexp_matches(t, '{CLASS_RE}')", "lines")
+@query("class_rows", f"WITH x AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN trim(line, {WHITE}) || '   ' || (pos % 5) || 'B类。' ELSE line END AS line FROM lines), s AS (SELECT doc_id, pos, trim(line, {WHITE}) AS t FROM x) SELECT doc_id, pos, trim(regexp_extract(t, '{CLASS_RE}', 1), {WHITE}) AS name, regexp_extract(t, '{CLASS_RE}', 2) AS category FROM s WHERE regexp_matches(t, '{CLASS_RE}')", "lines")
 def class_rows(spark, d):
-    line = F.when(F.col("pos") % 3 == 0, F.concat(F.substring(T.strip(F.col("line")), 1, 12), F.lit("   "), (F.col("pos") % 5).cast("string"), F.lit("B类。"))).otherwise(F.col("line"))
+    line = F.when(F.col("pos") % 3 == 0, F.concat(T.strip(F.col("line")), F.lit("   "), (F.col("pos") % 5).cast("string"), F.lit("B类。"))).otherwise(F.col("line"))
     return A.lines(spark, d).withColumn("c", T.class_row(line)).where("c.name is not null").select("doc_id", "pos", "c.name", "c.category")
 
 
@@ -515,3 +515,6 @@ def page_story(spark, d):
 @query("fingerprint", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def fingerprint(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+from . import row_queries  # noqa: E402, F401  (it registers its queries, and needs the pieces above)
