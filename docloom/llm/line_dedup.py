@@ -59,8 +59,10 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """One batch of (doc_id, h1, h2), whole documents at a time."""
         counted = keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+        # n_docs is in the condition to hold the join above the count: on the keys alone, the optimizer moves it below, to the lines
         for run in self.settled:
-            counted = counted.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            known = run.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")).hint("merge")
+            counted = counted.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_docs") > 0), "left_anti")
         self._push(0, self._write(counted, "run-0"))
 
     def _push(self, level: int, run: DataFrame) -> None:
