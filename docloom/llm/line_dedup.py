@@ -32,7 +32,7 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs of (h1, h2, n_docs) in levels, and the settled runs of keys in at least min_docs documents."""
+    """Sorted runs of (h1, h2, n_docs, n_lines) in levels, and the settled runs of keys in at least min_docs documents."""
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
@@ -45,24 +45,27 @@ class LineRuns:
     def _write(self, df: DataFrame, kind: str) -> DataFrame:
         self._made += 1
         run = f"{self.name}_{self._made}"
-        held = df.select("h1", "h2", "n_docs").write.option("path", f"{self.path}/{kind}-{self._made}")
+        held = df.select("h1", "h2", "n_docs", "n_lines").write.option("path", f"{self.path}/{kind}-{self._made}")
         held.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(run)
         kept = self.spark.table(run)
         self.spark.sql(f"DROP TABLE {run}")  # the catalog lets go of it; the files stay with their reader
         return kept
 
     def common(self) -> DataFrame:
-        """Keys that are settled."""
-        none = self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
-        return reduce(DataFrame.unionByName, self.settled) if self.settled else none
+        """Keys that are settled, and the lines counted until then."""
+        return reduce(DataFrame.unionByName, self.settled).groupBy("h1", "h2").agg(F.sum("n_lines").alias("n_lines"))
+
+    def others(self) -> DataFrame:
+        """What the levels hold: keys that are not settled, or were counted before or beside the run that settled them."""
+        return reduce(DataFrame.unionByName, [r for level in self.levels for r in level])
 
     def add(self, keys: DataFrame) -> None:
-        """One batch of (doc_id, h1, h2), whole documents at a time."""
-        counted = keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        # n_docs is in the condition to hold the join above the count: on the keys alone, the optimizer moves it below, to the lines
+        """One batch of (doc_id, h1, h2), whole documents at a time; lines without doc_id count as lines only."""
+        counted = keys.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.sum("n").alias("n_lines"))
+        # n_lines is in the condition to hold the join above the count: on the keys alone, the optimizer moves it below, to the lines
         for run in self.settled:
             known = run.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")).hint("merge")
-            counted = counted.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_docs") > 0), "left_anti")
+            counted = counted.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_lines") > 0), "left_anti")
         self._push(0, self._write(counted, "run-0"))
 
     def _push(self, level: int, run: DataFrame) -> None:
@@ -77,15 +80,13 @@ class LineRuns:
     def _settle(self, runs: list[DataFrame], level: int) -> DataFrame:
         """Merge runs; a key that has its documents moves to the settled runs."""
         both = reduce(DataFrame.unionByName, runs)
-        merged = self._write(both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")), f"run-{level}")
+        merged = self._write(both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_lines").alias("n_lines")), f"run-{level}")
         self.settled.append(self._write(merged.where(F.col("n_docs") >= self.min_docs), "settled"))
         return merged.where(F.col("n_docs") < self.min_docs)
 
     def compact(self) -> None:
         """Merge all levels into one run."""
-        runs = [r for level in self.levels for r in level]
-        if runs:
-            self.levels = [[self._settle(runs, len(self.levels))]]
+        self.levels = [[self._settle([r for level in self.levels for r in level], len(self.levels))]]
 
 
 def _dealt(lines: DataFrame, batches: int) -> DataFrame:
@@ -117,12 +118,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     lines = _dealt(lines.select("doc_id", "row", "by", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2")), batches)
     runs = LineRuns(spark, min_docs, fanout)
     for k in range(batches):
-        runs.add(lines.where((F.col("batch") == k) & F.col("by").isNotNull()).select(F.col("by").alias("doc_id"), "h1", "h2"))
+        runs.add(lines.where(F.col("batch") == k).select(F.col("by").alias("doc_id"), "h1", "h2"))
     runs.compact()
-    common = runs.common().groupBy("h1", "h2").agg(F.max("n_docs").alias("n_docs"))
-    # keys of so many documents are HOT at most: told to every task, they need no shuffle; no other key has a large share of lines
-    often = F.col("n_docs") >= -(-lines.count() // HOT)
-    hot = lines.join(F.broadcast(common.where(often).select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left")
+    common, uncommon = runs.common(), runs.others()
+    # keys of so many lines are HOT at most, common or not (the lines of one document's copies are not): told to every task,
+    # they need no shuffle. A settled key's lines are counted in its own batches only: no key beyond them has a large share
+    often = F.col("n_lines") >= -(-lines.count() // HOT)
+    frequent = common.where(often).select("h1", "h2", F.lit(True).alias("hot"))
+    spared = uncommon.where(often).select("h1", "h2", F.lit(False).alias("hot")).join(common.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    hot = lines.join(F.broadcast(frequent.unionByName(spared)), ["h1", "h2"], "left")
     rest = hot.where("hot is null").join(common.where(~often).select("h1", "h2"), ["h1", "h2"])
     place = ["doc_id", "row", "pos"]
     dropped = hot.where("hot").select(*place).unionByName(rest.select(*place)).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))

@@ -229,12 +229,15 @@ def test_line_dedup_odd_rows(spark, odd):
     assert got.columns == [*clash.columns[:-1], "n_lines", "n_dropped"] and got.where("parts = 1 and drop = 1").count() == len(rows)
 
 
-def test_line_runs_settle_over_batches(spark):
+def test_line_runs_settle_over_batches(spark, monkeypatch):
     rows = [(d, "\n".join([f"Line {d % 7} ", "same", f"own {d}"])) for d in range(80)]
+    rows += [(80, "often\n" * 90 + "same")] + [(None, "no id\nsame")] * 30
     df = spark.createDataFrame(rows, "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    for batches, fanout in ((1, 2), (5, 2), (8, 3)):
+    # few keys told to every task leave others to the last join: "often" and "no id" are frequent and not common
+    for batches, fanout, hot in ((1, 2, 10_000), (5, 2, 12), (8, 3, 4)):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
         got = line_dedup.dedup_lines(df, min_docs=11, batches=batches, fanout=fanout).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
         assert sorted((tuple(r) for r in got), key=str) == plain_lines(rows, 11)
 
