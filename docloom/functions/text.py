@@ -21,6 +21,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(c: Column, f) -> Column:
+    """f(c) with c worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(text(c), WS + "+", " "))
 
@@ -47,20 +52,23 @@ def normalize_label(c: Column) -> Column:
 
 def section_title(c: Column) -> Column:
     """struct(n, title) of a section title, both null for other text."""
-    return section_title_of(squeeze(c))
+    return once(squeeze(c), section_title_of)
 
 
 def section_title_of(t: Column) -> Column:
     """section_title of squeezed text; a column of its own keeps the squeeze from being done for each test."""
-    en, cn = X.TITLE_EN, X.TITLE_CN
     body = F.when(t.rlike(r"^[a-zA-Z]"), strip(F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
     # try_cast: text without a number gives null
-    n_en, n_cn = (group(x, p).try_cast("int") for x, p in ((t, en), (body, cn)))
-    is_en = t.rlike(en)
-    title = F.regexp_extract(body, cn, 2)
+    number = lambda x, p: group(x, p).try_cast("int")
+    parts = once(body, lambda x: F.struct(number(t, X.TITLE_EN).alias("en"), number(x, X.TITLE_CN).alias("cn"), F.regexp_extract(x, X.TITLE_CN, 2).alias("title")))
+    return once(parts, lambda p: _title(t, p["en"], p["cn"], p["title"]))
+
+
+def _title(t: Column, n_en: Column, n_cn: Column, title: Column) -> Column:
+    is_en = t.rlike(X.TITLE_EN)
     ok_cn = (F.length(t) <= 60) & n_cn.between(1, 16) & ~has_colon(title) & ~title.rlike(r"\p{Nd}+\.\p{Nd}|^\p{Nd}")
     kind = F.when(is_en & (F.length(t) > 100), 0).when(is_en & n_en.between(1, 16), 1).when(ok_cn, 2).otherwise(0)
-    return F.struct(F.when(kind == 1, n_en).when(kind == 2, n_cn).alias("n"), F.when(kind == 1, strip(F.regexp_extract(t, en, 2))).when(kind == 2, strip(title)).alias("title"))
+    return once(kind, lambda k: F.struct(F.when(k == 1, n_en).when(k == 2, n_cn).alias("n"), F.when(k == 1, strip(F.regexp_extract(t, X.TITLE_EN, 2))).when(k == 2, strip(title)).alias("title")))
 
 
 def first_hint(c: Column, hints) -> Column:
@@ -165,8 +173,10 @@ def component_name(c: Column) -> Column:
 
 
 def component_cas(c: Column) -> Column:
-    t0 = strip(text(c))
-    t = F.replace(half_width(t0), F.lit(" "), F.lit(""))
+    return once(strip(text(c)), lambda t0: once(F.replace(half_width(t0), F.lit(" "), F.lit("")), lambda t: _placeholder_or(t0, t)))
+
+
+def _placeholder_or(t0: Column, t: Column) -> Column:
     kept = t.isin(*X.CAS_PLACEHOLDERS) | F.lower(t).isin(*X.CAS_PLACEHOLDERS_EN)
     return F.when(t0.rlike(X.CAS_PLACEHOLDER_SPACED), t0).when(kept, t).when(t.rlike(r"^[\-—–－~·]+$"), "").otherwise(t)
 
@@ -191,25 +201,27 @@ def take_out(t: Column, found: Column) -> Column:
 
 def extract_cas(c: Column) -> Column:
     """struct(cas, rest): a placeholder first, else a CAS number."""
-    t = text(c)
-    found = F.when(t.rlike(X.CAS_PLACEHOLDER_IN_TEXT), F.regexp_extract(t, X.CAS_PLACEHOLDER_IN_TEXT, 1)).otherwise(F.regexp_extract(t, X.CAS_IN_TEXT, 1))
-    return F.struct(found.alias("cas"), take_out(t, found).alias("rest"))
+    return once(text(c), lambda t: once(_cas_in(t), lambda found: F.struct(found.alias("cas"), take_out(t, found).alias("rest"))))
+
+
+def _cas_in(t: Column) -> Column:
+    return F.when(t.rlike(X.CAS_PLACEHOLDER_IN_TEXT), F.regexp_extract(t, X.CAS_PLACEHOLDER_IN_TEXT, 1)).otherwise(F.regexp_extract(t, X.CAS_IN_TEXT, 1))
 
 
 def extract_conc(c: Column) -> Column:
     """struct(conc, rest): a range, a percentage, or a bare number."""
-    t = text(c)
-    found = F.regexp_extract(t, X.CONC_IN_TEXT, 1)
-    return F.struct(F.replace(found, F.lit(" "), F.lit("")).alias("conc"), take_out(t, found).alias("rest"))
+    return once(text(c), lambda t: once(F.regexp_extract(t, X.CONC_IN_TEXT, 1), lambda found: F.struct(F.replace(found, F.lit(" "), F.lit("")).alias("conc"), take_out(t, found).alias("rest"))))
 
 
 def component_of_text(c: Column, with_tab: bool = False) -> Column:
     """struct(name, cas, conc) of a free ingredient row, null where it is none: a CAS is needed (with_tab: or a concentration)."""
-    one = extract_cas(c)
-    two = extract_conc(one["rest"])
-    name = F.regexp_replace(squeeze(two["rest"]), r"[\s\p{Z}\-—–]+$", "")
-    found = (one["cas"] != "") | ((two["conc"] != "") if with_tab else F.lit(False))
-    return F.when((name != "") & found, F.struct(name.alias("name"), one["cas"].alias("cas"), two["conc"].alias("conc")))
+
+    def named(one: Column, two: Column, name: Column) -> Column:
+        found = (one["cas"] != "") | ((two["conc"] != "") if with_tab else F.lit(False))
+        return F.when((name != "") & found, F.struct(name.alias("name"), one["cas"].alias("cas"), two["conc"].alias("conc")))
+
+    name_of = lambda two: F.regexp_replace(squeeze(two["rest"]), r"[\s\p{Z}\-—–]+$", "")
+    return once(extract_cas(c), lambda one: once(extract_conc(one["rest"]), lambda two: once(name_of(two), lambda name: named(one, two, name))))
 
 
 def is_mixture_header(c: Column) -> Column:
@@ -219,7 +231,10 @@ def is_mixture_header(c: Column) -> Column:
 def mixture_row(c: Column) -> Column:
     """struct(name, conc) of a row after a mixture header, null where it names no ingredient."""
     v = F.regexp_replace(F.replace(text(c), F.lit("\xa0"), F.lit(" ")), r"^[\s\p{Z}·•\-]+", "")
-    v = strip(F.regexp_replace(F.regexp_replace(v, r"(?i)^Description\s*:\s*", ""), r"\s*/\s*$", ""))
+    return once(strip(F.regexp_replace(F.regexp_replace(v, r"(?i)^Description\s*:\s*", ""), r"\s*/\s*$", "")), _mixture_parts)
+
+
+def _mixture_parts(v: Column) -> Column:
     low = F.lower(v)
     none = (v == "") | (low == "void") | low.startswith("dangerous components") | low.contains("no hazardous components") | low.startswith("composition")
     tail = X.MIXTURE_TAIL
@@ -233,7 +248,7 @@ def mixture_row(c: Column) -> Column:
 def page_fields(c: Column) -> Column:
     """array<struct(label, value, editable)> of a header or footer line."""
     # a lambda has the trimmed text worked out once, and keeps the generated code small
-    return F.element_at(F.transform(F.array(strip(text(c))), _page_fields), 1)
+    return once(strip(text(c)), _page_fields)
 
 
 def _page_fields(t: Column) -> Column:

@@ -20,7 +20,7 @@ def component_structs(name, cas, conc):
     one = lambda n, c, p: F.struct(T.component_name(n).alias("name"), T.component_cas(c).alias("cas"), T.component_conc(p).alias("conc"), T.strip(T.text(n)).alias("raw_name"), T.strip(T.text(c)).alias("raw_cas"), T.strip(T.text(p)).alias("raw_conc"))
     all_rows = F.filter(F.transform(zipped, lambda z: one(z["n"], z["c"], z["p"])), lambda s: s["name"] != "")
     only = F.array(one(name, F.lit(""), F.lit("")))
-    return F.element_at(F.transform(F.array(all_rows), lambda a: F.when(F.size(a) > 0, a).otherwise(only)), 1)
+    return T.once(all_rows, lambda a: F.when(F.size(a) > 0, a).otherwise(only))
 
 
 def split_cells(cells: DataFrame, keys=("doc_id",)) -> DataFrame:
