@@ -69,10 +69,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hashed(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(raw: np.ndarray, edge: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some bytes, and where these begin; edge: the places where a text begins."""
     n = len(raw)
-    space = _SPACE[raw]
+    space = between[raw]
     opens, closes = ~space, ~space
     opens[1:] &= space[:-1]
     closes[:-1] &= space[1:]
@@ -86,20 +86,20 @@ def _hashed(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h + (end - start).astype(np.uint64)), start
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words on end, and the n + 1 word offsets of the texts.
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, part: int = PART, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words on end, and the n + 1 word offsets of the texts; between: for each of the 256 bytes, whether it parts words.
 
-    Bytes are taken in parts that end at white space, or at the end of a word longer than a part: what is held beside the
+    Bytes are taken in parts that end between words, or at the end of a word longer than a part: what is held beside the
     hashes does not grow with the longest text.
     """
     hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(raw):
         to = at + part
-        while to < len(raw) and not len(gap := np.flatnonzero(_SPACE[raw[to : to + part]])):
+        while to < len(raw) and not len(gap := np.flatnonzero(between[raw[to : to + part]])):
             to += part
         to = min(len(raw), to + int(gap[0])) if to < len(raw) else len(raw)
         here = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
-        h, start = _hashed(raw[at:to], here)
+        h, start = _hashed(raw[at:to], here, between)
         hashes.append(h)
         starts.append(start + at)
         at = to

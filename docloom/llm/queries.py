@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, packing, token_counts, warc
+from . import ann, conversations, decontamination, fingerprints, language_id, lexical_search, line_dedup, lm_score, mixing, near_dedup, packing, token_counts, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_document_fingerprints": fingerprints.op8_document_fingerprints,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_ranked_search": lexical_search.op12_ranked_search,
+    "op13_benchmark_decontamination": decontamination.op13_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_nearest_neighbours": ann.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_ranked_search": lexical_search.OP12_SQL,
+    "op13_benchmark_decontamination": decontamination.OP13_SQL,
 }
