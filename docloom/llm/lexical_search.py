@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import keep, slices, table
 from .terms import pack, query_blocks, ranges, term_counts, term_hashes, unpack
@@ -185,7 +186,6 @@ class _Segment:
 def _ranked(block, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vocabulary, weights, items, thresholds = block.value
-        names = pa.array(names)
         for b in batches:
             for i in range(b.num_rows):
                 segment = _Segment(b, i, vocabulary, weights)
@@ -211,6 +211,7 @@ def search(index: Index, items: DataFrame, top: int = TOP, part: int | None = No
     if index.n_terms:
         # equal texts of an item say nothing new
         texts = items.where("item_id is not null").groupBy(F.col("item_id").alias("item")).agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+        kind = to_arrow_type(texts.schema["item"].dataType)
         part = part or isqrt(index.segments.count())
         for names, terms in query_blocks(texts):
             terms = [np.unique(t) for t in terms]
@@ -219,7 +220,7 @@ def search(index: Index, items: DataFrame, top: int = TOP, part: int | None = No
             asked = np.split(place, np.cumsum([len(t) for t in terms])[:-1])
             thresholds = np.zeros(len(names))
             schema = f"item long, item_id {texts.schema['item'].dataType.simpleString()}, doc_id long, score long"
-            ranked = lambda segments: segments.mapInArrow(_ranked(spark.sparkContext.broadcast((names, vocabulary, weights, asked, thresholds)), top), schema)  # noqa: B023, E731
+            ranked = lambda segments: segments.mapInArrow(_ranked(spark.sparkContext.broadcast((pa.array(names, kind), vocabulary, weights, asked, thresholds)), top), schema)  # noqa: B023, E731
             if part > 1:
                 first = ranked(index.segments.where(F.pmod(F.xxhash64("first_row"), F.lit(part)) == 0))
                 last = first.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("rank") == top)
