@@ -305,8 +305,9 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     A null text or one without a letter is `und`, score 0 and rejected. lang and doc_id are no inputs.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
-    need = list(dict.fromkeys([*carry, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    need = [quoted(c) for c in dict.fromkeys([*carry, "text"])]
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.select(*map(quoted, carry)).schema)
     return docs.select(*need).mapInArrow(_identified(held, carry), f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 

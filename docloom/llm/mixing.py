@@ -7,7 +7,7 @@ that the sum passes in it. So a source takes its target to within about its long
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, keep, table
@@ -17,6 +17,7 @@ MOST = 3
 #: Cells in which the documents of one source and class of size are ranked.
 CELLS = 64
 SEED = "mix-1"
+RESULT = ("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def numbered(df: DataFrame, *order, to: str = "number") -> DataFrame:
@@ -58,16 +59,24 @@ def size_class(size):
     return F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
 
 
+def _cell() -> Column:
+    """A row's cell by a hash of its id, or of its text without one, so that ids of any pattern spread."""
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("n"), F.coalesce("text", F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % CELLS
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, carry: tuple = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source; others are ignored).
 
     size is the number of words `[^\\x20\\x09-\\x0D]+` (null text: 0); taken = size * copies. A null source is a source of
     its own. Sources without words have target 0 and give nothing. Repeated rows are documents each; a null doc_id is
-    placed as 0. An empty table gives no rows. The columns `carry` are passed through and order rows of one id and size.
+    placed by its text. An empty table gives no rows. The columns `carry` are passed through and order rows of one id and
+    size; one with the name of a result column comes back with `_in` behind its name.
     """
+    carried = [f"_carry{i}" for i in range(len(carry))]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), *carry)
-    sized = sized.withColumns({"key": F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("n")), "class": size_class(F.col("size")), "cell": F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(CELLS))})
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _cell().alias("cell"), *[F.col(f"`{c}`").alias(x) for c, x in zip(carry, carried, strict=True)])
+    sized = sized.withColumns({"key": F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("n")), "class": size_class(F.col("size"))})
     sized = keep(sized, "sized")
     cells = sized.groupBy("key", "source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     cells = keep(cells, "size-cells")
@@ -76,13 +85,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str =
     # a source has 64 cells for each class at most: a bounded window
     before = F.sum("n").over(Window.partitionBy("key").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("key", "class", "cell", F.coalesce(before, F.lit(0)).alias("before")).join(targets, "key")
-    nth = F.row_number().over(Window.partitionBy("key", "class", "cell").orderBy("size", "doc_id", *carry))
+    nth = F.row_number().over(Window.partitionBy("key", "class", "cell").orderBy("size", "doc_id", *carried))
     rows = sized.withColumn("nth", nth).join(cells, ["key", "class", "cell"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rows = rows.withColumns({"rate": rate, "offset": offset, "rank": F.col("before") + F.col("nth")})
     copies = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
-    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"), *carry)
+    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"), *[F.col(x).alias(f"{c}_in" if c in RESULT else c) for c, x in zip(carry, carried, strict=True)])
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:
@@ -92,7 +101,7 @@ def op9_source_mixing(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce('s:' || source, 'n') AS key, (coalesce(doc_id, 0) % 64 + 64) % 64 AS cell
+         coalesce('s:' || source, 'n') AS key, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'n' || coalesce(text, ''))), 1, 8))::BIGINT % 64 AS cell
   FROM documents),
 sources AS (
   SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),

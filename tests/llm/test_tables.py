@@ -143,10 +143,26 @@ def test_mixing_odd_rows(spark, odd):
     assert all(r.taken <= 3 * r.size for r in got)
     assert mixing.mix(odd.limit(0)).count() == 0
     assert mixing.mix(odd.selectExpr("*", "1 as size", "2 as taken", "3 as cell", "4 as rank", "5 as key")).count() == len(got)
+    carried = mixing.mix(odd.selectExpr("*", "1 as size", "'a' as `x.y`"), carry=("size", "x.y", "kept"))
+    assert {"size", "size_in", "x.y", "kept"} <= set(carried.columns) and carried.count() == len(got)
     none = mixing.mix(odd.withColumn("text", F.lit(""))).collect()
     assert {(r.target, r.taken) for r in none} == {(0.0, 0)}
 
 
+def test_mixing_spreads_ids_of_any_pattern(spark):
+    ids = spark.range(2000).selectExpr("id * 64 AS doc_id", "concat('word ', id) AS text")
+    for df in (ids, ids.selectExpr("CAST(NULL AS long) AS doc_id", "text")):
+        assert df.select(mixing._cell().alias("c")).distinct().count() == mixing.CELLS
+
+
+def test_pipeline_tells_rows_of_nulls_apart(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "t", "en", None), (1, "t", None, "en"), (1, "t", "", "en"), (1, None, "t", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(1).cast("long"))
+    assert df.select(p._key().alias("k")).distinct().count() == 4
+
+
 def test_pipeline_against_a_plain_version(spark, sf, texts):
     import corpus_pipeline as p
     from docloom.llm.common import keep, table

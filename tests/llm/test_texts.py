@@ -378,8 +378,8 @@ def test_language_id_odd_rows(spark, odd):
         assert (by[d].lang_pred, by[d].score, by[d].rejected) == ("und", 0.0, True)
     assert by[3].lang_pred in ("en", "de", "es", "fr")
     assert language_id.identify_languages(odd.limit(0)).count() == 0
-    clash = odd.selectExpr("*", "7 as rejected", "8 as Score")
-    assert language_id.identify_languages(clash).columns == [*odd.columns, *language_id.NEW]
+    clash = odd.selectExpr("*", "7 as rejected", "8 as Score", "9 as `a.b`")
+    assert language_id.identify_languages(clash).columns == [*odd.columns, "a.b", *language_id.NEW]
     assert {r.lang_pred for r in language_id.identify_languages(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
 
 
