@@ -16,8 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _key() -> Column:
-    """A row's key, of all that it holds: rows without an id, or of one id with unlike texts, are told apart by it."""
-    return F.xxhash64("doc_id", "text", "lang", "source")
+    """128 bits of all that a row holds, nulls and empty strings apart: equal rows share it, and rows without an id, or unlike texts of one id, are told apart."""
+    return F.md5(F.to_json(F.struct("doc_id", "text", "lang", "source")))
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -37,13 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id; rows without doc_id stand alone and stay."""
-    rows = docs.select(*COLUMNS, _key().alias("_key"))
+    rows = keep(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
     known = rows.where("doc_id is not null")
-    groups = near_duplicates(known.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    kept = known.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key"))
-    # rows of one key are equal in all columns
-    known = known.join(kept.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
-    return known.select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
+    groups = near_duplicates(known.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = known.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    kept = known.join(first.select("_row"), "_row", "left_semi")
+    return kept.select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
