@@ -58,3 +58,12 @@ SEARCH_DROPPED = r"[\s\p{Z}：:，,。；;（）()\-]"
 EDGE_PUNCTUATION = "，,。；;.:：·-—–～~"
 #: White space as str.strip() has it.
 WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+# Fixed values of HTML: elements that begin and end a block of text; those of them that have no end tag; those that make text bold.
+HTML_BLOCKS = (
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody",
+    "td", "tfoot", "th", "thead", "title", "tr", "ul",
+)
+HTML_ENDLESS = ("hr",)
+HTML_BOLD = ("b", "strong")

@@ -30,6 +30,25 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(text(c), WS + "+", " "))
 
 
+def _decimal_digits() -> tuple[str, str]:
+    """Every decimal digit of Unicode beyond ASCII, and the ASCII digit of each."""
+    import sys
+    import unicodedata
+
+    if not _digits:
+        found = [(chr(c), d) for c in range(128, sys.maxunicode + 1) if (d := unicodedata.decimal(chr(c), None)) is not None]
+        _digits.extend(("".join(c for c, _ in found), "".join(str(d) for _, d in found)))
+    return _digits[0], _digits[1]
+
+
+_digits: list[str] = []
+
+
+def whole_number(c: Column, kind: str = "decimal(37,0)") -> Column:
+    """Decimal digits of any script as a number; null for no digits, or for more than the type holds."""
+    return F.translate(c, *_decimal_digits()).try_cast(kind)
+
+
 def any_word(c: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 

@@ -9,12 +9,29 @@ from ..functions import fixed as X
 from ..functions import text as T
 
 
-def number_gaps(labels: DataFrame) -> DataFrame:
-    """doc_id, missing (like '9.3, 9.5'): numbers 9.n that no label has, between the least and the greatest; labels: doc_id, label."""
-    n = labels.select("doc_id", F.explode(F.regexp_extract_all("label", F.lit(r"(?m)^9\.(\p{Nd}+)"), F.lit(1))).alias("n")).withColumn("n", F.col("n").cast("int"))
-    g = n.groupBy("doc_id").agg(F.collect_set("n").alias("s"))
-    gap = F.array_except(F.sequence(F.array_min("s"), F.array_max("s")), F.col("s"))
-    return g.where(F.size(gap) > 0).select("doc_id", F.array_join(F.transform(F.array_sort(gap), lambda k: F.concat(F.lit("9."), k.cast("string"))), ", ").alias("missing"))
+#: Missing numbers of one gap that are listed one by one; a longer gap is written as its first and last number.
+LISTED = 100
+
+
+def gap_ranges(labels: DataFrame) -> DataFrame:
+    """doc_id, first, last (whole numbers): the ranges of n between the least and the greatest 9.n of a document that no label has; labels: doc_id, label.
+
+    A label can hold several numbers, each at the beginning of a line. Numbers of over 37 digits take no part. A gap is one
+    row however wide it is.
+    """
+    n = labels.select("doc_id", F.explode(F.regexp_extract_all("label", F.lit(r"(?m)^9\.(\p{Nd}+)"), F.lit(1))).alias("n")).withColumn("n", T.whole_number(F.col("n"))).where("n is not null").distinct()
+    after = n.withColumn("next", F.lead("n").over(Window.partitionBy("doc_id").orderBy("n"))).where("next > n + 1")
+    return after.select("doc_id", (F.col("n") + 1).cast("decimal(38,0)").alias("first"), (F.col("next") - 1).cast("decimal(38,0)").alias("last"))
+
+
+def number_gaps(labels: DataFrame, listed: int = LISTED) -> DataFrame:
+    """doc_id, missing (like '9.3, 9.5'): the numbers of gap_ranges in order; a gap of more than `listed` is '9.first-9.last'."""
+    name = lambda c: F.concat(F.lit("9."), c.cast("string"))
+    size = F.col("last") - F.col("first")
+    each = F.transform(F.sequence(F.lit(0), F.least(size, F.lit(listed)).cast("int")), lambda k: name((F.col("first") + k).cast("decimal(38,0)")))
+    text = F.when(size < listed, F.array_join(each, ", ")).otherwise(F.concat(name(F.col("first")), F.lit("-"), name(F.col("last"))))
+    g = gap_ranges(labels).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", text.alias("text")))).alias("g"))
+    return g.select("doc_id", F.array_join(F.transform("g", lambda x: x["text"]), ", ").alias("missing"))
 
 
 def missing_sections(documents: DataFrame, sections: DataFrame) -> DataFrame:
@@ -73,17 +90,25 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     return rows.join(latest, keys, "left").withColumn("editable", F.coalesce("_o", "editable")).drop("_o")
 
 
+#: Pictures that a mark of a larger number covers: more than a section has.
+ALL = 1 << 40
+
+
 def allocate_images(places: DataFrame, images: DataFrame) -> DataFrame:
-    """images (doc_id, section, ord) with place, the pos of the placeholder that covers them, or null.
+    """images (doc_id, section, ord) with nth (from 0 in the section) and place, the pos of the placeholder that covers them, or null.
 
-    places: doc_id, section, pos, text with [象形图] or [象形图×n]. Placeholders take images in order; the join is an
-    equality on document and section with the range as a further condition.
+    places: doc_id, section, pos, text with [象形图] or [象形图×n]; the first mark of a text counts. Placeholders take images
+    in order: one covers the n that follow those before it, none at ×0, all that are left at a number beyond 2^40. Placeholders
+    and images are one ordered union, in which the latest placeholder is filled forward, so the work is linear in both.
     """
-    marks = F.regexp_extract_all("text", F.lit(r"\[象形图(?:×(\p{Nd}+))?\]"), F.lit(0))
-    size = F.aggregate(marks, F.lit(0), lambda a, m: a + F.coalesce(F.nullif(F.regexp_extract(m, r"(\p{Nd}+)", 1), F.lit("")).cast("int"), F.lit(1)))
+    mark = r"\[象形图(?:×(\p{Nd}+))?\]"
+    digits = F.regexp_extract("text", mark, 1)
+    n = F.when(digits == "", F.lit(1).cast("long")).otherwise(F.least(F.coalesce(T.whole_number(digits, "long"), F.lit(ALL)), F.lit(ALL)))
     w = Window.partitionBy("doc_id", "section")
-    p = places.withColumn("n", size).where("n > 0").withColumn("hi", F.sum("n").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.select("doc_id", "section", F.col("pos").alias("place"), (F.col("hi") - F.col("n")).alias("lo"), "hi")
-    i = images.withColumn("nth", F.row_number().over(w.orderBy("ord")) - 1)
-    on = (i.doc_id == p.doc_id) & (i.section == p.section) & (i.nth >= p.lo) & (i.nth < p.hi)
-    return i.join(p, on, "left").select(i.doc_id, i.section, i.ord, i.nth, p.place)
+    p = places.where(F.col("text").rlike(mark)).withColumn("n", n).where("n > 0").withColumn("stop", F.sum("n").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.select("doc_id", "section", (F.col("stop") - F.col("n")).alias("at"), F.struct("pos", "stop").alias("cover"))
+    i = images.select("doc_id", "section", "ord", (F.row_number().over(w.orderBy("ord")) - 1).alias("nth"))
+    both = p.withColumn("is_image", F.lit(False)).unionByName(i.select("*", F.col("nth").cast("long").alias("at"), F.lit(True).alias("is_image")), allowMissingColumns=True)
+    last = F.last("cover", ignorenulls=True).over(w.orderBy("at", "is_image").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("last", last).where("is_image")
+    return both.select("doc_id", "section", "ord", "nth", F.when(F.col("nth") < F.col("last.stop"), F.col("last.pos")).alias("place"))

@@ -99,13 +99,18 @@ def content_rows(routed: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, keep=store.keep) -> Corpus:
     """All tables of the .docx files under path; keep(df, name) writes a table and reads it back, so that no file is decoded twice.
 
-    One exchange on doc_id serves the windows. A file that can't be read is in `documents` with its error. The tables
-    stay in the shared folder while they are read; store.clear(spark) removes them.
+    A file that can't be read is in `documents` with its error. The tables stay in the shared folder while they are read;
+    store.clear(spark) removes them.
     """
     files = docx.scan(spark, path)
     records = keep(docx.decode(files), "records")
+    docx.require_any(docx.file_status(records, files))
+    return corpus_tables(files, records, keep)
+
+
+def corpus_tables(files: DataFrame, records: DataFrame, keep=store.keep) -> Corpus:
+    """All tables of decoded files: files (doc_id, file_name, sha256), and their records. One exchange on doc_id serves the windows."""
     status = docx.file_status(records, files)
-    docx.require_any(status)
     p = docx.paragraphs(records)
     levels = records.where("kind = 'level'").select("doc_id", "num_id", "ilvl", "start", "lvl_text")
     clean = keep(docx.clean_paragraphs(p, levels), "paragraphs")

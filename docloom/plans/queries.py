@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import blocks, components, hierarchy, pivot, quality, rows, sections
+from ..operators import blocks, components, hierarchy, pivot, quality, rows, search_index, sections
 from ..sources import adapters as A
-from ..sources import pages, sinks
+from ..sources import pages, section_store, sinks
 from ..sources.numbering import auto_numbers
 
 QUERIES: dict = {}
@@ -129,6 +129,24 @@ def section_hits(spark, d):
     return hierarchy.hit_sections(hierarchy.search_any(_entries(spark, d).where(F.col("section").isin(3, 8, 9)), "33 7.2"))
 
 
+@query("search_index", f"""WITH {SUBTITLED}, q AS (SELECT DISTINCT label, seq FROM entries WHERE seq <> ''), h AS (SELECT pos, {HAY} AS hay FROM subtitled)
+    SELECT label || ' ' || seq AS query_id, count(*) AS n, sum(pos)::BIGINT AS places FROM h JOIN q ON contains(hay, {NORM('q.label')}) AND contains(hay, q.seq) GROUP BY ALL""", "entries")
+def search_index_hits(spark, d):
+    e = _entries(spark, d)
+    # every label with every number beside it is a query
+    q = e.where("seq <> ''").select(F.concat_ws(" ", "label", "seq").alias("query_id"), F.array(T.search_norm(F.col("label")), T.search_norm(F.col("seq"))).alias("terms")).distinct()
+    return search_index.search(search_index.build_index(e), q).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
+@query("pruned_sections", "SELECT doc_id, pos, section, label, value FROM entries WHERE section IN (SELECT section FROM entries GROUP BY section HAVING count(*) % 3 = 0)", "entries")
+def pruned_sections(spark, d):
+    path = store.new_path(spark, "by-section")
+    e = A.entries(spark, d)
+    section_store.write_by_section(e, path)
+    chosen = e.groupBy("section").agg(F.count("*").alias("n")).where("n % 3 = 0")
+    return section_store.read_sections(spark, path, chosen).select("doc_id", "pos", "section", "label", "value")
+
+
 @query("batch_extract_counts", f"WITH {SUBTITLED}, docs AS (SELECT DISTINCT doc_id FROM entries), hits AS (SELECT doc_id, count(*) AS n FROM subtitled WHERE section IN (2, 9) AND contains({NORM('value')}, '5') GROUP BY doc_id), per AS (SELECT docs.doc_id, coalesce(n, 0) AS n FROM docs LEFT JOIN hits USING (doc_id)) SELECT doc_id, sum(n)::BIGINT AS n_hits FROM per GROUP BY ROLLUP (doc_id)", "entries")
 def batch_extract_counts(spark, d):
     e = _entries(spark, d)
@@ -447,11 +465,17 @@ def pivot_stats(spark, d):
 # ---- quality and annotations ----
 
 
-@query("number_gaps", "WITH n AS (SELECT doc_id, split_part(seq, '.', 2)::INT * (1 + pos % 2) AS n FROM entries WHERE section = 9 AND seq <> ''), s AS (SELECT doc_id, unnest(range(min(n), max(n) + 1)) AS n FROM n GROUP BY doc_id) SELECT doc_id, string_agg('9.' || n, ', ' ORDER BY n) AS missing FROM s WHERE (doc_id, n) NOT IN (SELECT doc_id, n FROM n) GROUP BY doc_id", "entries")
+@query("number_gaps", """WITH o AS (SELECT DISTINCT doc_id FROM entries WHERE section = 9 AND seq <> '' AND doc_id % 7 = 0),
+    n AS (SELECT doc_id, split_part(seq, '.', 2)::BIGINT * (1 + pos % 2) AS n FROM entries WHERE section = 9 AND seq <> '' UNION SELECT doc_id, unnest([2000000000, 99999999999]) FROM o),
+    g AS (SELECT doc_id, n + 1 AS a, lead(n) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS b FROM n)
+    SELECT doc_id, string_agg(CASE WHEN b - a < 100 THEN array_to_string(list_transform(range(a, least(b, a + 99) + 1), lambda k: '9.' || k), ', ') ELSE '9.' || a || '-9.' || b END, ', ' ORDER BY a) AS missing
+    FROM g WHERE b >= a GROUP BY doc_id""", "entries")
 def number_gaps(spark, d):
     e = A.entries(spark, d).where("section = 9 and seq <> ''")
     n = F.substring_index("seq", ".", -1).cast("int") * (1 + F.col("pos") % 2)
-    return quality.number_gaps(e.select("doc_id", F.concat(F.lit("9."), n.cast("string"), F.lit(" "), "label").alias("label")))
+    labels = e.select("doc_id", F.concat(F.lit("9."), n.cast("string"), F.lit(" "), "label").alias("label"))
+    # and two numbers far away in one label
+    return quality.number_gaps(labels.unionByName(e.where("doc_id % 7 = 0").select("doc_id", F.lit("9.2000000000 a\n9.99999999999 b").alias("label"))))
 
 
 @query("missing_sections", "WITH s AS (SELECT DISTINCT doc_id, section FROM entries WHERE section % 5 <> doc_id % 5) SELECT d.doc_id, k::INT AS section FROM (SELECT DISTINCT doc_id FROM entries) d, range(1, 17) t(k) WHERE (d.doc_id, k) NOT IN (SELECT doc_id, section FROM s)", "entries")
@@ -482,13 +506,16 @@ def editable_override(spark, d):
     return quality.apply_overrides(r, o).select("doc_id", "pos", "editable")
 
 
-@query("image_allocation", """WITH p AS (SELECT doc_id, pos, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS lo, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS hi FROM (SELECT doc_id, pos, CASE tag WHEN 'p' THEN 1 + pos % 3 WHEN 'h1' THEN 1 ELSE 0 END AS n FROM paragraphs) WHERE n > 0),
-    i AS (SELECT doc_id, pos AS ord, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS nth FROM paragraphs)
-    SELECT i.doc_id, i.ord, i.nth::INT AS nth, p.pos AS place FROM i LEFT JOIN p ON i.doc_id = p.doc_id AND i.nth >= p.lo AND i.nth < p.hi""", "paragraphs")
+@query("image_allocation", """WITH p AS (SELECT doc_id, pos, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS lo, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS hi
+        FROM (SELECT doc_id, pos, CASE WHEN tag = 'footer' THEN 99999999999 WHEN tag = 'p' THEN pos % 4 WHEN tag = 'h1' THEN 1 ELSE 0 END AS n FROM paragraphs) WHERE n > 0),
+    i AS (SELECT doc_id, pos + k AS ord, row_number() OVER (PARTITION BY doc_id ORDER BY pos + k) - 1 AS nth FROM paragraphs, (SELECT unnest([0.0, 0.5]) AS k))
+    SELECT i.doc_id, i.ord::DOUBLE AS ord, i.nth::INT AS nth, p.pos AS place FROM i LEFT JOIN p ON i.doc_id = p.doc_id AND i.nth >= p.lo AND i.nth < p.hi""", "paragraphs")
 def image_allocation(spark, d):
     p = A.paragraphs(spark, d).withColumn("section", F.lit(2))
-    mark = F.when(F.col("tag") == "p", F.concat(F.lit("[象形图×"), (F.col("pos") % 3 + 1).cast("string"), F.lit("]"))).when(F.col("tag") == "h1", "[象形图]").otherwise("")
-    return quality.allocate_images(p.withColumn("text", mark), p.select("doc_id", "section", F.col("pos").alias("ord"))).select("doc_id", "ord", "nth", "place")
+    of = lambda n: F.concat(F.lit("[象形图×"), n.cast("string"), F.lit("]"))
+    mark = F.when(F.col("tag") == "footer", of(F.lit(99999999999))).when(F.col("tag") == "p", of(F.col("pos") % 4)).when(F.col("tag") == "h1", "[象形图]").otherwise("")
+    images = p.select("doc_id", "section", "pos", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("k")).select("doc_id", "section", (F.col("pos") + F.col("k")).cast("double").alias("ord"))
+    return quality.allocate_images(p.withColumn("text", mark), images).select("doc_id", "ord", "nth", "place")
 
 
 # ---- pages and fingerprints ----
@@ -502,9 +529,15 @@ def page_footer_fields(spark, d):
     return f.select("doc_id", "pos", F.inline(T.page_fields(F.col("text")))).select("doc_id", "pos", "label", "value")
 
 
-@query("page_paragraphs", f"SELECT doc_id, pos, tag, trim(text, {WHITE}) AS text, tag = 'b' AS bold FROM paragraphs WHERE trim(text, {WHITE}) <> ''", "paragraphs")
+@query("page_paragraphs", "SELECT doc_id, pos, tag, text, bold FROM paragraphs", "paragraphs")
 def page_paragraphs(spark, d):
-    return pages.page_paragraphs(A.table(spark, d, "pages"))
+    return A.paragraphs(spark, d).select("doc_id", "pos", "tag", "text", "bold")
+
+
+@query("page_links", """WITH l AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<a href="([^"]*)"', 1)) AS href FROM pages)
+    SELECT doc_id, href, count(*) AS n FROM l GROUP BY ALL""")
+def page_links(spark, d):
+    return A.paragraphs(spark, d).select("doc_id", F.explode("links").alias("href")).groupBy("doc_id", "href").agg(F.count("*").alias("n"))
 
 
 @query("page_story", f"SELECT doc_id, coalesce(string_agg(trim(text, {WHITE}), chr(10) ORDER BY pos) FILTER (trim(text, {WHITE}) <> ''), '') AS story FROM paragraphs GROUP BY doc_id", "paragraphs")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..shipping import ship
+from .pages import page_paragraphs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +57,29 @@ def entries(spark, sf_dir) -> DataFrame:
 
 
 def paragraphs(spark, sf_dir) -> DataFrame:
-    """doc_id, pos, tag, text: title, heading, paragraph, bold and footer text of web pages."""
-    tags = r"<(title|h1|p|b|footer)>([^<]*)"
-    part = lambda g: F.regexp_extract_all("html", F.lit(tags), F.lit(g))
-    zipped = F.arrays_zip(part(1).alias("tag"), part(2).alias("text"))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(zipped).alias("pos", "z")).select("doc_id", "pos", "z.tag", "z.text")
+    """doc_id, pos, tag, text, bold and links of all visible text of web pages."""
+    return page_paragraphs(table(spark, sf_dir, "pages"))
+
+
+def _page_sql() -> str:
+    """Pages by replacing what is no text, step by step, instead of reading tokens: blocks become marks, other tags nothing."""
+    blocks, bold = "|".join(X.HTML_BLOCKS), "|".join(X.HTML_BOLD)
+    text = "html"
+    for pattern, to in (
+        ("(?is)<!--.*?(-->|$)", "''"), ("(?is)<script\\b[^>]*>.*?(</script\\s*>|$)", "''"), ("(?is)<style\\b[^>]*>.*?(</style\\s*>|$)", "''"), ("<![^>]*>", "''"), ("(?i)<br\\s*/?>", "chr(3)"),
+        (f"(?i)<({bold})(\\s[^>]*)?>", "chr(4)"), (f"(?i)</({bold})\\s*>", "chr(5)"), (f"(?i)<(/?)({blocks})(\\s[^>]*|/)?>", "chr(1) || '\\1\\2' || chr(2)"), ("</?[A-Za-z][^>]*>", "''"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    words = "regexp_replace(regexp_replace(translate(t, chr(4) || chr(5), ''), '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ?\x03 ?', chr(10), 'g')"
+    for entity, character in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\xa0"), ("amp", "&")):
+        words = f"replace({words}, '&{entity};', '{character}')"
+    return f"""page_runs AS (SELECT page_id, i, CASE WHEN i > 1 THEN split_part(x, chr(2), 1) ELSE '' END AS name, CASE WHEN i > 1 THEN split_part(x, chr(2), 2) ELSE x END AS t
+        FROM (SELECT page_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT page_id, string_split({text}, chr(1)) AS s FROM pages))),
+    page_levels AS (SELECT *, sum(CASE WHEN name IN ('', 'p', '/p', 'hr', '/hr') THEN 0 WHEN name LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS level FROM page_runs),
+    page_tags AS (SELECT *, coalesce(CASE WHEN name LIKE '/%' THEN last_value(CASE WHEN name NOT LIKE '/%' AND name <> 'p' THEN nullif(name, '') END IGNORE NULLS) OVER (PARTITION BY page_id, level ORDER BY i ROWS UNBOUNDED PRECEDING)
+        ELSE name END, '') AS tag, {words} AS words FROM page_levels),
+    paragraphs AS (SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, tag, trim(words, ' ' || chr(10) || chr(160)) AS text, regexp_matches(t, '\x04[^\x05]*[^\\s\x04\x05\x03]') AS bold
+        FROM page_tags WHERE trim(words, ' ' || chr(10) || chr(160)) <> '')"""
 
 
 #: The same views in DuckDB, as named parts of a WITH clause.
@@ -79,7 +99,5 @@ SQL = {
         CASE WHEN event_id % 10 = 0 THEN '' ELSE floor(value)::INT::VARCHAR END AS value,
         CASE event_type WHEN 'signup' THEN 'sub' WHEN 'error' THEN 'note' ELSE 'field' END AS kind
         FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k, 1 + json_extract_string(props, '$.k')::INT % 16 AS section FROM events))""",
-    "paragraphs": """paragraphs AS (SELECT page_id AS doc_id, (i - 1)::INT AS pos, tags[i] AS tag, texts[i] AS text FROM (
-        SELECT page_id, tags, texts, unnest(range(1, len(tags) + 1)) AS i FROM (
-        SELECT page_id, regexp_extract_all(html, '<(title|h1|p|b|footer)>([^<]*)', 1) AS tags, regexp_extract_all(html, '<(title|h1|p|b|footer)>([^<]*)', 2) AS texts FROM pages)))""",
+    "paragraphs": _page_sql(),
 }

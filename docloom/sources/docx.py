@@ -187,7 +187,7 @@ def paragraphs(records: DataFrame) -> DataFrame:
 
 def file_status(records: DataFrame, files: DataFrame) -> DataFrame:
     s = records.where("kind = 'file'").select("doc_id", "status", "error", "tables_count", "paragraphs_count")
-    return files.drop("content").join(s, "doc_id")
+    return files.select("doc_id", "file_name", "sha256").join(s, "doc_id")
 
 
 def require_any(status: DataFrame) -> DataFrame:

@@ -80,47 +80,42 @@ def write_pivot(wide: DataFrame, columns: DataFrame, path: str) -> None:
 
 
 def image_files(images: DataFrame, documents: DataFrame, prefix: str = "") -> DataFrame:
-    """images (doc_id, section, ord, ext, content) with their file names {prefix}{stem}_s{section}_{i}.{ext}."""
+    """images (doc_id, section, ord, ext, content) with their file names {prefix}{stem}_s{section}_{i}.{ext}.
+
+    i counts a document's pictures from 0. Documents whose files have one stem (a/x.docx and b/x.docx) have a hash of
+    doc_id behind it, so that no two pictures share a name. Slashes in a name become underscores; a nameless file is doc.
+    """
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     stem = F.coalesce(F.nullif(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit("")), F.lit("doc"))
-    name = F.concat(F.lit(prefix), stem, F.lit("_s"), F.col("section").cast("string"), F.lit("_"), i.cast("string"), F.lit("."), "ext")
-    return images.join(documents.select("doc_id", "file_name"), "doc_id").withColumn("name", name)
+    d = documents.select("doc_id", F.translate(stem, "/\\", "__").alias("stem")).distinct()
+    shared = d.groupBy("stem").agg(F.count("*").alias("n")).where("n > 1").select("stem", F.lit(True).alias("shared"))
+    d = d.join(shared, "stem", "left").select("doc_id", F.when(F.col("shared"), F.concat("stem", F.lit("-"), F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(16)))).otherwise(F.col("stem")).alias("stem"))
+    name = F.concat(F.lit(prefix), "stem", F.lit("_s"), F.col("section").cast("string"), F.lit("_"), i.cast("string"), F.lit("."), "ext")
+    return images.join(d, "doc_id").withColumn("name", name).drop("stem")
 
 
 def export_images(images: DataFrame, documents: DataFrame, path: str, prefix: str = "") -> DataFrame:
-    """Write the images under `path`, on any file system that Spark knows; returns doc_id, name and path, the place of each.
-
-    Spark writes no single binary files: pictures are rows (doc_id, section, name, content) of one Parquet table, which
-    its commit keeps whole when executors are lost. unpack_images makes files of them.
-    """
+    """Write the images as rows (doc_id, section, name, content) of one Parquet table; returns doc_id, name and path, the place of each."""
     image_files(images, documents, prefix).select("doc_id", "section", "name", "content").write.parquet(path)
     return images.sparkSession.read.parquet(path).select("doc_id", "name", F.concat(F.lit(path.rstrip("/") + "#"), "name").alias("path"))
 
 
-def unpack_images(table: DataFrame, path: str) -> DataFrame:
-    """Files of pictures (doc_id, name, content) in the folder `path`, which the driver and all executors must have mounted; returns doc_id, name, path.
+def write_image_files(images: DataFrame, documents: DataFrame, path: str, prefix: str = "", folders: int | None = None) -> DataFrame:
+    """Write each image as a file of its own under the new folder `path`, a URI of any store that pyarrow or a mount reaches; returns doc_id, name, path.
 
-    A picture is written under another name and then renamed, so a task that runs again leaves whole files. An executor
-    that lacks the folder raises an error.
+    Files lie in `folders` subfolders (by default the number of shuffle partitions) by a hash of their document. The
+    writer (picture_files) writes in a folder of each task attempt and moves whole subfolders when the job commits; of a
+    failed attempt or job nothing stays.
     """
-    import os
-
-    os.makedirs(path, exist_ok=True)
-
-    def write(batches):
-        import uuid
-
-        for pdf in batches:
-            out = []
-            for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                to = os.path.join(path, os.path.basename(name))
-                with open(f"{to}.{uuid.uuid4().hex}", "wb") as f:
-                    f.write(content)
-                os.replace(f.name, to)
-                out.append(to)
-            yield pdf[["doc_id", "name"]].assign(path=out)
-
-    named = table.select("doc_id", "name", "content")
-    return named.mapInPandas(write, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, name string, path string")
+    from .picture_files import PictureFiles
+
+    spark = images.sparkSession
+    folders = folders or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = F.concat(F.lit("f"), F.lpad(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("string"), len(str(folders)), "0"))
+    named = image_files(images, documents, prefix).select("doc_id", "name", "content", folder.alias("folder"))
+    spark.dataSource.register(PictureFiles)
+    # all files of a subfolder come from one task
+    named.select("folder", "name", "content").repartition(folders, "folder").write.format(PictureFiles.name()).option("path", path).mode("append").save()
+    return named.select("doc_id", "name", F.concat_ws("/", F.lit(path.rstrip("/")), "folder", "name").alias("path"))

@@ -28,8 +28,7 @@ def ingest(spark: SparkSession, path: str, to: str, checkpoint: str) -> None:
 
 def latest(spark: SparkSession, to: str) -> DataFrame:
     """The records of each document's latest batch."""
-    from pyspark.sql import Window
-
     records = spark.read.parquet(to)
-    last = F.max(F.struct("at", "batch")).over(Window.partitionBy("doc_id"))
-    return records.withColumn("_last", last).where("batch = _last.batch").drop("_last", "batch", "at")
+    last = records.groupBy("doc_id").agg(F.max(F.struct("at", "batch"))["batch"].alias("batch"))
+    # what is grouped is ids only, and the joined side has a row for each document
+    return records.join(last, ["doc_id", "batch"], "left_semi").drop("batch", "at")

@@ -64,6 +64,25 @@ def folder(tmp_path_factory):
     return d
 
 
+def test_image_files_of_equal_stems_and_failed_jobs(spark, tmp_path):
+    docs = spark.createDataFrame([("/a/x.docx", "x.docx"), ("/b/x.docx", "x.docx"), ("/c/y.docx", "y.docx"), ("/d/", "")], "doc_id string, file_name string")
+    rows = [(d, s, k, "png", f"{d}{k}".encode()) for d in ("/a/x.docx", "/b/x.docx", "/c/y.docx", "/d/") for s, k in ((1, 0), (1, 1), (9, 2))]
+    images = spark.createDataFrame(rows, "doc_id string, section int, ord int, ext string, content binary")
+    for path in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        out = sinks.write_image_files(images, docs, path, folders=3).collect()
+        held = sorted(f.read_bytes() for f in (tmp_path / path.rpartition("/")[2]).rglob("*.png"))
+        assert held == sorted(r[4] for r in rows) and len({r.name for r in out}) == len(rows)
+        assert all(open(r.path.removeprefix("file://"), "rb").read().startswith(r.doc_id.encode()) for r in out)
+        assert {r.name for r in out if r.doc_id == "/c/y.docx"} == {"y_s1_0.png", "y_s1_1.png", "y_s9_2.png"}
+        assert not list(tmp_path.rglob("_attempts"))
+    with pytest.raises(Exception, match="there already"):
+        sinks.write_image_files(images, docs, str(tmp_path / "plain"))
+    bad = images.withColumn("content", F.when(F.col("doc_id") != "/c/y.docx", F.col("content")))
+    with pytest.raises(Exception, match="no content"):
+        sinks.write_image_files(bad, docs, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, folder, tmp_path_factory):
     d = tmp_path_factory.mktemp("kept")
@@ -109,8 +128,8 @@ def test_images_and_sinks(spark, corpus, tmp_path):
     assert images == [(0, 2, 100, b"PNG"), (1, 2, 100, b"PNG"), (2, 2, 100, b"PNG")]  # the one in a title row is of the section before
     at = sinks.export_images(corpus.images, corpus.documents, str(tmp_path / "img"), "x_").collect()
     assert len(at) == 3 and all(r.path == f"{tmp_path}/img#{r.name}" and r.name.startswith("x_PU-1") and "_s2_" in r.name for r in at)
-    out = sinks.unpack_images(spark.read.parquet(str(tmp_path / "img")), str(tmp_path / "files")).collect()
-    assert len(out) == 3 and all(open(r.path, "rb").read() == b"PNG" for r in out)
+    out = sinks.write_image_files(corpus.images, corpus.documents, str(tmp_path / "files"), "x_").collect()
+    assert len({r.path for r in out}) == 3 and all(open(r.path, "rb").read() == b"PNG" for r in out)
     sinks.write_tsv(corpus.entries, str(tmp_path / "tsv"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "tsv")).collect()]
     assert "节\t大标题\t小标题\t标签\t内容" in lines

@@ -169,3 +169,15 @@ def test_checks(spark, entries):
     places = spark.createDataFrame([("a", 2, 1, "[象形图×2]"), ("a", 2, 5, "x [象形图]")], "doc_id string, section int, pos long, text string")
     images = spark.createDataFrame([("a", 2, k) for k in range(4)], "doc_id string, section int, ord int")
     assert [x.place for x in quality.allocate_images(places, images).orderBy("ord").collect()] == [1, 1, 5, None]
+    odd = [("b", 2, 1, "[象形图×0]"), ("b", 2, 2, "[象形图×２] [象形图×9]"), ("b", 2, 3, "[象形图×99999999999999999999999]"), ("b", 2, 4, "[象形图]"), ("c", 2, 1, "[象形图x2]")]
+    images = spark.createDataFrame([(d, 2, k) for d in "bc" for k in range(5)], "doc_id string, section int, ord int")
+    got = quality.allocate_images(spark.createDataFrame(odd, places.schema), images).orderBy("doc_id", "ord").collect()
+    assert [x.place for x in got] == [2, 2, 3, 3, 3] + [None] * 5
+
+
+def test_number_gaps_of_any_numbers(spark):
+    labels = {"a": ["9.2 x", "9.2000000000 y"], "b": ["9.99999999999", "9.1"], "c": ["9.１ a\n9.٣ b", "9.5"], "d": ["9." + "9" * 60, "9.7", "9.8"], "e": ["none", "8.1", " 9.1"], "f": ["9.1", "9.103"], "g": ["9.1", "9.102", "9.102"]}
+    df = spark.createDataFrame([(d, x) for d, v in labels.items() for x in v], "doc_id string, label string")
+    got = {r.doc_id: r.missing for r in quality.number_gaps(df).collect()}
+    assert got == {"a": "9.3-9.1999999999", "b": "9.2-9.99999999998", "c": "9.2, 9.4", "f": "9.2-9.102", "g": ", ".join(f"9.{n}" for n in range(2, 102))}
+    assert {(r.doc_id, int(r.first), int(r.last)) for r in quality.gap_ranges(df).collect()} >= {("a", 3, 1999999999), ("c", 2, 2), ("c", 4, 4)}
