@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from .scan import CHUNK, beside, carried, chunked
 
 ENDS = r"^(.+?)[：:][\s\p{Z}]*$"
 INLINE = r"^(.+?)[：:][\s\p{Z}]*(.*)$"
@@ -26,14 +27,14 @@ def classify_lines(lines: DataFrame, keys: list[str], section=None) -> DataFrame
     What several rules read is a column of its own, and the number of the rule that holds is found once.
     """
     two = F.coalesce((section if section is not None else F.lit(0)) == 2, F.lit(False))
-    w = Window.partitionBy(*keys).orderBy("pos")
     x = lines.withColumn("t", T.strip(T.text(F.col("line")))).where("t <> ''").withColumn("bold", F.coalesce("bold", F.lit(False)))
     t, nxt, no = F.col("t"), F.col("_next"), F.lit("")
     x = x.withColumns({
         "_ends": T.strip(T.group(t, ENDS)), "_left": T.strip(F.regexp_extract(t, INLINE, 1)), "_tab": F.regexp_extract(t, TAB, 1), "_head": T.is_heading(t, F.col("bold")),
         "_class": F.when(two, T.class_row(t)),
     })
-    x = x.withColumns({"_before": F.lag("_ends").over(w), "_next": F.lead("_ends").over(w), "_next_class": F.lead("_class.name").over(w)})
+    x = beside(x, keys, ["pos"], {"_before": F.col("_ends")})
+    x = beside(x, keys, ["pos"], {"_next": F.col("_ends"), "_next_class": F.col("_class.name")}, back=True)
     tab_l, plain = T.strip(F.col("_tab")), F.col("_head") & ~F.col("bold")
     tab = (F.col("_tab") != "") & ~F.col("_tab").rlike(r"\p{Nd}{2,}") & (F.length(tab_l) <= 20)
     pict = t.startswith(X.PICTOGRAM_LABEL) & (F.length(t) > len(X.PICTOGRAM_LABEL) + 1)
@@ -70,14 +71,11 @@ def text_block_units(lines: DataFrame, keys: list[str], section=None) -> DataFra
     With A the last F, P or S line so far: content joins A if that is P, or F with no CP or S0 since; else it is a note.
     CP joins an open P only. A P unit stands where it is closed, by the next F, P or S, so S0 lines inside come before it.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    so_far, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     x = classify_lines(lines, keys, section)
     opens = F.col("class").isin("F", "P", "S")
-    x = x.withColumns({"a_pos": F.last(F.when(opens, F.col("pos")), ignorenulls=True).over(so_far), "a": F.last(F.when(opens, F.col("class")), ignorenulls=True).over(so_far), "closed": F.min(F.when(opens, F.col("pos"))).over(after)})
-    in_a = Window.partitionBy(*keys, "a_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    broken = F.coalesce(F.max(F.col("class").isin("CP", "S0")).over(in_a), F.lit(False))
-    x = x.withColumn("broken", broken)
+    x = carried(x, keys, ["pos"], {"a_pos": F.when(opens, F.col("pos")), "a": F.when(opens, F.col("class")), "_broke": F.when(F.col("class").isin("CP", "S0"), F.col("pos"))})
+    x = carried(x, keys, ["pos"], {"closed": F.when(opens, F.col("pos"))}, own=False, back=True)
+    x = x.withColumn("broken", F.coalesce(F.col("_broke") > F.col("a_pos"), F.lit(False)))
     joins = ((F.col("a") == "P") & F.col("class").isin("C", "CP", "T")) | ((F.col("a") == "F") & F.col("class").isin("C", "T") & ~F.col("broken"))
     joins = F.coalesce(joins, F.lit(False))
     x = x.where(~(F.col("class") == "T") | joins).withColumn("unit", F.when(joins, F.col("a_pos")).otherwise(F.col("pos")))
@@ -91,14 +89,17 @@ def text_block_units(lines: DataFrame, keys: list[str], section=None) -> DataFra
     split = T.split_seq(F.when(is_p, F.concat(first["label"], torn)).otherwise(first["label"]))
     g = g.withColumns({"k": kind, "_s": split, "_torn": torn, "_body": body, "_first": first})
     value = F.when(F.col("k") == "P", F.col("_body")).when(F.col("k") == "F", F.when(F.col("_body") == "", F.col("_first.value")).otherwise(T.strip(F.concat(F.col("_first.value"), F.lit("\n"), F.col("_body"))))).when(F.col("k").isin("S", "S0"), "").otherwise(F.col("_first.value"))
-    big = F.lit(1 << 40)
-    order = F.when(F.col("k") == "P", F.coalesce(F.col("_first.closed"), big) * 2 - 1).otherwise(F.col("unit") * 2)
+    closed = F.col("_first.closed")
+    # where a unit stands: before the line that closes it, after all lines where none does
+    order = F.when(F.col("k") == "P", F.struct(closed.isNull().alias("last"), closed.alias("at"), F.lit(0).alias("side"))).otherwise(F.struct(F.lit(False).alias("last"), F.col("unit").alias("at"), F.lit(1).alias("side")))
     named = F.col("k").isin("F", "P", "S", "S0")
     out = g.select(
         *keys, order.alias("_order"), F.when(F.col("k").isin("F", "P"), "field").when(F.col("k").isin("S", "S0"), "sub").otherwise("note").alias("kind"),
         F.when(named, F.col("_s.seq")).otherwise("").alias("seq"), F.when(F.col("k") == "F", F.concat("_s.label", "_torn")).when(named, F.col("_s.label")).otherwise("").alias("label"), value.alias("value"),
     )
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("_order")).cast("long")).drop("_order")
+    if CHUNK in lines.columns:  # units have an order of their own
+        out = chunked(out, *keys, "_order")
+    return carried(out, keys, ["_order"], sums={"ord": F.lit(1).cast("long")}).drop("_order", CHUNK)
 
 
 def split_lines(lines: DataFrame) -> DataFrame:
@@ -117,21 +118,22 @@ def unified_rows(items: DataFrame) -> DataFrame:
     the units of blocks.
     """
     x = items if "sub" in items.columns else items.withColumn("sub", F.lit(0))
-    w = Window.partitionBy("doc_id", "section").orderBy("pos", "sub")
-    x = x.withColumn("block", F.count_if(F.col("kind") == "field").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = carried(x, ["doc_id", "section"], ["pos", "sub"], sums={"block": (F.col("kind") == "field").cast("long")})
+    parts = [c for c in (CHUNK,) if c in x.columns]
     fields = x.where("kind = 'field'").withColumn("_s", T.split_seq(F.col("label")))
     editable = F.col("editable") if "editable" in items.columns else F.lit(True)
     fields = fields.select("doc_id", "section", "block", F.lit(0).cast("long").alias("ord"), "kind", F.col("_s.seq").alias("seq"), F.col("_s.label").alias("label"), "value", editable.alias("editable"))
     flag = F.get("bold", F.col("k")) if items.schema["bold"].dataType.typeName() == "array" else F.col("bold")
-    lines = x.where("kind = 'line'").select("doc_id", "section", "block", "bold", "pos", "sub", F.posexplode(F.split("value", "\n")).alias("k", "line"))
-    # lines are numbered anew, however many a row or a cell has
-    in_block = Window.partitionBy("doc_id", "section", "block").orderBy("pos", "sub", "k")
-    lines = lines.select("doc_id", "section", "block", F.row_number().over(in_block).cast("long").alias("pos"), "line", flag.alias("bold"))
+    lines = x.where("kind = 'line'").select("doc_id", "section", "block", "bold", "pos", "sub", *parts, F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    # a line's place has three parts, however many lines a row or a cell has
+    lines = lines.select("doc_id", "section", "block", F.struct("pos", "sub", "k").alias("pos"), "line", flag.alias("bold"), *parts)
     units = text_block_units(lines, ["doc_id", "section", "block"], F.col("section")).withColumn("editable", F.col("kind") != "sub")
     both = fields.unionByName(units.select(*fields.columns)).withColumn("is_field", F.col("ord") == 0)
-    order = Window.partitionBy("doc_id", "section").orderBy("block", "ord")
-    fields_n = F.count_if("is_field").over(Window.partitionBy("doc_id", "section"))
-    field_i = F.count_if("is_field").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    row = F.row_number().over(order)
-    idx = F.when(F.col("is_field"), field_i - 1).otherwise(fields_n + row - field_i - 1)
-    return both.select("doc_id", "section", row.cast("long").alias("ord"), "kind", "seq", "label", "value", "editable", idx.cast("int").alias("idx"), ((F.col("kind") == "note") | (F.col("is_field") & (F.col("label") == ""))).alias("span"))
+    of, order, one = ["doc_id", "section"], ["block", "ord"], F.lit(1).cast("long")
+    if parts:
+        both = chunked(both, *of, *order)
+    both = carried(both, of, order, sums={"row": one, "field_i": F.col("is_field").cast("long")})
+    both = carried(both, of, order, sums={"after": F.col("is_field").cast("long")}, own=False, back=True)
+    # all fields: those so far and those after
+    idx = F.when(F.col("is_field"), F.col("field_i") - 1).otherwise(F.col("after") + F.col("row") - 1)
+    return both.select("doc_id", "section", F.col("row").alias("ord"), "kind", "seq", "label", "value", "editable", idx.cast("int").alias("idx"), ((F.col("kind") == "note") | (F.col("is_field") & (F.col("label") == ""))).alias("span"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from .scan import carried
 
 
 def _so_far():
@@ -26,8 +27,8 @@ def opens_sub():
 def with_sub_titles(entries: DataFrame) -> DataFrame:
     """sub_title and full_label: the running sub-title of each entry, '' before the first."""
     full = T.full_label(F.col("seq"), F.col("label"))
-    running = F.last(F.when(opens_sub(), full), ignorenulls=True).over(_so_far())
-    return entries.withColumns({"full_label": full, "sub_title": F.when(F.col("kind") == "component", "成分").otherwise(F.coalesce(running, F.lit("")))})
+    x = carried(entries.withColumn("full_label", full), ["doc_id", "section"], ["pos"], {"sub_title": F.when(opens_sub(), full)})
+    return x.withColumn("sub_title", F.when(F.col("kind") == "component", "成分").otherwise(F.coalesce("sub_title", F.lit(""))))
 
 
 def document_entries(rows: DataFrame, sections: DataFrame, components: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from .scan import carried
 
 ITEM = "array<struct<kind:string,label:string,value:string>>"
 
@@ -115,12 +116,12 @@ def attach_items(items: DataFrame) -> DataFrame:
 
     A continuation without a field before it is a field without label, or (append?) a line.
     """
-    by_section = Window.partitionBy("doc_id", "section").orderBy("pos", "sub")
-    before = by_section.rowsBetween(Window.unboundedPreceding, -1)
-    had = F.coalesce(F.max(F.col("kind").isin("field", "append")).over(before), F.lit(False))
-    x = items.withColumn("kind", F.when((F.col("kind") == "append") & ~had, "field").when((F.col("kind") == "append?") & ~had, "line").when(F.col("kind") == "append?", "append").otherwise(F.col("kind")))
-    x = x.withColumn("place", F.struct("pos", "sub"))
-    anchor = F.when(F.col("kind") == "append", F.last(F.when(F.col("kind") == "field", F.col("place")), ignorenulls=True).over(by_section.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.col("place"))
+    of, order, kind = ["doc_id", "section"], ["pos", "sub"], F.col("kind")
+    x = carried(items, of, order, {"_had": F.when(kind.isin("field", "append"), True)}, own=False)
+    none = F.col("_had").isNull()
+    x = x.withColumns({"kind": F.when((kind == "append") & none, "field").when((kind == "append?") & none, "line").when(kind == "append?", "append").otherwise(kind), "place": F.struct("pos", "sub")})
+    x = carried(x, of, order, {"_field": F.when(kind == "field", F.col("place"))})
+    anchor = F.when(kind == "append", F.col("_field")).otherwise(F.col("place"))
     parts = F.array_sort(F.collect_list(F.struct("place", "kind", "label", "value", "bold")))
     g = x.withColumn("anchor", anchor).groupBy("doc_id", "section", "anchor").agg(parts.alias("p"))
     value = F.array_join(F.filter(F.transform("p", lambda s: s["value"]), lambda v: v != ""), "\n")
@@ -142,7 +143,6 @@ def component_latch(rows: DataFrame) -> DataFrame:
 
     Latching rows: a caption alone, a whole table in one cell, a column-stacked table, a header row.
     """
-    w = Window.partitionBy("doc_id", "section").orderBy("pos")
     c0 = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
     caption = (F.size("cells") <= 2) & F.rtrim(c0, F.lit(" /／")).isin(*X.COMPONENT_CAPTIONS)
     header = T.is_component_header(F.col("cells"))
@@ -150,10 +150,9 @@ def component_latch(rows: DataFrame) -> DataFrame:
     stacked = (F.size("cells") >= 2) & F.exists("cells", lambda c: c.contains("\n")) & _stacked_header()
     x = rows.withColumns({"is_header": header, "_latch": caption | header | flat | stacked})
     text = F.array_join(F.filter(F.transform("cells", T.strip), lambda c: c != ""), " | ")
-    return (
-        x.withColumn("in_components", F.coalesce(F.max("_latch").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-        .withColumn("component_header", F.last(F.when(F.col("is_header"), text), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_latch")
-    )
+    x = carried(x, ["doc_id", "section"], ["pos"], {"_latched": F.when(F.col("_latch"), True)}, own=False)
+    x = carried(x, ["doc_id", "section"], ["pos"], {"component_header": F.when(F.col("is_header"), text)})
+    return x.withColumn("in_components", F.col("_latched").isNotNull()).drop("_latch", "_latched")
 
 
 def flat_columns(line):

@@ -1,32 +1,29 @@
 """Which section a row belongs to: titles, keyword hints, carry-forward, text-box routing and default titles.
 
-rows: doc_id, pos, c0 (first cell's text) and others. Every window is over doc_id in order of pos, so one exchange on
-doc_id serves all of them.
+rows: doc_id, pos, c0 (first cell's text) and others. State runs over doc_id in order of pos, so one exchange on doc_id
+serves all of it; scan.chunked(rows, "doc_id", "pos") spreads documents of any length over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-
-
-def _up_to(last: int):
-    return Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, last)
+from .scan import carried
 
 
 def with_titles(rows: DataFrame) -> DataFrame:
     """title_n and title of section-title rows; hint_n of rows that open a section by a keyword, only while none is open."""
     rows = rows.withColumn("_q", T.squeeze(F.col("c0"))).withColumns({"_t": T.section_title_of(F.col("_q")), "_h": T.hint_section(F.col("c0"))}).drop("_q").withColumns({"title_n": F.col("_t.n"), "title": F.col("_t.title")})
-    opened = F.max(F.coalesce("title_n", "_h").isNotNull()).over(_up_to(-1))
-    return rows.withColumn("hint_n", F.when(F.col("title_n").isNull() & ~F.coalesce(opened, F.lit(False)), F.col("_h"))).drop("_t", "_h")
+    rows = carried(rows, ["doc_id"], ["pos"], {"_open": F.coalesce("title_n", "_h")}, own=False)
+    return rows.withColumn("hint_n", F.when(F.col("title_n").isNull() & F.col("_open").isNull(), F.col("_h"))).drop("_t", "_h", "_open")
 
 
 def carry_sections(rows: DataFrame) -> DataFrame:
     """section of each row: the last title or hint at or before it; rows before the first are dropped."""
-    return with_titles(rows).withColumn("section", F.last(F.coalesce("title_n", "hint_n"), ignorenulls=True).over(_up_to(0))).where("section is not null")
+    return carried(with_titles(rows), ["doc_id"], ["pos"], {"section": F.coalesce("title_n", "hint_n")}).where("section is not null")
 
 
 def content_rows(rows: DataFrame) -> DataFrame:
@@ -58,10 +55,9 @@ def route_textboxes(events: DataFrame) -> DataFrame:
     section of its N.N number, else to that of a phrase, else to the carried one; a first block of all opens section 1.
     """
     e = with_titles(events).withColumn("own", F.when(F.col("is_box") & F.col("title_n").isNull(), F.coalesce(T.textbox_section(F.col("c0")), T.textbox_hint(F.col("c0")))))
-    carried = F.last(F.coalesce("title_n", "hint_n"), ignorenulls=True).over(_up_to(0))
     opens = F.col("is_box") & F.col("title_n").isNull() & F.coalesce("title_n", "hint_n").isNull()
     first_box = F.when(opens, F.lit(1))
-    e = e.withColumn("carried", carried).withColumn("started", F.last(F.coalesce("title_n", "hint_n", first_box), ignorenulls=True).over(_up_to(0)))
+    e = carried(e, ["doc_id"], ["pos"], {"carried": F.coalesce("title_n", "hint_n"), "started": F.coalesce("title_n", "hint_n", first_box)})
     return e.withColumn("section", F.coalesce("own", "carried", F.when(F.col("started").isNotNull(), F.lit(1)))).where("section is not null").drop("own", "carried", "started")
 
 

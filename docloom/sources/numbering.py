@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import CHUNK, carried
+
 LEVELS = 9
 
 
@@ -20,13 +22,13 @@ def auto_numbers(paragraphs: DataFrame, levels: DataFrame, word_exact: bool = Fa
     top = levels.where("ilvl = 0").select("doc_id", "num_id", F.col("start").alias("start0"))
     x = paragraphs.join(levels, ["doc_id", "num_id", "ilvl"], "left").join(top, ["doc_id", "num_id"], "left")
     known = x.where("lvl_text is not null")
-    w = Window.partitionBy("doc_id", "num_id").orderBy("pos")
+    of = ["doc_id", "num_id"]
     starts = levels.groupBy("doc_id", "num_id").agg(*[F.max(F.when(F.col("ilvl") == k, F.col("start"))).alias(f"s{k}") for k in range(LEVELS)])
     known = known.join(starts, ["doc_id", "num_id"])
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     # paragraphs of level k before, less those before the last shallower one: what a paragraph sees before it resets deeper levels
-    known = known.withColumns({f"n{k}": F.count_if(F.col("ilvl") == k).over(before) for k in range(LEVELS)})
-    since = lambda k: F.coalesce(F.last(F.when(F.col("ilvl") < k, F.col(f"n{k}")), ignorenulls=True).over(before), F.lit(0)) if k else F.lit(0)
+    known = carried(known, of, ["pos"], sums={f"n{k}": F.when(F.col("ilvl") == k, 1).otherwise(0) for k in range(LEVELS)}, own=False)
+    known = carried(known, of, ["pos"], {f"b{k}": F.when(F.col("ilvl") < k, F.col(f"n{k}")) for k in range(1, LEVELS)}, own=False)
+    since = lambda k: F.coalesce(f"b{k}", F.lit(0)) if k else F.lit(0)
     known = known.withColumns({f"c{k}": F.col(f"n{k}") - since(k) for k in range(LEVELS)})
 
     def shown(k: int):
@@ -42,4 +44,4 @@ def auto_numbers(paragraphs: DataFrame, levels: DataFrame, word_exact: bool = Fa
     text = reduce(lambda t, k: F.replace(t, F.lit(f"%{k + 1}"), shown(k)), range(LEVELS), F.col("lvl_text"))
     own = reduce(lambda a, k: a.when(F.col("ilvl") == k, F.coalesce(F.col(f"s{k}"), F.lit(1)) + F.col(f"c{k}")), range(1, LEVELS), F.when(F.col("ilvl") == 0, F.col("s0") + F.col("c0"))).cast("string")
     done = known.select("doc_id", "pos", F.when((text == "") | text.contains("%"), own).otherwise(text).alias("number"))
-    return paragraphs.join(done, ["doc_id", "pos"], "left").withColumn("number", F.coalesce("number", F.lit("")))
+    return paragraphs.drop(CHUNK).join(done, ["doc_id", "pos"], "left").withColumn("number", F.coalesce("number", F.lit("")))
