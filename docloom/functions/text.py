@@ -124,7 +124,8 @@ def is_heading(c: Column, bold: Column | bool = False) -> Column:
     t, bold = text(c), bold if isinstance(bold, Column) else F.lit(bold)
     sentence = t.rlike(r"[,，;；、/]|\p{Nd}{3,}")
     never = t.startswith(X.PICTOGRAM_MARK) | t.isin(*X.NOT_HEADINGS) | t.rlike(r"^[A-Za-z]{1,8}[-\s\p{Z}]?\p{Nd}|^\p{Nd}+[A-Za-z]|[。.！？!?]$")
-    return ~never & ((F.length(t) <= 15) | (bold & ~sentence & (F.length(t) <= 60)))
+    # lengths first: of long lines nothing else is looked at
+    return (F.length(t) <= F.when(bold, 60).otherwise(15)) & ~never & ((F.length(t) <= 15) | ~sentence)
 
 
 def class_row(c: Column) -> Column:

@@ -30,7 +30,8 @@ def classify_lines(lines: DataFrame, keys: list[str], section=None) -> DataFrame
     x = lines.withColumn("t", T.strip(T.text(F.col("line")))).where("t <> ''").withColumn("bold", F.coalesce("bold", F.lit(False)))
     t, nxt, no = F.col("t"), F.col("_next"), F.lit("")
     x = x.withColumns({
-        "_ends": T.strip(T.group(t, ENDS)), "_left": T.strip(F.regexp_extract(t, INLINE, 1)), "_tab": F.regexp_extract(t, TAB, 1), "_head": T.is_heading(t, F.col("bold")),
+        # no pattern is tried on a line that lacks what it needs
+        "_ends": F.when(T.has_colon(t), T.strip(T.group(t, ENDS))), "_left": F.when(T.has_colon(t), T.strip(F.regexp_extract(t, INLINE, 1))).otherwise(""), "_tab": F.when(t.contains("\t"), F.regexp_extract(t, TAB, 1)).otherwise(""), "_head": T.is_heading(t, F.col("bold")),
         "_class": F.when(two, T.class_row(t)),
     })
     x = beside(x, keys, ["pos"], {"_before": F.col("_ends")})

@@ -63,6 +63,15 @@ def section_two_units(spark, d):
     return units.select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "label", "value")
 
 
+@query("torn_labels", """WITH u AS (SELECT p_partkey AS doc_id, * FROM part)
+    SELECT doc_id, 1 AS ord, 'sub' AS kind, '2.5' AS seq, p_type AS label, '' AS value FROM u UNION ALL SELECT doc_id, 2, 'field', '', p_name || '制', p_brand || chr(10) || 'H302: ' || p_brand FROM u
+    UNION ALL SELECT doc_id, 3, 'sub', '9.1', p_name, '' FROM u""")
+def torn_labels(spark, d):
+    texts = [F.concat("p_name", F.lit("：")), F.lit("制："), F.col("p_brand"), F.concat(F.lit("2.5\t"), "p_type"), F.concat(F.lit("H302: "), "p_brand"), F.concat(F.lit("9.1 "), "p_name")]
+    lines = A.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.array(*texts)).alias("pos", "line")).withColumn("bold", F.lit(False))
+    return blocks.text_block_units(lines, ["doc_id"]).select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "seq", "label", "value")
+
+
 @query("unified_blocks", """WITH u AS (SELECT p_partkey AS doc_id, * FROM part)
     SELECT doc_id, 1 AS ord, 2 AS idx, 'sub' AS kind, '8.1' AS seq, p_type AS label, '' AS value, false AS editable FROM u
     UNION ALL SELECT doc_id, 2, 0, 'field', '8.2', p_name, p_size::VARCHAR, true FROM u
