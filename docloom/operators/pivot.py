@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
 
-#: Most columns of a wide table or grid, a documented bound: labels are told to every task.
+#: Most columns of one wide table, and labels that are told to every task at once.
 MOST_COLUMNS = 20_000
 
 
@@ -55,27 +58,50 @@ def pivot_cells(p: DataFrame) -> DataFrame:
     return p.groupBy("doc_id", "section", "kind", "norm_label").agg(F.when(F.col("kind") == "note", notes).otherwise(F.coalesce(first, F.lit(""))).alias("value"))
 
 
+def numbered_columns(columns: DataFrame) -> DataFrame:
+    """columns with number, their place from 0 in order of section and col_ord: what comes to the driver is a count for each section."""
+    before, offsets = 0, []
+    for section, n in sorted(columns.groupBy("section").count().collect()):
+        offsets += [F.lit(section), F.lit(before)]
+        before += n
+    offset = F.element_at(F.create_map(*offsets), F.col("section")) if offsets else F.lit(0)
+    return columns.withColumn("number", (offset + F.col("col_ord") - 1).cast("long"))
+
+
+def column_slices(columns: DataFrame, most: int = MOST_COLUMNS) -> Iterator[list[tuple]]:
+    """(section, kind, norm_label) of the columns in order, `most` at a time: one slice is on the driver at once."""
+    numbered = store.keep(numbered_columns(columns), "columns")
+    for at in range(0, numbered.count(), most):
+        part = numbered.where(F.col("number").between(at, at + most - 1)).select("section", "kind", "norm_label", "number").orderBy("number").collect()
+        yield [(r.section, r.kind, r.norm_label) for r in part]
+    store.drop(numbered)
+
+
 def listed_columns(columns: DataFrame, most: int = MOST_COLUMNS) -> list[tuple]:
-    """(section, kind, norm_label) of the columns in order: a row per distinct label, an error beyond `most` of them."""
+    """(section, kind, norm_label) of the columns of one wide table, in order; more than `most` of them need several, see write_slices."""
     rows = columns.select("section", "kind", "norm_label", "col_ord").orderBy("section", "col_ord").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"over {most} columns: use the cells in their long form")
+        raise ValueError(f"over {most} columns: write_slices makes several tables of them")
     return [(r.section, r.kind, r.norm_label) for r in rows]
 
 
 def pivot_grid(documents: DataFrame, columns: DataFrame, cells: DataFrame, most: int = MOST_COLUMNS) -> DataFrame:
     """The long form, a cell for each document and column: '' where there is none, 无数据 for a field of section 9.
 
-    The columns are bounded by `most` and told to every task; a document's cells meet them in one row, so nothing is joined.
+    The columns are told to every task `most` at a time; a document's cells meet them in one row, so nothing is joined.
     """
-    listed = [{"section": s, "kind": k, "norm_label": n} for s, k, n in listed_columns(columns, most)]
-    head = F.from_json(F.lit(json.dumps(listed)), "array<struct<section:int,kind:string,norm_label:string>>")
     key = lambda c: F.struct(*[F.col(f"{c}{x}").cast(t).alias(x) for x, t in (("section", "int"), ("kind", "string"), ("norm_label", "string"))])
     held = cells.select("doc_id", F.struct(key("").alias("key"), "value").alias("cell")).unionByName(documents.select("doc_id", F.lit(None).alias("cell")), allowMissingColumns=True)
     held = held.groupBy("doc_id").agg(F.map_from_entries(F.collect_list("cell")).alias("cells"))
     v = T.clean_cell(F.coalesce(F.try_element_at("cells", key("c.")), F.lit("")))
     empty = F.when((F.col("c.section") == 9) & (F.col("c.kind") == "field"), X.NO_DATA).otherwise("")
-    return held.withColumn("c", F.explode(head)).select("doc_id", "c.*", F.when(v == "", empty).otherwise(v).alias("value"))
+
+    def part(listed: list[tuple]) -> DataFrame:
+        head = F.from_json(F.lit(json.dumps([{"section": s, "kind": k, "norm_label": n} for s, k, n in listed])), "array<struct<section:int,kind:string,norm_label:string>>")
+        return held.withColumn("c", F.explode(head)).select("doc_id", "c.*", F.when(v == "", empty).otherwise(v).alias("value"))
+
+    parts = [part(x) for x in column_slices(columns, most)]
+    return reduce(DataFrame.unionAll, parts or [part([])])
 
 
 def pivot_wide(documents: DataFrame, cells: DataFrame, columns: list[tuple]) -> DataFrame:
@@ -111,7 +137,7 @@ def component_rows(tables: DataFrame, components: DataFrame) -> DataFrame:
 def build_pivot(documents: DataFrame, entries: DataFrame, tables: DataFrame | None = None, components: DataFrame | None = None, most: int = MOST_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """(wide table, column table), with ingredient columns where component tables and components are given (see component_rows).
 
-    The column list, one row per distinct label, is what the driver gets; over `most` labels raise an error.
+    The column list, one row per distinct label, is what the driver gets; for more than `most` labels see write_slices.
     """
     p = pivot_input(entries)
     if tables is not None and components is not None:
@@ -120,6 +146,32 @@ def build_pivot(documents: DataFrame, entries: DataFrame, tables: DataFrame | No
     return pivot_wide(documents, pivot_cells(p), listed_columns(columns, most)), columns
 
 
+def write_slices(documents: DataFrame, columns: DataFrame, cells: DataFrame, path: str, most: int = MOST_COLUMNS) -> DataFrame:
+    """Wide tables of any number of columns: `most` columns each, as Parquet under path; returns what is written to path/columns.
+
+    That is section, kind, norm_label, seq, col_ord and number of each column, with the slice it is in (path/cells/slice=n)
+    and its name there. Every slice has a row for each document, and its job reads the cells of its own columns only.
+    """
+    spark = documents.sparkSession
+    named = numbered_columns(columns).withColumns({"slice": F.floor(F.col("number") / most).cast("int"), "name": F.concat_ws("_", F.col("section").cast("string"), "kind", "norm_label")})
+    named.repartitionByRange("number").write.parquet(f"{path}/columns")
+    named = spark.read.parquet(f"{path}/columns")
+    at = store.new_path(spark, "pivot-cells")
+    keys = ["section", "kind", "norm_label"]
+    cells.join(named.select(*keys, "slice", "name"), keys).repartition("slice", "doc_id").write.partitionBy("slice").parquet(at)
+    ids = store.keep(documents.select("doc_id").distinct(), "pivot-documents")
+    n = named.agg(F.max("slice")).first()[0]
+    for k in range(0 if n is None else n + 1):
+        listed = [(r.name, r.section == 9 and r.kind == "field") for r in named.where(F.col("slice") == k).orderBy("number").select("name", "section", "kind").collect()]
+        wide = spark.read.parquet(at).where(F.col("slice") == k).groupBy("doc_id").pivot("name", [name for name, _ in listed]).agg(F.first(T.clean_cell(F.col("value"))))
+        quoted = lambda c: f"`{c.replace('`', '``')}`"
+        filled = [F.coalesce(F.nullif(F.col(quoted(c)), F.lit("")), F.lit(X.NO_DATA if nine else "")).alias(c) for c, nine in listed]
+        ids.join(wide, "doc_id", "left").select("doc_id", *filled).write.parquet(f"{path}/cells/slice={k}")
+    store.delete(spark, at)
+    store.drop(ids)
+    return named
+
+
 def single_pivot(documents: DataFrame, entries: DataFrame, doc_id, tables: DataFrame | None = None, components: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The pivot of one document."""
     mine = lambda df: df.where(F.col("doc_id") == doc_id) if df is not None else None

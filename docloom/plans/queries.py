@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import store
@@ -434,6 +436,32 @@ def pivot_cells(spark, d):
     return pivot.pivot_grid(e, pivot.pivot_columns(p), pivot.pivot_cells(p))
 
 
+@query("pivot_slices", ORACLE_SQL["pivot_cells"])
+def pivot_slices(spark, d):
+    e, path = A.entries(spark, d), store.new_path(spark, "pivot-slices")
+    p = pivot.pivot_input(e)
+    # all columns, in several wide tables, read back into the long form
+    named = pivot.write_slices(e, pivot.pivot_columns(p), pivot.pivot_cells(p), path, 24)
+    wide = [spark.read.parquet(f"{path}/cells/slice={k}") for k in range(named.agg(F.max("slice")).first()[0] + 1)]
+    long = reduce(DataFrame.unionAll, [t.unpivot("doc_id", None, "name", "value") for t in wide])
+    return long.join(named.select("name", "section", "kind", "norm_label"), "name").drop("name")
+
+
+MOST_ENTRIES = "mine AS (SELECT * FROM entries WHERE doc_id = (SELECT doc_id FROM entries GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1))"
+OF_MINE = lambda sql: sql.replace("FROM entries", "FROM mine")
+
+
+@query("single_pivot", f"WITH {MOST_ENTRIES}, {OF_MINE(PIVOTED)}, {COLUMNS}, {CELLS}, docs AS (SELECT DISTINCT doc_id FROM mine) SELECT doc_id, section || '_' || norm_label AS name, CASE WHEN coalesce(value, '') = '' AND section = 9 AND kind = 'field' THEN '无数据' ELSE coalesce(value, '') END AS value FROM docs CROSS JOIN columns_ LEFT JOIN cells USING (doc_id, section, kind, norm_label)", "entries")
+def single_pivot(spark, d):
+    e = A.entries(spark, d)
+    # of all documents the one with the most entries
+    most = e.groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").first()
+    if most is None:
+        return e.select("doc_id", F.lit("").alias("name"), "value")
+    wide, _ = pivot.single_pivot(e, e, most.doc_id)
+    return wide.unpivot("doc_id", None, "name", "value")
+
+
 WIDE = [(s, x) for s in (1, 9) for x in ("click", "view", "purchase")]
 
 

@@ -175,6 +175,29 @@ def test_checks(spark, entries):
     assert [x.place for x in got] == [2, 2, 3, 3, 3] + [None] * 5
 
 
+def test_pivot_of_more_columns_than_one_table_holds(spark, tmp_path):
+    rows = [(d, p, 1 + p % 16, f"label {(d * 31 + p) % 700}", "" if p % 5 else "9.1", f"v{d}.{p}" if p % 4 else " ", "note" if p % 50 == 7 else "field") for d in range(12) for p in range(200)]
+    e = spark.createDataFrame(rows, "doc_id long, pos long, section int, label string, seq string, value string, kind string")
+    p = pivot.pivot_input(e)
+    columns, cells = pivot.pivot_columns(p), pivot.pivot_cells(p)
+    n = columns.count()
+    assert n > 600
+    whole = {(r.doc_id, r.section, r.kind, r.norm_label): r.value for r in pivot.pivot_grid(e, columns, cells).collect()}
+    assert len(whole) == 12 * n and {(r.doc_id, r.section, r.kind, r.norm_label): r.value for r in pivot.pivot_grid(e, columns, cells, 100).collect()} == whole
+    with pytest.raises(ValueError, match="write_slices"):
+        pivot.build_pivot(e, e, most=100)
+    named = pivot.write_slices(e, columns, cells, str(tmp_path / "wide"), 250).orderBy("number").collect()
+    assert [r.number for r in named] == list(range(n)) and max(r.slice for r in named) == (n - 1) // 250
+    got = {}
+    for k in range((n - 1) // 250 + 1):
+        table = spark.read.parquet(str(tmp_path / "wide" / "cells" / f"slice={k}"))
+        mine = [r for r in named if r.slice == k]
+        assert table.columns == ["doc_id", *[r.name for r in mine]] and table.count() == 12
+        got |= {(row.doc_id, r.section, r.kind, r.norm_label): row[r.name] for row in table.collect() for r in mine}
+    assert got == whole
+    assert pivot.write_slices(e.limit(0), columns.limit(0), cells.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_number_gaps_of_any_numbers(spark):
     labels = {"a": ["9.2 x", "9.2000000000 y"], "b": ["9.99999999999", "9.1"], "c": ["9.１ a\n9.٣ b", "9.5"], "d": ["9." + "9" * 60, "9.7", "9.8"], "e": ["none", "8.1", " 9.1"], "f": ["9.1", "9.103"], "g": ["9.1", "9.102", "9.102"]}
     df = spark.createDataFrame([(d, x) for d, v in labels.items() for x in v], "doc_id string, label string")
