@@ -25,7 +25,7 @@ WINDOW = 10
 #: Words of a segment, and of the longest phrase that is found where a text is cut.
 SEGMENT, LONGEST = 1_300_000, 64
 #: Candidate starts that are followed at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 200_000
 SCHEMA = "rows array<long>, doc_ids array<long>, n_words array<long>, firsts array<long>, bases array<long>, terms binary, counts binary, places binary"
 
 
