@@ -578,4 +578,4 @@ def fingerprint(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-from . import row_queries  # noqa: E402, F401  (it registers its queries, and needs the pieces above)
+from . import package_queries, row_queries  # noqa: E402, F401  (they register their queries, and need the pieces above)

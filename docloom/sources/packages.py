@@ -35,3 +35,45 @@ def _packages(key, pdf):
 def of_rows(rows: DataFrame, bold) -> DataFrame:
     """doc_id (as text) and content: a package for each document's rows (doc_id, pos, c0, c1); bold says which first cells are."""
     return rows.select("doc_id", "pos", "c0", "c1", bold.alias("bold")).groupBy("doc_id").applyInPandas(_packages, "doc_id string, content binary")
+
+
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PICTURE = (
+    '<w:r><w:drawing xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><wp:inline>'
+    '<wp:extent cx="{cx}" cy="{cy}"/><a:graphic><a:blip r:embed="{id}"/></a:graphic></wp:inline></w:drawing></w:r>'
+)
+
+
+def whole_package(rows, box, header: str, footer: str, pictures: list[bytes]) -> bytes:
+    """A package with a table of rows (lists of cells), a text box of lines, a header cell, a footer paragraph, and pictures in the last cell."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    par = lambda t, more="": f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>{more}</w:p>'
+    drawn = "".join(_PICTURE.format(cx=100 + k, cy=200, id=f"rIdP{k}") for k in range(len(pictures)))
+    body = "".join("<w:tr>" + "".join(f"<w:tc>{par(c, drawn if r == len(rows) - 1 and k == len(cells) - 1 else '')}</w:tc>" for k, c in enumerate(cells)) + "</w:tr>" for r, cells in enumerate(rows))
+    boxed = f"<w:p><w:r><w:txbxContent>{''.join(map(par, box))}</w:txbxContent></w:r></w:p>" if len(box) else ""
+    refs = '<w:sectPr><w:headerReference w:type="default" r:id="rIdH"/><w:footerReference w:type="default" r:id="rIdF"/></w:sectPr>'
+    links = {"rIdH": "header1.xml", "rIdF": "footer1.xml"} | {f"rIdP{k}": f"media/image{k}.png" for k in range(len(pictures))}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        put = lambda name, data: z.writestr(zipfile.ZipInfo(name), data)  # noqa: E731  the same bytes each time
+        put("word/document.xml", f'<w:document xmlns:w="{_W}" xmlns:r="{_R}"><w:body><w:tbl>{body}</w:tbl>{boxed}{refs}</w:body></w:document>')
+        put("word/_rels/document.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in links.items()) + "</Relationships>")
+        put("word/header1.xml", f'<w:hdr xmlns:w="{_W}"><w:tbl><w:tr><w:tc>{par(header)}</w:tc></w:tr></w:tbl></w:hdr>')
+        put("word/footer1.xml", f'<w:ftr xmlns:w="{_W}">{par(footer)}</w:ftr>')
+        for k, data in enumerate(pictures):
+            put(f"word/media/image{k}.png", data)
+    return out.getvalue()
+
+
+def _whole(batches):
+    for pdf in batches:
+        made = [whole_package(rows, box, header, footer, [p.encode() for p in pictures]) for rows, box, header, footer, pictures in zip(pdf["rows"], pdf["box"], pdf["header"], pdf["footer"], pdf["pictures"], strict=True)]
+        yield pdf[["doc_id"]].assign(content=[x[: len(x) // 2] if cut else x for x, cut in zip(made, pdf["damaged"], strict=True)])
+
+
+def of_documents(documents: DataFrame) -> DataFrame:
+    """doc_id and content of documents (doc_id string, rows array<array<string>>, box array<string>, header, footer, pictures array<string>, damaged): half a package of a damaged one."""
+    return documents.select("doc_id", "rows", "box", "header", "footer", "pictures", "damaged").mapInPandas(_whole, "doc_id string, content binary")
