@@ -29,6 +29,8 @@ from .near_dedup import word_hashes
 
 #: Bytes of text in a chunk of documents and behind a range of keys, about.
 CHUNK = 1 << 23
+#: Chunks of text from which the rows of one key are dealt apart.
+HOT = 4
 #: Weight of the bigram; added count of each word.
 BIGRAM, ADDED = 0.6, 0.1
 #: Kinds of keys, in their last two bits.
@@ -101,7 +103,9 @@ def _counted(bits: int):
             c = _Chunk(rows.filter(pc.equal(kind, DOCUMENT)))
             if not len(c.keys):
                 continue
-            good = pc.fill_null(pc.is_in(c.doc_id, rows.filter(pc.equal(kind, GOOD)).column("doc_id").combine_chunks()), False).to_numpy(zero_copy_only=False)
+            good = pc.fill_null(pc.is_in(c.doc_id, rows.filter(pc.equal(kind, GOOD)).column("doc_id").combine_chunks()), False)
+            hot = pc.and_(pc.fill_null(rows.filter(pc.equal(kind, DOCUMENT)).column("hot").combine_chunks(), False), pc.is_valid(c.doc_id))
+            good = pc.or_(good, hot).to_numpy(zero_copy_only=False)
             (n, ends), (good_n, good_ends) = c.counts(np.ones(len(c.size), bool)), c.counts(good)
             at = (c.keys >> np.uint64(64 - bits)).astype(np.int64)
             first = np.flatnonzero(np.diff(at, prepend=-1))
@@ -171,17 +175,23 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int | Non
     Null or wordless texts have 0 words and null losses; a null doc_id is passed through; repeated rows are scored each.
     size is the number of words that share the added counts, by default the distinct words of docs. labels (doc_id,
     quality, toxic) may repeat or miss ids, and may have nulls (not good). Without good documents the target is uniform.
-    An empty docs table gives no rows.
+    An empty docs table gives no rows. Rows of one id, or equal texts without one, that are more than HOT chunks of text
+    are dealt to chunks by their place in the table, so docs must be read in the same order each time, as files are.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    sizes = keep(docs.groupBy(key.alias("key")).agg(F.sum(F.octet_length("text")).alias("bytes")), "lm-sizes")
+    chunks = max(1, -(-int(sizes.agg(F.sum("bytes")).first()[0] or 0) // chunk_bytes))
     bits = max(1, (chunks - 1).bit_length())
     # rows of one doc_id come to one chunk, and its label with them; without an id, equal texts do
     chunk_of = lambda c: F.pmod(F.xxhash64(c, F.lit(6)), F.lit(chunks)).alias("chunk")
     dealt = lambda df, by: df.repartition(by).sortWithinPartitions(by)
-    texts = docs.select(chunk_of(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(DOCUMENT).alias("range"), "doc_id", "text")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    good = good.select(chunk_of(F.col("doc_id")), F.lit(GOOD).alias("range"), "doc_id", F.lit(None).cast("string").alias("text"))
+    # keys of many chunks are spread over all, with their label beside them: one for each HOT chunks of text at most
+    hot = sizes.where(F.col("bytes") > HOT * chunk_bytes).join(good, F.col("key") == F.col("doc_id"), "left").select("key", F.col("doc_id").isNotNull().alias("hot"))
+    spread = F.coalesce(F.when(F.col("hot").isNotNull(), F.xxhash64(F.monotonically_increasing_id())), F.col("key"))
+    texts = docs.withColumn("key", key).join(F.broadcast(hot), "key", "left").select(chunk_of(spread), F.lit(DOCUMENT).alias("range"), "doc_id", "text", "hot")
+    good = good.select(chunk_of(F.col("doc_id")), F.lit(GOOD).alias("range"), "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("hot"))
     kinds = ", ".join(f"{c} binary" for c in COUNTS)
     docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner lets go of shuffles that nothing reads any more
     counts = dealt(texts.unionByName(good), "chunk").mapInArrow(_counted(bits), f"chunk long, range int, keys binary, {kinds}")

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 
 from docloom.llm import fingerprints, language_id, line_dedup, lm_score, near_dedup, packing, token_counts
+from docloom.llm.common import new_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -415,6 +416,21 @@ def test_lm_score_against_plain_counts(spark, odd):
     assert lm_score.cross_entropy_difference(odd.limit(0), labels).count() == 0
 
 
+def test_lm_score_spreads_rows_of_one_key(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 300, 40))
+    same = text()
+    docs = [(None, same)] * 200 + [(7, text()) for _ in range(200)] + [(8, text()) for _ in range(100)] + [(100 + i, text()) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    df.write.parquet(path := new_path(spark, "t"))
+    df = spark.read.parquet(path)
+    labels = spark.createDataFrame([(7, 1, 0), (120, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = lambda **how: sorted((str(r.doc_id), r.n_words, round(r.target_loss, 9), round(r.background_loss, 9)) for r in lm_score.cross_entropy_difference(df, labels, **how).collect())
+    want = rows()  # one chunk
+    monkeypatch.setattr(lm_score, "HOT", 2)
+    assert rows(chunk_bytes=4000) == want
+
+
 def test_lm_score_keeps_every_word_and_bigram(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(90_000)]  # each word twice, so over 65,535 words and nearly as many bigrams as words
