@@ -63,7 +63,7 @@ class PictureWriter(DataSourceWriter):
             if folder not in folders:
                 store.create_dir(f"{at}/{folder}", recursive=True)
                 folders.add(folder)
-            with store.open_output_stream(f"{at}/{folder}/{name}") as f:
+            with store.open_output_stream(f"{at}/{folder}/{name}", compression=None) as f:
                 f.write(content)
         return Attempt(at, sorted(folders))
 
