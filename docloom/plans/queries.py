@@ -512,10 +512,11 @@ def missing_sections(spark, d):
     return quality.missing_sections(e, e.where("section % 5 <> doc_id % 5"))
 
 
-@query("doc_summary", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS}, {ITEMS} SELECT doc_id, count(DISTINCT section) AS n_sections, count(*) AS n_fields, 0::BIGINT AS n_lines, 0::BIGINT AS n_components, 0::BIGINT AS n_anomalies FROM items GROUP BY doc_id", "rows")
+@query("doc_summary", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS}, {ITEMS} SELECT doc_id, count(DISTINCT section) AS n_sections, count(*) AS n_fields, 0::BIGINT AS n_lines, count(*) FILTER (section = 3) AS n_components, 16 - count(DISTINCT section) AS n_anomalies FROM items GROUP BY doc_id", "rows")
 def doc_summary(spark, d):
     items = rows.section_items(_content(spark, d))
-    return quality.document_summary(items, items)
+    # the fields of section 3 as ingredients, the sections that a document lacks as anomalies
+    return quality.document_summary(items, items, items.where("section = 3"), quality.missing_sections(items, items))
 
 
 @query("anomaly_digest", "WITH a AS (SELECT DISTINCT d.doc_id, k::INT AS section FROM (SELECT DISTINCT doc_id FROM entries) d, range(1, 17) t(k) WHERE k % 5 <> d.doc_id % 4) SELECT doc_id, section, n, greatest(total - 12, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section)::INT AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM a) WHERE n <= 12", "entries")
