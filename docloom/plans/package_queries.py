@@ -24,7 +24,8 @@ MARK = "CASE p_size % 3 WHEN 1 THEN ' [象形图]' WHEN 2 THEN ' [象形图×2]'
 
 def _documents(spark, d, changed: str | None = None) -> DataFrame:
     """What the packages are made of; rows for which `changed` holds have another type."""
-    part = A.table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    # rows are short and packages long: a small table would be one task
+    part = A.table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").withColumn("id", F.col("p_partkey").cast("string"))
     kind = F.when(F.expr(changed), F.concat(F.lit("changed "), "p_type")).otherwise(F.col("p_type")) if changed else F.col("p_type")
     row = lambda *c: F.array(*[F.lit(x) if isinstance(x, str) else x for x in c])
     rows = F.array(row("1.物料及供应商标识", ""), row("产品名称：", F.col("p_name")), row("9.理化特性", ""), row("9.1 外观：", kind), row("", F.concat(F.lit("more of "), "p_brand")))
@@ -39,9 +40,14 @@ def _records(spark, d) -> DataFrame:
     return store.keep(docx.decode(packages.of_documents(_documents(spark, d))), "package-records")
 
 
+def _routed(records: DataFrame) -> DataFrame:
+    """Rows and text boxes with their sections, written between the steps so that none is worked out twice."""
+    return store.keep(sections.route_textboxes(store.keep(docx.cell_rows(_clean(records)), "package-rows")), "package-routed")
+
+
 def _clean(records: DataFrame) -> DataFrame:
     levels = records.where("kind = 'level'").select("doc_id", "num_id", "ilvl", "start", "lvl_text")
-    return docx.clean_paragraphs(docx.paragraphs(records), levels)
+    return store.keep(docx.clean_paragraphs(docx.paragraphs(records), levels), "package-paragraphs")
 
 
 @query("scanned_files", f"""SELECT p_partkey || '.docx' AS file_name, CASE WHEN {DAMAGED} THEN 'failed' ELSE 'ok' END AS status, CASE WHEN {DAMAGED} THEN NULL ELSE 1 END AS tables_count,
@@ -81,8 +87,7 @@ def image_files(spark, d):
 
 @query("textbox_rows", f"SELECT p_partkey::VARCHAR AS doc_id, 4::BIGINT AS pos, 10 AS section, '10.1 Reactivity ' || p_brand AS line FROM part WHERE p_partkey % 2 = 0 AND NOT {DAMAGED} UNION ALL SELECT p_partkey::VARCHAR, 5, 10, 'stable with ' || p_type FROM part WHERE p_partkey % 2 = 0 AND NOT {DAMAGED}")
 def textbox_rows(spark, d):
-    routed = sections.route_textboxes(docx.cell_rows(_clean(_records(spark, d))))
-    return documents.content_rows(routed).where("section = 10").select("doc_id", "pos", "section", F.array_join("cells", "|").alias("line"))
+    return documents.content_rows(_routed(_records(spark, d))).where("section = 10").select("doc_id", "pos", "section", F.array_join("cells", "|").alias("line"))
 
 
 PAGE_ITEMS = f"""WITH u AS (SELECT p_partkey::VARCHAR AS doc_id, p_partkey % 3 AS k, * FROM part WHERE NOT {DAMAGED}),
@@ -104,9 +109,13 @@ def page_editable(spark, d):
     return quality.default_editable(documents.page_items(docx.paragraphs(_records(spark, d)))).select("doc_id", "pos", "label", "editable")
 
 
+def _content(files: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
+    return {"content": documents.content_rows(_routed(records))}
+
+
 @query("library_refresh", f"""WITH u AS (SELECT p_partkey::VARCHAR AS doc_id, * FROM part WHERE NOT {DAMAGED})
-    SELECT doc_id, 1 AS section, 'field' AS kind, '' AS seq, '产品名称' AS label, p_name AS value FROM u UNION ALL SELECT doc_id, 9, 'field', '9.1', '外观', p_type || chr(10) || 'more of ' || p_brand || {MARK} FROM u
-    UNION ALL SELECT doc_id, 10, 'sub', '10.1', 'Reactivity ' || p_brand, '' FROM u WHERE p_partkey % 2 = 0 UNION ALL SELECT doc_id, 10, 'note', '', '', 'stable with ' || p_type FROM u WHERE p_partkey % 2 = 0""")
+    SELECT doc_id, 1 AS section, 1::BIGINT AS pos, '产品名称：|' || p_name AS cells FROM u UNION ALL SELECT doc_id, 9, 2, '9.1 外观：|' || p_type FROM u UNION ALL SELECT doc_id, 9, 3, '|more of ' || p_brand || {MARK} FROM u
+    UNION ALL SELECT doc_id, 10, 4, '10.1 Reactivity ' || p_brand FROM u WHERE p_partkey % 2 = 0 UNION ALL SELECT doc_id, 10, 5, 'stable with ' || p_type FROM u WHERE p_partkey % 2 = 0""")
 def library_refresh(spark, d):
     """Two syncs: first with other contents, and a file more for each, then with the files as they are."""
     to = store.new_path(spark, "library")
@@ -117,13 +126,13 @@ def library_refresh(spark, d):
 
     before = _documents(spark, d, "p_size % 2 = 1")
     old = files(before.unionByName(before.withColumn("doc_id", F.concat(F.lit("old-"), "doc_id"))), "2024-01-01 00:00:00")
-    library.sync(old, to, 8)
+    library.sync(old, to, 8, _content)
     now = files(_documents(spark, d), "2024-01-02 00:00:00")
     # what was sent again unchanged keeps its time
     same = old.select("doc_id", F.col("content").alias("was"), F.col("at").alias("then"))
     now = now.join(same, "doc_id", "left").select("doc_id", "file_name", F.when(F.col("content") == F.col("was"), F.col("then")).otherwise(F.col("at")).alias("at"), "length", "content")
-    library.sync(store.keep(now, "package-files"), to, 8)
-    return library.read(spark, to).entries.where("section > 0").select("doc_id", "section", "kind", "seq", "label", "value")
+    library.sync(store.keep(now, "package-files"), to, 8, _content)
+    return library.read_tables(spark, to)["content"].select("doc_id", "section", "pos", F.array_join("cells", "|").alias("cells"))
 
 
 @query("document_json", PAGE_ITEMS + """ SELECT doc_id, 0 AS section, label, value FROM items WHERE kind = 'field' UNION ALL SELECT doc_id, 1, '产品名称', p_name FROM u

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,13 +70,19 @@ _SCHEMAS = "name string, schema string"
 _RECORDS = docx.SCHEMA.replace("doc_id string", "sha256 string", 1)
 
 
-def sync(files: DataFrame, to: str, buckets: int = BUCKETS) -> Synced:
+def every_table(files: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
+    """All long tables of decoded files."""
+    return vars(corpus_tables(files, records, store.keep))
+
+
+def sync(files: DataFrame, to: str, buckets: int = BUCKETS, build: Callable[[DataFrame, DataFrame], dict[str, DataFrame]] = every_table) -> Synced:
     """Bring the library under `to` to the state of files (doc_id, file_name, at, length, content), as folder_files gives them.
 
     A file counts as changed when it is new or its time or length is another; only changed files are read. Of their
     contents those are decoded that the library has never seen, once each however many files share them: a damaged
     content stays damaged until its file changes. Tables are worked out again for the buckets of changed and removed
-    files. `buckets` must be that of the first sync. Removed files leave the tables; their contents stay decoded.
+    files; build makes them, each with doc_id, of files (doc_id, file_name, sha256) and their records. It and `buckets`
+    must be those of the first sync. Removed files leave the tables; their contents stay decoded.
     """
     spark = ship(files.sparkSession)
     states = _states(spark, to)
@@ -114,10 +121,10 @@ def sync(files: DataFrame, to: str, buckets: int = BUCKETS) -> Synced:
         again = now.join(F.broadcast(touched), "bucket", "left_semi")  # one row for each bucket at most
         # a content that two syncs decoded at once is there twice, equal in every row
         records = again.select("doc_id", "sha256").join(decoded, "sha256").drop("sha256").distinct()
-        corpus = corpus_tables(again.select("doc_id", "file_name", "sha256"), store.keep(records, "library-records"))
-        for name in NAMES:
-            getattr(corpus, name).select("*", bucket, F.lit(version).alias("version")).write.mode("append").partitionBy("bucket", "version").parquet(f"{to}/tables/{name}")
-        schemas = spark.createDataFrame([(name, getattr(corpus, name).schema.json()) for name in NAMES], _SCHEMAS)
+        tables = build(again.select("doc_id", "file_name", "sha256"), store.keep(records, "library-records"))
+        for name, table in tables.items():
+            table.select("*", bucket, F.lit(version).alias("version")).write.mode("append").partitionBy("bucket", "version").parquet(f"{to}/tables/{name}")
+        schemas = spark.createDataFrame([(name, table.schema.json()) for name, table in tables.items()], _SCHEMAS)
     else:
         schemas = _read(spark, f"{last}/schemas", _SCHEMAS)
     schemas.coalesce(1).write.mode("overwrite").parquet(f"{state}/schemas")
@@ -128,19 +135,24 @@ def sync(files: DataFrame, to: str, buckets: int = BUCKETS) -> Synced:
     return Synced(n_changed, gone, n_decoded, n_touched)
 
 
-def read(spark: SparkSession, to: str) -> Corpus:
+def read_tables(spark: SparkSession, to: str) -> dict[str, DataFrame]:
     """The tables as the last sync left them: of each bucket its current version, found by partition pruning."""
     states = _states(spark, to)
     if not states:
         raise FileNotFoundError(f"no sync has ended under {to}")
     current = F.broadcast(spark.read.parquet(f"{to}/states/{states[-1]}/buckets"))
     schemas, tables = dict(spark.read.parquet(f"{to}/states/{states[-1]}/schemas").collect()), {}
-    for name in NAMES if schemas else ():
+    for name in schemas:
         df = _read(spark, f"{to}/tables/{name}", StructType.fromJson(json.loads(schemas[name])).add("bucket", IntegerType()).add("version", StringType()))
         tables[name] = df.join(current, ["bucket", "version"], "left_semi").drop("bucket", "version")
     if not tables:
         raise FileNotFoundError(f"no file has been synced to {to} yet")
-    return Corpus(**tables)
+    return tables
+
+
+def read(spark: SparkSession, to: str) -> Corpus:
+    """read_tables of a library that holds every table."""
+    return Corpus(**read_tables(spark, to))
 
 
 def vacuum(spark: SparkSession, to: str) -> int:
@@ -150,11 +162,10 @@ def vacuum(spark: SparkSession, to: str) -> int:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(to).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     old = [f"{to}/states/{n}" for n in states[:-1]]
-    for name in NAMES:
-        for s in system.globStatus(path(f"{to}/tables/{name}/bucket=*/version=*")) or ():
-            b, v = (x.partition("=")[2] for x in s.getPath().toString().rsplit("/", 2)[1:])
-            if (int(b), v) not in current:
-                old.append(s.getPath().toString())
+    for s in system.globStatus(path(f"{to}/tables/*/bucket=*/version=*")) or ():
+        b, v = (x.partition("=")[2] for x in s.getPath().toString().rsplit("/", 2)[1:])
+        if (int(b), v) not in current:
+            old.append(s.getPath().toString())
     for at in old:
         store.delete(spark, at)
     return len(old)
