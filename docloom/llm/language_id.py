@@ -3,7 +3,8 @@
 A model of order N is fitted per language on labelled rows; the n-grams' log probabilities of all languages stand side by
 side in sorted arrays of 64-bit hashes, one array per order, with back-off weights in arrays of their own. A text gets the
 language of least cross-entropy per character. It is rejected when that is above a high quantile of what the language's
-calibration rows, well identified and not fitted on, have shown, by a margin.
+calibration rows, well identified and not fitted on, have shown, by a margin. Both are drawn to the language's mean by the
+weight of a few characters, so that one rule holds for texts of every length.
 
 Text is lower-cased; letters count as themselves, runs of anything else as one space.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, slices, table
@@ -22,19 +23,22 @@ from .common import keep, slices, table
 N = 4
 #: Rows of each language that the models are fitted on, in expectation: a bounded sample, by hash of doc_id.
 FIT_ROWS = 3000
-#: Sharpness of the score; times the calibration quantile that is accepted; characters below which nothing is rejected.
-SHARPNESS, MARGIN, LEAST = 20.0, 2.4, 40
-#: The quantile, and the calibration rows below which a language takes that of all of them.
+#: Sharpness of the score; times the calibration quantile that is accepted; characters of usual text that each text is given besides.
+SHARPNESS, MARGIN, PRIOR = 20.0, 2.4, 10
+#: The quantile, and the number of texts as which all languages' figures count in those of one.
 QUANTILE, ENOUGH = 0.98, 100
 UNKNOWN = "und"
-#: Characters that the models tell apart, the most frequent ones of the fitted rows; rarer ones are like unseen ones.
-CHARACTERS = (1 << 16) - 2
 NEW = ("lang_pred", "score", "cross_entropy", "rejected")
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
 
+def drawn(ce: np.ndarray, length: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Cross-entropies as if PRIOR more characters had the mean one: a few characters tell little."""
+    return (ce * length + PRIOR * mean) / (length + PRIOR)
+
+
 def is_letter(points: np.ndarray) -> np.ndarray:
     if not _letters:
         _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
@@ -116,20 +120,30 @@ class HashArray:
         return row
 
 
+def row_hashes(points: np.ndarray) -> np.ndarray:
+    """The hash of each row of code points as an n-gram, as gram_hashes has it; of no points, one constant."""
+    h = np.zeros(len(points), np.uint64)
+    for c in points.T.astype(np.uint64):
+        h = h * _P + c + np.uint64(1)
+    return _finish(h + np.uint64(points.shape[1] << 40))
+
+
 class _KneserNey:
-    """One language: counts of packed n-grams (16 bits a character) by order; lower orders count distinct left neighbours."""
+    """One language: n-grams by order with their counts, found by hash; lower orders count distinct left neighbours."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, vocabulary: int):
-        self.vocabulary, self.levels = vocabulary, {}
-        keys, c = grams, counts.astype(np.float64)
+    def __init__(self, points: np.ndarray, counts: np.ndarray, vocabulary: int):
+        self.vocabulary, self.points, self.levels = vocabulary, {}, {}
+        c = counts.astype(np.float64)
         for n in range(N, 0, -1):
+            keys = row_hashes(points)
             order = np.argsort(keys)
-            keys, c = keys[order], c[order]
+            keys, points, c = keys[order], points[order], c[order]
             one, two = (c == 1).sum(), (c == 2).sum()
             d = one / (one + 2 * two) if one and two else 0.5
-            context, first = np.unique(keys >> np.uint64(16), return_index=True)
-            self.levels[n] = keys, c, d, context, np.add.reduceat(c, first), np.diff(np.append(first, len(keys))).astype(np.float64)
-            keys, c = np.unique(keys & np.uint64((1 << 16 * (n - 1)) - 1), return_counts=True)
+            context, place = np.unique(row_hashes(points[:, :-1]), return_inverse=True)
+            self.points[n], self.levels[n] = points, (keys, c, d, context, np.bincount(place, c), np.bincount(place).astype(np.float64))
+            _, first, c = np.unique(row_hashes(points[:, 1:]), return_index=True, return_counts=True)
+            points = points[first, 1:]
 
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -137,61 +151,67 @@ class _KneserNey:
         return np.where(keys[at] == wanted, values[at], 0.0)
 
     def backoff(self, n: int, context: np.ndarray) -> np.ndarray:
+        """The weight of the lower order after each context (a row of n - 1 points)."""
         _, _, d, known, total, types = self.levels[n]
-        s = self._look(known, total, context)
-        return np.where(s > 0, d * self._look(known, types, context) / np.maximum(s, 1), 1.0)
+        h = row_hashes(context)
+        s = self._look(known, total, h)
+        return np.where(s > 0, d * self._look(known, types, h) / np.maximum(s, 1), 1.0)
 
     def prob(self, n: int, grams: np.ndarray) -> np.ndarray:
         if n == 0:
             return np.full(len(grams), 1.0 / self.vocabulary)
         keys, c, d, known, total, _ = self.levels[n]
-        context = grams >> np.uint64(16)
-        s = self._look(known, total, context)
-        lower = self.prob(n - 1, grams & np.uint64((1 << 16 * (n - 1)) - 1))
-        own = np.maximum(self._look(keys, c, grams) - d, 0) / np.maximum(s, 1)
-        return np.where(s > 0, own + self.backoff(n, context) * lower, lower)
+        s = self._look(known, total, row_hashes(grams[:, :-1]))
+        lower = self.prob(n - 1, grams[:, 1:])
+        own = np.maximum(self._look(keys, c, row_hashes(grams)) - d, 0) / np.maximum(s, 1)
+        return np.where(s > 0, own + self.backoff(n, grams[:, :-1]) * lower, lower)
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    return rows[np.unique(row_hashes(rows), return_index=True)[1]]
 
 
 class Model:
-    """All languages' models side by side; limit: the highest cross-entropy accepted for each."""
+    """All languages' models side by side; mean: each language's usual cross-entropy; limit: the highest accepted, both of texts drawn to the mean."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], characters: int = CHARACTERS - 2):
-        """rows: (language, n-gram of N characters, count); n-grams with a character beyond the most frequent ones are left out."""
+    def __init__(self, rows: list[tuple[str, str, int]]):
+        """rows: (language, n-gram of N characters, count)."""
         self.langs = sorted({r[0] for r in rows})
-        self.limit = np.full(len(self.langs), np.inf)
+        self.mean, self.limit = np.zeros(len(self.langs)), np.full(len(self.langs), np.inf)
         if not rows:
             return
-        points = np.array([[ord(c) for c in g] for _, g, _ in rows], np.int64).reshape(-1, N)
-        chars, often = np.unique(points, return_counts=True)
-        if len(chars) > characters:
-            chars = np.sort(chars[np.lexsort((chars, -often))[:characters]])
-            known = np.isin(points, chars).all(1)
-            points, rows = points[known], [r for r, k in zip(rows, known, strict=True) if k]
-            self.langs = sorted({r[0] for r in rows})
-            self.limit = np.full(len(self.langs), np.inf)
-        chars = np.union1d(chars, [0, 32])
-        ids = np.searchsorted(chars, points).astype(np.uint64)
-        packed = np.zeros(len(rows), np.uint64)
-        for j in range(N):
-            packed = (packed << np.uint64(16)) | ids[:, j]
-        lang, count = np.array([self.langs.index(r[0]) for r in rows]), np.array([r[2] for r in rows], np.float64)
-        models = [_KneserNey(packed[lang == k], count[lang == k], len(chars) + 1) for k in range(len(self.langs))]
+        points = np.array([[ord(c) for c in g] for _, g, _ in rows], np.int32).reshape(-1, N)
+        vocabulary = len(np.union1d(points, [0, 32])) + 1
+        number = {k: i for i, k in enumerate(self.langs)}
+        lang, count = np.array([number[r[0]] for r in rows]), np.array([r[2] for r in rows], np.float64)
+        models = [_KneserNey(points[lang == k], count[lang == k], vocabulary) for k in range(len(self.langs))]
         self.probs, self.backoffs = {}, {}
         for n in range(N, 0, -1):
-            grams = np.unique(np.concatenate([m.levels[n][0] for m in models]))
-            self.probs[n] = HashArray(self._hash(grams, n, chars), np.log(np.stack([m.prob(n, grams) for m in models], 1)))
+            grams = _distinct([m.points[n] for m in models])
+            self.probs[n] = HashArray(row_hashes(grams), np.log(np.stack([m.prob(n, grams) for m in models], 1)))
             if n > 1:
-                context = np.unique(np.concatenate([m.levels[n][3] for m in models]))
-                self.backoffs[n] = HashArray(self._hash(context, n - 1, chars), np.log(np.stack([m.backoff(n, context) for m in models], 1)))
-        none = np.array([np.iinfo(np.uint64).max], np.uint64) & np.uint64(0xFFFF)
+                context = _distinct([m.points[n][:, :-1] for m in models])
+                self.backoffs[n] = HashArray(row_hashes(context), np.log(np.stack([m.backoff(n, context) for m in models], 1)))
+        none = np.array([[0x110000]], np.int32)  # beyond all characters
         self.unseen = np.log(np.stack([m.prob(1, none) for m in models], 1))[0].astype(np.float32)
 
-    @staticmethod
-    def _hash(packed: np.ndarray, n: int, chars: np.ndarray) -> np.ndarray:
-        points = np.stack([chars[((packed >> np.uint64(16 * (n - 1 - j))) & np.uint64(0xFFFF)).astype(np.int64)] for j in range(n)], 1)
-        flat = np.zeros((len(packed), N + n), np.int64)
-        flat[:, N:] = points
-        return gram_hashes(flat.ravel())[n].reshape(len(packed), -1)[:, -1]
+    def calibrate(self, lang: np.ndarray, ce: np.ndarray, length: np.ndarray) -> None:
+        """Set mean and limit by the cross-entropies of texts that were not fitted on, given their languages' numbers and lengths.
+
+        A language's figures are drawn to those of all texts by the weight of ENOUGH texts: a few odd ones move nothing.
+        """
+        if not len(ce):
+            return
+        all_mean = (ce * length).sum() / length.sum()
+        all_high = np.quantile(drawn(ce, length, all_mean), QUANTILE)
+        for k in range(len(self.langs)):
+            c, n = ce[lang == k], length[lang == k]
+            share = len(c) / (len(c) + ENOUGH)
+            own = (c * n).sum() / n.sum() if len(c) else 0.0
+            self.mean[k] = share * own + (1 - share) * all_mean
+            high = np.quantile(drawn(c, n, self.mean[k]), QUANTILE) if len(c) else 0.0
+            self.limit[k] = MARGIN * (share * high + (1 - share) * all_high)
 
     def log_probs(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """(places, languages) log probabilities of the characters at places `at`."""
@@ -235,7 +255,7 @@ class Model:
         low = ce[np.arange(n), best]
         with np.errstate(invalid="ignore"):
             score = 1.0 / np.exp(-SHARPNESS * (ce - low[:, None])).sum(1)
-        reject = ~has | ((length >= LEAST) & (low > self.limit[best]))
+            reject = ~has | (drawn(low, length, self.mean[best]) > self.limit[best])
         return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0).tolist(), [float(x) if h else None for x, h in zip(low, has, strict=True)], reject.tolist()
 
 
@@ -260,41 +280,48 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Models of the non-null `lang` values of docs (doc_id, text, lang) that are not held out.
 
-    Each is fitted on about fit_rows rows, chosen by a hash of doc_id; calibration takes as many others. What comes to
-    the driver are the labels with their counts and the n-grams of that bounded sample.
+    Each is fitted on about fit_rows rows, chosen by a hash of id and text; calibration takes as many others, and of n rows in
+    all n / (2 n + 200) of them, so that a language of a few rows is fitted on nearly all. Equal rows count once. What comes
+    to the driver are the labels with their counts, the n-grams of that bounded sample and its cross-entropies.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     share = {r[0]: min(1.0, 2 * fit_rows / r[1]) for r in known.groupBy("lang").count().collect()}
     if not share:
         return Model([])
     of = F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, v)]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    sample = keep(known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2))).where(draw < of), "lang-sample")
-    # languages of a few rows are fitted on all of them
-    few = [r[0] for r in sample.groupBy("lang").count().where("count < 100").collect()]
-    grams = sample.where((F.col("half") == 0) | F.col("lang").isin(few))
-    rows = grams.select("text", "lang").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n")).collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    # windows over one language's rows of a bounded sample
+    all_, some = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(12)), "doc_id", "text")
+    sample = known.where(draw < of).dropDuplicates(["doc_id", "text", "lang"]).withColumns({"n": F.count("*").over(all_), "rank": F.row_number().over(some)})
+    sample = keep(sample.select("text", "lang", (F.col("rank") <= F.floor(F.col("n") * F.col("n") / (2 * (F.col("n") + ENOUGH)))).alias("apart")), "lang-sample")
+    rows = sample.where("not apart").select("text", "lang").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n")).collect()
     model = Model([tuple(r) for r in rows])
-    # rows that were not fitted on and are long enough to be rejected; the bounded sample's cross-entropies come to the driver
-    apart = sample.where((F.col("half") == 1) & (F.length("text") >= LEAST))
-    if len(few) < len(share):
-        apart = apart.where(~F.col("lang").isin(few))
-    seen = identify(apart, model, ["lang"]).where("lang = lang_pred").select("lang", "cross_entropy").toPandas()
-    # few calibration rows of one language must not cost its clean documents: the pooled quantile stands in
-    for k, lang in enumerate(model.langs):
-        own = seen["cross_entropy"][seen["lang"] == lang]
-        own = own if len(own) >= ENOUGH else seen["cross_entropy"]
-        if len(own):
-            model.limit[k] = np.quantile(own, QUANTILE) * MARGIN
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+    seen = sample.where("apart").select("text", "lang").mapInArrow(_calibrated(held), "lang int, cross_entropy double, length long").toPandas()
+    model.calibrate(*(seen[c].to_numpy() for c in ("lang", "cross_entropy", "length")))
     return model
 
 
+def _calibrated(model):
+    """The language's number, cross-entropy and length of each text with letters that is told its own language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 19):
+            ce, length, has = model.value.cross_entropy(b.column("text").to_pylist())
+            best = ce.argmin(1)
+            right = has & (np.array(model.value.langs, object)[best] == np.array(b.column("lang").to_pylist(), object))
+            low = ce[np.arange(len(best)), best][right]
+            yield pa.RecordBatch.from_arrays([pa.array(best[right], pa.int32()), pa.array(low, pa.float64()), pa.array(length[right], pa.int64())], names=["lang", "cross_entropy", "length"])
+
+    return run
+
+
 def _identified(model, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 19):
             lang, score, ce, reject = model.value.decide(b.column("text").to_pylist())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(reject, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carry] + new, names=[*carry, *NEW])
+            yield pa.RecordBatch.from_arrays([b.column(f"c{i}") for i in range(len(carry))] + new, names=[*carry, *NEW])
 
     return run
 
@@ -306,9 +333,10 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
     quoted = lambda c: f"`{c.replace('`', '``')}`"
-    need = [quoted(c) for c in dict.fromkeys([*carry, "text"])]
     schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.select(*map(quoted, carry)).schema)
-    return docs.select(*need).mapInArrow(_identified(held, carry), f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    # columns go in by number: mapInArrow finds no dotted names
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carry)], F.col("text").alias("text"))
+    return rows.mapInArrow(_identified(held, carry), f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def identify_languages(docs: DataFrame, carry: list[str] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -365,10 +365,24 @@ def test_language_models_match_plain_kneser_ney():
         assert np.allclose(row, want, rtol=1e-5)
 
 
-def test_language_models_beyond_the_characters_told_apart():
-    rows = [("x", "abca", 3), ("x", "bcab", 2), ("x", "cabz", 1), ("y", "aabb", 2)]
-    m = language_id.Model(rows, characters=3)
-    assert m.langs == ["x", "y"] and np.isfinite(m.cross_entropy(["abcz", "zzzz"])[0]).all()
+def test_language_models_of_more_characters_than_16_bits():
+    rows = [("x", "".join(map(chr, (0x4E00 + i, 0x20000 + i, 0x25000 + i, 0xAC00 + i % 11_000))), 1) for i in range(20_000)] + [("y", "aabb", 2)]
+    m = language_id.Model(rows)
+    ce, _, _ = m.cross_entropy([r[1] for r in rows[:19_999]] + ["aabb", "zzzz"])
+    assert m.langs == ["x", "y"] and np.isfinite(ce).all() and (ce[:19_999, 0] < ce[:19_999, 1]).all() and ce[-2, 1] < ce[-2, 0]
+
+
+def test_language_rejection_by_one_rule_for_all_lengths(spark):
+    m = language_id.Model([("x", "\0\0\0a", 2), ("y", "\0\0\0b", 2)])
+    m.calibrate(np.array([0] * 900 + [1]), np.array([1.0] * 900 + [50.0]), np.full(901, 200))
+    assert abs(m.mean[0] - 1) < 0.1 and m.limit[1] < 5  # one odd text of y moves little
+    ce = np.full(2000, 6.0)
+    over = language_id.drawn(ce, np.arange(1, 2001), m.mean[0]) > m.limit[0]
+    assert not over[0] and over[-1] and (np.diff(over.astype(int)) >= 0).all()
+    # every language is learned, however few its rows; many copies of one row count once
+    docs = [(d, t, k) for d, t, k in ((2, "yksi kaksi", "fi"), (1, "one two three", "en"))] + [(9, "copy", "en")] * 500
+    held = [d for d in (1, 2, 9) if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert language_id.fit(spark.createDataFrame([x for x in docs if x[0] not in held], "doc_id long, text string, lang string")).langs == ["en", "fi"]
 
 
 def test_language_id_odd_rows(spark, odd):
