@@ -22,6 +22,8 @@ from .common import SPACES, ascii_lower, new_path, table
 FANOUT = 2
 #: Bytes of text in a batch, about; fewest and most batches.
 BATCH, LEAST, MOST = 4 << 30, 4, 16
+#: Bytes of text behind a bucket of the runs, at most: buckets are no fewer than shuffles have partitions, and grow with the text.
+BUCKET = 2 << 30
 #: Most keys that are told to every task, those of the largest share of lines.
 HOT = 10_000
 
@@ -34,10 +36,10 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Sorted runs of (h1, h2, n_docs, n_lines) in levels, and the settled runs of keys in at least min_docs documents."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT, text_bytes: int = 0):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.path, self.name = new_path(spark, "line-runs"), f"line_runs_{uuid.uuid4().hex}"
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // BUCKET))
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
         self._made = 0
@@ -111,12 +113,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
     # all other columns travel as one, so that no name can clash; unlike texts of one id are told apart by the text itself
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("other"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    if batches is None:
-        batches = min(MOST, max(LEAST, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BATCH)))
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = batches or min(MOST, max(LEAST, -(-text_bytes // BATCH)))
     lines = rows.select("doc_id", "row", (F.col("doc_id") if by is None else by).alias("by"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     lines = lines.where(F.length("key") >= min_chars)
     lines = _dealt(lines.select("doc_id", "row", "by", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2")), batches)
-    runs = LineRuns(spark, min_docs, fanout)
+    runs = LineRuns(spark, min_docs, fanout, text_bytes)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select(F.col("by").alias("doc_id"), "h1", "h2"))
     runs.compact()

@@ -237,8 +237,9 @@ def test_line_runs_settle_over_batches(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     # few keys told to every task leave others to the last join: "often" and "no id" are frequent and not common
-    for batches, fanout, hot in ((1, 2, 10_000), (5, 2, 12), (8, 3, 4)):
+    for batches, fanout, hot, bucket in ((1, 2, 10_000, 2 << 30), (5, 2, 12, 2 << 30), (8, 3, 4, 2 << 30), (4, 2, 4, 300)):
         monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "BUCKET", bucket)  # the last: more buckets than shuffles have partitions
         got = line_dedup.dedup_lines(df, min_docs=11, batches=batches, fanout=fanout).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
         assert sorted((tuple(r) for r in got), key=str) == plain_lines(rows, 11)
 
