@@ -1,8 +1,10 @@
 """A data source that writes a file for each row (folder, name, content), with Spark's commit protocol.
 
 A task attempt writes under `_attempts/<its own name>` and tells the driver only its folders. When the job commits, those of
-the attempts that Spark accepted are moved to their places, one rename for each folder; when it aborts, everything it wrote
-goes. Attempts that failed or lost a race are never moved, and go with `_attempts`.
+the attempts that Spark accepted are moved to their places, one rename for each folder of one task; files of a folder that
+several tasks have written are renamed each, so many files are best dealt by folder. Two files of one name in a folder
+are an error, never one of the two. When the job aborts, everything it wrote goes. Attempts that failed or lost a race are
+never moved, and go with `_attempts`.
 """
 
 from __future__ import annotations
@@ -56,10 +58,13 @@ class PictureWriter(DataSourceWriter):
         import uuid
 
         store, root = _store(self.path)
-        at, folders = f"{root}/_attempts/{self.job}/{uuid.uuid4().hex}", set()
+        at, folders, seen = f"{root}/_attempts/{self.job}/{uuid.uuid4().hex}", set(), set()
         for folder, name, content in iterator:
             if content is None:
                 raise ValueError(f"no content for {name}")
+            if (folder, name) in seen:
+                raise FileExistsError(f"two files {folder}/{name}")
+            seen.add((folder, name))
             if folder not in folders:
                 store.create_dir(f"{at}/{folder}", recursive=True)
                 folders.add(folder)
@@ -68,11 +73,25 @@ class PictureWriter(DataSourceWriter):
         return Attempt(at, sorted(folders))
 
     def commit(self, messages: list[Attempt | None]) -> None:
+        from pyarrow import fs
+
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
+        there = lambda at: store.get_file_info(at).type != fs.FileType.NotFound
         for done in messages:
             for folder in done.folders if done else ():
-                store.move(f"{done.at}/{folder}", f"{root}/{folder}")
+                source, target = f"{done.at}/{folder}", f"{root}/{folder}"
+                if not there(source):  # moved with the folder that it is in
+                    continue
+                if not there(target):
+                    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    store.move(source, target)
+                    continue
+                for file in store.get_file_info(fs.FileSelector(source)):
+                    if file.type == fs.FileType.File:
+                        if there(f"{target}/{file.base_name}"):
+                            raise FileExistsError(f"two files {folder}/{file.base_name}")
+                        store.move(file.path, f"{target}/{file.base_name}")
         self._clear(store, f"{root}/_attempts")
 
     def abort(self, messages: list[Attempt | None]) -> None:

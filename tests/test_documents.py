@@ -64,6 +64,22 @@ def folder(tmp_path_factory):
     return d
 
 
+def test_files_of_one_folder_by_many_tasks(spark, tmp_path):
+    from docloom.sources.picture_files import PictureFiles
+
+    spark.dataSource.register(PictureFiles)
+    rows = [(f, f"{i}.bin", f"{f}-{i}".encode()) for i in range(40) for f in ("in", "in/deep", "x/y")]
+    write = lambda r, n, at: spark.createDataFrame(r, "folder string, name string, content binary").repartition(n).write.format(PictureFiles.name()).option("path", str(at)).mode("append").save()
+    for n in (1, 5):
+        at = tmp_path / f"files{n}"
+        write(rows, n, at)
+        assert {(str(p.parent.relative_to(at)), p.name, p.read_bytes()) for p in at.rglob("*") if p.is_file()} == set(rows) and not (at / "_attempts").exists()
+        # two files of one name: an error, and nothing is left
+        with pytest.raises(Exception, match="two files|aborted|Failed|FAILED"):
+            write([("in", "a.bin", b"1"), ("in", "a.bin", b"2")] * 3, n, tmp_path / f"twice{n}")
+        assert not (tmp_path / f"twice{n}" / "in" / "a.bin").exists()
+
+
 def test_image_files_of_equal_stems_and_failed_jobs(spark, tmp_path):
     docs = spark.createDataFrame([("/a/x.docx", "x.docx"), ("/b/x.docx", "x.docx"), ("/c/y.docx", "y.docx"), ("/d/", "")], "doc_id string, file_name string")
     rows = [(d, s, k, "png", f"{d}{k}".encode()) for d in ("/a/x.docx", "/b/x.docx", "/c/y.docx", "/d/") for s, k in ((1, 0), (1, 1), (9, 2))]
