@@ -55,9 +55,10 @@ def _bold(p) -> bool:
 
 
 def _paragraph(p) -> dict:
-    num = p.find(f"{_W}pPr/{_W}numPr")
+    tags = {e.tag for e in p.iter()}  # most paragraphs have no number, bold run or picture to look for
+    num = p.find(f"{_W}pPr/{_W}numPr") if _W + "numPr" in tags else None
     get = lambda tag: None if num is None or num.find(_W + tag) is None else num.find(_W + tag).get(_W + "val")
-    return {"text": _text(p), "bold": _bold(p), "num_id": get("numId"), "ilvl": int(get("ilvl") or 0), "n_img": len(list(p.iter(_W + "drawing")))}
+    return {"text": _text(p), "bold": _W + "b" in tags and _bold(p), "num_id": get("numId"), "ilvl": int(get("ilvl") or 0), "n_img": len(list(p.iter(_W + "drawing"))) if _W + "drawing" in tags else 0}
 
 
 def _row_cells(tr, above: dict[int, object]) -> Iterator[tuple[int, object, int]]:
@@ -163,22 +164,37 @@ def _story(root, ev: str) -> Iterator[dict]:
                 pos += 1
 
 
-def _decode(batches):
-    import pandas as pd
+#: Records of files that go to Spark together, by number and by bytes of pictures: a batch for each file would cost more than its decode.
+BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+
 
-    columns = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
-    for pdf in batches:
-        for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+def _decode(batches):
+    import pyarrow as pa
+
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.strip().split(" ") for c in SCHEMA.split(","))])
+    batch = lambda rows: pa.RecordBatch.from_pylist(rows, schema)
+    waiting, size = [], 0
+    for files in batches:
+        for doc_id, content in zip(files.column("doc_id"), files.column("content"), strict=True):
+            doc_id = doc_id.as_py()
             try:
-                rows = list(decode_bytes(content))
+                rows = list(decode_bytes(content.as_py()))
             except Exception as e:  # any damaged file is recorded and skipped
                 rows = [{"kind": "file", "status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}]
-            yield pd.DataFrame([{c: None for c in columns} | {"doc_id": doc_id} | r for r in rows], columns=columns).astype(object)
+            for r in rows:
+                waiting.append({"doc_id": doc_id, **r})
+                size += len(r.get("content") or b"")
+                if len(waiting) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield batch(waiting)
+                    waiting, size = [], 0
+    if waiting:
+        yield batch(waiting)
 
 
 def decode(files: DataFrame) -> DataFrame:
     """One row per record of every file (doc_id, content); a file that can't be read has one row of kind 'file' that says so."""
-    return files.select("doc_id", "content").mapInPandas(_decode, SCHEMA)
+    return files.select("doc_id", "content").mapInArrow(_decode, SCHEMA)
 
 
 def paragraphs(records: DataFrame) -> DataFrame:

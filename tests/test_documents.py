@@ -216,3 +216,16 @@ def test_incremental_ingest(spark, folder, tmp_path):
     (src / "b.docx").write_bytes((folder / "flat.docx").read_bytes())
     ingest(spark, str(src), to, check)
     assert latest(spark, to).select("doc_id").distinct().count() == 2
+
+
+def test_records_of_many_files_go_to_spark_together(tmp_path):
+    import pyarrow as pa
+
+    save(tmp_path / "a.docx", tbl(["9.Properties"], ["Odor:", par("none", bold=True)]))
+    data = (tmp_path / "a.docx").read_bytes()
+    files = pa.RecordBatch.from_pydict({"doc_id": [str(k) for k in range(60)], "content": [data] * 59 + [b"no zip"]})
+    found = list(docx._decode([files]))
+    assert len(found) == 1  # a batch for each file took longer than their decode
+    rows = found[0].to_pylist()
+    assert [r["doc_id"] for r in rows if r["kind"] == "file"] == [str(k) for k in range(60)]
+    assert [r["bold"] for r in rows if r["doc_id"] == "7" and r["kind"] == "paragraph"] == [False, False, True] and rows[-1]["status"] == "failed"
