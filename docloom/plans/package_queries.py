@@ -58,9 +58,13 @@ def scanned_files(spark, d):
     made = packages.of_documents(_documents(spark, d))
     names = F.explode(F.array(F.concat("doc_id", F.lit(".docx")), F.concat(F.lit("~$"), "doc_id", F.lit(".docx")), F.concat("doc_id", F.lit(".txt"))))
     spark.dataSource.register(PictureFiles)
-    made.select(F.lit("in").alias("folder"), names.alias("name"), "content").write.format(PictureFiles.name()).option("path", path).mode("append").save()
-    files = docx.scan(spark, f"{path}/in")
-    status = docx.file_status(docx.decode(files), files)
+    # a folder is written by one task and moved whole; it holds some thousand files, however many there are in all
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.table(spark, d, "part").count() // 2000)
+    folder = F.concat(F.lit("in/f"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("string"))
+    made.select(folder.alias("folder"), names.alias("name"), "content").repartition(n, "folder").write.format(PictureFiles.name()).option("path", path).mode("append").save()
+    files = docx.scan(spark, f"{path}/in/*")
+    # written once: neither the checks nor the result decode again
+    status = store.keep(docx.file_status(docx.decode(files.coalesce(n)), files), "package-status")
     docx.require_any(status)
     return status.select("file_name", "status", "tables_count", "paragraphs_count")
 

@@ -229,3 +229,17 @@ def test_records_of_many_files_go_to_spark_together(tmp_path):
     rows = found[0].to_pylist()
     assert [r["doc_id"] for r in rows if r["kind"] == "file"] == [str(k) for k in range(60)]
     assert [r["bold"] for r in rows if r["doc_id"] == "7" and r["kind"] == "paragraph"] == [False, False, True] and rows[-1]["status"] == "failed"
+
+
+def test_scanned_files_deals_folders_and_decodes_once(spark, monkeypatch):
+    from pathlib import Path
+
+    from docloom import store
+    from docloom.plans.queries import QUERIES
+
+    made, new_path = [], store.new_path
+    monkeypatch.setattr(store, "new_path", lambda s, name: made.append((name, new_path(s, name))) or made[-1][1])
+    found = QUERIES["scanned_files"](spark, "/root/testdata/sf0.001")
+    at = Path(dict(made)["package-files"].removeprefix("file:")) / "in"
+    assert list(at.iterdir()) and all(p.is_dir() for p in at.iterdir())  # files of one folder by many tasks are moved one by one
+    assert all("package-status" in f for f in found.inputFiles())
