@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import blocks, components, hierarchy, pivot, rows
@@ -209,6 +210,8 @@ def tree_nodes(spark, d):
 @query("package_rows", f"""WITH r AS (SELECT doc_id, pos - 1 AS pos, trim(regexp_replace(c0, ' {{2,}}', ' ', 'g'), {WHITE}) AS c0, trim(c1, {WHITE}) AS c1 FROM rows_)
     SELECT doc_id::VARCHAR AS doc_id, pos, CASE WHEN c0 = c1 THEN c0 ELSE c0 || '|' || c1 END AS cells, pos % 3 = 0 AND c0 <> '' AS bold0 FROM r WHERE c0 <> '' OR c1 <> ''""", "rows")
 def package_rows(spark, d):
-    records = docx.decode(packages.of_rows(A.rows(spark, d), F.col("pos") % 3 == 1))
+    # written between the steps: packages are made and decoded once, paragraphs cleaned once
+    records = store.keep(docx.decode(packages.of_rows(A.rows(spark, d), F.col("pos") % 3 == 1)), "row-records")
     levels = records.where("kind = 'level'").select("doc_id", "num_id", "ilvl", "start", "lvl_text")
-    return docx.cell_rows(docx.clean_paragraphs(docx.paragraphs(records), levels)).select("doc_id", "pos", F.array_join("cells", "|").alias("cells"), "bold0")
+    clean = store.keep(docx.clean_paragraphs(docx.paragraphs(records), levels), "row-paragraphs")
+    return docx.cell_rows(clean).select("doc_id", "pos", F.array_join("cells", "|").alias("cells"), "bold0")

@@ -243,3 +243,9 @@ def test_scanned_files_deals_folders_and_decodes_once(spark, monkeypatch):
     at = Path(dict(made)["package-files"].removeprefix("file:")) / "in"
     assert list(at.iterdir()) and all(p.is_dir() for p in at.iterdir())  # files of one folder by many tasks are moved one by one
     assert all("package-status" in f for f in found.inputFiles())
+
+
+def test_package_rows_reads_paragraphs_written_once(spark):
+    from docloom.plans.queries import QUERIES
+
+    assert {f.split("/")[-2].split("-")[0:2] == ["row", "paragraphs"] for f in QUERIES["package_rows"](spark, "/root/testdata/sf0.001").inputFiles()} == {True}
