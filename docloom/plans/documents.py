@@ -46,15 +46,16 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")).drop("pos").withColumnRenamed("_at", "pos")
 
 
-def _content_items(content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _content_items(content: DataFrame, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items, ingredients and headers of routed rows (doc_id, section, pos, cells, bold0)."""
-    latched = rows.component_latch(content)
+    # what several of the tables below read is written once
+    latched = keep(rows.component_latch(content), "latched")
     c0 = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
     caption = (F.size("cells") <= 2) & F.rtrim(c0, F.lit(" /／")).isin(*X.COMPONENT_CAPTIONS)
     open_ = latched.where(~F.col("is_header") & ~(caption & ~F.col("in_components")))
     before, inside = open_.where("not in_components"), open_.where("in_components")
-    flat = components.flat_tables(before.where(F.size("cells") == 1).select("doc_id", "pos", c0.alias("text")))
-    stacked = components.stacked_tables(before.select("doc_id", "pos", "cells"))
+    flat = keep(components.flat_tables(before.where(F.size("cells") == 1).select("doc_id", "pos", c0.alias("text"))), "flat-tables")
+    stacked = keep(components.stacked_tables(before.select("doc_id", "pos", "cells")), "stacked-tables")
     tabled = flat.select("doc_id", "pos").distinct().unionByName(stacked.select("doc_id", "pos").distinct())
     place = content.select("doc_id", "pos", "section")
     plain = before.join(tabled, ["doc_id", "pos"], "left_anti")
@@ -117,9 +118,9 @@ def corpus_tables(files: DataFrame, records: DataFrame, keep=store.keep) -> Corp
     story = pages.story(p.where("ev = 'header'")).withColumnRenamed("story", "header").join(pages.story(p.where("ev = 'footer'")).withColumnRenamed("story", "footer"), "doc_id", "full")
     documents = status.join(story, "doc_id", "left")
 
-    events = docx.cell_rows(clean)
+    events = keep(docx.cell_rows(clean), "events")
     routed = keep(sections.route_textboxes(events), "routed")
-    items, comps, tables = _content_items(keep(content_rows(routed), "content"))
+    items, comps, tables = _content_items(keep(content_rows(routed), "content"), keep)
     first = sections.section_table(events.select("doc_id", "pos", "c0"))
     opened = routed.groupBy("doc_id", "section").agg(F.min_by("c0", "pos").alias("opening"))
     s = opened.join(first, ["doc_id", "section"], "left").join(sections.textbox_titles(events).withColumnRenamed("title", "box_title"), ["doc_id", "section"], "left")
@@ -127,7 +128,7 @@ def corpus_tables(files: DataFrame, records: DataFrame, keep=store.keep) -> Corp
     s = sections.with_default_titles(s).join(tables.withColumn("is_component_table", F.lit(True)), ["doc_id", "section"], "left")
     page = page_items(p)
     zero = page.select("doc_id").distinct().select("doc_id", F.lit(0).alias("section"), F.lit("页眉页脚").alias("title"), F.lit("0.页眉页脚").alias("full_title"), F.lit(None).cast("string").alias("component_header"), F.lit(None).cast("boolean").alias("is_component_table"))
-    s = s.select(*zero.columns).unionByName(zero).withColumn("is_component_table", F.coalesce("is_component_table", F.lit(False)))
+    s = keep(s.select(*zero.columns).unionByName(zero).withColumn("is_component_table", F.coalesce("is_component_table", F.lit(False))), "sections")
     items = keep(items.withColumn("editable", F.lit(True)).unionByName(page), "items")
     unified = keep(blocks.unified_rows(items), "rows")
     comps = keep(comps, "components")

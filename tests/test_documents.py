@@ -249,3 +249,12 @@ def test_package_rows_reads_paragraphs_written_once(spark):
     from docloom.plans.queries import QUERIES
 
     assert {f.split("/")[-2].split("-")[0:2] == ["row", "paragraphs"] for f in QUERIES["package_rows"](spark, "/root/testdata/sf0.001").inputFiles()} == {True}
+
+
+def test_tables_that_several_steps_read_are_written_once(spark, folder):
+    from docloom import store
+    from docloom.plans.documents import corpus_tables
+
+    files, names = docx.scan(spark, str(folder)), []
+    corpus_tables(files, store.keep(docx.decode(files), "records"), lambda df, name: names.append(name) or store.keep(df, name))
+    assert {"events", "latched", "flat-tables", "stacked-tables", "sections"} <= set(names)
