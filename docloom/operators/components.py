@@ -53,7 +53,8 @@ def flat_tables(cells: DataFrame) -> DataFrame:
     """
     x = cells.select("doc_id", "pos", F.posexplode(F.split(T.text(F.col("text")), "\n")).alias("i", "line")).withColumn("line", T.strip(F.col("line"))).where("line <> ''")
     kinds = F.transform(flat_columns(F.col("line")), T.column_kind)
-    x = x.withColumn("_k", kinds).withColumn("_header", (F.size("_k") >= 2) & F.array_contains("_k", "cas") & (F.array_contains("_k", "name") | F.array_contains("_k", "conc")))
+    # a header names CAS: the kinds of other lines' columns are not asked for
+    x = x.withColumn("_k", F.when(F.lower("line").contains("cas"), kinds)).withColumn("_header", F.coalesce((F.size("_k") >= 2) & F.array_contains("_k", "cas") & (F.array_contains("_k", "name") | F.array_contains("_k", "conc")), F.lit(False)))
     w = Window.partitionBy("doc_id", "pos")
     x = x.withColumn("_at", F.min(F.when(F.col("_header"), F.col("i"))).over(w)).where("_at is not null")
     c = T.component_of_text(F.array_join(flat_columns(F.col("line")), " "))

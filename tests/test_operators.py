@@ -204,3 +204,12 @@ def test_number_gaps_of_any_numbers(spark):
     got = {r.doc_id: r.missing for r in quality.number_gaps(df).collect()}
     assert got == {"a": "9.3-9.1999999999", "b": "9.2-9.99999999998", "c": "9.2, 9.4", "f": "9.2-9.102", "g": ", ".join(f"9.{n}" for n in range(2, 102))}
     assert {(r.doc_id, int(r.first), int(r.last)) for r in quality.gap_ranges(df).collect()} >= {("a", 3, 1999999999), ("c", 2, 2), ("c", 4, 4)}
+
+
+def test_flat_tables_asks_for_columns_of_lines_that_name_cas_only(spark):
+    from docloom.operators import components
+
+    x = spark.createDataFrame([(1, 0, "a\tb\nName\tcAs No.\t%\nWater\t7732-18-5\t60"), (2, 0, "Name\t%\nWater\t7732-18-5\t60")], "doc_id int, pos int, text string")
+    flat = components.flat_tables(x)
+    assert [(r.doc_id, r.i, r.part) for r in flat.orderBy("i").collect()] == [(1, 0, "pre"), (1, 1, "header"), (1, 2, "component")]
+    assert "Contains(lower(line" in flat._jdf.queryExecution().executedPlan().toString()
