@@ -2,7 +2,7 @@
 
 Every entry's normalised text is posted under its grams of one to three characters. A query's words need all their grams
 (a word of one or two characters is a gram itself), so its hits are among the postings of any of them: the rarest few are
-joined and intersected, and only what is left is read and tested word by word. Nothing is compared with nothing in common:
+joined and intersected, once for all queries that have the same, and only what is left is read and tested word by word. Nothing is compared with nothing in common:
 queries and entries meet by equality of grams.
 """
 
@@ -18,6 +18,8 @@ from . import hierarchy
 
 #: Longest gram, and the grams of a query that are intersected before its candidates are read.
 LONGEST, MET = 3, 3
+#: A gram is intersected with a query's rarest one only if it has at most so many times its postings: more cost more than the texts that they spare.
+WITHIN = 2
 #: The gram of every entry: a query without words keeps all.
 EVERY = ""
 
@@ -51,28 +53,40 @@ def word_grams(word: Column) -> Column:
 
 
 def build_index(entries: DataFrame, scope: str = "all") -> SearchIndex:
-    """Index entries (doc_id, pos and what hierarchy.haystack of the scope reads); kept in the shared folder, postings by ranges of grams."""
+    """Index entries (doc_id, pos and what hierarchy.haystack of the scope reads); kept in the shared folder, postings where their texts are read."""
     texts = store.keep(entries.select("doc_id", "pos", hierarchy.haystack(scope).alias("text")), "search-texts")
-    posted = texts.select(F.explode(text_grams(F.col("text"))).alias("gram"), "doc_id", "pos")
-    # a gram of very many entries is cut by entry
-    postings = store.keep(posted.repartitionByRange("gram", "doc_id", "pos").sortWithinPartitions("gram", "doc_id", "pos"), "search-postings")
+    # neither shuffled nor sorted: a gram of very many entries lies in many files
+    postings = store.keep(texts.select(F.explode(text_grams(F.col("text"))).alias("gram"), "doc_id", "pos"), "search-postings")
     return SearchIndex(texts, postings, store.keep(postings.groupBy("gram").agg(F.count("*").alias("n")), "search-frequencies"))
 
 
-def candidates(index: SearchIndex, queries: DataFrame, met: int = MET) -> DataFrame:
-    """query_id, terms, doc_id, pos: the entries that hold the `met` rarest grams of each query (query_id, terms array<string>)."""
+def _chosen(index: SearchIndex, queries: DataFrame, met: int) -> DataFrame:
+    """query_id, terms, grams: the grams of each query to intersect, the rarest first; queries with a gram that no entry has are dropped."""
     needed = F.array_distinct(F.flatten(F.transform(F.filter("terms", lambda t: t != ""), word_grams)))
     needed = F.when(F.size(needed) > 0, needed).otherwise(F.array(F.lit(EVERY)))
     grams = queries.select("query_id", "terms", F.explode(needed).alias("gram"))
     # a gram that no entry has ends its query: it is the rarest
     by = grams.join(index.frequencies, "gram", "left").select("query_id", "terms", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
-    best = by.groupBy("query_id", "terms").agg(F.slice(F.array_sort(F.collect_list("g")), 1, met).alias("g"))
-    best = best.where(F.col("g")[0]["n"] > 0).withColumn("size", F.size("g"))
-    met_ = best.select("query_id", "terms", "size", F.explode("g.gram").alias("gram")).join(index.postings, "gram")
-    return met_.groupBy("query_id", "terms", "size", "doc_id", "pos").agg(F.count("*").alias("n")).where("n = size").select("query_id", "terms", "doc_id", "pos")
+    best = by.groupBy("query_id", "terms").agg(F.slice(F.array_sort(F.collect_list("g")), 1, met).alias("g")).where(F.col("g")[0]["n"] > 0)
+    near = F.filter("g", lambda x: x["n"] <= WITHIN * F.col("g")[0]["n"])
+    return store.keep(best.select("query_id", "terms", F.transform(near, lambda x: x["gram"]).alias("grams")), "search-chosen")
+
+
+def _entries_with(index: SearchIndex, chosen: DataFrame) -> DataFrame:
+    """grams, doc_id, pos: the entries that hold all of each distinct set of grams, however many queries have it."""
+    sets = chosen.select("grams").distinct().select("grams", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    return index.postings.join(sets, "gram").groupBy("grams", "size", "doc_id", "pos").agg(F.count("*").alias("n")).where("n = size").select("grams", "doc_id", "pos")
+
+
+def candidates(index: SearchIndex, queries: DataFrame, met: int = MET) -> DataFrame:
+    """query_id, terms, doc_id, pos: the entries that hold the rarest grams, `met` at most, of each query (query_id, terms array<string>)."""
+    chosen = _chosen(index, queries, met)
+    return _entries_with(index, chosen).join(chosen, "grams").select("query_id", "terms", "doc_id", "pos")
 
 
 def search(index: SearchIndex, queries: DataFrame, met: int = MET) -> DataFrame:
     """query_id, doc_id, pos of the entries that hold every word of each query: the hits of hierarchy.search_many, for any number of queries."""
-    found = candidates(index, queries, met).join(index.texts, ["doc_id", "pos"])
+    chosen = _chosen(index, queries, met)
+    # texts are read before queries multiply the entries
+    found = _entries_with(index, chosen).join(index.texts, ["doc_id", "pos"]).join(chosen, "grams")
     return found.where(F.forall("terms", lambda t: F.col("text").contains(t))).select("query_id", "doc_id", "pos")
