@@ -80,7 +80,10 @@ def section_title_of(t: Column) -> Column:
     # try_cast: text without a number gives null
     number = lambda x, p: group(x, p).try_cast("int")
     parts = once(body, lambda x: F.struct(number(t, X.TITLE_EN).alias("en"), number(x, X.TITLE_CN).alias("cn"), F.regexp_extract(x, X.TITLE_CN, 2).alias("title")))
-    return once(parts, lambda p: _title(t, p["en"], p["cn"], p["title"]))
+    # most rows are no titles, and what a title can't have shows without a pattern
+    can = (F.lower(F.substring(t, 1, 7)) == "section") | ((t != "") & (F.length(t) <= 60) & ~has_colon(t))
+    none = F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("title"))
+    return F.when(can, once(parts, lambda p: _title(t, p["en"], p["cn"], p["title"]))).otherwise(none)
 
 
 def _title(t: Column, n_en: Column, n_cn: Column, title: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import fixed as X
 from ..shipping import ship
 from .pages import page_paragraphs
@@ -19,29 +20,41 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
-def rows(spark, sf_dir) -> DataFrame:
-    """doc_id, pos, c0, c1: order lines of a supplier as rows of titles, continuations and numbered fields."""
+def _lines_with_parts(spark, sf_dir, *columns: str) -> tuple[DataFrame, int]:
+    """Order lines joined with columns of their parts, and the number of order lines: tasks grow in number with them, not in size."""
     item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), *columns)
+    n = item.count()
+    # a join that sorts both sides takes its number of tasks from the parts; a broadcast one deals only them
+    return item.join(store.dealt(part, n, "l_partkey"), "l_partkey"), n
+
+
+def rows(spark, sf_dir) -> DataFrame:
+    """doc_id, pos, c0, c1: order lines of a supplier as rows of titles, continuations and numbered fields; dealt by doc_id."""
+    item, n = _lines_with_parts(spark, sf_dir, "p_name", "p_type")
     c0 = (
         F.when(F.col("l_linenumber") == 1, F.concat((F.col("l_orderkey") % 16 + 1).cast("string"), F.lit("."), "p_type")).when(F.col("l_linenumber") % 3 == 0, "")
         .otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit("."), (F.col("l_partkey") % 9 + 1).cast("string"), F.lit(" "), "p_name", F.lit("：")))
     )
-    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")).cast("long")
-    return item.join(part, "l_partkey").select(F.col("l_suppkey").alias("doc_id"), pos.alias("pos"), c0.alias("c0"), F.col("l_quantity").cast("int").cast("string").alias("c1"))
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey")).cast("long")
+    # dealt by the name that later steps know: one exchange serves their windows over doc_id, too
+    x = item.select(F.col("l_suppkey").alias("doc_id"), "l_orderkey", "l_linenumber", "l_partkey", c0.alias("c0"), F.col("l_quantity").cast("int").cast("string").alias("c1"))
+    return store.dealt(x, n, "doc_id").select("doc_id", pos.alias("pos"), "c0", "c1")
 
 
 def component_cells(spark, sf_dir) -> DataFrame:
     """doc_id, name_cell, cas_cell, conc_cell: an order's lines as one ingredient row of three multi-line cells."""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    item, n = _lines_with_parts(spark, sf_dir, "p_name")
     k, q = F.col("l_partkey"), F.col("l_quantity").cast("int").cast("string")
     cas = F.when(k % 3 == 0, "商业机密").when(k % 3 == 1, F.concat((k + 100).cast("string"), F.lit("-"), (k % 90 + 10).cast("string"), F.lit("-"), (k % 10).cast("string"))).otherwise("——")
-    x = item.join(part, "l_partkey").withColumns({"cas": cas, "conc": F.concat(F.lit("＞"), q, F.lit("～"), q, F.lit("％"))})
-    cells = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "cas", "conc")))
-    x = x.groupBy(F.col("l_orderkey").alias("doc_id")).agg(cells.alias("s"))
-    cell = lambda c: F.array_join(F.transform("s", lambda r: r[c]), "\n")
-    return x.select("doc_id", cell("p_name").alias("name_cell"), cell("cas").alias("cas_cell"), cell("conc").alias("conc_cell"))
+    x = item.withColumns({"cas": cas, "conc": F.concat(F.lit("＞"), q, F.lit("～"), q, F.lit("％"))})
+    x = store.dealt(x.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", "p_name", "cas", "conc"), n, "doc_id")
+    # an order's lines in order, put together by windows over one sort: its first line has all of them
+    order = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "p_name", "cas", "conc")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = lambda c: F.collect_list(c).over(every)
+    x = x.select("doc_id", F.row_number().over(order).alias("first"), cell("p_name").alias("names"), cell("cas").alias("cas"), cell("conc").alias("conc")).where("first = 1")
+    return x.select("doc_id", F.array_join("names", "\n").alias("name_cell"), F.array_join("cas", "\n").alias("cas_cell"), F.array_join("conc", "\n").alias("conc_cell"))
 
 
 def entries(spark, sf_dir) -> DataFrame:

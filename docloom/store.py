@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shipping import ship
 
+#: Rows of a table that one task sorts or groups.
+TASK_ROWS = 500_000
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -42,6 +45,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def partitions(spark: SparkSession, rows: int) -> int:
+    """How many partitions a table of so many rows is dealt to: the session's shuffle partitions, or one for each TASK_ROWS rows if that is more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by hash of keys, so that the windows and groups by them that follow need no exchange; a task's share stays the same however many rows there are."""
+    return df.repartition(partitions(df.sparkSession, rows), *keys)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of any file system that Spark knows."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,8 +1,36 @@
 """Work and memory of a task as tables grow: a table's rows are dealt to more tasks, and no step is done twice."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import search_index
+from docloom import store
+from docloom.functions import text as T
+from docloom.operators import components, search_index
+from docloom.plans.queries import QUERIES
+from docloom.sources import adapters as A
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().simpleString()
+
+
+def dealt_to(df) -> int:
+    return max(int(n) for n in re.findall(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan(df)))
+
+
+@pytest.mark.parametrize("name", ["row_class", "continuation_merge", "component_latch", "cell_dedupe", "component_row_parts"])
+def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    n = A.table(spark, SF, "lineitem").count()
+    df = QUERIES[name](spark, SF)
+    assert dealt_to(df) == -(-n // 100)
+    # one exchange serves all windows over a document, and one the parts of the join
+    assert plan(df).count("Exchange hashpartitioning(") - plan(df).count("Exchange hashpartitioning(l_partkey") == 1
+
 
 def test_a_frequent_gram_is_not_intersected_with_a_rare_one(spark):
     e = spark.range(200).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), F.lit("").alias("seq"), F.lit("common").alias("label"), F.when(F.col("id") % 50 == 0, "zq9").otherwise("no").alias("value"), F.lit("").alias("sub_title"), F.lit("").alias("big_title"), F.lit("common").alias("full_label"))
@@ -14,3 +42,9 @@ def test_a_frequent_gram_is_not_intersected_with_a_rare_one(spark):
     assert search_index._entries_with(index, search_index._chosen(index, queries, search_index.MET)).where("grams[0] = 'zq9'").count() == 4
     found = search_index.search(index, queries).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in found} == {1: 4, 2: 4, 4: 200}
+
+
+def test_titles_need_no_pattern_for_text_that_can_have_none(spark):
+    texts = ["1. Name", "a 1. Name", "SECTION 2: Hazards", "section 3 - x：y", "1.2 Name：", "", "SECTION", "16、" + "t" * 57, "16、" + "t" * 58, "Section 4: " + "t" * 89, "Section 4: " + "t" * 90]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.section_title(F.col("t")).alias("s"))
+    assert [r.s.n for r in df.collect()] == [1, 1, 2, 3, None, None, None, 16, None, 4, None]
