@@ -85,13 +85,20 @@ def stacked_tables(rows: DataFrame) -> DataFrame:
     as free text. Rows without a line break, with an empty cell or without the needed headers give nothing.
     """
     lines = F.transform("cells", lambda c: F.filter(F.transform(F.split(T.text(c), "\n"), T.strip), lambda p: p != ""))
-    x = rows.where((F.size("cells") >= 2) & F.exists("cells", lambda c: c.contains("\n"))).withColumn("_l", lines)
-    x = x.where(F.forall("_l", lambda a: F.size(a) > 0)).withColumn("_k", F.transform("_l", lambda a: T.column_kind(F.get(a, F.lit(0)))))
+    kinds = lambda ls: F.transform(ls, lambda a: T.column_kind(F.get(a, F.lit(0))))
+    x = rows.where((F.size("cells") >= 2) & F.exists("cells", lambda c: c.contains("\n")))
+    # exploded, a cell's lines and the kinds of its columns are worked out once, and not for each test of them
+    x = x.select("doc_id", "pos", F.explode(F.array(lines)).alias("_l")).where(F.forall("_l", lambda a: F.size(a) > 0))
+    x = x.select("doc_id", "pos", "_l", F.explode(F.array(kinds("_l"))).alias("_k"))
     x = x.where(F.array_contains("_k", "cas") | (F.array_contains("_k", "name") & F.array_contains("_k", "conc")))
-    x = x.select("doc_id", "pos", F.posexplode(F.arrays_zip(F.col("_k").alias("kind"), F.col("_l").alias("l"))).alias("col", "z")).select("doc_id", "pos", "col", F.col("z.kind").alias("kind"), F.posexplode("z.l").alias("i", "v")).where("i > 0")
-    joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("col", "v")))), lambda s: s["v"]), " ")
-    last = lambda k: F.coalesce(F.max_by("v", F.when(F.col("kind") == k, F.col("col"))), F.lit(""))
-    g = x.groupBy("doc_id", "pos", "i").agg(joined(~F.col("kind").isin("cas", "conc")).alias("name"), last("cas").alias("cas"), last("conc").alias("conc"), joined(F.lit(True)).alias("all"))
+    # a table's lines are put together in its row: nothing is grouped again
+    longest = F.array_max(F.transform("_l", F.size))
+    table = F.when(longest > 1, F.transform(F.sequence(F.lit(1), F.greatest(longest - 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.transform("_l", lambda a: F.get(a, i)).alias("v"))))
+    x = x.select("doc_id", "pos", "_k", F.explode(table).alias("z")).select("doc_id", "pos", "_k", F.col("z.i").alias("i"), F.col("z.v").alias("v"))
+    joined = lambda cond: F.array_join(F.zip_with("_k", "v", lambda k, v: F.when(cond(k), v)), " ")  # noqa: E731  without nulls
+    last = lambda kind: F.coalesce(F.get(F.reverse(F.filter(F.zip_with("_k", "v", lambda k, v: F.when(k == kind, v)), lambda v: v.isNotNull())), F.lit(0)), F.lit(""))
+    line = F.struct(joined(lambda k: ~k.isin("cas", "conc")).alias("name"), last("cas").alias("cas"), last("conc").alias("conc"), F.array_join("v", " ").alias("all"))
+    g = x.select("doc_id", "pos", "i", F.inline(F.array(line)))
     c = T.component_of_text(F.col("all"))
     g = g.withColumn("c", F.when(F.col("name") != "", F.struct("name", "cas", "conc")).otherwise(c)).where("c is not null")
     return g.select("doc_id", "pos", "i", "c.*")

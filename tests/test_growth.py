@@ -22,7 +22,7 @@ def dealt_to(df) -> int:
     return max(int(n) for n in re.findall(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan(df)))
 
 
-@pytest.mark.parametrize("name", ["row_class", "continuation_merge", "component_latch", "cell_dedupe", "component_row_parts"])
+@pytest.mark.parametrize("name", ["row_class", "continuation_merge", "component_latch", "cell_dedupe", "component_row_parts", "stacked_component_tables"])
 def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
     monkeypatch.setattr(store, "TASK_ROWS", 100)
     n = A.table(spark, SF, "lineitem").count()
@@ -32,6 +32,13 @@ def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
     assert plan(df).count("Exchange hashpartitioning(") - plan(df).count("Exchange hashpartitioning(l_partkey") == 1
 
 
+def test_stacked_tables_are_put_together_without_groups(spark):
+    df = spark.createDataFrame([(1, 0, ["Name\na\nb\n\nc", "CAS No.\n1\n2", "Other\nx", "%\n5\n6\n7\n8"]), (2, 0, ["Name", "CAS No.\n"]), (3, 0, ["Name\n", "\n"])], "doc_id int, pos int, cells array<string>")
+    out = components.stacked_tables(df)
+    assert "Aggregate" not in plan(out) and "Exchange" not in plan(out)
+    assert [tuple(r) for r in out.orderBy("i").collect()] == [(1, 0, 1, "a x", "1", "5"), (1, 0, 2, "b", "2", "6"), (1, 0, 3, "c", "", "7")]
+
+
 def test_a_frequent_gram_is_not_intersected_with_a_rare_one(spark):
     e = spark.range(200).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), F.lit("").alias("seq"), F.lit("common").alias("label"), F.when(F.col("id") % 50 == 0, "zq9").otherwise("no").alias("value"), F.lit("").alias("sub_title"), F.lit("").alias("big_title"), F.lit("common").alias("full_label"))
     index = search_index.build_index(e)
