@@ -514,7 +514,8 @@ def missing_sections(spark, d):
 
 @query("doc_summary", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS}, {ITEMS} SELECT doc_id, count(DISTINCT section) AS n_sections, count(*) AS n_fields, 0::BIGINT AS n_lines, count(*) FILTER (section = 3) AS n_components, 16 - count(DISTINCT section) AS n_anomalies FROM items GROUP BY doc_id", "rows")
 def doc_summary(spark, d):
-    items = rows.section_items(_content(spark, d))
+    # written once: documents, fields, ingredients and anomalies are all counted from it
+    items = store.keep(rows.section_items(_content(spark, d)).select("doc_id", "section", "kind"), "summary-items")
     # the fields of section 3 as ingredients, the sections that a document lacks as anomalies
     return quality.document_summary(items, items, items.where("section = 3"), quality.missing_sections(items, items))
 

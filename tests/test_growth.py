@@ -32,6 +32,11 @@ def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
     assert plan(df).count("Exchange hashpartitioning(") - plan(df).count("Exchange hashpartitioning(l_partkey") == 1
 
 
+@pytest.mark.parametrize("name", ["doc_summary"])
+def test_what_several_steps_read_is_made_once(spark, name):
+    assert "lineitem.parquet" not in plan(QUERIES[name](spark, SF))
+
+
 def test_stacked_tables_are_put_together_without_groups(spark):
     df = spark.createDataFrame([(1, 0, ["Name\na\nb\n\nc", "CAS No.\n1\n2", "Other\nx", "%\n5\n6\n7\n8"]), (2, 0, ["Name", "CAS No.\n"]), (3, 0, ["Name\n", "\n"])], "doc_id int, pos int, cells array<string>")
     out = components.stacked_tables(df)
