@@ -383,7 +383,8 @@ def component_expand(spark, d):
 @query("promote_if_empty", f"""WITH {SPLITTED}, real AS (SELECT doc_id, idx, name, cas, conc FROM parts WHERE doc_id % 3 <> 0), cand AS (SELECT doc_id, raw_name AS name, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS idx FROM parts)
     SELECT doc_id, idx, name, cas, conc FROM real UNION ALL SELECT doc_id, idx::INT, name, '', '20±1%' FROM cand WHERE doc_id NOT IN (SELECT doc_id FROM real)""", "component_cells")
 def promote_if_empty(spark, d):
-    x = components.split_cells(A.component_cells(spark, d)).withColumn("section", F.lit(3))
+    # written once: ingredients, the sections that have some and the candidates are all made of it
+    x = store.keep(components.split_cells(A.component_cells(spark, d)).select("doc_id", "idx", "name", "cas", "conc", "raw_name").withColumn("section", F.lit(3)), "promotion-cells")
     c = x.withColumn("m", T.mixture_row(F.concat(F.lit("· Description: "), "raw_name", F.lit(" 20±1% /")))).select("doc_id", "section", F.col("idx").alias("pos"), F.lit(0).alias("k"), "m.*")
     return components.promote_if_empty(x.where("doc_id % 3 <> 0"), c).select("doc_id", "idx", "name", "cas", "conc")
 

@@ -32,7 +32,7 @@ def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
     assert plan(df).count("Exchange hashpartitioning(") - plan(df).count("Exchange hashpartitioning(l_partkey") == 1
 
 
-@pytest.mark.parametrize("name", ["doc_summary"])
+@pytest.mark.parametrize("name", ["doc_summary", "promote_if_empty"])
 def test_what_several_steps_read_is_made_once(spark, name):
     assert "lineitem.parquet" not in plan(QUERIES[name](spark, SF))
 
