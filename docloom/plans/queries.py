@@ -266,8 +266,10 @@ S_SEQ, S_LABEL = SPLIT("label")
 @query("unified_rows", f"WITH {TITLED}, {CARRIED}, {CONTENT}, {ROWCLASS}, {ITEMS} SELECT doc_id, section, row_number() OVER w AS ord, (row_number() OVER w - 1)::INT AS idx, kind, {S_SEQ} AS seq, {S_LABEL} AS label, value, {S_LABEL} = '' AS span FROM items WINDOW w AS (PARTITION BY doc_id, section ORDER BY pos)", "rows")
 def unified_rows(spark, d):
     # written between the steps: what fields and lines both read is made once, and plans stay small
-    items = store.keep(rows.attach_items(store.keep(rows.row_items(store.keep(_content(spark, d), "content")), "row-items")), "items")
-    return blocks.unified_rows(items).select("doc_id", "section", "ord", "idx", "kind", "seq", "label", "value", "span")
+    content = store.keep(_content(spark, d), "content")
+    parts = store.keep(rows.row_items(content), "row-items")
+    items = store.keep(rows.attach_items(store.dealt(parts, parts.count(), "doc_id")), "items")
+    return blocks.unified_rows(store.dealt(items, items.count(), "doc_id")).select("doc_id", "section", "ord", "idx", "kind", "seq", "label", "value", "span")
 
 
 @query("split_seq", f"SELECT doc_id, pos, {SPLIT(LABEL('c0'))[0]} AS seq, {SPLIT(LABEL('c0'))[1]} AS label FROM rows_", "rows")

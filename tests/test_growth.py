@@ -32,6 +32,14 @@ def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
     assert plan(df).count("Exchange hashpartitioning(") - plan(df).count("Exchange hashpartitioning(l_partkey") == 1
 
 
+@pytest.mark.parametrize(("name", "rows"), [("unified_rows", None)])
+def test_kept_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name, rows):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    least = A.table(spark, SF, rows).count() // 100 if rows else 20
+    p = plan(QUERIES[name](spark, SF))
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(doc_id#\d+L?[^)]*, (\d+)\)", p)) >= least
+
+
 @pytest.mark.parametrize("name", ["doc_summary", "promote_if_empty"])
 def test_what_several_steps_read_is_made_once(spark, name):
     assert "lineitem.parquet" not in plan(QUERIES[name](spark, SF))
