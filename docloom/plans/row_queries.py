@@ -84,7 +84,10 @@ def unified_blocks(spark, d):
     none, text = F.lit(""), lambda s, c: F.concat(F.lit(s), c)
     block = F.concat_ws("\n", text("Waste Disposal Method of ", "p_name"), text("it is long enough to be content ", "p_brand"))
     items = F.array(item("line", none, text("8.1 ", "p_type"), flags(False)), item("field", text("8.2 ", "p_name"), TEXT("p_size"), flags()), item("line", none, block, flags(True, False)), item("line", none, F.lit("and goes on in the next line of it"), flags(False)), item("field", none, F.col("p_brand"), flags()))
-    x = A.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(8).alias("section"), F.posexplode(items).alias("pos", "i")).select("doc_id", "section", "pos", "i.*")
+    part = A.table(spark, d, "part")
+    # dealt by doc_id before rows become five, to tasks that grow in number and not in size
+    part = store.dealt(part.withColumnRenamed("p_partkey", "doc_id"), 5 * part.count(), "doc_id")
+    x = part.select("doc_id", F.lit(8).alias("section"), F.posexplode(items).alias("pos", "i")).select("doc_id", "section", "pos", "i.*")
     return blocks.unified_rows(x).select("doc_id", F.col("ord").cast("int").alias("ord"), "idx", "kind", "seq", "label", "value", "editable")
 
 

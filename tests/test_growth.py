@@ -32,7 +32,7 @@ def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name):
     assert plan(df).count("Exchange hashpartitioning(") - plan(df).count("Exchange hashpartitioning(l_partkey") == 1
 
 
-@pytest.mark.parametrize(("name", "rows"), [("unified_rows", None)])
+@pytest.mark.parametrize(("name", "rows"), [("unified_blocks", "part"), ("unified_rows", None)])
 def test_kept_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch, name, rows):
     monkeypatch.setattr(store, "TASK_ROWS", 100)
     least = A.table(spark, SF, rows).count() // 100 if rows else 20
