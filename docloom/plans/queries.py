@@ -299,7 +299,9 @@ def cell_dedupe(spark, d):
 def auto_numbering(spark, d):
     p = F.col("pos")
     x = A.rows(spark, d).select("doc_id", "pos", F.lit("1").alias("num_id"), F.when(p * p % 7 >= 3, 1).otherwise(0).alias("ilvl"))
-    levels = x.select("doc_id", "num_id").distinct().select("doc_id", "num_id", F.inline(F.expr("array(named_struct('ilvl', 0, 'start', 1, 'lvl_text', '9.%1'), named_struct('ilvl', 1, 'start', 1, 'lvl_text', '%1.%2'))")))
+    # of the order lines alone: their documents are known without a second look at the rows made of them
+    lists = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.lit("1").alias("num_id")).distinct()
+    levels = lists.select("doc_id", "num_id", F.inline(F.expr("array(named_struct('ilvl', 0, 'start', 1, 'lvl_text', '9.%1'), named_struct('ilvl', 1, 'start', 1, 'lvl_text', '%1.%2'))")))
     return auto_numbers(x, levels).select("doc_id", "pos", "number")
 
 

@@ -10,6 +10,7 @@ from docloom.functions import text as T
 from docloom.operators import components, search_index
 from docloom.plans.queries import QUERIES
 from docloom.sources import adapters as A
+from docloom.sources.numbering import auto_numbers
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,21 @@ def test_titles_need_no_pattern_for_text_that_can_have_none(spark):
     texts = ["1. Name", "a 1. Name", "SECTION 2: Hazards", "section 3 - x：y", "1.2 Name：", "", "SECTION", "16、" + "t" * 57, "16、" + "t" * 58, "Section 4: " + "t" * 89, "Section 4: " + "t" * 90]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.section_title(F.col("t")).alias("s"))
     assert [r.s.n for r in df.collect()] == [1, 1, 2, 3, None, None, None, 16, None, 4, None]
+
+
+def test_auto_numbers_keep_rows_where_they_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    n = A.table(spark, SF, "lineitem").count()
+    df = QUERIES["auto_numbering"](spark, SF)
+    assert dealt_to(df) == -(-n // 100)
+    p = plan(df)
+    # rows met their levels and their numbers by other keys, in a fixed number of tasks
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, (pos|ilvl|num_id)", p) and p.count("Window [") == 3
+
+
+def test_auto_numbers_of_lists_defined_twice_and_beyond_nine_levels(spark):
+    p = spark.createDataFrame([("d", k, "1", lvl, "kept") for k, lvl in enumerate([0, 1, 10, 0, 11])] + [("d", 8, None, 0, "no list"), ("e", 0, "1", 0, "no lists")], "doc_id string, pos long, num_id string, ilvl int, c0 string")
+    levels = spark.createDataFrame([("d", "1", 0, 1, "9.%1")] * 2 + [("d", "1", 1, 1, "%1.%2"), ("d", "1", 10, 1, "deep"), ("d", None, 0, 1, "x%1")], "doc_id string, num_id string, ilvl int, start int, lvl_text string")
+    got = auto_numbers(p, levels)
+    assert got.columns == [*p.columns, "number"]
+    assert [(r.c0, r.number) for r in got.orderBy("doc_id", "pos").collect()] == [("kept", "9.1"), ("kept", "2.1"), ("kept", "deep"), ("kept", "9.2"), ("kept", ""), ("no list", ""), ("no lists", "")]
