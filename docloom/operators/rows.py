@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -14,15 +14,16 @@ ITEM = "array<struct<kind:string,label:string,value:string>>"
 
 def dedupe_cells(cells: DataFrame) -> DataFrame:
     """cells (doc_id, pos, k, tc, text): a merged cell (tc) once, then no cell equal to the one before it in its row."""
+    # stripped before the windows, where each text is met once
+    cells = cells.withColumn("text", T.strip(T.text(F.col("text"))))
     once = cells.withColumn("_first", F.row_number().over(Window.partitionBy("doc_id", "pos", F.coalesce("tc", F.concat(F.lit("k"), "k"))).orderBy("k"))).where("_first = 1").drop("_first")
-    t = T.strip(T.text(F.col("text")))
-    before = F.lag(t).over(Window.partitionBy("doc_id", "pos").orderBy("k"))
-    return once.withColumn("_same", t.eqNullSafe(before)).where("not _same").drop("_same").withColumn("text", t)
+    before = F.lag("text").over(Window.partitionBy("doc_id", "pos").orderBy("k"))
+    return once.withColumn("_same", F.col("text").eqNullSafe(before)).where("not _same").drop("_same")
 
 
-def cells_to_rows(cells: DataFrame) -> DataFrame:
-    """One row per pos with the array of its cells in order."""
-    return cells.groupBy("doc_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("cells"))
+def cells_to_rows(cells: DataFrame, *also: Column) -> DataFrame:
+    """One row per pos with the array of its cells in order, and other aggregates of them."""
+    return cells.groupBy("doc_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("cells"), *also)
 
 
 def classify(rows: DataFrame) -> DataFrame:

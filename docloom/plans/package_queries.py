@@ -23,17 +23,17 @@ MARK = "CASE p_size % 3 WHEN 1 THEN ' [象形图]' WHEN 2 THEN ' [象形图×2]'
 
 
 def _documents(spark, d, changed: str | None = None) -> DataFrame:
-    """What the packages are made of; rows for which `changed` holds have another type."""
+    """What the packages are made of; with `changed` also what they were made of before, another type where it holds."""
     # rows are short and packages long: a small table would be one task
     part = A.table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").withColumn("id", F.col("p_partkey").cast("string"))
-    kind = F.when(F.expr(changed), F.concat(F.lit("changed "), "p_type")).otherwise(F.col("p_type")) if changed else F.col("p_type")
     row = lambda *c: F.array(*[F.lit(x) if isinstance(x, str) else x for x in c])
-    rows = F.array(row("1.物料及供应商标识", ""), row("产品名称：", F.col("p_name")), row("9.理化特性", ""), row("9.1 外观：", kind), row("", F.concat(F.lit("more of "), "p_brand")))
+    rows = lambda kind: F.array(row("1.物料及供应商标识", ""), row("产品名称：", F.col("p_name")), row("9.理化特性", ""), row("9.1 外观：", kind), row("", F.concat(F.lit("more of "), "p_brand")))
+    before = [rows(F.when(F.expr(changed), F.concat(F.lit("changed "), "p_type")).otherwise(F.col("p_type"))).alias("before")] if changed else []
     box = F.when(F.col("p_partkey") % 2 == 0, row(F.concat(F.lit("10.1 Reactivity "), "p_brand"), F.concat(F.lit("stable with "), "p_type"))).otherwise(F.array().cast("array<string>"))
     pictures = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda k: k < F.col("p_size") % 3), lambda k: F.concat_ws("-", F.lit("PNG"), "id", k.cast("string")))
     k = F.col("p_partkey") % 3
     footer = F.when(k == 0, F.concat_ws(" / ", F.col("p_size").cast("string"), "id")).when(k == 1, F.concat(F.lit("某某公司  PEA-"), "id", F.lit("-MSDS"))).otherwise(F.concat(F.lit("PRevision: "), "p_brand"))
-    return part.select("p_partkey", F.col("id").alias("doc_id"), rows.alias("rows"), box.alias("box"), F.col("p_name").alias("header"), footer.alias("footer"), pictures.alias("pictures"), F.expr(DAMAGED).alias("damaged"))
+    return part.select("p_partkey", F.col("id").alias("doc_id"), rows(F.col("p_type")).alias("rows"), box.alias("box"), F.col("p_name").alias("header"), footer.alias("footer"), pictures.alias("pictures"), F.expr(DAMAGED).alias("damaged"), *before)
 
 
 def _records(spark, d) -> DataFrame:
@@ -124,18 +124,16 @@ def library_refresh(spark, d):
     """Two syncs: first with other contents, and a file more for each, then with the files as they are."""
     to = store.new_path(spark, "library")
 
-    def files(made: DataFrame, at: str) -> DataFrame:
-        stamped = packages.of_documents(made).select("doc_id", F.concat("doc_id", F.lit(".docx")).alias("file_name"), F.lit(at).cast("timestamp").alias("at"), F.length("content").cast("long").alias("length"), "content")
-        return store.keep(stamped, "package-files")
+    def files(doc_id, at, content: str) -> DataFrame:
+        return made.select(doc_id.alias("doc_id"), F.concat(doc_id, F.lit(".docx")).alias("file_name"), at.alias("at"), F.col(f"{content}_length").alias("length"), F.col(content).alias("content"))
 
-    before = _documents(spark, d, "p_size % 2 = 1")
-    old = files(before.unionByName(before.withColumn("doc_id", F.concat(F.lit("old-"), "doc_id"))), "2024-01-01 00:00:00")
-    library.sync(old, to, 8, _content)
-    now = files(_documents(spark, d), "2024-01-02 00:00:00")
+    # both contents of a file are made at once: the second sync has no need to look the first one up
+    both = packages.of_documents(_documents(spark, d, "p_size % 2 = 1"))
+    made = store.keep(both.select("*", *[F.length(c).cast("long").alias(f"{c}_length") for c in ("content", "before")], (F.col("content") == F.col("before")).alias("same")), "package-files")
+    first, second = (F.lit(f"2024-01-0{k} 00:00:00").cast("timestamp") for k in (1, 2))
+    library.sync(files(F.col("doc_id"), first, "before").unionByName(files(F.concat(F.lit("old-"), "doc_id"), first, "before")), to, 8, _content)
     # what was sent again unchanged keeps its time
-    same = old.select("doc_id", F.col("content").alias("was"), F.col("at").alias("then"))
-    now = now.join(same, "doc_id", "left").select("doc_id", "file_name", F.when(F.col("content") == F.col("was"), F.col("then")).otherwise(F.col("at")).alias("at"), "length", "content")
-    library.sync(store.keep(now, "package-files"), to, 8, _content)
+    library.sync(files(F.col("doc_id"), F.when(F.col("same"), first).otherwise(second), "content"), to, 8, _content)
     return library.read_tables(spark, to)["content"].select("doc_id", "section", "pos", F.array_join("cells", "|").alias("cells"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
 from ..shipping import ship
@@ -25,6 +26,8 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 _MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+# names asked of every element
+_T, _TAB, _BR, _CR, _B, _DRAWING, _NUM, _VAL = (_W + x for x in ("t", "tab", "br", "cr", "b", "drawing", "numPr", "val"))
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -34,18 +37,6 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), name.alias("file_name"), F.sha2("content", 256).alias("sha256"), "content").where(~F.col("file_name").startswith("~$") & ~F.col("file_name").startswith("%7E$"))
 
 
-def _text(p) -> str:
-    out = []
-    for e in p.iter():
-        if e.tag == _W + "t":
-            out.append(e.text or "")
-        elif e.tag == _W + "tab" and e.get(_W + "val") is None:
-            out.append("\t")
-        elif e.tag in (_W + "br", _W + "cr"):
-            out.append("\n")
-    return "".join(out)
-
-
 def _bold(p) -> bool:
     for r in p.iter(_W + "r"):
         b = r.find(f"{_W}rPr/{_W}b")
@@ -55,10 +46,21 @@ def _bold(p) -> bool:
 
 
 def _paragraph(p) -> dict:
-    tags = {e.tag for e in p.iter()}  # most paragraphs have no number, bold run or picture to look for
-    num = p.find(f"{_W}pPr/{_W}numPr") if _W + "numPr" in tags else None
-    get = lambda tag: None if num is None or num.find(_W + tag) is None else num.find(_W + tag).get(_W + "val")
-    return {"text": _text(p), "bold": _W + "b" in tags and _bold(p), "num_id": get("numId"), "ilvl": int(get("ilvl") or 0), "n_img": len(list(p.iter(_W + "drawing"))) if _W + "drawing" in tags else 0}
+    out, tags, n_img = [], set(), 0
+    for e in p.iter():
+        tag = e.tag
+        tags.add(tag)
+        if tag == _T:
+            out.append(e.text or "")
+        elif tag == _TAB and e.get(_VAL) is None:
+            out.append("\t")
+        elif tag == _BR or tag == _CR:
+            out.append("\n")
+        elif tag == _DRAWING:
+            n_img += 1
+    num = p.find(f"{_W}pPr/{_W}numPr") if _NUM in tags else None  # most paragraphs have no number or bold run to look for
+    get = lambda tag: None if num is None or num.find(_W + tag) is None else num.find(_W + tag).get(_VAL)
+    return {"text": "".join(out), "bold": _B in tags and _bold(p), "num_id": get("numId"), "ilvl": int(get("ilvl") or 0), "n_img": n_img}
 
 
 def _row_cells(tr, above: dict[int, object]) -> Iterator[tuple[int, object, int]]:
@@ -90,6 +92,24 @@ def _boxes(e) -> Iterator:
         yield from _boxes(c)
 
 
+def _part(z, data: bytes, name: str) -> bytes:
+    """A part of the package `data` that z has opened, cut from it directly: a package has many small parts, and opening each costs more than to parse it."""
+    import zlib
+
+    i = z.getinfo(name)
+    at = i.header_offset
+    if data[at : at + 4] == b"PK\x03\x04" and not i.flag_bits & 0x61 and i.compress_type in (0, 8):
+        at += 30 + int.from_bytes(data[at + 26 : at + 28], "little") + int.from_bytes(data[at + 28 : at + 30], "little")
+        raw = data[at : at + i.compress_size]
+        try:
+            raw = zlib.decompress(raw, -15) if i.compress_type else raw
+        except zlib.error:
+            raw = b""
+        if len(raw) == i.file_size and zlib.crc32(raw) == i.CRC:
+            return raw
+    return z.read(name)  # encrypted, packed otherwise, or damaged: the library says so
+
+
 def decode_bytes(data: bytes) -> Iterator[dict]:
     """The records of one package, in document order."""
     import io
@@ -99,12 +119,13 @@ def decode_bytes(data: bytes) -> Iterator[dict]:
 
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
+        read = lambda name: _part(z, data, name)
+        body = ElementTree.fromstring(read("word/document.xml")).find(_W + "body")
         rels = {}
         if "word/_rels/document.xml.rels" in names:
-            rels = {r.get("Id"): posixpath.normpath(posixpath.join("word", r.get("Target"))) for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
+            rels = {r.get("Id"): posixpath.normpath(posixpath.join("word", r.get("Target"))) for r in ElementTree.fromstring(read("word/_rels/document.xml.rels"))}
         if "word/numbering.xml" in names:
-            root = ElementTree.fromstring(z.read("word/numbering.xml"))
+            root = ElementTree.fromstring(read("word/numbering.xml"))
             lists = {a.get(_W + "abstractNumId"): a for a in root.findall(_W + "abstractNum")}
             for n in root.findall(_W + "num"):
                 ref = n.find(_W + "abstractNumId")
@@ -116,7 +137,7 @@ def decode_bytes(data: bytes) -> Iterator[dict]:
             refs = [] if first is None else first.findall(_W + tag)
             ref = next((r for r in refs if r.get(_W + "type", "default") == "default"), None)
             if ref is not None and rels.get(ref.get(_R + "id")) in names:
-                yield from _story(ElementTree.fromstring(z.read(rels[ref.get(_R + "id")])), ev)
+                yield from _story(ElementTree.fromstring(read(rels[ref.get(_R + "id")])), ev)
         pos, tbl, n_img = 0, 0, 0
         ids: dict[int, str] = {}
         for child in body:
@@ -133,7 +154,7 @@ def decode_bytes(data: bytes) -> Iterator[dict]:
                             for blip in d.iter(_A + "blip"):
                                 part = rels.get(blip.get(_R + "embed"))
                                 if part in names:
-                                    yield {"kind": "image", "pos": pos, "tbl": tbl, "row": r, "cell": c, "ord": n_img, "ext": part.rpartition(".")[2].lower(), "width": int(size.get("cx", 0)) if size is not None else 0, "height": int(size.get("cy", 0)) if size is not None else 0, "content": z.read(part)}
+                                    yield {"kind": "image", "pos": pos, "tbl": tbl, "row": r, "cell": c, "ord": n_img, "ext": part.rpartition(".")[2].lower(), "width": int(size.get("cx", 0)) if size is not None else 0, "height": int(size.get("cy", 0)) if size is not None else 0, "content": read(part)}
                                     n_img += 1
                         seen.add(key)
                     pos += 1
@@ -226,14 +247,20 @@ def clean_paragraphs(p: DataFrame, levels: DataFrame) -> DataFrame:
 
     # a place of three numbers, in order: no cell has too many paragraphs for it
     flat = p.withColumn("seq", F.struct("pos", F.coalesce("cell", F.lit(0)).alias("cell"), "para"))
-    once = flat.where("num_id is not null and ev in ('table', 'textbox')").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("tc", F.concat(F.lit("p"), "pos")), "para").orderBy("seq"))).where("_r = 1")
-    numbered = auto_numbers(once.select("doc_id", F.col("seq").alias("pos"), "num_id", "ilvl"), levels).select("doc_id", F.col("pos").alias("seq"), "number")
-    x = flat.join(numbered, ["doc_id", "seq"], "left")
+    # paragraphs of lists are numbered, dealt by their number; the others, most of all, stay where they are read
+    listed = F.col("num_id").isNotNull() & F.col("ev").isin("table", "textbox")
+    x = flat.withColumn("number", F.lit(None).cast("string"))
+    if n := p.where(listed).count():
+        again = F.row_number().over(Window.partitionBy("doc_id", F.coalesce("tc", F.concat(F.lit("p"), "pos")), "para").orderBy("seq")) > 1
+        once = store.dealt(flat.where(listed), n, "doc_id").withColumn("_once", F.when(~again, F.col("num_id")))
+        numbered = auto_numbers(once.withColumnsRenamed({"pos": "_pos", "num_id": "_num"}).withColumns({"pos": F.col("seq"), "num_id": F.col("_once")}), levels)
+        x = x.where(~listed).unionByName(numbered.drop("pos", "num_id", "_once").withColumnsRenamed({"_pos": "pos", "_num": "num_id"}))
     t = F.when((F.col("n_img") > 0) & F.col("text").rlike(r"^[\\/|·•\-_ ]+$"), "").otherwise(F.col("text"))
     raw = T.strip(F.concat_ws(" ", F.nullif("number", F.lit("")), t))
-    body = F.when(T.class_row(raw)["name"].isNotNull(), raw).otherwise(F.regexp_replace(raw, " {2,}", " "))
+    x, raw = x.withColumn("_raw", raw), F.col("_raw")
+    body = F.when(~raw.contains("  "), raw).when(T.class_row(raw)["name"].isNotNull(), raw).otherwise(F.regexp_replace(raw, " {2,}", " "))
     mark = F.when(F.col("n_img") > 1, F.concat(F.lit("[象形图×"), F.col("n_img").cast("string"), F.lit("]"))).when(F.col("n_img") == 1, X.PICTOGRAM_MARK)
-    return x.withColumn("text", F.concat_ws(" ", F.nullif(body, F.lit("")), mark)).where("text <> '' or ev = 'table'").drop("number", "seq")
+    return x.withColumn("text", F.concat_ws(" ", F.nullif(body, F.lit("")), mark)).where("text <> '' or ev = 'table'").drop("number", "seq", "_raw")
 
 
 def cell_rows(p: DataFrame) -> DataFrame:
@@ -243,13 +270,14 @@ def cell_rows(p: DataFrame) -> DataFrame:
     """
     from ..operators.rows import cells_to_rows, dedupe_cells
 
-    t = p.where("ev = 'table'")
+    # one exchange serves all that is grouped within a row
+    t = p.where("ev = 'table'").repartition("doc_id", "pos")
     parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("para", "text", "bold"))))
     cells = t.groupBy("doc_id", "pos", F.col("cell").alias("k"), "tc").agg(parts.alias("p"))
     flags = F.flatten(F.transform("p", lambda s: F.array_repeat(F.coalesce(s["bold"], F.lit(False)), F.size(F.split(s["text"], "\n")))))
-    bold = cells.groupBy("doc_id", "pos").agg(F.min_by(flags, "k").alias("bold_lines"))
-    cells = cells.withColumn("text", F.array_join(F.transform("p", lambda s: s["text"]), "\n")).drop("p")
-    rows = cells_to_rows(dedupe_cells(cells)).join(bold, ["doc_id", "pos"]).where(F.exists("cells", lambda c: c != ""))
+    cells = cells.withColumns({"text": F.array_join(F.transform("p", lambda s: s["text"]), "\n"), "flags": flags}).drop("p")
+    # the first cell of a row is never dropped as a copy
+    rows = cells_to_rows(dedupe_cells(cells), F.min_by("flags", "k").alias("bold_lines")).where(F.exists("cells", lambda c: c != ""))
     rows = rows.select("doc_id", "pos", "cells", F.exists("bold_lines", lambda b: b).alias("bold0"), "bold_lines", F.lit(False).alias("is_box"), F.get("cells", F.lit(0)).alias("c0"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("para", F.trim("text").alias("text")))), lambda s: s["text"])
     boxes = p.where("ev = 'textbox'").groupBy("doc_id", "pos").agg(lines.alias("cells"))

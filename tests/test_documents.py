@@ -258,3 +258,41 @@ def test_tables_that_several_steps_read_are_written_once(spark, folder):
     files, names = docx.scan(spark, str(folder)), []
     corpus_tables(files, store.keep(docx.decode(files), "records"), lambda df, name: names.append(name) or store.keep(df, name))
     assert {"events", "latched", "flat-tables", "stacked-tables", "sections"} <= set(names)
+
+
+def test_a_page_header_does_not_take_the_number_of_a_table_row(spark):
+    schema = "doc_id string, ev string, pos long, tbl int, row int, cell int, tc string, grid_span int, para int, text string, bold boolean, num_id string, ilvl int, n_img int"
+    cells = [("d", "table", 0, 0, 0, k, "t", 1, 0, "a  b", False, "1", 0, 0) for k in range(2)]  # one merged cell
+    p = spark.createDataFrame([("d", "header", 0, None, None, None, None, None, 0, "head", False, "1", 0, 0), *cells, ("d", "table", 1, 0, 1, 0, "u", 1, 0, "c", False, "1", 0, 0)], schema)
+    levels = spark.createDataFrame([("d", "1", 0, 1, "9.%1")], "doc_id string, num_id string, ilvl int, start int, lvl_text string")
+    got = docx.clean_paragraphs(p, levels)
+    assert sorted(got.columns) == sorted(p.columns)
+    assert sorted((r.ev, r.pos, r.cell or 0, r.num_id, r.text) for r in got.collect()) == [("header", 0, 0, "1", "head"), ("table", 0, 0, "1", "9.1 a b"), ("table", 0, 1, "1", "a b"), ("table", 1, 0, "1", "9.2 c")]
+
+
+def test_parts_are_cut_from_a_package_as_the_library_reads_them():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, how in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_LZMA)):
+            z.writestr(f"p{k}", f"text {k} " * 90, how)
+    for data in (out.getvalue(), b"in front" + out.getvalue()):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            assert [docx._part(z, data, n) for n in z.namelist()] == [z.read(n) for n in z.namelist()]
+    data = out.getvalue().replace(b"text 0 text 0", b"text 0 test 0", 1)
+    with zipfile.ZipFile(io.BytesIO(data)) as z, pytest.raises(zipfile.BadZipFile):
+        docx._part(z, data, "p0")
+
+
+def test_packages_of_two_versions_are_made_together(spark):
+    from docloom.sources import packages
+
+    one, two = [["9.Properties", "a"]], [["9.Properties", "b"]]
+    schema = "doc_id string, rows array<array<string>>, box array<string>, header string, footer string, pictures array<string>, damaged boolean"
+    docs = [("1", one, ["box"], "h", "f", ["PNG"], False), ("2", one, [], "h", "f", [], True)]
+    alone = {r.doc_id: bytes(r.content) for r in packages.of_documents(spark.createDataFrame(docs, schema)).collect()}
+    other = {r.doc_id: bytes(r.content) for r in packages.of_documents(spark.createDataFrame([(d[0], two, *d[2:]) for d in docs], schema)).collect()}
+    both = packages.of_documents(spark.createDataFrame([(*d, two if d[0] == "1" else one) for d in docs], schema + ", before array<array<string>>")).collect()
+    assert {r.doc_id: (bytes(r.content), bytes(r.before)) for r in both} == {"1": (alone["1"], other["1"]), "2": (alone["2"], alone["2"])}

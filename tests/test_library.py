@@ -1,6 +1,7 @@
 """A folder followed by syncs, a gram index, and entries by section."""
 
 import os
+import re
 import shutil
 
 import pytest
@@ -116,3 +117,31 @@ def test_sections_are_read_by_folder(spark, many, tmp_path):
     assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
     one = spark.createDataFrame([(2,), (99,), (None,)], "section int")
     assert section_store.read_sections(spark, path, one).select(F.input_file_name()).distinct().collect()[0][0].count("section=2") == 1
+
+
+def test_syncs_make_packages_once_and_compare_no_records(spark, monkeypatch):
+    from docloom import store
+    from docloom.plans.queries import QUERIES
+
+    kept, keep = [], store.keep
+    monkeypatch.setattr(store, "keep", lambda df, name: kept.append((name, df._jdf.queryExecution().simpleString())) or keep(df, name))
+    QUERIES["library_refresh"](spark, "/root/testdata/sf0.001")
+    names = [name for name, _ in kept]
+    assert names.count("package-files") == 1
+    assert not any(re.search(r"Aggregate\(keys=\[[^\]]*content#", p) for name, p in kept if name == "library-records")
+    # what is joined is a file's hash: no content goes through an exchange
+    assert not any("sha2(" in p.split("Join")[0] for name, p in kept if name == "library-hashed")
+
+
+def test_a_content_that_two_syncs_decoded_counts_once(spark, tmp_path):
+    docs, to = tmp_path / "in", f"file://{tmp_path}/library"
+    docs.mkdir()
+    for n in range(2):
+        document(docs / f"d{n}.docx", f"P{n}", n)
+    library.sync(library.folder_files(spark, str(docs)), to, build=light)
+    twice = spark.read.parquet(f"{to}/decoded").where("sha256 = (select min(sha256) from {d})".replace("{d}", f"parquet.`{to}/decoded`")).collect()
+    spark.createDataFrame(twice, library._RECORDS).write.mode("append").parquet(f"{to}/decoded")
+    for f in docs.iterdir():
+        os.utime(f, (1, 1))
+    library.sync(library.folder_files(spark, str(docs)), to, build=light)
+    same_tables(library.read_tables(spark, to), full_read(spark, str(docs)))
