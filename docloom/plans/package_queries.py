@@ -64,7 +64,7 @@ def scanned_files(spark, d):
     made.select(folder.alias("folder"), names.alias("name"), "content").repartition(n, "folder").write.format(PictureFiles.name()).option("path", path).mode("append").save()
     files = docx.scan(spark, f"{path}/in/*")
     # written once: neither the checks nor the result decode again
-    status = store.keep(docx.file_status(docx.decode(files.coalesce(n)), files), "package-status")
+    status = store.keep(docx.file_status(docx.decode(files), files), "package-status")
     docx.require_any(status)
     return status.select("file_name", "status", "tables_count", "paragraphs_count")
 

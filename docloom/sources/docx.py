@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import fixed as X
 from ..functions import text as T
-from ..shipping import ship
+from . import files
 from .numbering import auto_numbers
 
 SCHEMA = (
@@ -32,9 +32,9 @@ _T, _TAB, _BR, _CR, _B, _DRAWING, _NUM, _VAL = (_W + x for x in ("t", "tab", "br
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path), file_name, sha256, content of the .docx files under path, without Word's lock files (~$...)."""
-    files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
     name = F.substring_index("path", "/", -1)
-    return files.select(F.col("path").alias("doc_id"), name.alias("file_name"), F.sha2("content", 256).alias("sha256"), "content").where(~F.col("file_name").startswith("~$") & ~F.col("file_name").startswith("%7E$"))
+    found = files.listed(spark, path, "*.docx").where(~name.startswith("~$") & ~name.startswith("%7E$"))
+    return files.contents(found).select(F.col("path").alias("doc_id"), name.alias("file_name"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def _bold(p) -> bool:
