@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import store
 from ..operators import quality, sections
 from ..sources import adapters as A
-from ..sources import docx, packages, sinks
+from ..sources import docx, files, packages, sinks
 from ..sources.picture_files import PictureFiles
 from ..streaming import library
 from . import documents
@@ -62,9 +62,9 @@ def scanned_files(spark, d):
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.table(spark, d, "part").count() // 2000)
     folder = F.concat(F.lit("in/f"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("string"))
     made.select(folder.alias("folder"), names.alias("name"), "content").repartition(n, "folder").write.format(PictureFiles.name()).option("path", path).mode("append").save()
-    files = docx.scan(spark, f"{path}/in/*")
+    found = docx.scan(spark, f"{path}/in/*")
     # written once: neither the checks nor the result decode again
-    status = store.keep(docx.file_status(docx.decode(files), files), "package-status")
+    status = store.keep(docx.file_status(docx.decode(found), found), "package-status")
     docx.require_any(status)
     return status.select("file_name", "status", "tables_count", "paragraphs_count")
 
@@ -84,8 +84,8 @@ def image_files(spark, d):
     path = store.new_path(spark, "pictures")
     docs = images.select("doc_id", F.concat("doc_id", F.lit(".docx")).alias("file_name")).distinct()
     out = sinks.write_image_files(images, docs, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -2).alias("at"), F.sha2("content", 256).alias("sha256"))
-    found = files.join(out.select(F.substring_index("path", "/", -2).alias("at"), "name"), "at", "left")
+    read = files.contents(files.listed(spark, path, recursive=True)).select(F.substring_index("path", "/", -2).alias("at"), F.sha2("content", 256).alias("sha256"))
+    found = read.join(out.select(F.substring_index("path", "/", -2).alias("at"), "name"), "at", "left")
     return found.select("name", "sha256", F.col("at").endswith(F.col("name")).alias("there"))
 
 

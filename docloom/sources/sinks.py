@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import hierarchy
 
+#: Image files of one subfolder, which one task writes.
+FOLDER_FILES = 2000
 TSV_COLUMNS = ("节", "大标题", "小标题", "标签", "内容")
 
 
@@ -105,14 +107,14 @@ def export_images(images: DataFrame, documents: DataFrame, path: str, prefix: st
 def write_image_files(images: DataFrame, documents: DataFrame, path: str, prefix: str = "", folders: int | None = None) -> DataFrame:
     """Write each image as a file of its own under the new folder `path`, a URI of any store that pyarrow or a mount reaches; returns doc_id, name, path.
 
-    Files lie in `folders` subfolders (by default the number of shuffle partitions) by a hash of their document. The
-    writer (picture_files) writes in a folder of each task attempt and moves whole subfolders when the job commits; of a
+    Files lie in `folders` subfolders (by default one for each 2,000 images, the number of shuffle partitions at least) by a
+    hash of their document. The writer (picture_files) writes in a folder of each task attempt and moves whole subfolders when the job commits; of a
     failed attempt or job nothing stays.
     """
     from .picture_files import PictureFiles
 
     spark = images.sparkSession
-    folders = folders or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = folders or max(int(spark.conf.get("spark.sql.shuffle.partitions")), images.count() // FOLDER_FILES)
     folder = F.concat(F.lit("f"), F.lpad(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("string"), len(str(folders)), "0"))
     named = image_files(images, documents, prefix).select("doc_id", "name", "content", folder.alias("folder"))
     spark.dataSource.register(PictureFiles)

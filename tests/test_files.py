@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from docloom.sources import docx, files
+from docloom import store
+from docloom.plans.queries import QUERIES
+from docloom.sources import docx, files, sinks
 
 NAMES = ("x.docx", "~$x.docx", ".h.docx", "_u.docx", "sub/y.docx", "sub/deep/z z.docx", "_hid/v.docx", "x.txt", "e.docx/in.docx", "100%20 µ.docx")
 
@@ -71,3 +73,15 @@ def test_many_files_of_one_folder_and_empty_ones(spark, tmp_path):
     with pytest.raises(ValueError, match="every file failed"):  # it was not even seen
         scanned = docx.scan(spark, str(tmp_path / "one"))
         docx.require_any(docx.file_status(docx.decode(scanned), scanned))
+
+
+def test_image_files_are_not_on_the_driver(spark, monkeypatch):
+    made, new_path = [], store.new_path
+    monkeypatch.setattr(store, "new_path", lambda s, name: made.append((name, new_path(s, name))) or made[-1][1])
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 10)
+    found = QUERIES["image_files"](spark, "/root/testdata/sf0.001")
+    assert not any(f.endswith(".png") for f in found.inputFiles())
+    n, at = found.where("there").count(), dict(made)["pictures"].removeprefix("file:")
+    assert n == found.count() == sum(len(names) for _, _, names in os.walk(at)) and n // 10 > 4
+    # what one task writes and lists stays the same however many images there are
+    assert n // 20 < len(os.listdir(at)) <= n // 10
