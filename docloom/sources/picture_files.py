@@ -53,6 +53,8 @@ class PictureWriter(DataSourceWriter):
         if store.get_file_info(at).type != fs.FileType.NotFound:
             raise FileExistsError(f"{path} is there already")
         self.path, self.job = path, uuid.uuid4().hex
+        # tasks make folders in this one only and never make it: those that still run when the job aborts can leave nothing
+        store.create_dir(f"{at}/_attempts/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator) -> Attempt:
         import uuid
@@ -66,7 +68,9 @@ class PictureWriter(DataSourceWriter):
                 raise FileExistsError(f"two files {folder}/{name}")
             seen.add((folder, name))
             if folder not in folders:
-                store.create_dir(f"{at}/{folder}", recursive=True)
+                parts = folder.split("/")
+                for k in range(len(parts) + 1):
+                    store.create_dir("/".join([at, *parts[:k]]), recursive=False)
                 folders.add(folder)
             with store.open_output_stream(f"{at}/{folder}/{name}", compression=None) as f:
                 f.write(content)
@@ -100,7 +104,14 @@ class PictureWriter(DataSourceWriter):
 
     @staticmethod
     def _clear(store, at: str) -> None:
+        import uuid
+
         from pyarrow import fs
 
         if store.get_file_info(at).type != fs.FileType.NotFound:
-            store.delete_dir(at)
+            gone = f"{at}.{uuid.uuid4().hex}"
+            try:  # attempts that still write find their folder gone, and nothing comes while it is deleted
+                store.move(at, gone)
+            except (OSError, NotImplementedError):  # a store that moves no folders
+                gone = at
+            store.delete_dir(gone)

@@ -7,6 +7,7 @@ import pytest
 from docloom import store
 from docloom.plans.queries import QUERIES
 from docloom.sources import docx, files, sinks
+from docloom.sources.picture_files import PictureWriter
 
 NAMES = ("x.docx", "~$x.docx", ".h.docx", "_u.docx", "sub/y.docx", "sub/deep/z z.docx", "_hid/v.docx", "x.txt", "e.docx/in.docx", "100%20 µ.docx")
 
@@ -85,3 +86,18 @@ def test_image_files_are_not_on_the_driver(spark, monkeypatch):
     assert n == found.count() == sum(len(names) for _, _, names in os.walk(at)) and n // 10 > 4
     # what one task writes and lists stays the same however many images there are
     assert n // 20 < len(os.listdir(at)) <= n // 10
+
+
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    w = PictureWriter(str(tmp_path / "out"))
+
+    def rows():
+        yield "a/b", "1.png", b"x"
+        w.abort([None])
+        yield "c", "2.png", b"y"
+
+    with pytest.raises(FileNotFoundError):
+        w.write(rows())
+    with pytest.raises(FileNotFoundError):
+        w.write(iter([("a", "3.png", b"z")]))
+    assert not list(tmp_path.iterdir())
