@@ -22,10 +22,10 @@ DAMAGED = "p_partkey % 7 = 0"
 MARK = "CASE p_size % 3 WHEN 1 THEN ' [象形图]' WHEN 2 THEN ' [象形图×2]' ELSE '' END"
 
 
-def _documents(spark, d, changed: str | None = None) -> DataFrame:
-    """What the packages are made of; with `changed` also what they were made of before, another type where it holds."""
+def _documents(spark, d, changed: str | None = None, tasks: int | None = None, by="p_partkey") -> DataFrame:
+    """What the packages are made of, dealt to tasks by a key; with `changed` also what they were made of before, another type where it holds."""
     # rows are short and packages long: a small table would be one task
-    part = A.table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").withColumn("id", F.col("p_partkey").cast("string"))
+    part = A.table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string")).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), by)
     row = lambda *c: F.array(*[F.lit(x) if isinstance(x, str) else x for x in c])
     rows = lambda kind: F.array(row("1.物料及供应商标识", ""), row("产品名称：", F.col("p_name")), row("9.理化特性", ""), row("9.1 外观：", kind), row("", F.concat(F.lit("more of "), "p_brand")))
     before = [rows(F.when(F.expr(changed), F.concat(F.lit("changed "), "p_type")).otherwise(F.col("p_type"))).alias("before")] if changed else []
@@ -55,13 +55,14 @@ def _clean(records: DataFrame) -> DataFrame:
 def scanned_files(spark, d):
     """Packages written as files, with a lock file beside each, then scanned and decoded."""
     path = store.new_path(spark, "package-files")
-    made = packages.of_documents(_documents(spark, d))
     names = F.explode(F.array(F.concat("doc_id", F.lit(".docx")), F.concat(F.lit("~$"), "doc_id", F.lit(".docx")), F.concat("doc_id", F.lit(".txt"))))
     spark.dataSource.register(PictureFiles)
     # a folder is written by one task and moved whole; it holds some thousand files, however many there are in all
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.table(spark, d, "part").count() // 2000)
-    folder = F.concat(F.lit("in/f"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("string"))
-    made.select(folder.alias("folder"), names.alias("name"), "content").repartition(n, "folder").write.format(PictureFiles.name()).option("path", path).mode("append").save()
+    folder = lambda key: F.concat(F.lit("in/f"), F.pmod(F.xxhash64(key), F.lit(n)).cast("string"))
+    # rows are dealt by folder before packages are made of them: no package goes through an exchange
+    made = packages.of_documents(_documents(spark, d, tasks=n, by=folder("id")))
+    made.select(folder("doc_id").alias("folder"), names.alias("name"), "content").write.format(PictureFiles.name()).option("path", path).mode("append").save()
     found = docx.scan(spark, f"{path}/in/*")
     # written once: neither the checks nor the result decode again
     status = store.keep(docx.file_status(docx.decode(found), found), "package-status")

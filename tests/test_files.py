@@ -6,7 +6,7 @@ import pytest
 
 from docloom import store
 from docloom.plans.queries import QUERIES
-from docloom.sources import docx, files, sinks
+from docloom.sources import docx, files, packages, sinks
 from docloom.sources.picture_files import PictureWriter
 
 NAMES = ("x.docx", "~$x.docx", ".h.docx", "_u.docx", "sub/y.docx", "sub/deep/z z.docx", "_hid/v.docx", "x.txt", "e.docx/in.docx", "100%20 µ.docx")
@@ -101,3 +101,15 @@ def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
     with pytest.raises(FileNotFoundError):
         w.write(iter([("a", "3.png", b"z")]))
     assert not list(tmp_path.iterdir())
+
+
+def test_packages_are_made_where_their_folder_is_written(spark, monkeypatch):
+    plans, of_documents = [], packages.of_documents
+    monkeypatch.setattr(packages, "of_documents", lambda df: plans.append(df._jdf.queryExecution().simpleString()) or of_documents(df))
+    made, new_path = [], store.new_path
+    monkeypatch.setattr(store, "new_path", lambda s, name: made.append((name, new_path(s, name))) or made[-1][1])
+    QUERIES["scanned_files"](spark, "/root/testdata/sf0.001")
+    assert "in/f" in plans[0] and "p_partkey#" not in plans[0].split("hashpartitioning(")[1].split("REPARTITION_BY_NUM")[0]  # dealt by folder, not by key and then again
+    at = dict(made)["package-files"].removeprefix("file:") + "/in"
+    folders = {f: set(os.listdir(f"{at}/{f}")) for f in os.listdir(at)}
+    assert sum(map(len, folders.values())) == 3 * 200 and all(len({n.strip("~$").split(".")[0] for n in names}) * 3 == len(names) for names in folders.values())
